@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -137,6 +137,12 @@ def worst_cells(scores: DataFrame, clean: str = "clean") -> DataFrame:
                                        F.min_by("view", degraded).alias("worst_cell"))
 
 
+def rank_of(value: str, config: str = "config") -> Column:
+    """Place of a config: greater value first, then fewer branches. One row per config."""
+    branches = F.size(F.split(F.col(config), r"\+"))
+    return F.row_number().over(Window.orderBy(F.col(value).desc(), branches, F.col(config)))
+
+
 def bootstrap_delta(scores: DataFrame, rounds: int, seed: int = 0, base: str = "A", clean: str = "clean") -> DataFrame:
     """Per config the interval of its worst-cell gain over the base, resampling images.
 

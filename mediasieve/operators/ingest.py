@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, naming
@@ -172,7 +172,10 @@ def pending_shards(manifest: DataFrame, unpacked: DataFrame | None) -> DataFrame
     return wanted.join(done, ["shard", "rows"], "left_anti")
 
 
-def first_members(df: DataFrame, per: str, order) -> DataFrame:
-    """The first row of each bounded group, for example of each archive's members."""
-    rank = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def decode_report(hashed: DataFrame, strict: bool = False) -> DataFrame:
+    """Decoded and failed rows of a hash job; strict makes the first failure fatal."""
+    failed = F.count_if(~F.col("ok"))
+    if strict:
+        failed = F.when(failed > 0, F.raise_error(F.concat(
+            F.lit("undecodable: "), F.min(F.when(~F.col("ok"), F.col("id").cast("string")))))).otherwise(failed)
+    return hashed.groupBy().agg(F.count_if("ok").alias("decoded"), failed.alias("decode_errors"))

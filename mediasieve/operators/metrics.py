@@ -318,6 +318,14 @@ def axis_slices(df: DataFrame, registry: dict | None = None) -> DataFrame:
     return fakes.unionByName(reals)
 
 
+def join_attributes(scores: DataFrame, attributes: DataFrame, id_col: str = "id") -> DataFrame:
+    """Scores with their attributes by id; a score without attributes fails the run."""
+    marked = scores.join(attributes.withColumn("_found", F.lit(True)), id_col, "left")
+    known = F.coalesce(F.col("_found"), F.raise_error(F.concat(
+        F.lit("no attributes for id "), F.col(id_col).cast("string"))).cast("boolean"))
+    return marked.where(known).drop("_found")
+
+
 def _generators_overlap(registry: dict | None) -> bool:
     names = [name for group in registry_module.held_out_axes(registry).values() for name in group]
     return len(names) != len(set(names))

@@ -19,6 +19,7 @@ from ..session import BROADCAST_ROWS, fits_broadcast
 # Distances of the verdicts and the number of bands.
 DROP_AT, REVIEW_AT, BANDS, NO_MATCH = 5, 10, 6, 64
 SALTS = 16
+SLOT_SPACE = 128      # more than two hashes of at most 63 bands need
 
 
 def drop_forbidden_paths(df: DataFrame, path_col: str = "raw_id",
@@ -54,17 +55,28 @@ def near_duplicate_verdict(images: DataFrame, index: DataFrame, drop_at: int = D
     return judged.select(*columns, "verdict", "pmin", "dmin")
 
 
+def _slots(bands: int) -> list[tuple[str, int, int]]:
+    """The (hash family, low bit, high bit) of every band of both hashes."""
+    return [(family, low, high) for family in ("phash", "dhash") for low, high in hashing.band_ranges(bands)]
+
+
+def _slot_key(slot: int, family: str, low: int, high: int) -> Column:
+    """One number for a slot and the band value in it."""
+    return hashing.band_value(F.col(family), low, high) * SLOT_SPACE + slot
+
+
 def _lookup(images: DataFrame, pairs: DataFrame, bands: int) -> DataFrame:
-    """Look every image up in twelve small tables: band value to index entries."""
+    """Look every image up in one small broadcast table, once per band slot."""
+    slots = _slots(bands)
+    keys = F.array(*[_slot_key(i, *slot) for i, slot in enumerate(slots)])
+    table = F.broadcast(pairs.withColumn("_key", F.explode(keys)).groupBy("_key").agg(
+        F.collect_list(F.struct(F.col("phash").alias("p"), F.col("dhash").alias("d"))).alias("_entries")))
     rows, buckets = images, []
-    for family in ("phash", "dhash"):
-        for i, (low, high) in enumerate(hashing.band_ranges(bands)):
-            value, entries = f"_{family}{i}", f"_{family}{i}_entries"
-            bucket = pairs.groupBy(hashing.band_value(F.col(family), low, high).alias(value)).agg(
-                F.collect_list(F.struct(F.col("phash").alias("p"), F.col("dhash").alias("d"))).alias(entries))
-            keyed = rows.withColumn(value, hashing.band_value(F.col(family), low, high))
-            rows = keyed.join(F.broadcast(bucket), value, "left").drop(value)
-            buckets.append(entries)
+    for i, slot in enumerate(slots):
+        name = f"_entries{i}"
+        keyed = rows.withColumn("_key", _slot_key(i, *slot))
+        rows = keyed.join(table.withColumnRenamed("_entries", name), "_key", "left").drop("_key")
+        buckets.append(name)
 
     def nearest(family: str, field: str) -> Column:
         own = F.col(family)

@@ -174,14 +174,10 @@ def branch_views(spark, sf_dir, branch: str) -> DataFrame:
 
 def hashed_vectors(vectors: DataFrame) -> DataFrame:
     """Hashes of each embedding read as an 8x8 grey raster."""
-    cyclic = F.zip_with(
-        "embedding",
-        F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1)),
-        lambda here, after: F.when(after > here, "1").otherwise("0"))
     return vectors.select(
         F.col("vec_id").alias("id"),
         jobs.phash_from_pixels(F.col("embedding"), 8).alias("phash"),
-        hashing.from_bits(F.array_join(cyclic, "")).alias("dhash"))
+        jobs.dhash_from_pixels(F.col("embedding"), 8, 8).alias("dhash"))
 
 
 def forbidden(spark, sf_dir) -> DataFrame:
@@ -256,3 +252,22 @@ def probe_features(spark, sf_dir) -> DataFrame:
         (F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0)).alias("dct_kurtosis"))
 
 
+def staged_rasters(spark, sf_dir, rasters: DataFrame) -> DataFrame:
+    """Embeddings as staged upstream rows: hashes, sizes and registry columns, no bytes.
+
+    The embedding's class picks the upstream label of one labelled dataset.
+    """
+    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("_class"))
+    hashes = hashed_vectors(table(spark, sf_dir, "embeddings"))
+    sized = rasters.select("id", "width", "height", hashing.sha(F.col("raster")).alias("raw_sha256"))
+    rows = base.join(hashes, "id").join(sized, "id").select(
+        "id", F.col("id").alias("doc_id"), "phash", "dhash", "width", "height", "raw_sha256",
+        F.lit("SID_Set").alias("dataset"), F.lit("").alias("archive"), F.lit("").alias("member"),
+        (F.col("_class") % 3).cast("int").alias("upstream_label"),
+        F.when(F.col("_class") < 7, "train").otherwise("validation").alias("upstream_split"),
+        F.lit("rasters.parquet").alias("file"), F.col("id").alias("row"),
+        F.concat(F.lit("rasters/"), F.col("id").cast("string")).alias("raw_id"),
+        (F.col("_class") % 2 == 0).alias("arrived_jpeg"))
+    from ..operators import ingest
+
+    return ingest.map_labels(rows, registry.sources(spark))

@@ -83,10 +83,50 @@ def read_archives(spark, root: str, registry_rows, dataset: str):
     for row in registry_rows:
         if row[0] == dataset and row[6] is not None:
             prefixes.setdefault(row[6], []).append(row[7])
-    register(spark)
-    members = spark.read.format("zip_members").option("prefixes", json.dumps(prefixes)).load(root)
-    return members.select(
+    return read_members(spark, root, prefixes).select(
         F.lit(dataset).alias("dataset"), "archive", "member", F.lit(None).cast("int").alias("upstream_label"),
         F.lit("").alias("upstream_split"), F.col("archive").alias("file"),
         F.lit(0).cast("bigint").alias("row"), F.concat("archive", F.lit(":"), "member").alias("raw_id"),
         hashing.sha(F.col("content")).alias("raw_sha256"), "content")
+
+
+def read_members(spark, root: str, prefixes: dict[str, list[str]]):
+    """(archive, member, content) of the members that start with an archive's prefixes."""
+    register(spark)
+    return spark.read.format("zip_members").option("prefixes", json.dumps(prefixes)).load(root)
+
+
+def write_archives(members, root: str, stem: str):
+    """Pack (member, content) rows as one zip archive per task; lists the archives written.
+
+    An attempt writes under its own name, so a task that runs again leaves no half archive
+    in the list.
+    """
+    import uuid
+
+    def run(batches):
+        path, count = Path(root) / f"{stem}_{uuid.uuid4().hex}.zip", 0
+        for batch in batches:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            with zipfile.ZipFile(path, "a", zipfile.ZIP_DEFLATED) as archive:
+                for member, content in zip(batch["member"], batch["content"]):
+                    archive.writestr(member, content)
+                    count += 1
+        import pandas as pd
+
+        yield pd.DataFrame({"archive": [path.relative_to(root).as_posix()] if count else [], "members": [count] if count else []})
+
+    return members.mapInPandas(run, "archive string, members bigint")
+
+
+def write_files(files, root: str):
+    """Write (path, content) rows as files below a folder; lists path and size."""
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = Path(root) / path
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_bytes(content)
+            yield batch[["path"]].assign(size=batch["content"].str.len())
+
+    return files.mapInPandas(run, "path string, size bigint")
