@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,6 @@ def draw_targets_seeded(staged: DataFrame, pool_sizes: dict[str, int], seed: int
     The generator is seeded with the seed XOR the first 64 bits of the content
     hash. Pool sizes are one number per registry pool.
     """
-    import numpy as np
-    import pandas as pd
-
     if not pool_sizes or min(pool_sizes.values()) < 1:
         raise ValueError("every geometry pool needs at least one decodable image")
 

@@ -11,31 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_STEPS = 8                       # 2 ** 8 = 256 chunks per group
-SKETCH_ACCURACY = 2_000
+CHUNKS = 256                          # wanted chunks per group
+STEPS_PER_OCTAVE = 8                  # coarse cells per doubling of the key
 
 
-def _chunk_of(value: Column, bounds: Column) -> Column:
-    """How many of the sorted bounds are at or below ``value``: a binary search."""
-    strides = F.array(*[F.lit(1 << step) for step in reversed(range(CHUNK_STEPS))])
-    return F.aggregate(
-        strides, F.lit(0),
-        lambda at, stride: F.when(F.get(bounds, at + stride - 1) <= value, at + stride).otherwise(at))
+def _coarse(key: Column) -> Column:
+    """A monotone whole number: the logarithmic cell of a double, zero in the middle."""
+    cell = F.floor(STEPS_PER_OCTAVE * F.log2(F.abs(key))) + STEPS_PER_OCTAVE * 1100
+    return F.when(key > 0, cell).when(key < 0, -cell).otherwise(0).cast("bigint")
 
 
 def with_chunks(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Add ``_chunk``, cutting every group at its own quantiles of ``key``.
+    """Add the order-preserving pair ``_coarse, _fine`` that cuts a group in about 256 chunks.
 
-    The quantile sketch is mergeable, so finding the cuts is one partial
-    aggregate; each group carries 255 cut values.
+    A coarse cell is split linearly between its own extremes, in as many pieces as
+    its share of the group asks for. The cuts come from exact counts and extremes,
+    so a row gets the same chunk however often, and in whatever order, the plan
+    is evaluated; a quantile sketch would not promise that.
     """
-    shares = [i / (1 << CHUNK_STEPS) for i in range(1, 1 << CHUNK_STEPS)]
-    cuts = F.percentile_approx(key, shares, SKETCH_ACCURACY).alias("_cuts")
-    if by:
-        cut = rows.join(rows.groupBy(*by).agg(cuts), by)
-    else:
-        cut = rows.withColumn("_cuts", rows.agg(cuts).scalar())
-    return cut.withColumn("_chunk", _chunk_of(F.col(key), F.col("_cuts"))).drop("_cuts")
+    value = F.col(key).cast("double")
+    coarse = rows.withColumn("_coarse", _coarse(value))
+    cells = coarse.groupBy(*by, "_coarse").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(*by))
+    plan = cells.select(*by, "_coarse", "_lo", "_hi", F.ceil(CHUNKS * share).alias("_pieces"))
+    place = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
+    fine = F.when((F.col("_pieces") == 1) | (F.col("_hi") == F.col("_lo")), F.lit(0).cast("bigint")).otherwise(
+        F.least(place, F.col("_pieces") - 1))
+    return coarse.join(plan, [*by, "_coarse"]).withColumn("_fine", fine).drop("_lo", "_hi", "_pieces")
 
 
 def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False) -> DataFrame:
@@ -46,26 +49,26 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False)
     and, on request, ``previous_key`` and ``next_key``.
     """
     by, sums = list(by), list(sums)
-    chunked = with_chunks(rows, by, key)
-    totals = chunked.groupBy(*by, "_chunk").agg(
+    chunked, chunk = with_chunks(rows, by, key), [*by, "_coarse", "_fine"]
+    totals = chunked.groupBy(*chunk).agg(
         *[F.sum(name).alias(f"_{name}") for name in sums],
         F.min(key).alias("_first"), F.max(key).alias("_last"))
-    # At most 256 chunk rows per group meet in this window.
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    ordered = whole.orderBy("_chunk")
+    # A few hundred chunk rows per group meet in this window.
+    whole = Window.partitionBy(*by)
+    ordered = whole.orderBy("_coarse", "_fine")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_chunk",
+        *chunk,
         *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_before") for name in sums],
         *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
         F.lag("_last").over(ordered).alias("_previous"), F.lead("_first").over(ordered).alias("_next"))
-    local = Window.partitionBy(*by, "_chunk").orderBy(key)
+    local = Window.partitionBy(*chunk).orderBy(key)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
     inside = chunked.select(
         "*",
         *[F.coalesce(F.sum(name).over(local_before), F.lit(0)).alias(f"_{name}_inside") for name in sums],
         *([F.lag(key).over(local).alias("_lag"), F.lead(key).over(local).alias("_lead")] if neighbours else []))
-    joined = inside.join(offsets, [*by, "_chunk"])
+    joined = inside.join(offsets, chunk)
     for name in sums:
         joined = joined.withColumn(f"{name}_below", F.col(f"_{name}_before") + F.col(f"_{name}_inside"))
     extra = []

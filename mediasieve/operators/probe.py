@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +47,11 @@ def out_of_fold(df: DataFrame, features, folds: int = FOLDS, reg_c: float = 1.0)
     total, scored = sum(sizes.values()), None
     for fold in range(folds):
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        # Standardised inside the solver, from the training folds alone.
         fit = Pipeline(stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+            VectorAssembler(inputCols=list(features), outputCol="features"),
             LogisticRegression(labelCol="label", regParam=1.0 / (reg_c * (total - sizes.get(fold, 0))),
-                               standardization=False, maxIter=50, tol=1e-6)]).fit(train)
+                               standardization=True, maxIter=50, tol=1e-6)]).fit(train)
         part = fit.transform(test).select("label", vector_to_array("probability")[1].alias("p"))
         scored = part if scored is None else scored.unionByName(part)
     return scored

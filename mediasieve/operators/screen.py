@@ -67,12 +67,10 @@ def _slot_key(slot: int, family: str, low: int, high: int) -> Column:
 
 def _lookup(images: DataFrame, pairs: DataFrame, bands: int) -> DataFrame:
     """Look every image up in one small broadcast table, once per band slot."""
-    slots = _slots(bands)
-    keys = F.array(*[_slot_key(i, *slot) for i, slot in enumerate(slots)])
-    table = F.broadcast(pairs.withColumn("_key", F.explode(keys)).groupBy("_key").agg(
+    table = F.broadcast(_band_rows(pairs, bands).groupBy("_key").agg(
         F.collect_list(F.struct(F.col("phash").alias("p"), F.col("dhash").alias("d"))).alias("_entries")))
     rows, buckets = images, []
-    for i, slot in enumerate(slots):
+    for i, slot in enumerate(_slots(bands)):
         name = f"_entries{i}"
         keyed = rows.withColumn("_key", _slot_key(i, *slot))
         rows = keyed.join(table.withColumnRenamed("_entries", name), "_key", "left").drop("_key")
@@ -89,12 +87,8 @@ def _lookup(images: DataFrame, pairs: DataFrame, bands: int) -> DataFrame:
 
 
 def _band_rows(df: DataFrame, bands: int) -> DataFrame:
-    """One row per (family, band, value) key."""
-    keys = F.concat(*[
-        F.transform(hashing.band_keys(F.col(family), bands),
-                    lambda key, family=family: F.struct(F.lit(family).alias("family"), key["band"], key["value"]))
-        for family in ("phash", "dhash")])
-    return df.withColumn("_key", F.explode(keys))
+    """One row per (slot, band value) key."""
+    return df.withColumn("_key", F.explode(F.array(*[_slot_key(i, *slot) for i, slot in enumerate(_slots(bands))])))
 
 
 def _salted_join(images: DataFrame, pairs: DataFrame, bands: int, id_col: str) -> DataFrame:

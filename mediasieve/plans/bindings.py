@@ -221,7 +221,7 @@ def predictions(spark, sf_dir) -> DataFrame:
     """``events`` as a score feed."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("image_path"),
-        F.least(F.col("value") / 500, F.lit(1.0)).alias("pred"), "ts")
+        F.least(F.col("value") / 500, F.lit(1.0)).alias("pred"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def rasters(spark, sf_dir) -> DataFrame:
