@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 from pyspark.ml.classification import LogisticRegression
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..session import checkpointed
+from ..session import checkpointed, in_parallel
 from . import metrics
 
 # Fixed value: worst-cell gain over the baseline a blend must reach.
@@ -83,8 +84,8 @@ def align(base: DataFrame, candidates: dict[str, DataFrame], check: bool = True,
           base_name: str = "A") -> DataFrame:
     """(id, view, label, one logit column per branch), refused unless every bundle agrees."""
     if check:
-        for name, candidate in candidates.items():
-            report = alignment_report(base, candidate).first()
+        reports = in_parallel(base.sparkSession, [alignment_report(base, c).first for c in candidates.values()])
+        for name, report in zip(candidates, reports):
             if any(report):
                 raise ValueError(f"branch {name} does not align with the baseline: {report.asDict()}")
     wide = base.select("id", "view", "label", F.col("logit").alias(base_name))
@@ -166,19 +167,15 @@ def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta:
     whether it passes, and which config is recommended and why. The base alone is
     scored by its raw logit.
     """
-    check_bundle(base, "val")
-    for candidate in candidates.values():
-        check_bundle(candidate, "val")
+    in_parallel(base.sparkSession, [partial(check_bundle, bundle, "val") for bundle in (base, *candidates.values())])
     wide = checkpointed(half_split(align(base, candidates, base_name=base_name), seed=seed))
     fit, measure = wide.where("half = 'fit'"), wide.where("half = 'measure'")
     if not fit.take(1) or not measure.take(1):
         raise ValueError("the half split left one half empty")
 
-    blends = {base_name: ([base_name], [1.0], 0.0)}
-    for size in range(1, len(candidates) + 1):
-        for combo in combinations(candidates, size):
-            branches = [base_name, *combo]
-            blends["+".join(branches)] = (branches, *fit_stacker(fit, branches))
+    configs = [[base_name, *combo] for size in range(len(candidates) + 1) for combo in combinations(candidates, size)]
+    fits = in_parallel(base.sparkSession, [partial(fit_stacker, fit, branches) for branches in configs])
+    blends = {"+".join(branches): (branches, *fitted) for branches, fitted in zip(configs, fits)}
     scores = subset_scores(measure, blends)
     report = worst_cells(scores).withColumnRenamed("worst_cell_auroc", "worst")
     rows = {row["config"]: row.asDict() for row in report.collect()}          # one row per config

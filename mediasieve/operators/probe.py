@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Normalizer, VectorAssembler
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..session import checkpointed
+from ..session import checkpointed, in_parallel
 from . import metrics
 
 # Feature groups, the gate and the smallest class of a slice.
@@ -42,19 +44,23 @@ def with_folds(df: DataFrame, folds: int = FOLDS, id_col: str = "id", seed: int
 
 
 def out_of_fold(df: DataFrame, features, folds: int = FOLDS, reg_c: float = 1.0) -> DataFrame:
-    """(label, p) where each row is scored by a model that did not see its fold."""
+    """(label, p) where each row is scored by a model that did not see its fold.
+
+    The folds are fitted side by side; features are standardised inside the solver,
+    from the training folds alone.
+    """
     sizes = {row["fold"]: row["n"] for row in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, scored = sum(sizes.values()), None
-    for fold in range(folds):
-        train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        # Standardised inside the solver, from the training folds alone.
+    total = sum(sizes.values())
+
+    def scored(fold: int) -> DataFrame:
         fit = Pipeline(stages=[
             VectorAssembler(inputCols=list(features), outputCol="features"),
             LogisticRegression(labelCol="label", regParam=1.0 / (reg_c * (total - sizes.get(fold, 0))),
-                               standardization=True, maxIter=50, tol=1e-6)]).fit(train)
-        part = fit.transform(test).select("label", vector_to_array("probability")[1].alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+                               standardization=True, maxIter=100, tol=1e-5)]).fit(df.where(F.col("fold") != fold))
+        return fit.transform(df.where(F.col("fold") == fold)).select("label", vector_to_array("probability")[1].alias("p"))
+
+    parts = in_parallel(df.sparkSession, [partial(scored, fold) for fold in range(folds)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortcut_probe(df: DataFrame, id_col: str = "id", gate: float = GATE, groups=None) -> DataFrame:
@@ -62,10 +68,8 @@ def shortcut_probe(df: DataFrame, id_col: str = "id", gate: float = GATE, groups
     groups = groups or GROUPS
     names = sorted({name for group in groups.values() for name in group})
     data = checkpointed(with_folds(df, id_col=id_col).select("fold", F.col("label").cast("double").alias("label"), *names))
-    scored = None
-    for group, features in groups.items():
-        part = out_of_fold(data, features).withColumn("block", F.lit(group))
-        scored = part if scored is None else scored.unionByName(part)
+    scored = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [
+        partial(lambda group: out_of_fold(data, groups[group]).withColumn("block", F.lit(group)), group) for group in groups]))
     return metrics.auroc(scored, ["block"]).select(
         "block", "auroc", F.lit(gate).alias("gate"), (F.col("auroc") <= gate).alias("passes"))
 

@@ -69,19 +69,18 @@ def _lookup(images: DataFrame, pairs: DataFrame, bands: int) -> DataFrame:
     """Look every image up in one small broadcast table, once per band slot."""
     table = F.broadcast(_band_rows(pairs, bands).groupBy("_key").agg(
         F.collect_list(F.struct(F.col("phash").alias("p"), F.col("dhash").alias("d"))).alias("_entries")))
-    rows, buckets = images, []
-    for i, slot in enumerate(_slots(bands)):
-        name = f"_entries{i}"
-        keyed = rows.withColumn("_key", _slot_key(i, *slot))
-        rows = keyed.join(table.withColumnRenamed("_entries", name), "_key", "left").drop("_key")
-        buckets.append(name)
+    slots = list(enumerate(_slots(bands)))
+    rows = images.select("*", *[_slot_key(i, *slot).alias(f"_key{i}") for i, slot in slots])
+    for i, _ in slots:
+        bucket = table.select(F.col("_key").alias(f"_key{i}"), F.col("_entries").alias(f"_entries{i}"))
+        rows = rows.join(bucket, f"_key{i}", "left")
 
     def nearest(family: str, field: str) -> Column:
         own = F.col(family)
         return F.coalesce(F.least(F.lit(NO_MATCH), *[
-            F.aggregate(F.col(name), F.lit(NO_MATCH),
+            F.aggregate(F.col(f"_entries{i}"), F.lit(NO_MATCH),
                         lambda best, entry: F.least(best, F.bit_count(own.bitwiseXOR(entry[field]))))
-            for name in buckets]), F.lit(NO_MATCH))
+            for i, _ in slots]), F.lit(NO_MATCH))
 
     return rows.select(*images.columns, nearest("phash", "p").alias("pmin"), nearest("dhash", "d").alias("dmin"))
 

@@ -19,20 +19,23 @@ def plan_build(staged: DataFrame, index: DataFrame | None, registry: dict | None
     the canonicalize job.
     """
     kept, stats = ingest.screen(staged, index, limit_per_dataset, allow_unscreened)
-    kept = split.assign_split(kept, registry, salt=salt)
+    # The screened rows are read for the split, the pool and both target draws.
+    kept = checkpointed(split.assign_split(kept, registry, salt=salt))
     pools = geometry.pool_targets(kept)
     return geometry.canonical_plan(geometry.draw_targets(kept, pools, seed), seed), stats
 
 
 def run_build(staged: DataFrame, rasters: DataFrame, index: DataFrame | None, seed: int = 0,
               limit_per_dataset: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifest, canonical rasters, statistics); the staged hashes are read once.
+    """(manifest, canonical rasters, statistics); rows are hashed and screened once.
 
-    Both the geometry pool and the row plan need the screened rows, so they are
-    cut from lineage with a checkpoint instead of being screened twice.
+    Staged rows feed the screen, the statistics and the geometry pool, and the row
+    plan feeds both the pixel job and the manifest: both are cut from lineage.
+    They hold no bytes, so what is written is small next to the rasters.
     """
     planned, stats = plan_build(checkpointed(staged), index, seed=seed,
                                 limit_per_dataset=limit_per_dataset, **options)
+    planned = checkpointed(planned)
     canonical = jobs.canonicalize(rasters, planned)
     rows = planned.drop("phash", "dhash").join(canonical.select("id", "sha256", "phash"), "id")
     return ingest.manifest_rows(rows, "sha256"), canonical, stats

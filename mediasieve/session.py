@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def in_parallel(spark: SparkSession, tasks, threads: int = 5) -> list:
+    """Run independent driver calls (model fits, checks) side by side, results in order."""
+    with ThreadPool(max(1, min(threads, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when a bounded count shows ``df`` has at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows

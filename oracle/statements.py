@@ -588,6 +588,10 @@ S["g14_evaluation_report"] = sql(
 
 # ── streaming, compared with its batch form ─────────────────────────────────
 S["x1_streaming_triage"] = sql("SELECT image_path, round(pred, 6) AS pred, decision FROM triaged JOIN decisions USING (place)")
+# A window is final once the watermark, ten minutes behind the latest score, has passed its end.
+S["x2_streaming_windowed_counts"] = sql("""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, decision, count(*) AS n
+    FROM (SELECT *, date_trunc('hour', ts) AS w, max(ts) OVER () AS latest FROM triaged) JOIN decisions USING (place)
+    WHERE w + INTERVAL 1 HOUR <= latest - INTERVAL 10 MINUTE GROUP BY w, decision""")
 S["x3_streaming_dedup"] = sql("SELECT DISTINCT dg AS sha256 FROM docs")
 S["x4_streaming_screen"] = S["j3_near_duplicate_screen"]
 
