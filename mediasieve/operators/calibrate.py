@@ -125,25 +125,24 @@ def best_threshold(df: DataFrame, by=(), score: str = "p", label: str = "label")
 def threshold_curve(df: DataFrame, points: int = 101, by=(), score: str = "p", label: str = "label") -> DataFrame:
     """TPR, FPR and balanced accuracy on a fixed grid of thresholds.
 
-    Each score falls in one grid cell; the grid points then read suffix sums
-    over at most ``points`` cells per group.
+    Each score falls in one grid cell, so a group comes down to at most ``points``
+    cells in one pass; the grid points then sum the cells at or above them.
     """
-    from pyspark.sql import Window
-
-    by = metrics._names(by)
-    cells = points - 1
-    fake = (F.col(label) == 1).cast("bigint")
+    by, cells = metrics._names(by), points - 1
+    pos, neg = metrics._counts(df, label)
     binned = df.groupBy(*by, metrics.grid_position(F.col(score), cells).alias("k")).agg(
-        F.sum(fake).alias("pos"), F.sum(1 - fake).alias("neg"))
-    grid = (binned.select(*by).distinct() if by else binned.groupBy().agg(F.lit(1).alias("_one"))).withColumn(
-        "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells).cast("bigint"))))
-    filled = grid.join(binned, [*by, "k"], "left").fillna(0, ["pos", "neg"])
-    whole = Window.partitionBy(*by)
-    above = whole.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tpr = F.sum("pos").over(above) / F.sum("pos").over(whole)
-    fpr = F.sum("neg").over(above) / F.sum("neg").over(whole)
+        F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
+    gathered = metrics._grouped(binned, by).agg(
+        F.collect_list(F.struct("k", "pos", "neg")).alias("_cells"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    grid = gathered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(cells))))
+
+    def at_or_above(side: str):
+        return F.aggregate("_cells", F.lit(0).cast("bigint"),
+                           lambda total, cell: total + F.when(cell["k"] >= F.col("k"), cell[side]).otherwise(0))
+
     at = F.when(F.col("k") == cells, F.lit(1.0)).otherwise(F.col("k").cast("double") * (F.lit(1.0) / F.lit(float(cells))))
-    return (filled.select(*by, at.alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"))
+    return (grid.select(*by, at.alias("threshold"), (at_or_above("pos") / F.col("_pos")).alias("tpr"),
+                        (at_or_above("neg") / F.col("_neg")).alias("fpr"))
             .withColumn("balanced_accuracy", (F.col("tpr") + (1 - F.col("fpr"))) / 2))
 
 

@@ -26,20 +26,29 @@ def _grouped(df: DataFrame, by: list[str]):
     return df.groupBy(*by) if by else df.groupBy()
 
 
+def _counts(df: DataFrame, label: str) -> tuple[Column, Column]:
+    """How many fakes and reals a row stands for: a scored row, or a histogram row."""
+    if {"n_pos", "n_neg"} <= set(df.columns):
+        return F.col("n_pos"), F.col("n_neg")
+    return (F.col(label) == 1).cast("bigint"), (F.col(label) == 0).cast("bigint")
+
+
 # ── histograms and ranking metrics ──────────────────────────────────────────
+#
+# Every metric of (score, label) takes scored rows or a histogram made from them,
+# so a report over many metrics reads the rows once.
 
 def score_histogram(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
-    """Positives and negatives per (group, distinct score)."""
-    is_pos = (F.col(label) == 1).cast("bigint")
-    return df.groupBy(*_names(by), F.col(score).alias("score")).agg(
-        F.sum(is_pos).alias("n_pos"), F.sum(1 - is_pos).alias("n_neg"))
+    """Positives and negatives per (group, distinct score); the score keeps its name."""
+    pos, neg = _counts(df, label)
+    return df.groupBy(*_names(by), score).agg(F.sum(pos).alias("n_pos"), F.sum(neg).alias("n_neg"))
 
 
 def ranked_histogram(df: DataFrame, by=(), score: str = "p", label: str = "label",
                      neighbours: bool = False) -> DataFrame:
     """The histogram with counts below each score, totals and neighbouring scores."""
-    return running_sums(score_histogram(df, by, score, label), _names(by), "score",
-                        ["n_pos", "n_neg"], neighbours)
+    ranked = running_sums(score_histogram(df, by, score, label), _names(by), score, ["n_pos", "n_neg"], neighbours)
+    return ranked.withColumnRenamed(score, "score")
 
 
 def _pair_wins(pos: Column, neg: Column, neg_below: Column) -> Column:
@@ -57,8 +66,9 @@ def auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", rollup:
     """
     by = _names(by)
     if rollup:
-        each, pooled = auroc(df, by, score, label), auroc(df, (), score, label)
-        return each.unionByName(pooled, allowMissingColumns=True)
+        # The pooled row merges the groups' histogram instead of reading the rows again.
+        cells = score_histogram(df, by, score, label)
+        return auroc(cells, by, score).unionByName(auroc(cells, (), score), allowMissingColumns=True)
     pos, neg = F.max("n_pos_total"), F.max("n_neg_total")
     ranked = ranked_histogram(df, by, score, label)
     wins = _pair_wins(F.col("n_pos"), F.col("n_neg"), F.col("n_neg_below"))
@@ -85,9 +95,9 @@ def weighted_auroc(df: DataFrame, by, weights, score: str = "p", label: str = "l
     for name in weights:
         sums += [F.sum(F.when(pos, F.col(name)).otherwise(0)).alias(f"{name}_pos"),
                  F.sum(F.when(pos, 0).otherwise(F.col(name))).alias(f"{name}_neg")]
-    cells = df.groupBy(*by, F.col(score).alias("score")).agg(*sums)
+    cells = df.groupBy(*by, score).agg(*sums)
     names = [f"{name}_{side}" for name in weights for side in ("pos", "neg")]
-    ranked = running_sums(cells, by, "score", names)
+    ranked = running_sums(cells, by, score, names)
     outputs = []
     for name in weights:
         p, n = F.max(f"{name}_pos_total"), F.max(f"{name}_neg_total")
@@ -150,22 +160,21 @@ def bootstrap_ci(df: DataFrame, by=(), score: str = "p", label: str = "label", i
 
 # ── pointwise metrics ───────────────────────────────────────────────────────
 
-def _share(flag: Column, when: Column) -> Column:
-    return F.avg(F.when(when, flag.cast("double")))
-
-
 def threshold_rates(df: DataFrame, threshold, by=(), score: str = "p", label: str = "label") -> DataFrame:
     """TPR, FPR and balanced accuracy of ``score >= threshold``."""
-    by = _names(by)
+    by, (pos, neg) = _names(by), _counts(df, label)
     flagged = F.col(score) >= (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
     rates = _grouped(df, by).agg(
-        F.count(F.lit(1)).alias("n"),
-        _share(flagged, F.col(label) == 1).alias("tpr"), _share(flagged, F.col(label) == 0).alias("fpr"))
+        F.sum(pos + neg).alias("n"),
+        (F.sum(F.when(flagged, pos).otherwise(0)) / F.sum(pos)).alias("tpr"),
+        (F.sum(F.when(flagged, neg).otherwise(0)) / F.sum(neg)).alias("fpr"))
     return rates.withColumn("balanced_accuracy", (F.col("tpr") + 1 - F.col("fpr")) / 2)
 
 
 def brier(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
-    return _grouped(df, _names(by)).agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
+    pos, neg = _counts(df, label)
+    squares = pos * F.pow(F.col(score) - 1, 2) + neg * F.pow(F.col(score), 2)
+    return _grouped(df, _names(by)).agg((F.sum(squares) / F.sum(pos + neg)).alias("brier"))
 
 
 def nll(df: DataFrame, t: float = 1.0, by=(), logit: str = "logit", label: str = "label") -> DataFrame:
@@ -189,10 +198,11 @@ def grid_position(value: Column, cells: int) -> Column:
 
 def reliability(df: DataFrame, by=(), score: str = "p", label: str = "label", bins: int = ECE_BINS) -> DataFrame:
     """Count, mean score and mean label per equal-width bin; the last bin is closed."""
+    pos, neg = _counts(df, label)
     binned = df.withColumn("bin", F.least(grid_position(F.col(score), bins), F.lit(bins - 1)))
     return binned.groupBy(*_names(by), "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"),
-        F.avg(F.col(label).cast("double")).alias("mean_label"))
+        F.sum(pos + neg).alias("n"), (F.sum(F.col(score) * (pos + neg)) / F.sum(pos + neg)).alias("mean_score"),
+        (F.sum(pos) / F.sum(pos + neg)).alias("mean_label"))
 
 
 def ece(df: DataFrame, by=(), score: str = "p", label: str = "label", bins: int = ECE_BINS) -> DataFrame:
@@ -230,14 +240,12 @@ def operating_point_rates(df: DataFrame, points, by=(), score: str = "p", label:
     ``points`` is a list of (name, target_fpr, threshold). The rows are reduced to
     counts for all points in one pass and only then unpivoted.
     """
-    by, points = _names(by), list(points)
-    fake, real = F.col(label) == 1, F.col(label) == 0
+    by, points, (pos, neg) = _names(by), list(points), _counts(df, label)
+    at = [F.col(score) >= F.lit(float(t)) for _, _, t in points]
     counts = _grouped(df, by).agg(
-        F.sum(fake.cast("bigint")).alias("_pos"), F.sum(real.cast("bigint")).alias("_neg"),
-        *[F.sum((fake & (F.col(score) >= F.lit(float(t)))).cast("bigint")).alias(f"_tp{i}")
-          for i, (_, _, t) in enumerate(points)],
-        *[F.sum((real & (F.col(score) >= F.lit(float(t)))).cast("bigint")).alias(f"_fp{i}")
-          for i, (_, _, t) in enumerate(points)])
+        F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"),
+        *[F.sum(F.when(hit, pos).otherwise(0)).alias(f"_tp{i}") for i, hit in enumerate(at)],
+        *[F.sum(F.when(hit, neg).otherwise(0)).alias(f"_fp{i}") for i, hit in enumerate(at)])
     rows = F.explode(F.array(*[
         F.struct(F.lit(name).alias("point"), F.lit(float(target)).alias("target_fpr"),
                  F.lit(float(t)).alias("threshold"),
@@ -257,13 +265,14 @@ def error_counts(df: DataFrame, points, by=(), score: str = "p", label: str = "l
 def view_metrics(df: DataFrame, threshold: float, clean: str = "clean",
                  score: str = "p", label: str = "label") -> DataFrame:
     """Per view: AUROC, drop against clean, mean score per class and shipped-point rates."""
-    ranks = auroc(df, ["view"], score, label)
-    fake, real = F.col(label) == 1, F.col(label) == 0
-    flagged = F.col(score) >= F.lit(float(threshold))
-    rates = df.groupBy("view").agg(
-        F.avg(F.when(fake, F.col(score))).alias("mean_prob_fake"),
-        F.avg(F.when(real, F.col(score))).alias("mean_prob_real"),
-        _share(flagged, fake).alias("tpr"), _share(flagged, real).alias("fpr"))
+    cells = score_histogram(df, ["view"], score, label)
+    ranks = auroc(cells, ["view"], score)
+    pos, neg, flagged = F.col("n_pos"), F.col("n_neg"), F.col(score) >= F.lit(float(threshold))
+    rates = cells.groupBy("view").agg(
+        (F.sum(F.col(score) * pos) / F.sum(pos)).alias("mean_prob_fake"),
+        (F.sum(F.col(score) * neg) / F.sum(neg)).alias("mean_prob_real"),
+        (F.sum(F.when(flagged, pos).otherwise(0)) / F.sum(pos)).alias("tpr"),
+        (F.sum(F.when(flagged, neg).otherwise(0)) / F.sum(neg)).alias("fpr"))
     # One row per view, fifteen in all: the window holds the report, not the rows.
     reference = F.max(F.when(F.col("view") == clean, F.col("auroc"))).over(Window.partitionBy())
     return (ranks.join(rates, "view")
@@ -311,8 +320,9 @@ def axis_slices(df: DataFrame, registry: dict | None = None) -> DataFrame:
     axes = list(registry_module.held_out_axes(registry))
     members = axis_membership(df, registry)
     fakes = members.withColumn("slice", F.explode(F.array("axis", F.lit("held_out_all")))).drop("axis")
-    # A generator on two axes counts once in the union slice.
-    fakes = fakes.dropDuplicates(["slice", "id"]) if _generators_overlap(registry) else fakes
+    # A generator on two axes would count twice in the union slice, so the registry must not have one.
+    if _generators_overlap(registry):
+        raise ValueError("a held-out generator lies on two axes")
     reals = df.where("label = 0").withColumn(
         "slice", F.explode(F.array(*[F.lit(name) for name in [*axes, "held_out_all"]])))
     return fakes.unionByName(reals)

@@ -21,20 +21,30 @@ def _coarse(key: Column) -> Column:
     return F.when(key > 0, cell).when(key < 0, -cell).otherwise(0).cast("bigint")
 
 
-def with_chunks(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
     """Add the order-preserving pair ``_coarse, _fine`` that cuts a group in about 256 chunks.
 
     A coarse cell is split linearly between its own extremes, in as many pieces as
     its share of the group asks for. The cuts come from exact counts and extremes,
     so a row gets the same chunk however often, and in whatever order, the plan
-    is evaluated; a quantile sketch would not promise that.
+    is evaluated; a quantile sketch would not promise that. For every column in
+    ``sums`` the sum over the smaller cells and over the group are added as well,
+    and the extreme keys of the cells next to it as ``_previous`` and ``_next``.
     """
     value = F.col(key).cast("double")
     coarse = rows.withColumn("_coarse", _coarse(value))
     cells = coarse.groupBy(*by, "_coarse").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(*by))
-    plan = cells.select(*by, "_coarse", "_lo", "_hi", F.ceil(CHUNKS * share).alias("_pieces"))
+        F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"),
+        *[F.sum(name).alias(f"_{name}") for name in sums])
+    # A few hundred cells per group, however many rows it has, meet in this window.
+    whole = Window.partitionBy(*by)
+    ordered = whole.orderBy("_coarse")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    plan = cells.select(
+        *by, "_coarse", "_lo", "_hi", F.ceil(CHUNKS * F.col("_n") / F.sum("_n").over(whole)).alias("_pieces"),
+        *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_cell") for name in sums],
+        *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
+        F.lag("_hi").over(ordered).alias("_previous"), F.lead("_lo").over(ordered).alias("_next"))
     place = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
     fine = F.when((F.col("_pieces") == 1) | (F.col("_hi") == F.col("_lo")), F.lit(0).cast("bigint")).otherwise(
         F.least(place, F.col("_pieces") - 1))
@@ -46,38 +56,33 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False)
 
     ``rows`` holds one row per (group, key); group columns must not be NULL.
     Adds ``<column>_below`` and ``<column>_total`` for every column in ``sums``
-    and, on request, ``previous_key`` and ``next_key``.
+    and, on request, ``previous_key`` and ``next_key``. All three reads of ``rows``
+    (cells, chunk totals, ordering) need the same columns, so its shuffle is
+    planned once and reused.
     """
     by, sums = list(by), list(sums)
-    chunked, chunk = with_chunks(rows, by, key), [*by, "_coarse", "_fine"]
+    cell, chunk = [*by, "_coarse"], [*by, "_coarse", "_fine"]
+    chunked = with_chunks(rows, by, key, sums)
     totals = chunked.groupBy(*chunk).agg(
-        *[F.sum(name).alias(f"_{name}") for name in sums],
-        F.min(key).alias("_first"), F.max(key).alias("_last"))
-    # A few hundred chunk rows per group meet in this window.
-    whole = Window.partitionBy(*by)
-    ordered = whole.orderBy("_coarse", "_fine")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        *[F.sum(name).alias(f"_{name}") for name in sums], F.min(key).alias("_first"), F.max(key).alias("_last"))
+    in_cell = Window.partitionBy(*cell).orderBy("_fine")
+    cell_before = in_cell.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *chunk,
-        *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_before") for name in sums],
-        *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
-        F.lag("_last").over(ordered).alias("_previous"), F.lead("_first").over(ordered).alias("_next"))
+        *[F.coalesce(F.sum(f"_{name}").over(cell_before), F.lit(0)).alias(f"_{name}_chunk") for name in sums],
+        F.lag("_last").over(in_cell).alias("_chunk_previous"), F.lead("_first").over(in_cell).alias("_chunk_next"))
     local = Window.partitionBy(*chunk).orderBy(key)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
     inside = chunked.select(
         "*",
         *[F.coalesce(F.sum(name).over(local_before), F.lit(0)).alias(f"_{name}_inside") for name in sums],
         *([F.lag(key).over(local).alias("_lag"), F.lead(key).over(local).alias("_lead")] if neighbours else []))
-    joined = inside.join(offsets, chunk)
-    for name in sums:
-        joined = joined.withColumn(f"{name}_below", F.col(f"_{name}_before") + F.col(f"_{name}_inside"))
+    below = [(F.col(f"_{name}_cell") + F.col(f"_{name}_chunk") + F.col(f"_{name}_inside")).alias(f"{name}_below") for name in sums]
     extra = []
     if neighbours:
-        extra = [F.coalesce("_lag", "_previous").alias("previous_key"),
-                 F.coalesce("_lead", "_next").alias("next_key")]
-    return joined.select(*rows.columns,
-                         *[F.col(f"{name}_below") for name in sums],
-                         *[F.col(f"{name}_total") for name in sums], *extra)
+        extra = [F.coalesce("_lag", "_chunk_previous", "_previous").alias("previous_key"),
+                 F.coalesce("_lead", "_chunk_next", "_next").alias("next_key")]
+    return inside.join(offsets, chunk).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 
 def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to: int | None = None,

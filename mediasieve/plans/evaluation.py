@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import metrics
+from ..session import checkpointed
 
 LOWRES_SLICE = ("CIFAKE/", "thumbnail_regime_cifake")
 AXIS_NOTE = "AUROC against all reals of the split; the axis itself holds fakes only"
@@ -28,20 +29,26 @@ def evaluate(scored_views: DataFrame, temperature: float, threshold: float, poin
              registry: dict | None = None) -> DataFrame:
     """Every block of the report over (id, view, label, logit, generator, source, content) rows.
 
-    Thresholds are applied as given and never refitted. Rates come from one pass
-    per block; ranking metrics from one histogram per block.
+    Thresholds are applied as given and never refitted. The rows are reduced once to
+    a histogram per view, and the clean ones to a histogram per attribute; every
+    metric reads those.
     """
     if temperature == 1.0 and threshold == 0.5:
         raise ValueError("uncalibrated scores: temperature 1 and threshold 0.5 are placeholders")
     rows = scored_views.withColumn("p", scoring.calibrated(F.col("logit"), temperature))
-    clean = rows.where("view = 'clean'")
-    cells = metrics.view_metrics(rows, threshold)
-    op = metrics.operating_point_rates(rows, points, ["view"]).withColumn(
+    per_view = checkpointed(metrics.score_histogram(rows, ["view"]))
+    clean_rows = rows.where("view = 'clean'")
+    clean = per_view.where("view = 'clean'")
+    attributes = checkpointed(metrics.score_histogram(clean_rows, ["generator", "source", "content", "label"]))
+    cells = metrics.view_metrics(per_view, threshold)
+    op = metrics.operating_point_rates(per_view, points, ["view"]).withColumn(
         "slice", F.concat_ws("/", "view", "point"))
-    tagged = metrics.axis_slices(clean, registry).select("id", "slice", "label", "p").unionByName(
-        metrics.named_slice(clean, *LOWRES_SLICE).select("id", "slice", "label", "p"))
-    slices = metrics.slice_report(tagged, ["slice"], replicates)
-    by_content = metrics.auroc(clean, ["content"])
+    tagged = metrics.axis_slices(attributes, registry).unionByName(metrics.named_slice(attributes, *LOWRES_SLICE))
+    slices = metrics.slice_report(tagged, ["slice"], replicates=0)
+    if replicates:
+        by_id = metrics.axis_slices(clean_rows, registry).unionByName(metrics.named_slice(clean_rows, *LOWRES_SLICE))
+        slices = slices.join(metrics.bootstrap_ci(by_id, ["slice"], n=replicates), "slice", "left")
+    by_content = metrics.auroc(attributes, ["content"])
     interval = ["ci_low", "ci_high"] if replicates else []
     single = F.when(F.col("auroc").isNull(), SINGLE_CLASS)
     named = F.when(F.col("auroc").isNull(), SINGLE_CLASS).when(F.col("slice") != LOWRES_SLICE[1], AXIS_NOTE)
@@ -60,7 +67,7 @@ def evaluate(scored_views: DataFrame, temperature: float, threshold: float, poin
         _section(by_content, "content", "content", ["n_pos", "n_neg", "auroc"], single),
     ]
     if replicates:
-        blocks.append(_section(metrics.bootstrap_ci(clean, n=replicates), "clean", "=clean", ["ci_low", "ci_high"]))
+        blocks.append(_section(metrics.bootstrap_ci(clean_rows, n=replicates), "clean", "=clean", ["ci_low", "ci_high"]))
     return reduce(DataFrame.unionByName, blocks)
 
 
