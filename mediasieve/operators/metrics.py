@@ -51,12 +51,18 @@ def ranked_histogram(df: DataFrame, by=(), score: str = "p", label: str = "label
     return ranked.withColumnRenamed(score, "score")
 
 
-def _pair_wins(pos: Column, neg: Column, neg_below: Column) -> Column:
-    return F.sum(pos.cast("double") * (neg_below.cast("double") + neg.cast("double") / 2))
+def _auroc_of(name_pos: str, name_neg: str) -> Column:
+    """AUROC from running sums, as one half plus half of Somers' D; NULL for a single class.
 
-
-def _undefined_if_single_class(value: Column, pos: Column, neg: Column) -> Column:
-    return F.when((pos > 0) & (neg > 0), value)
+    D is (pairs won - pairs lost) / all pairs, so ties need no term of their own. Both
+    running sums enter, so every branch of the plan reads the same columns and the
+    histogram is computed once.
+    """
+    column = lambda name: F.col(name).cast("double")
+    won = column(name_pos) * column(f"{name_neg}_below")
+    lost = column(name_neg) * column(f"{name_pos}_below")
+    pos, neg = F.max(f"{name_pos}_total").cast("double"), F.max(f"{name_neg}_total").cast("double")
+    return F.when((pos > 0) & (neg > 0), 0.5 + F.sum(won - lost) / (2 * pos * neg))
 
 
 def auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", rollup: bool = False) -> DataFrame:
@@ -69,12 +75,9 @@ def auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", rollup:
         # The pooled row merges the groups' histogram instead of reading the rows again.
         cells = score_histogram(df, by, score, label)
         return auroc(cells, by, score).unionByName(auroc(cells, (), score), allowMissingColumns=True)
-    pos, neg = F.max("n_pos_total"), F.max("n_neg_total")
-    ranked = ranked_histogram(df, by, score, label)
-    wins = _pair_wins(F.col("n_pos"), F.col("n_neg"), F.col("n_neg_below"))
-    return _grouped(ranked, by).agg(
-        pos.alias("n_pos"), neg.alias("n_neg"),
-        _undefined_if_single_class(wins / (pos.cast("double") * neg), pos, neg).alias("auroc"))
+    return _grouped(ranked_histogram(df, by, score, label), by).agg(
+        F.max("n_pos_total").alias("n_pos"), F.max("n_neg_total").alias("n_neg"),
+        _auroc_of("n_pos", "n_neg").alias("auroc"))
 
 
 def average_precision(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
@@ -98,12 +101,7 @@ def weighted_auroc(df: DataFrame, by, weights, score: str = "p", label: str = "l
     cells = df.groupBy(*by, score).agg(*sums)
     names = [f"{name}_{side}" for name in weights for side in ("pos", "neg")]
     ranked = running_sums(cells, by, score, names)
-    outputs = []
-    for name in weights:
-        p, n = F.max(f"{name}_pos_total"), F.max(f"{name}_neg_total")
-        wins = _pair_wins(F.col(f"{name}_pos"), F.col(f"{name}_neg"), F.col(f"{name}_neg_below"))
-        outputs.append(_undefined_if_single_class(wins / (p.cast("double") * n), p, n).alias(name))
-    return _grouped(ranked, by).agg(*outputs)
+    return _grouped(ranked, by).agg(*[_auroc_of(f"{name}_pos", f"{name}_neg").alias(name) for name in weights])
 
 
 # ── bootstrap ───────────────────────────────────────────────────────────────

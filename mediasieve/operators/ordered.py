@@ -16,9 +16,15 @@ STEPS_PER_OCTAVE = 8                  # coarse cells per doubling of the key
 
 
 def _coarse(key: Column) -> Column:
-    """A monotone whole number: the logarithmic cell of a double, zero in the middle."""
-    cell = F.floor(STEPS_PER_OCTAVE * F.log2(F.abs(key))) + STEPS_PER_OCTAVE * 1100
-    return F.when(key > 0, cell).when(key < 0, -cell).otherwise(0).cast("bigint")
+    """A monotone whole number: the logarithmic cell of a double, zero in the middle.
+
+    A NULL key lies below all others. The cell itself is never NULL, so a join on
+    it adds no null filter that would evaluate the key again under the histogram.
+    """
+    top = STEPS_PER_OCTAVE * 1100
+    cell = F.floor(STEPS_PER_OCTAVE * F.log2(F.abs(key))) + top
+    signed = F.when(key > 0, cell).when(key < 0, -cell).when(key == 0, 0)
+    return F.coalesce(signed.cast("bigint"), F.lit(-3 * top).cast("bigint"))
 
 
 def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
@@ -46,8 +52,8 @@ def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
         *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
         F.lag("_hi").over(ordered).alias("_previous"), F.lead("_lo").over(ordered).alias("_next"))
     place = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
-    fine = F.when((F.col("_pieces") == 1) | (F.col("_hi") == F.col("_lo")), F.lit(0).cast("bigint")).otherwise(
-        F.least(place, F.col("_pieces") - 1))
+    fine = F.coalesce(F.when((F.col("_pieces") > 1) & (F.col("_hi") > F.col("_lo")),
+                             F.least(place, F.col("_pieces") - 1)), F.lit(0).cast("bigint"))
     return coarse.join(plan, [*by, "_coarse"]).withColumn("_fine", fine).drop("_lo", "_hi", "_pieces")
 
 
