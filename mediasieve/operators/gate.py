@@ -26,16 +26,14 @@ BUNDLE_COLUMNS = ("id", "label", "view", "logit", "branch", "split")
 def bundle_report(bundle: DataFrame) -> DataFrame:
     """One row describing a bundle: sizes, views per id, duplicates and its split stamps."""
     per_id = bundle.groupBy("id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("view").alias("views"))
-    shape = per_id.groupBy().agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("view").alias("views"),
+        F.collect_set("split").alias("stamps"), F.count_if(F.col("split").isNull()).alias("unstamped"))
+    return per_id.groupBy().agg(
         F.count(F.lit(1)).alias("images"), F.sum("rows").alias("rows"),
         F.min("views").alias("min_views"), F.max("views").alias("max_views"),
-        F.count_if(F.col("rows") > F.col("views")).alias("duplicate_ids"))
-    stamps = bundle.groupBy().agg(
-        F.array_sort(F.collect_set("split")).alias("splits"), F.count_if(F.col("split").isNull()).alias("unstamped"))
-    # Two one-row reports of the same bundle side by side.
-    return shape.withColumn("splits", stamps.select("splits").scalar()).withColumn(
-        "unstamped", stamps.select("unstamped").scalar())
+        F.count_if(F.col("rows") > F.col("views")).alias("duplicate_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("stamps")))).alias("splits"),
+        F.sum("unstamped").alias("unstamped"))
 
 
 def check_bundle(bundle: DataFrame, require_split: str | None = None) -> DataFrame:

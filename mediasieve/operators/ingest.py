@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, naming
+from ..session import checkpointed
 from .ordered import first_rows
 from .screen import near_duplicate_verdict
 
@@ -86,7 +87,8 @@ def screen(staged: DataFrame, index: DataFrame | None, limit_per_dataset: int =
     seen = screened_reasons(staged, index)
     accepted = F.col("reason").isin("accepted", "review")
     if limit_per_dataset > 0:
-        seen = first_rows(seen, ["dataset"], F.col("file"), [F.col("row"), F.col(id_col)],
+        # Ranked rows are read twice; they hold hashes and attributes, no bytes.
+        seen = first_rows(checkpointed(seen), ["dataset"], F.col("file"), [F.col("row"), F.col(id_col)],
                           limit_per_dataset, counted=accepted)
     return seen.where(accepted), build_statistics(seen)
 

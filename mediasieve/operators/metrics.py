@@ -213,9 +213,11 @@ def ece(df: DataFrame, by=(), score: str = "p", label: str = "label", bins: int
 
 def view_consistency(views: DataFrame, clean: str = "clean", id_col: str = "id") -> DataFrame:
     """Mean drift of every view's prediction from the clean one, and loss columns."""
-    reference = views.where(F.col("view") == clean).select(id_col, F.col("logit").alias("_clean"))
+    # The fifteen views of an image meet in one small window: a single shuffle by id.
+    of_image = Window.partitionBy(id_col)
+    clean_logit = F.max(F.when(F.col("view") == clean, F.col("logit"))).over(of_image)
     label = F.col("label")
-    return views.join(reference, id_col).groupBy("view").agg(
+    return views.select(id_col, "view", "label", "logit", clean_logit.alias("_clean")).groupBy("view").agg(
         F.avg(scoring.bernoulli_kl(F.col("logit"), F.col("_clean"))).alias("mean_kl"),
         F.avg(scoring.focal_loss(F.col("logit"), label)).alias("focal"),
         F.avg(scoring.bce_smoothed(F.col("logit"), label)).alias("bce_smoothed"))

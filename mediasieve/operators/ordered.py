@@ -96,32 +96,25 @@ def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to:
     """The first ``k`` rows of every group in (bucket, order), exactly.
 
     ``bucket`` is a coarse order (file name, leading hash bits) whose rows are
-    bounded in number. Bucket counts decide which buckets are wholly inside or
-    outside; only rows of the one bucket that crosses ``k`` are ranked.
+    bounded in number. Bucket counts drop the buckets that lie wholly behind the
+    k-th row before anything is shuffled; the rest is ranked bucket by bucket.
     ``keep_all_up_to`` keeps everything when the whole frame is that small.
     With ``counted`` only rows it holds for count towards ``k``: a row stays
-    while fewer than ``k`` counted rows come before it.
+    while fewer than ``k`` counted rows come before it. ``df`` is read twice.
     """
     by = list(by)
     one = F.lit(1) if counted is None else F.coalesce(counted.cast("int"), F.lit(0))
     marked = df.withColumn("_bucket", bucket).withColumn("_one", one)
     counts = marked.groupBy(*by, "_bucket").agg(F.sum("_one").alias("_n"))
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = counts.select(*by, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # A bucket that ends exactly at k may hold uncounted rows past the k-th one.
-    inside = F.col("_before") + F.col("_n") <= (k if counted is None else k - 1)
-    if keep_all_up_to is not None:
-        plan = plan.withColumn("_all", df.agg(F.count(F.lit(1))).scalar())
-        inside = inside | (F.col("_all") <= keep_all_up_to)
-    plan = plan.where(inside | (F.col("_before") < k)).withColumn("_inside", inside)
-    keyed = marked.join(plan, [*by, "_bucket"])
-    kept = keyed.where(F.col("_inside")).select(*df.columns)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    plan = counts.select(
+        *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    everything = F.lit(False) if keep_all_up_to is None else F.col("_all") <= keep_all_up_to
+    keyed = marked.join(plan.where(everything | (F.col("_before") < k)), [*by, "_bucket"])
     local = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    crossing = (keyed.where(~F.col("_inside"))
-                .withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("_one").over(local), F.lit(0)))
-                .where(F.col("_ahead") < k).select(*df.columns))
-    return kept.unionByName(crossing)
+    ahead = F.col("_before") + F.coalesce(F.sum("_one").over(local), F.lit(0))
+    return keyed.withColumn("_ahead", ahead).where(everything | (F.col("_ahead") < k)).select(*df.columns)
 
 
 def dense_index(df: DataFrame, by, bucket: Column, order, name: str = "idx") -> DataFrame:

@@ -49,6 +49,8 @@ def wrong_hashes(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
 def check_sample(manifest: DataFrame, blobs: DataFrame, n: int = 256, seed: int = 0) -> DataFrame:
     """Missing and mismatched rows of a seeded sample: (path, problem)."""
     subset = manifest if n <= 0 else seeded_sample(manifest, n, seed, "path")
-    absent = missing_blobs(subset, blobs).select("path", F.lit("missing").alias("problem"))
-    wrong = wrong_hashes(subset, blobs).select("path", F.lit("hash mismatch").alias("problem"))
-    return absent.unionByName(wrong)
+    digests = blobs.select("path", hashing.sha(F.col("content")).alias("actual"))
+    problem = (F.when(F.col("actual").isNull(), "missing")
+               .when((F.col("sha256") != "") & (F.col("actual") != F.col("sha256")), "hash mismatch"))
+    return (subset.select("path", "sha256").join(digests, "path", "left")
+            .select("path", problem.alias("problem")).where("problem IS NOT NULL"))

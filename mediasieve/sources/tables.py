@@ -156,9 +156,14 @@ def materialize_shards(manifest: DataFrame, shards: DataFrame, dest: str, unpack
 
 
 def write_blobs(canonical: DataFrame, path: str) -> None:
-    """Canonical bytes once per path, as a table clustered by the hash prefix."""
-    rows = canonical.select("sha256", "path", "content", F.substring("sha256", 1, 2).alias("prefix"))
-    rows.dropDuplicates(["path"]).write.mode("overwrite").partitionBy("prefix").parquet(path)
+    """Canonical bytes once per path, as one Parquet table keyed by hash.
+
+    Bytes cross one shuffle, for the write-once rule. Bloom filters on the hash and
+    the path serve look-ups, so no folder per prefix and no second shuffle is needed.
+    """
+    rows = canonical.select("sha256", "path", "content").dropDuplicates(["path"])
+    (rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#sha256", "true")
+     .option("parquet.bloom.filter.enabled#path", "true").parquet(path))
 
 
 # ── image folders, predictions, indexes ─────────────────────────────────────
