@@ -62,24 +62,28 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False)
 
     ``rows`` holds one row per (group, key); group columns must not be NULL.
     Adds ``<column>_below`` and ``<column>_total`` for every column in ``sums``
-    and, on request, ``previous_key`` and ``next_key``. All three reads of ``rows``
-    (cells, chunk totals, ordering) need the same columns, so its shuffle is
-    planned once and reused.
+    and, on request, ``previous_key`` and ``next_key``. ``rows`` is read for the
+    cells, the chunk totals and the ordering. Cell sums give the group totals to
+    the chunk totals and the smaller cells to the ordering, so all reads need the
+    same columns and Spark plans the shuffle of ``rows`` once.
     """
     by, sums = list(by), list(sums)
     cell, chunk = [*by, "_coarse"], [*by, "_coarse", "_fine"]
     chunked = with_chunks(rows, by, key, sums)
     totals = chunked.groupBy(*chunk).agg(
-        *[F.sum(name).alias(f"_{name}") for name in sums], F.min(key).alias("_first"), F.max(key).alias("_last"))
+        *[F.sum(name).alias(f"_{name}") for name in sums],
+        *[F.max(f"{name}_total").alias(f"{name}_total") for name in sums],
+        F.min(key).alias("_first"), F.max(key).alias("_last"))
     in_cell = Window.partitionBy(*cell).orderBy("_fine")
     cell_before = in_cell.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *chunk,
         *[F.coalesce(F.sum(f"_{name}").over(cell_before), F.lit(0)).alias(f"_{name}_chunk") for name in sums],
+        *[F.col(f"{name}_total") for name in sums],
         F.lag("_last").over(in_cell).alias("_chunk_previous"), F.lead("_first").over(in_cell).alias("_chunk_next"))
     local = Window.partitionBy(*chunk).orderBy(key)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
-    inside = chunked.select(
+    inside = chunked.drop(*[f"{name}_total" for name in sums]).select(
         "*",
         *[F.coalesce(F.sum(name).over(local_before), F.lit(0)).alias(f"_{name}_inside") for name in sums],
         *([F.lag(key).over(local).alias("_lag"), F.lead(key).over(local).alias("_lead")] if neighbours else []))
