@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -214,11 +212,3 @@ def check_contract(record: DataFrame, weights: str | None = None, tta: bool = Tr
     return checks.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in names])).alias("_r")
     ).select("_r.*")
-
-
-def policy_points(record_path: str) -> list[tuple[str, float, float]]:
-    """(name, target, threshold) of the 1% and 5% points of a record file."""
-    with open(record_path, encoding="utf8") as handle:
-        points = json.load(handle)["operating_points"]
-    return [(name, float(name.removeprefix("fpr_")), float(points[name]["threshold"]))
-            for name in ("fpr_0.01", "fpr_0.05")]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..functions import hashing, naming, scoring
+from ..functions import hashing, naming, scoring, sql
 from ..operators import (calibrate, gate, geometry, ingest, jobs, metrics, ordered, probe, report, screen, split,
                          triage, validate, views)
 from ..session import scratch_folder
@@ -683,7 +683,8 @@ def _(spark, sf):
 @query("w6_shard_row_order")
 def _(spark, sf):
     rows = b.table(spark, sf, "documents").select("source", "doc_id")
-    return ordered.dense_index(rows, ["source"], F.lit(0), ["doc_id"], "row")
+    # Blocks of ids keep the order and bound what one task ranks, however large a source is.
+    return ordered.dense_index(rows, ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"], "row")
 
 
 @query("l1_sorted_predictions")
@@ -764,6 +765,14 @@ def _(spark, sf):
         "doc_id", F.col("k.band").cast("bigint").alias("band"), F.col("k.value").alias("value"))
 
 
+@query("f3_band_keys_in_sql")
+def _(spark, sf):
+    sql.register(spark)
+    b.uploads(spark, sf).select("doc_id", "phash", "dhash").createOrReplaceTempView("hashed_uploads")
+    return spark.sql("""SELECT u.doc_id, CAST(k.band AS BIGINT) AS band, k.value, CAST(hamming_distance(u.phash, u.dhash) AS BIGINT) AS distance
+                        FROM hashed_uploads u, LATERAL band_key_rows(u.phash) k""")
+
+
 @query("f4_phash_of_pixels")
 def _(spark, sf):
     return b.hashed_vectors(b.table(spark, sf, "embeddings")).select("id", hashing.to_unsigned(F.col("phash")).alias("phash"))

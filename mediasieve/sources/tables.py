@@ -72,29 +72,28 @@ def merge_manifests(spark: SparkSession, patterns, exclude: str | None = None) -
 
 # ── image shards ────────────────────────────────────────────────────────────
 
-def resolve_image_cell(df: DataFrame, root: str, image_col: str = "image") -> DataFrame:
-    """Add ``content``: the cell's bytes, or the bytes of the file its path names.
+def resolve_image_cell(df: DataFrame, root: str, image_col: str = "image", by_path: bool = False) -> DataFrame:
+    """Add ``content``: the cell's bytes, or with ``by_path`` the bytes of the file it names.
 
-    Files are read and joined only when some cell has no bytes; a relative path
-    counts from the shard folder ``root``.
+    A relative path counts from the shard folder ``root``. Without ``by_path`` a cell
+    that has no bytes fails the run, and nothing is read twice. With it only the rows
+    without bytes join the files, so inline images are never shuffled.
     """
     if dict(df.dtypes)[image_col] == "binary":
         return df.withColumn("content", F.col(image_col))
-    inline = F.col(f"{image_col}.bytes")
-    by_path = df.where(inline.isNull())
-    if not by_path.take(1):
-        return df.withColumn("content", inline)
-    named = F.col(f"{image_col}.path")
+    inline, named = F.col(f"{image_col}.bytes"), F.col(f"{image_col}.path")
+    lacking = lambda text, what: F.raise_error(F.concat(F.lit(text), F.coalesce(what, F.lit("NULL")))).cast("binary")
+    if not by_path:
+        return df.withColumn("content", F.coalesce(inline, lacking("image cell without bytes, path ", named)))
     full = F.when(named.startswith("/"), named).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), named))
     files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
         F.regexp_replace("path", "^file:(//)?", "").alias("_file"), F.col("content").alias("_bytes"))
-    # Only rows without bytes take part in the join, so inline images are not shuffled.
-    resolved = by_path.withColumn("_file", full).join(files, "_file", "left").drop("_file").withColumn(
-        "content", F.coalesce("_bytes", F.raise_error(F.concat(F.lit("missing image file "), full)).cast("binary"))).drop("_bytes")
+    resolved = df.where(inline.isNull()).withColumn("_file", full).join(files, "_file", "left").withColumn(
+        "content", F.coalesce("_bytes", lacking("missing image file ", F.col("_file")))).drop("_bytes", "_file")
     return df.where(inline.isNotNull()).withColumn("content", inline).unionByName(resolved)
 
 
-def read_image_shards(spark: SparkSession, root: str, registry: dict, dataset: str) -> DataFrame:
+def read_image_shards(spark: SparkSession, root: str, registry: dict, dataset: str, by_path: bool = False) -> DataFrame:
     """Upstream shards of one dataset as raw rows, only the registry's columns read.
 
     The row index comes from the file itself, so ids do not depend on batching.
@@ -111,7 +110,7 @@ def read_image_shards(spark: SparkSession, root: str, registry: dict, dataset: s
     raw_id = F.concat("file", F.lit(":"), F.col("row").cast("string"))
     if "img_id" in columns:
         raw_id = F.coalesce(F.col("img_id").cast("string"), raw_id)
-    resolved = resolve_image_cell(rows, folder)
+    resolved = resolve_image_cell(rows, folder, by_path=by_path)
     return resolved.select(
         F.lit(dataset).alias("dataset"), F.lit("").alias("archive"), F.lit("").alias("member"),
         F.col("label").cast("int").alias("upstream_label"), naming.upstream_split(F.col("file")).alias("upstream_split"),
@@ -147,9 +146,10 @@ def materialize_shards(manifest: DataFrame, shards: DataFrame, dest: str, unpack
     pending = ingest.pending_shards(manifest, unpacked)
     todo = shards.join(pending.select("shard"), "shard", "left_semi")
     if verify:
-        bad = ingest.corrupt_rows(todo).take(1)
-        if bad:
-            raise ValueError(f"shard {bad[0]['shard']} row {bad[0]['row']} does not match its sha256")
+        # Checked while writing, in the same pass; a bad row fails the job before it commits.
+        where = F.concat("shard", F.lit(" row "), F.col("row").cast("string"), F.lit(" does not match its sha256"))
+        todo = todo.withColumn("image", F.when(hashing.sha(F.col("image")) == F.col("sha256"), F.col("image"))
+                               .otherwise(F.raise_error(where).cast("binary")))
     # Only the partitions written are replaced, so a stopped run resumes.
     (todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(dest))
     return pending

@@ -527,6 +527,7 @@ S["u5_half_split"] = sql(f"SELECT CASE WHEN {hexn(chr(115) + 'ha256(' + quoted('
 S["f1_sha256"] = sql("SELECT doc_id, dg AS sha256 FROM docs")
 S["f2_hamming"] = sql("SELECT doc_id, bit_count(xor(pu, du))::BIGINT AS distance FROM uploads")
 S["f3_band_keys"] = sql(" UNION ALL ".join(f"SELECT doc_id, {i}::BIGINT AS band, ((pu >> {lo}) & {2 ** (hi - lo) - 1})::BIGINT AS value FROM uploads" for i, (lo, hi) in enumerate(BANDS)))
+S["f3_band_keys_in_sql"] = sql(" UNION ALL ".join(f"SELECT doc_id, {i}::BIGINT AS band, ((pu >> {lo}) & {2 ** (hi - lo) - 1})::BIGINT AS value, bit_count(xor(pu, du))::BIGINT AS distance FROM uploads" for i, (lo, hi) in enumerate(BANDS)))
 S["f4_phash_of_pixels"] = sql("SELECT id, pu::VARCHAR AS phash FROM vh")
 S["f5_dhash_of_pixels"] = sql("SELECT id, du::VARCHAR AS dhash FROM vh")
 S["f6_hash_text_forms"] = sql("SELECT doc_id, pu::VARCHAR AS phash_text, TRUE AS round_trip, TRUE AS from_bits FROM uploads")

@@ -282,13 +282,26 @@ def test_image_cells_may_name_a_file(spark, tmp_path):
     (tmp_path / "one.jpg").write_bytes(b"file bytes")
     cells = spark.createDataFrame([(1, (bytearray(b"inline"), None)), (2, (None, "one.jpg")), (3, (None, str(tmp_path / "one.jpg")))],
                                   "k int, image struct<bytes: binary, path: string>")
-    got = {r["k"]: bytes(r["content"]) for r in tables.resolve_image_cell(cells, str(tmp_path)).collect()}
+    got = {r["k"]: bytes(r["content"]) for r in tables.resolve_image_cell(cells, str(tmp_path), by_path=True).collect()}
     assert got == {1: b"inline", 2: b"file bytes", 3: b"file bytes"}
     missing = spark.createDataFrame([(1, (None, "gone.jpg"))], "k int, image struct<bytes: binary, path: string>")
     with pytest.raises(PySparkException, match="missing image file"):
+        tables.resolve_image_cell(missing, str(tmp_path), by_path=True).collect()
+    with pytest.raises(PySparkException, match="without bytes"):
         tables.resolve_image_cell(missing, str(tmp_path)).collect()
 
 
+def test_sql_functions_equal_the_column_forms(spark):
+    from mediasieve.functions import hashing, naming, scoring, sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(-5, 77, "a b//", 0.3), (2**62, -1, "", -4.0)], "a long, b long, t string, z double")
+    got = df.selectExpr("hamming_distance(a, b)", "path_token(t)", "unsigned_hash(a)", "calibrated_score(z, 0.8D)").collect()
+    want = df.select(hashing.hamming(F.col("a"), F.col("b")), naming.safe_part(F.col("t")), hashing.to_unsigned(F.col("a")),
+                     scoring.calibrated(F.col("z"), 0.8)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
 def test_zip_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
         for name in ("keep/1.jpg", "keep/sub/2.jpg", "other/3.jpg", "__MACOSX/keep/4.jpg", "keep/dir/"):
@@ -326,7 +339,7 @@ def test_materialize_checks_hashes_and_resumes(spark, sf, tmp_path):
     shards = catalog._packed_rows(spark, sf)
     wanted = shards.select("shard", "row")
     bad = shards.withColumn("sha256", F.when(F.col("row") == 3, "0").otherwise(F.col("sha256")))
-    with pytest.raises(ValueError, match="does not match"):
+    with pytest.raises(PySparkException, match="does not match"):
         tables.materialize_shards(wanted, bad, str(tmp_path / "x"))
     one = shards.select("shard").first()["shard"]
     partial = shards.where(F.col("shard") == one)
