@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring
 from . import metrics
+from .ordered import join_groups
 
 # Acceptance limits and record version.
 SCHEMA_VERSION = 1
@@ -106,7 +107,7 @@ def best_threshold(df: DataFrame, by=(), score: str = "p", label: str = "label")
     best = metrics._grouped(rows, by).agg(
         F.max("ba").alias("balanced_accuracy"),
         F.min_by("t", F.struct(-F.col("ba"), F.col("t"))).alias("argmax_threshold"))
-    at_best = (rows.join(best, by) if by else
+    at_best = (join_groups(rows, best, by) if by else
                rows.withColumn("balanced_accuracy", best.select("balanced_accuracy").scalar())
                .withColumn("argmax_threshold", best.select("argmax_threshold").scalar()))
     at_best = at_best.where(F.col("ba") >= F.col("balanced_accuracy") - PLATEAU_TOLERANCE)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import registry as registry_module
 from ..functions import hashing, scoring
-from .ordered import running_sums
+from .ordered import join_groups, running_sums
 
 ECE_BINS = 15
 REPLICATES_PER_DIGEST = 8
@@ -298,7 +298,7 @@ def slice_report(df: DataFrame, by, replicates: int = 1000, score: str = "p", la
     by = _names(by)
     rows = auroc(df, by, score, label)
     if replicates:
-        rows = rows.join(bootstrap_ci(df, by, score, label, id_col, replicates, seed=seed), by, "left")
+        rows = join_groups(rows, bootstrap_ci(df, by, score, label, id_col, replicates, seed=seed), by, how="left")
     note = F.when(F.col("auroc").isNull(), F.lit("single-class slice; AUROC undefined"))
     return (rows.withColumnRenamed("n_pos", "n_fake").withColumnRenamed("n_neg", "n_real")
             .withColumn("n", F.col("n_fake") + F.col("n_real")).withColumn("note", note))

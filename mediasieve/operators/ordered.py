@@ -8,6 +8,9 @@ group) meet in one window, and each chunk is then ordered on its own.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,21 @@ def _coarse(key: Column) -> Column:
     return F.coalesce(signed.cast("bigint"), F.lit(-3 * top).cast("bigint"))
 
 
+def join_groups(left: DataFrame, right: DataFrame, by, on=(), how: str = "inner") -> DataFrame:
+    """Equi join on group columns, where a NULL group matches itself, and on other keys.
+
+    Null-safe equality is used only for group columns that can be NULL, so that other
+    groups keep the partitioning of a plain key.
+    """
+    keys = [*by, *on]
+    can_be_null = {field.name for field in left.schema if field.nullable} & set(by)
+    if not can_be_null:
+        return left.join(right, keys, how)
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) if c in can_be_null else F.col(c) == F.col(f"_right_{c}") for c in keys]
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"_right_{c}" for c in keys])
+
+
 def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
     """Add the order-preserving pair ``_coarse, _fine`` that cuts a group in about 256 chunks.
 
@@ -54,13 +72,13 @@ def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
     place = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
     fine = F.coalesce(F.when((F.col("_pieces") > 1) & (F.col("_hi") > F.col("_lo")),
                              F.least(place, F.col("_pieces") - 1)), F.lit(0).cast("bigint"))
-    return coarse.join(plan, [*by, "_coarse"]).withColumn("_fine", fine).drop("_lo", "_hi", "_pieces")
+    return join_groups(coarse, plan, by, ["_coarse"]).withColumn("_fine", fine).drop("_lo", "_hi", "_pieces")
 
 
 def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False) -> DataFrame:
     """Sums over all smaller keys of the group, and the group totals.
 
-    ``rows`` holds one row per (group, key); group columns must not be NULL.
+    ``rows`` holds one row per (group, key); a NULL group is a group.
     Adds ``<column>_below`` and ``<column>_total`` for every column in ``sums``
     and, on request, ``previous_key`` and ``next_key``. ``rows`` is read for the
     cells, the chunk totals and the ordering. Cell sums give the group totals to
@@ -92,7 +110,7 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False)
     if neighbours:
         extra = [F.coalesce("_lag", "_chunk_previous", "_previous").alias("previous_key"),
                  F.coalesce("_lead", "_chunk_next", "_next").alias("next_key")]
-    return inside.join(offsets, chunk).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
+    return join_groups(inside, offsets, by, ["_coarse", "_fine"]).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 
 def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to: int | None = None,
@@ -115,7 +133,7 @@ def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to:
         *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy()).alias("_all"))
     everything = F.lit(False) if keep_all_up_to is None else F.col("_all") <= keep_all_up_to
-    keyed = marked.join(plan.where(everything | (F.col("_before") < k)), [*by, "_bucket"])
+    keyed = join_groups(marked, plan.where(everything | (F.col("_before") < k)), by, ["_bucket"])
     local = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_before") + F.coalesce(F.sum("_one").over(local), F.lit(0))
     return keyed.withColumn("_ahead", ahead).where(everything | (F.col("_ahead") < k)).select(*df.columns)
@@ -129,6 +147,6 @@ def dense_index(df: DataFrame, by, bucket: Column, order, name: str = "idx") ->
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    return (marked.withColumn("_rank", rank).join(offsets, [*by, "_bucket"])
+    return (join_groups(marked.withColumn("_rank", rank), offsets, by, ["_bucket"])
             .withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("bigint"))
             .select(*df.columns, name))

@@ -11,6 +11,7 @@ from ..functions import scoring
 from ..operators import metrics
 from ..session import checkpointed
 
+# The named slice of low-resolution sources.
 LOWRES_SLICE = ("CIFAKE/", "thumbnail_regime_cifake")
 AXIS_NOTE = "AUROC against all reals of the split; the axis itself holds fakes only"
 SINGLE_CLASS = "single-class slice; AUROC undefined"

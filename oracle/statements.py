@@ -10,7 +10,7 @@ import re
 
 from mediasieve import registry
 from mediasieve.functions.naming import FORBIDDEN_PATH_TOKENS
-from mediasieve.operators import metrics, probe, triage, views
+from mediasieve.operators import metrics, triage, views
 from mediasieve.operators.split import HOLDOUT_SALT
 from mediasieve.plans import bindings, catalog
 

@@ -66,6 +66,17 @@ def test_chunks_stay_bounded_when_scores_crowd(spark):
     assert sizes.agg(F.max("count")).first()[0] < 0.36 * len(keys) and sizes.count() > 100
 
 
+def test_a_null_group_is_a_group(spark, tied):
+    y, p = tied
+    df = frame(spark, y, p).withColumn("g", F.when(F.col("id") % 2 == 0, "even"))
+    got = {r["g"]: r["auroc"] for r in metrics.auroc(df, ["g"]).collect()}
+    assert got == {"even": pytest.approx(pair_auroc(y[::2], p[::2])), None: pytest.approx(pair_auroc(y[1::2], p[1::2]))}
+    best = {r["g"]: r["balanced_accuracy"] for r in calibrate.best_threshold(df, ["g"]).collect()}
+    assert set(best) == {"even", None}
+    kept = ordered.first_rows(df, ["g"], F.floor(F.col("id") / 50), ["id"], 20).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in kept} == {"even": 20, None: 20}
+
+
 def test_single_class_slice_has_no_auroc(spark):
     row = metrics.slice_report(frame(spark, [1, 1], [0.2, 0.9]).withColumn("slice", F.lit("s")), ["slice"], 0).first()
     assert row["auroc"] is None and "single-class" in row["note"]
