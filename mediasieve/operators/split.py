@@ -20,30 +20,36 @@ def assign_split(df: DataFrame, registry: dict | None = None, sha: str = "raw_sh
     Per-dataset rules are a few constants from the registry, so the whole
     assignment is one CASE expression: no join and no shuffle.
     """
-    digest, label, generator = F.col(sha), F.col("label"), F.col("generator")
-    content_20, content_10 = hashing.hex_mod(digest, 20), hashing.hex_mod(digest, 10)
-    generator_20 = hashing.hex_mod(hashing.sha(generator), 20)
-    half = hashing.hex_mod(hashing.sha(F.concat(F.lit(salt), digest)), 2)
+    digest, label, generator, dataset = F.col(sha), F.col("label"), F.col("generator"), F.col("dataset")
+    rules = registry_module.dataset_rules(registry)
+    halved = [rule["dataset"] for rule in rules if rule["holdout_split"]]
+    # The hash draws are columns of their own, so that the CASE below stays small.
+    drawn = df.withColumns({
+        "_content": hashing.hex_mod(digest, 20),
+        "_generator": F.when(label == 1, hashing.hex_mod(hashing.sha(generator), 20)),
+        "_half": F.when(dataset.isin(halved), hashing.hex_mod(hashing.sha(F.concat(F.lit(salt), digest)), 2))})
+    content, tenth = F.col("_content"), F.col("_content") % 10
 
     assigned = None
-    for rule in registry_module.dataset_rules(registry):
+    for rule in rules:
         if rule["holdout_split"]:
             value = (F.when(F.col("upstream_split") == "train", "train")
                      .when(F.col("upstream_split") == rule["holdout_split"],
-                           F.when(half == 0, "val").otherwise("test"))
+                           F.when(F.col("_half") == 0, "val").otherwise("test"))
                      .otherwise(F.raise_error(F.concat(
                          F.lit(f"{rule['dataset']}: unknown upstream split "),
                          F.coalesce("upstream_split", F.lit("NULL"))))))
         else:
+            whole = F.col("_generator")
             value = (F.when((label == 1) & generator.isin(rule["held_out"]), "test")
                      .when((label == 1) & generator.isin(rule["trained"]),
-                           F.when(content_20 < 18, "train").otherwise("val"))
-                     .when(label == 1, F.when(generator_20 < 16, "train")
-                           .when(generator_20 < 18, "val").otherwise("test"))
-                     .otherwise(F.when(content_10 < 8, "train").when(content_10 < 9, "val").otherwise("test")))
-        hit = F.col("dataset") == rule["dataset"]
+                           F.when(content < 18, "train").otherwise("val"))
+                     .when(label == 1, F.when(whole < 16, "train").when(whole < 18, "val").otherwise("test"))
+                     .otherwise(F.when(tenth < 8, "train").when(tenth < 9, "val").otherwise("test")))
+        hit = dataset == rule["dataset"]
         assigned = F.when(hit, value) if assigned is None else assigned.when(hit, value)
-    return df.withColumn("split", assigned.otherwise(F.raise_error(F.concat(F.lit("unknown dataset "), "dataset"))))
+    return drawn.withColumn("split", assigned.otherwise(
+        F.raise_error(F.concat(F.lit("unknown dataset "), dataset)))).drop("_content", "_generator", "_half")
 
 
 def leakage(manifest: DataFrame, key: str = "raw_sha256") -> DataFrame:
