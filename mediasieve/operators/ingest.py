@@ -38,40 +38,41 @@ def map_labels(staged: DataFrame, sources: DataFrame, how: str = "inner") -> Dat
     return staged.join(F.broadcast(by_label), ["dataset", "upstream_label"], how)
 
 
-def match_prefixes(staged: DataFrame, sources: DataFrame) -> DataFrame:
-    """Archive rows: the first declared prefix the member starts with.
+def _options(sources: DataFrame) -> DataFrame:
+    """Registry rows as one small array per (dataset, archive); labelled datasets have archive ''."""
+    return F.broadcast(sources.groupBy("dataset", F.coalesce("archive", F.lit("")).alias("archive")).agg(
+        F.sort_array(F.collect_list(F.struct(
+            "prefix_order", "upstream_label", "prefix", F.col("content").alias("depicts"), *_SOURCE_COLUMNS))).alias("_options")))
+
+
+def map_sources(staged: DataFrame, sources: DataFrame) -> DataFrame:
+    """Upstream rows of both kinds mapped to their registry source, in one pass.
 
-    The registry rows of one archive are few and known, so they become one array
-    per archive and the first match is an expression: no row is multiplied.
+    A labelled row takes the source of its label, an archive row the first declared
+    prefix its member starts with. The registry rows that could apply are few and
+    known, so they ride as one array and the match is an expression: no row is
+    multiplied and the bytes are read once. Rows without a source drop out.
     """
-    options = sources.where(F.col("archive").isNotNull()).groupBy("dataset", "archive").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "prefix_order", "prefix", F.col("content").alias("depicts"), *_SOURCE_COLUMNS))).alias("_options"))
-    joined = staged.join(F.broadcast(options), ["dataset", "archive"])
-    matching = F.filter("_options", lambda o: F.col("member").startswith(o["prefix"]))
+    joined = staged.join(_options(sources), ["dataset", "archive"])
+    labelled = F.col("archive") == ""
+    matching = F.filter("_options", lambda o: F.when(
+        labelled, o["upstream_label"] == F.col("upstream_label")).otherwise(F.col("member").startswith(o["prefix"])))
     skipped = F.col("member").endswith("/") | F.col("member").startswith("__MACOSX/")
-    return (joined.where(~skipped).withColumn("_match", F.get(matching, F.lit(0))).where(F.col("_match").isNotNull())
+    return (joined.where(labelled | ~skipped).withColumn("_match", F.get(matching, F.lit(0))).where(F.col("_match").isNotNull())
             .select(*staged.columns, "_match.depicts", *[F.col(f"_match.{c}").alias(c) for c in _SOURCE_COLUMNS]))
 
 
-def map_sources(staged: DataFrame, sources: DataFrame) -> DataFrame:
-    """Both kinds of upstream rows mapped to their registry source."""
-    labelled = map_labels(staged.where(F.col("archive") == ""), sources)
-    archived = match_prefixes(staged.where(F.col("archive") != ""), sources)
-    return labelled.unionByName(archived)
+def match_prefixes(staged: DataFrame, sources: DataFrame) -> DataFrame:
+    """Archive rows: the first declared prefix the member starts with."""
+    return map_sources(staged.where(F.col("archive") != ""), sources)
 
 
 def unmapped_labels(staged: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows whose upstream label or archive member no source claims, counted per dataset."""
-    labelled = staged.where(F.col("archive") == "").join(
-        sources.where(F.col("upstream_label").isNotNull()), ["dataset", "upstream_label"], "left_anti")
-    mapped = match_prefixes(staged.where(F.col("archive") != ""), sources)
-    n_archived = staged.where(F.col("archive") != "").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    n_mapped = mapped.groupBy("dataset").agg(F.count(F.lit(1)).alias("m"))
-    missing = n_archived.join(n_mapped, "dataset", "left").select(
-        "dataset", (F.col("n") - F.coalesce("m", F.lit(0))).alias("unmapped"))
-    return (labelled.groupBy("dataset").agg(F.count(F.lit(1)).alias("unmapped")).unionByName(missing)
-            .where("unmapped > 0"))
+    every = staged.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    mapped = map_sources(staged, sources).groupBy("dataset").agg(F.count(F.lit(1)).alias("m"))
+    return every.join(mapped, "dataset", "left").select(
+        "dataset", (F.col("n") - F.coalesce("m", F.lit(0))).alias("unmapped")).where("unmapped > 0")
 
 
 def screen(staged: DataFrame, index: DataFrame | None, limit_per_dataset: int = 0,
