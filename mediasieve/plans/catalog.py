@@ -15,7 +15,7 @@ from .. import registry
 from ..functions import hashing, naming, scoring, sql
 from ..operators import (calibrate, gate, geometry, ingest, jobs, metrics, ordered, probe, report, screen, split,
                          triage, validate, views)
-from ..session import scratch_folder
+from ..session import scratch_folder, ship_package
 from ..sources import archives, tables
 from ..streaming import triage as streams
 from . import bindings as b
@@ -34,7 +34,11 @@ LIMIT = 40
 
 def query(name: str):
     def keep(function):
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         return function
 
     return keep
