@@ -22,18 +22,9 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return pairs.filter("_n > 1").join(lengths, "_length", "left_semi").select("_length", "_prefix")
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-                    ship_rows: int = SHIPPED_ROWS) -> DataFrame:
-    """One row per input row: ``id_col``, ``carry``, ``keep_id``, ``group_size``, ``kept``.
-
-    Texts are equal when identical after squeezing white space; null counts as
-    empty. Three rounds: the length, the hash of the first characters, the full
-    SHA-256, which is computed for rows whose first two keys are shared. Texts
-    never cross a shuffle: when the shared keys are counted small they are
-    broadcast, beyond that every row hashes in the scan. The smallest id of a
-    group stays, null ids sort last; of rows that repeat the id as well, the
-    first one read stays. An empty table gives no rows.
-    """
+def _marked(docs: DataFrame, id_col: str, text_col: str, carry, ship_rows: int) -> DataFrame:
+    """``_id``, ``_carry_*``, ``_keep_id``, ``_group_size``, ``_kept``."""
+    carried = [f"_carry_{c}" for c in carry]
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
                        squeezed(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.withColumns({"_length": F.length("_text"), "_prefix": F.xxhash64(F.substring("_text", 1, PREFIX))})
@@ -43,22 +34,36 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         flagged = rows.withColumn("_shared", F.lit(True))
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    keyed = flagged.select(
-        "_id", *[f"_carry_{c}" for c in carry], order.alias("_order"),
-        F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_hash"))
+    keyed = flagged.select("_id", *carried, order.alias("_order"), F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_hash"))
     groups = (keyed.filter("_hash is not null").groupBy(F.col("_hash").alias("_key"))
               .agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
     # a row alone in its length and prefix gets a key of its own, so nulls don't meet in one task
     keyed = keyed.withColumn("_key", F.coalesce("_hash", F.col("_order.row").cast("string")))
     return keyed.join(groups, "_key", "left").select(
-        F.col("_id").alias(id_col), *[F.col(f"_carry_{c}").alias(c) for c in carry],
-        F.when(F.col("_first").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_first").isNull() | (F.col("_first") == F.col("_order"))).alias("kept"))
+        "_id", *carried, F.when(F.col("_first").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("_keep_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("_group_size"),
+        (F.col("_first").isNull() | (F.col("_first") == F.col("_order"))).alias("_kept"))
+
+
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+                    ship_rows: int = SHIPPED_ROWS) -> DataFrame:
+    """One row per input row: ``id_col``, ``carry``, ``keep_id``, ``group_size``, ``kept``.
+
+    Texts are equal when identical after squeezing white space; null counts as
+    empty. Three rounds: the length, the hash of the first characters, the full
+    SHA-256, which is computed for rows whose first two keys are shared. Texts
+    never cross a shuffle: when the shared keys are counted small they are
+    broadcast, beyond that every row hashes in the scan. The smallest id of a
+    group stays, null ids sort last; of rows that repeat the id as well, the
+    first one read stays. An empty table gives no rows.
+    """
+    marked = _marked(docs, id_col, text_col, carry, ship_rows)
+    return marked.select(F.col("_id").alias(id_col), *[F.col(f"_carry_{c}").alias(c) for c in carry],
+                         F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ship_rows: int = SHIPPED_ROWS) -> DataFrame:
-    """The rows that ``mark_duplicates`` keeps, with their columns."""
-    names = [c for c in docs.columns if c != id_col]
-    return mark_duplicates(docs, id_col, text_col, tuple(names), ship_rows).filter("kept").select(*docs.columns)
+    """The rows that ``mark_duplicates`` keeps, with their columns, whatever they are called."""
+    marked = _marked(docs, id_col, text_col, [c for c in docs.columns if c != id_col], ship_rows).filter("_kept")
+    return marked.select(*[F.col("_id" if c == id_col else f"_carry_{c}").alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_of
 from .labelled import held_out, training_rows, words_of
@@ -142,35 +143,38 @@ def _score(model: Ordinal):
         for batch in batches:
             for part in slices(batch, 1):
                 tails = applied.tails(*made.rows(part.column(1)), part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), *part.columns[2:]],
-                    ["_id", "expected_grade", "tail", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0])],
+                                                 [*batch.schema.names, "_expected", "_tail"])
 
     return run
 
 
-def score(docs: DataFrame, model: Ordinal, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-          carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, ``expected_grade``, ``tail`` (P(grade >= 1)), ``selected``, ``carry``.
+def _scored(docs: DataFrame, model: Ordinal, id_col: str, text_col: str, carry) -> DataFrame:
+    """``_id``, ``_text``, ``_carry_*``, ``_expected``, ``_tail``."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_expected", T.DoubleType()), T.StructField("_tail", T.DoubleType())])
+    return rows.mapInArrow(_score(model), schema)
+
+
+def score(docs: DataFrame, model: Ordinal, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ``expected_grade``, ``tail`` (P(grade >= 1)), ``selected``.
 
     Selected rows have a tail of ``at_least``. Whole texts are read; null and empty
     ones get the score of a text without words. Repeated rows get equal scores and
     an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"_id {kinds['_id']}", "expected_grade double", "tail double"] + [f"`{c}` {kinds[c]}" for c in rows.columns[2:]])
-    scored = rows.mapInArrow(_score(model), schema)
-    return scored.select(F.col("_id").alias(id_col), "expected_grade", "tail", (F.col("tail") >= at_least).alias("selected"),
-                         *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return _scored(docs, model, id_col, text_col, ()).select(
+        F.col("_id").alias(id_col), F.col("_expected").alias("expected_grade"), F.col("_tail").alias("tail"),
+        (F.col("_tail") >= at_least).alias("selected"))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                      rows: int = FIT_ROWS) -> DataFrame:
-    """The rows the model does not reject, with their columns."""
-    names = tuple(c for c in docs.columns if c != id_col)
-    model = train(docs, labels, rows, id_col, text_col)
-    return score(docs, model, at_least, id_col, text_col, names).filter("selected").select(*docs.columns)
+    """The rows the model does not reject, with their columns, whatever they are called."""
+    scored = _scored(docs, train(docs, labels, rows, id_col, text_col), id_col, text_col,
+                     [c for c in docs.columns if c not in (id_col, text_col)])
+    names = {id_col: "_id", text_col: "_text"}
+    return scored.filter(F.col("_tail") >= at_least).select(*[F.col(names.get(c, f"_carry_{c}")).alias(c) for c in docs.columns])
 
 
 def graded(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from mediasieve.llm import (common, exact, mixing, mtree, packing, quality, quer
 from mediasieve.session import scratch_folder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, _text string, slice string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, _text string, kept string"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = "every good passage of this little corpus stands here once more, word for word and byte for byte"
@@ -169,7 +169,7 @@ def test_mix(spark, docs):
         assert once == again
     assert mixing.mix(empty(spark)).count() == 0
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and mixing.mixed_documents(awkward(spark)).columns == awkward(spark).columns
     got = Counter()
     for i, t in pairs(mixed):
         got[i] += len(WORDS.findall(t))
