@@ -31,7 +31,7 @@ from .common import text_of, total_bytes
 LENGTH = 50
 TRIGGER = 16
 SLICE_BYTES = 8 << 20       # text of a slice, about
-BUCKET_BYTES = 24 << 20     # text whose triggers meet in a bucket, about
+BUCKET_BYTES = 8 << 20      # text whose triggers meet in a bucket, about
 CROWDED = 4096              # phrases of a trigger above this are dealt by string
 CHUNK = 1 << 16             # bytes hashed at a time, so that arrays stay in the cache
 ODD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -302,6 +302,13 @@ def _phrases(n_buckets: int):
     return run
 
 
+def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the strings at ``starts``, whether each equals the one before): a suffix array to depth LENGTH."""
     rows = np.zeros((len(starts), -(-LENGTH // 8) * 8), np.uint8)
@@ -323,17 +330,24 @@ def _sort_phrases(key, table):
     ids = np.concatenate([ids_unpacked(r["c"], r["base"], n) for r, n in zip(rows, sizes)])
     several = np.frombuffer(b"".join(r["e"] for r in rows), np.uint8) > 0
     n = length - LENGTH + 1
-    unit = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(np.cumsum(length) - length, n) + offset
+    unit = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    offset = (np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int16)
+    starts = np.repeat((np.cumsum(length) - length).astype(np.int32), n) + offset
     # strings that stand alone by their hash can't have an equal neighbour; the others are ordered
     hashes = np.concatenate([rolling(data[a:a + CHUNK + LENGTH - 1], LENGTH)[:CHUNK] for a in range(0, len(data) - LENGTH + 1, CHUNK)])[starts]
-    order = np.argsort(hashes, kind="stable")
-    cut = runs(hashes[order])
-    count = np.diff(np.append(cut, len(order)))
-    met = np.minimum.reduceat(ids[unit[order]], cut) != np.maximum.reduceat(ids[unit[order]], cut)
-    met |= np.logical_or.reduceat(several[unit[order]], cut)
-    some = np.sort(order[np.repeat(met, count)])
+    ordered = np.sort(hashes)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    some = np.flatnonzero(member(hashes, twice) | several[unit])
+    del ordered, twice
+    order = np.argsort(hashes[some], kind="stable")
+    cut = runs(hashes[some][order])
+    if not len(cut):
+        return rows_of([])
+    of = unit[some[order]]
+    met = np.minimum.reduceat(ids[of], cut) != np.maximum.reduceat(ids[of], cut)
+    met |= np.logical_or.reduceat(several[of], cut)
+    some = np.sort(some[order[np.repeat(met, np.diff(np.append(cut, len(order))))]])
+    del hashes, order, of
     if not len(some):
         return rows_of([])
     order, same = suffix_order(data, starts[some])
