@@ -124,7 +124,7 @@ class Slice:
         out = np.zeros(len(starts), np.uint64)
         for at in range(0, len(starts), CHUNK // LENGTH):
             some = starts[at:at + CHUNK // LENGTH]
-            rows = self.data[some[:, None] + np.arange(LENGTH)].reshape(-1)
+            rows = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[some].reshape(-1)
             out[at:at + len(some)] = rolling(rows, LENGTH)[::LENGTH]
         return out
 
@@ -312,11 +312,14 @@ def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the strings at ``starts``, whether each equals the one before): a suffix array to depth LENGTH."""
     rows = np.zeros((len(starts), -(-LENGTH // 8) * 8), np.uint8)
-    rows[:, :LENGTH] = data[starts[:, None] + np.arange(LENGTH)]
-    words = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort(tuple(words[:, i] for i in range(words.shape[1] - 1, -1, -1)))
-    same = np.zeros(len(starts), bool)
-    same[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    rows[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts]
+    words = rows.view(">u8")
+    order = np.lexsort(tuple(words[:, i].astype(np.uint64) for i in range(words.shape[1] - 1, -1, -1)))
+    same = np.ones(len(starts), bool)
+    same[:1] = False
+    for i in range(words.shape[1]):
+        word = words[order, i]
+        same[1:] &= word[1:] == word[:-1]
     return order, same
 
 
