@@ -62,3 +62,18 @@ def slices(batch, column: int, limit: int = 1 << 22):
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def freed(function):
+    """The function of a group, after which Arrow gives back what it no longer uses."""
+    def run(*tables):
+        import pyarrow as pa
+
+        try:
+            return function(*tables)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    # Spark tells by the number of arguments whether the key is wanted
+    count = function.__code__.co_argcount
+    return {2: lambda key, a: run(key, a), 3: lambda key, a, b: run(key, a, b)}[count]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of, total_bytes
+from .common import freed, slices, text_of, total_bytes
 from .tokens import Encoder
 
 WINDOW = 2048
@@ -132,7 +132,7 @@ def _pack(tokenizer: str, kind: str, end_id: int, window: int, seed: int):
             pa.array(lengths[order[place]]), pa.array((shard << 32) + sequence), pa.array(cuts - sequences[sequence]),
             pa.array(held[sequence])], [f.split()[0] for f in PIECES.split(", ")])
 
-    return run
+    return freed(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1, window: int = WINDOW, seed: int = 7,

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, total_bytes
+from .common import freed, text_of, total_bytes
 
 LENGTH = 50
 TRIGGER = 16
-SLICE_BYTES = 8 << 20       # text of a slice, about
-BUCKET_BYTES = 8 << 20      # text whose triggers meet in a bucket, about
+SLICE_BYTES = 4 << 20       # text of a slice, about
+BUCKET_BYTES = 6 << 20      # text whose triggers meet in a bucket, about
 CROWDED = 4096              # phrases of a trigger above this are dealt by string
 CHUNK = 1 << 16             # bytes hashed at a time, so that arrays stay in the cache
 ODD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -202,7 +202,7 @@ def _announce(n_buckets: int):
                              flags[p:q].astype(np.uint8).tobytes(), count[p:q][several[p:q]].astype("<u4").tobytes(), base))
         return rows_of(rows)
 
-    return run
+    return freed(run)
 
 
 def _resolve(crowded: int):
@@ -237,7 +237,7 @@ def _resolve(crowded: int):
             at += n
         return rows_of(out)
 
-    return run
+    return freed(run)
 
 
 def _told(s: Slice, rows: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +299,7 @@ def _phrases(n_buckets: int):
                          flags.tobytes(), base))
         return rows_of(rows)
 
-    return run
+    return freed(run)
 
 
 def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -400,8 +400,18 @@ def covered(s: Slice, told: list[dict], runs_told: list[dict], n_buckets: int) -
         hit = m[run] < s.rank[doc[who]]
         begins.append((base[who] + t0[run])[hit])
         ends.append((base[who] + t1[run] + LENGTH - 1)[hit])
-    change = np.bincount(np.concatenate(begins), minlength=len(s.data) + 1) - np.bincount(np.concatenate(ends), minlength=len(s.data) + 1)
-    return np.cumsum(change)[:len(s.data)] > 0
+    return union(np.concatenate(begins), np.concatenate(ends), len(s.data))
+
+
+def union(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places whether an interval covers it."""
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    new = np.ones(len(begins), bool)
+    new[1:] = begins[1:] > ends[:-1]
+    begins, ends = begins[new], ends[np.append(new[1:], True)] if len(ends) else ends
+    turns = np.diff(np.concatenate([[0], np.column_stack([begins, ends]).ravel(), [n]]).astype(np.int64))
+    return np.repeat(np.arange(len(turns)) % 2 == 1, turns)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -423,7 +433,7 @@ def _cut(n_buckets: int, digest: bool):
                                      pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
                                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return run
+    return freed(run)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
@@ -443,6 +453,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slices = rows.groupBy("slice")
     told = slices.applyInArrow(_announce(n_buckets), EXCHANGE).groupBy("bucket").applyInArrow(_resolve(crowded), EXCHANGE)
     phrases = slices.cogroup(told.groupBy("slice")).applyInArrow(_phrases(n_buckets), EXCHANGE)
-    answers = phrases.groupBy("bucket").applyInArrow(_sort_phrases, EXCHANGE)
+    answers = phrases.groupBy("bucket").applyInArrow(freed(_sort_phrases), EXCHANGE)
     back = told.unionByName(answers).groupBy("slice")
     return slices.cogroup(back).applyInArrow(_cut(n_buckets, digest), KEPT)
