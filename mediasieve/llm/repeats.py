@@ -33,6 +33,7 @@ TRIGGER = 16
 SLICE_BYTES = 4 << 20       # text of a slice, about
 BUCKET_BYTES = 6 << 20      # text whose triggers meet in a bucket, about
 CROWDED = 4096              # phrases of a trigger above this are dealt by string
+ORDERED = 200_000           # strings ordered at a time
 CHUNK = 1 << 16             # bytes hashed at a time, so that arrays stay in the cache
 ODD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 PLACE = np.uint64((1 << 18) - 1)
@@ -302,13 +303,6 @@ def _phrases(n_buckets: int):
     return freed(run)
 
 
-def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each value is among the sorted known ones."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the strings at ``starts``, whether each equals the one before): a suffix array to depth LENGTH."""
     rows = np.zeros((len(starts), -(-LENGTH // 8) * 8), np.uint8)
@@ -323,6 +317,24 @@ def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return order, same
 
 
+def _least_ids(mine: np.ndarray, hashes, data, starts, unit, ids, several) -> tuple[np.ndarray, np.ndarray]:
+    """(strings that several documents have, smallest id): by a suffix array of those whose hash repeats."""
+    order = mine[np.argsort(hashes[mine], kind="stable")]
+    cut = runs(hashes[order])
+    if not len(cut):
+        return mine, np.zeros(0, np.int64)
+    of = unit[order]
+    met = np.minimum.reduceat(ids[of], cut) != np.maximum.reduceat(ids[of], cut)
+    met |= np.logical_or.reduceat(several[of], cut)
+    some = order[np.repeat(met, np.diff(np.append(cut, len(order))))]
+    least = np.empty(len(some), np.int64)
+    if len(some):
+        order, same = suffix_order(data, starts[some])
+        cut = np.flatnonzero(~same)
+        least[order] = np.repeat(np.minimum.reduceat(ids[unit[some]][order], cut), np.diff(np.append(cut, len(order))))
+    return some, least
+
+
 def _sort_phrases(key, table):
     """A bucket's phrases in suffix order; back to the slices: runs of starts with a smaller id."""
     rows = table.to_pylist()
@@ -336,27 +348,17 @@ def _sort_phrases(key, table):
     unit = np.repeat(np.arange(len(n), dtype=np.int32), n)
     offset = (np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int16)
     starts = np.repeat((np.cumsum(length) - length).astype(np.int32), n) + offset
-    # strings that stand alone by their hash can't have an equal neighbour; the others are ordered
-    hashes = np.concatenate([rolling(data[a:a + CHUNK + LENGTH - 1], LENGTH)[:CHUNK] for a in range(0, len(data) - LENGTH + 1, CHUNK)])[starts]
-    ordered = np.sort(hashes)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    some = np.flatnonzero(member(hashes, twice) | several[unit])
-    del ordered, twice
-    order = np.argsort(hashes[some], kind="stable")
-    cut = runs(hashes[some][order])
-    if not len(cut):
-        return rows_of([])
-    of = unit[some[order]]
-    met = np.minimum.reduceat(ids[of], cut) != np.maximum.reduceat(ids[of], cut)
-    met |= np.logical_or.reduceat(several[of], cut)
-    some = np.sort(some[order[np.repeat(met, np.diff(np.append(cut, len(order))))]])
-    del hashes, order, of
-    if not len(some):
-        return rows_of([])
-    order, same = suffix_order(data, starts[some])
-    cut = np.flatnonzero(~same)
-    least = np.empty(len(some), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(ids[unit[some]][order], cut), np.diff(np.append(cut, len(order))))
+    hashes = np.empty(len(starts), np.uint64)
+    for a in range(0, len(data) - LENGTH + 1, CHUNK):
+        p, q = np.searchsorted(starts, [a, a + CHUNK])
+        hashes[p:q] = rolling(data[a:a + CHUNK + LENGTH - 1], LENGTH)[starts[p:q] - a]
+    # equal strings have equal hashes, so ranges of hashes are ordered one after the other
+    parts = 1 + len(hashes) // ORDERED
+    part = buckets_of(hashes, parts).astype(np.int32)
+    found = [_least_ids(np.flatnonzero(part == k), hashes, data, starts, unit, ids, several) for k in range(parts)]
+    some, least = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(some)
+    some, least = some[order], least[order]
     tell = (least < ids[unit[some]]) | several[unit[some]]
     some, least = some[tell], least[tell]
     if not len(some):
