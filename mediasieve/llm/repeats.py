@@ -118,7 +118,8 @@ class Slice:
             return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
         cut = np.flatnonzero(np.r_[True, of[inside[1:]] != of[inside[:-1]]])
         first, last = inside[cut], inside[np.append(cut[1:], len(inside)) - 1]
-        return of[first] + at, first + at, last + at + 1, h[of[first]], whole[first], whole[last]
+        # triggers are small hashes; mixed once more they fill the buckets evenly
+        return of[first] + at, first + at, last + at + 1, spread(h[of[first]] + ODD), whole[first], whole[last]
 
     def string_hashes(self, starts: np.ndarray) -> np.ndarray:
         """Hash of the string at each start."""
