@@ -58,10 +58,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 @lru_cache
 def syndromes() -> np.ndarray:
     """The remainder of each 23-bit word by the generator polynomial, as a table over 2^23 words."""
-    words = np.arange(1 << 23, dtype=np.int32)
-    for bit in range(22, 10, -1):
-        words ^= np.where(words >> bit & 1, GENERATOR << (bit - 11), 0).astype(np.int32)
-    return words.astype(np.int16)
+    table = np.zeros(1, np.int16)
+    for bit in range(23):       # linear: a word's remainder is that of its bits together
+        rest = 1 << bit
+        for high in range(bit, 10, -1):
+            if rest >> high & 1:
+                rest ^= GENERATOR << (high - 11)
+        table = np.concatenate([table, table ^ np.int16(rest)])
+    return table
 
 
 @lru_cache
