@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHIPPED_ROWS, SPACES, materialize, text_of
+from .common import SHIPPED_ROWS, SPACES, materialize, small_side, text_of
 
-PREFIX = 64     # characters under the second key
+PREFIX = 64                 # characters under the second key
+SHIPPED_GROUPS = 200_000    # groups of copies are broadcast only below this counted bound
 
 
 def squeezed(text_col: str = "text") -> Column:
@@ -37,9 +38,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, carry, ship_rows: int)
     keyed = flagged.select("_id", *carried, order.alias("_order"), F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_hash"))
     groups = (keyed.filter("_hash is not null").groupBy(F.col("_hash").alias("_key"))
               .agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
+    groups = materialize(groups, "copies")
     # a row alone in its length and prefix gets a key of its own, so nulls don't meet in one task
     keyed = keyed.withColumn("_key", F.coalesce("_hash", F.col("_order.row").cast("string")))
-    return keyed.join(groups, "_key", "left").select(
+    return keyed.join(small_side(groups, min(ship_rows, SHIPPED_GROUPS)), "_key", "left").select(
         "_id", *carried, F.when(F.col("_first").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("_keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("_group_size"),
         (F.col("_first").isNull() | (F.col("_first") == F.col("_order"))).alias("_kept"))
