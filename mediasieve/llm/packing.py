@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, slices, text_of, total_bytes
-from .tokens import Encoder
+from .tokens import shared_encoder
 
 WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
@@ -98,7 +98,7 @@ def window_starts(total: int, window: int = WINDOW) -> np.ndarray:
 
 def _pack(tokenizer: str, kind: str, end_id: int, window: int, seed: int):
     def run(key, table):
-        encoder = Encoder(tokenizer, kind)
+        encoder = shared_encoder(tokenizer, kind)
         doc_ids, parts, sizes = [], [], []
         for batch in table.select(["doc_id", "text"]).to_batches():
             for part in slices(batch, 1):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHIPPED_ROWS, materialize, path_exists, slices, small_side, text_of
-from .tokens import Encoder, file_digest
+from .tokens import shared_encoder, file_digest
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 
@@ -22,7 +22,7 @@ def read_cache(spark, path: str, version: str) -> DataFrame:
 
 def _encode(path: str, kind: str):
     def run(batches):
-        encoder = Encoder(path, kind)
+        encoder = shared_encoder(path, kind)
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_of
-from .tokens import Encoder
+from .tokens import shared_encoder
 
 FILES = "shard int, position long, doc_id long, n_tokens long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
@@ -20,7 +20,7 @@ OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 
 def _encode(tokenizer: str, kind: str, end_id: int | None):
     def run(batches):
-        encoder, shard, position = Encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        encoder, shard, position = shared_encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, 1):
                 flat, at = encoder.encode(part.column(1), end_id)

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000      # pieces remembered by one worker
+MARK = "~"
+MEMO = 1_000_000      # pieces remembered by one worker
 
 
 def file_digest(path: str) -> str:
@@ -35,6 +37,9 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        # a mark of one id that no word without it has: no piece crosses white space
+        self.mark = mark[0] if kind == "words" and len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -43,17 +48,30 @@ class Encoder:
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _encoded(self, pieces: list[str]):
+        """(piece, ids): words without the mark are encoded in one text, set apart by the mark."""
+        alone = pieces
+        if self.mark is not None:
+            alone = [w for w in pieces if MARK in w]
+            together = [w for w in pieces if MARK not in w]
+            if together:
+                ids = np.array(self.tokenizer.encode(f" {MARK} ".join(together), add_special_tokens=False).ids, np.uint32)
+                yield from zip(together, np.split(ids, np.flatnonzero(ids == self.mark)))
+        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            yield piece, np.array(found.ids, np.uint32)
+
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            for i, (piece, found) in enumerate(self._encoded(pieces[at:at + 4096])):
+                if i and self.mark is not None and len(found) and found[0] == self.mark and MARK not in piece:
+                    found = found[1:]       # the mark before it
                 n, k = len(found), len(self.code)
                 while self.used + n > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 if k == len(self.starts):
                     self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                     self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-                self.ids[self.used:self.used + n] = found.ids
+                self.ids[self.used:self.used + n] = found
                 self.starts[k], self.lengths[k] = self.used, n
                 self.code[piece] = k
                 self.used += n
@@ -96,3 +114,9 @@ class Encoder:
         if end_id is None:
             return flat, at
         return np.insert(flat, at[1:], np.uint32(end_id)), at + np.arange(len(at))
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, kind: str) -> Encoder:
+    """The encoder of a worker process: its memory of pieces lasts over groups and tasks."""
+    return Encoder(path, kind)
