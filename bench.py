@@ -19,8 +19,8 @@ HEADLINE = (
     "p3_split_assignment", "j2_prefix_match", "j3_near_duplicate_screen", "j3_near_duplicate_hot_copies", "j9_axis_negatives",
     "a2_build_statistics", "a5_auroc_by_view", "a6_average_precision", "a9_ece", "a13_threshold_at_fpr", "a14_best_threshold",
     "a15_threshold_curve", "a16_view_metrics", "a22_bootstrap_interval", "a27_view_consistency", "a28_single_feature_auroc",
-    "w1_balanced_cap", "w2_limit_per_dataset", "f11_canonical_plan", "g1_perceptual_hashes", "g4_grid_degradations",
-    "g5_training_degradations", "g14_evaluation_report", "x2_streaming_windowed_counts",
+    "w1_balanced_cap", "w2_limit_per_dataset", "f11_canonical_plan", "g1_perceptual_hashes",
+    "g14_evaluation_report", "x2_streaming_windowed_counts",
 )
 
 

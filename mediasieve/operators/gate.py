@@ -190,24 +190,28 @@ def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta:
             "passes": None if alone else delta >= required_delta,
             "weights": None if alone else weights, "intercept": None if alone else bias,
             "ci_low": interval.get("ci_low"), "ci_high": interval.get("ci_high")})
-    recommended, reason = recommend(table, required_delta, base_name)
     schema = ("config string, n_branches int, worst_cell string, worst_cell_auroc double, delta double, "
               "passes boolean, weights array<double>, intercept double, ci_low double, ci_high double")
-    return (wide.sparkSession.createDataFrame([tuple(row.values()) for row in table], schema)
-            .withColumn("recommended", F.col("config") == recommended).withColumn("reason", F.lit(reason)))
-
-
-def recommend(table: list[dict], required_delta: float, base_name: str = "A") -> tuple[str, str]:
-    """The config to ship: greatest gain that passes, or a simpler one it cannot be told from."""
-    blends = sorted((row for row in table if row["n_branches"] > 1), key=lambda row: (-row["delta"], row["n_branches"]))
-    passing = [row for row in blends if row["passes"]]
-    if not blends:
-        return base_name, "no candidate branches supplied"
-    if not passing:
-        return base_name, f"no combination gained {required_delta} in the worst cell"
-    best = passing[0]
-    for row in passing[1:]:
-        if (row["n_branches"] < best["n_branches"] and best["ci_low"] is not None
-                and row["ci_high"] is not None and row["ci_high"] >= best["ci_low"]):
-            return row["config"], f"intervals overlap with {best['config']}; fewer branches"
-    return best["config"], f"greatest worst-cell gain {best['delta']:+.4f} among those passing {required_delta}"
+    return recommend(wide.sparkSession.createDataFrame([tuple(row.values()) for row in table], schema), required_delta, base_name)
+
+
+def recommend(table: DataFrame, required_delta: float, base_name: str = "A") -> DataFrame:
+    """Adds ``recommended`` and ``reason`` to the gate table, one row per configuration.
+
+    Leader: the passing blend that gains most (fewer branches win a tie). A passing
+    blend of fewer branches whose interval reaches the leader's low end replaces it;
+    without a passing blend the base stays.
+    """
+    everything = Window.partitionBy()
+    claim = F.struct(F.col("delta").alias("gain"), (-F.col("n_branches")).alias("slim"), F.col("ci_low").alias("low"),
+                     F.col("config").alias("name"))
+    able = (F.col("n_branches") > 1) & F.coalesce("passes", F.lit(False))
+    led = table.withColumn("_lead", F.max(F.when(able, claim)).over(everything))
+    rival = able & (F.col("n_branches") < -F.col("_lead.slim")) & (F.col("ci_high") >= F.col("_lead.low"))
+    led = led.withColumn("_rival", F.max(F.when(rival, claim)).over(everything))
+    pick = F.coalesce("_rival.name", "_lead.name", F.lit(base_name))
+    reason = (F.when(F.max("n_branches").over(everything) < 2, F.lit("there are no blends to compare"))
+              .when(F.col("_lead").isNull(), F.lit(f"every blend gains less than {required_delta}"))
+              .when(F.col("_rival").isNotNull(), F.concat(F.lit("as good as "), F.col("_lead.name"), F.lit(" within its interval, with fewer branches")))
+              .otherwise(F.concat(F.lit("gains "), F.format_number("_lead.gain", 4), F.lit(" in the worst cell"))))
+    return led.withColumn("recommended", F.col("config") == pick).withColumn("reason", reason).drop("_lead", "_rival")

@@ -85,7 +85,7 @@ def screen(staged: DataFrame, index: DataFrame | None, limit_per_dataset: int =
     """
     if index is None and not allow_unscreened:
         raise ValueError("no forbidden index given; pass allow_unscreened=True to build without one")
-    seen = screened_reasons(staged, index)
+    seen = screened_reasons(staged, index, id_col)
     accepted = F.col("reason").isin("accepted", "review")
     if limit_per_dataset > 0:
         # Ranked rows are read twice; they hold hashes and attributes, no bytes.
@@ -94,15 +94,18 @@ def screen(staged: DataFrame, index: DataFrame | None, limit_per_dataset: int =
     return seen.where(accepted), build_statistics(seen)
 
 
-def screened_reasons(staged: DataFrame, index: DataFrame | None) -> DataFrame:
-    """Staged rows with ``reason``: forbidden_path, quarantine, review or accepted."""
-    forbidden = naming.is_forbidden_path(F.col("raw_id"))
+def screened_reasons(staged: DataFrame, index: DataFrame | None, id_col: str = "doc_id") -> DataFrame:
+    """Staged rows with ``reason``: forbidden_path, quarantine, review or accepted.
+
+    Rows on forbidden paths leave before the hash screen and come back with their reason.
+    """
+    forbidden = F.coalesce(naming.is_forbidden_path(F.col("raw_id")), F.lit(False))
     if index is None:
         return staged.withColumn("reason", F.when(forbidden, "forbidden_path").otherwise("accepted"))
-    judged = near_duplicate_verdict(staged, index, carry=True)
-    return judged.withColumn(
-        "reason", F.when(forbidden, "forbidden_path").when(F.col("verdict") == "drop", "quarantine")
-        .when(F.col("verdict") == "review", "review").otherwise("accepted"))
+    judged = near_duplicate_verdict(staged.where(~forbidden), index, carry=True, id_col=id_col)
+    judged = judged.withColumn("reason", F.when(F.col("verdict") == "drop", "quarantine")
+                               .when(F.col("verdict") == "review", "review").otherwise("accepted"))
+    return judged.unionByName(staged.where(forbidden).withColumn("reason", F.lit("forbidden_path")), allowMissingColumns=True)
 
 
 def build_statistics(reasoned: DataFrame) -> DataFrame:

@@ -886,18 +886,6 @@ def _(spark, sf):
     return rows
 
 
-@query("g4_grid_degradations")
-def _(spark, sf):
-    cells = jobs.degrade_grid(b.rasters(spark, sf))
-    return cells.select("id", "view", "width", "height", hashing.sha(F.col("raster")).alias("sha256"))
-
-
-@query("g5_training_degradations")
-def _(spark, sf):
-    rows = jobs.degrade_train(b.rasters(spark, sf))
-    return rows.select("id", "tier", F.concat_ws(",", "ops").alias("ops"), "width", "height", hashing.sha(F.col("raster")).alias("sha256"))
-
-
 @query("g5_training_tier_shares")
 def _(spark, sf):
     return views.tier_plan(b.scored(spark, sf).select("id")).groupBy("tier", F.col("transforms").cast("bigint").alias("transforms")).agg(n_rows())
