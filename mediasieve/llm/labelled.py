@@ -34,7 +34,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = pc.list_flatten(lists).dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     if "" in words:         # leading and trailing space give empty pieces
         real = codes != words.index("")

@@ -75,7 +75,7 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = (read_token_files(spark, path).select("shard", "position", "doc_id", "ids")
             .mapInArrow(_checksums, "shard int, position long, doc_id long, n_tokens long, ids_crc32 long"))
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_in_shard"))
+    sums = read_token_files(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("_in_shard"))      # reads no ids
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("shard", F.coalesce(F.sum("_in_shard").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)

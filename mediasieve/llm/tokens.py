@@ -3,7 +3,9 @@
 Both kinds split a text where the library's own pre-tokenizer always splits, so
 the ids equal those of the whole text:
 
-* ``words``: white space is dropped and no piece crosses it; cut at ASCII white space.
+* ``words``: white space is dropped and no piece crosses it, nor does one hold a letter or digit and a
+  mark after it; cut at ASCII white space and before the marks of CUT. Where the library lower-cases,
+  ASCII pieces are looked up in lower case.
 * ``bytes``: a space followed by a letter, digit or printable mark opens a piece; cut before it.
 """
 
@@ -11,14 +13,19 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import string
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK = "~"
-MEMO = 1_000_000      # pieces remembered by one worker
+CUT = r"([A-Za-z0-9])([.,;:!?])"
+JOINED, LEARNED = 64, 4096      # words encoded as one text, pieces learned at once
+MEMO = 1_000_000                # pieces remembered by one worker
 
 
 def file_digest(path: str) -> str:
@@ -40,6 +47,11 @@ class Encoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         # a mark of one id that no word without it has: no piece crosses white space
         self.mark = mark[0] if kind == "words" and len(mark) == 1 else None
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = kind == "words" and not any(re.search(CUT, token) for token in self.added)
+        normalizer = self.tokenizer.normalizer
+        self.lowers = (kind == "words" and normalizer is not None
+                       and normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase)
         self._clear()
 
     def _clear(self) -> None:
@@ -48,38 +60,45 @@ class Encoder:
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _encoded(self, pieces: list[str]):
-        """(piece, ids): words without the mark are encoded in one text, set apart by the mark."""
-        alone = pieces
-        if self.mark is not None:
-            alone = [w for w in pieces if MARK in w]
-            together = [w for w in pieces if MARK not in w]
-            if together:
-                ids = np.array(self.tokenizer.encode(f" {MARK} ".join(together), add_special_tokens=False).ids, np.uint32)
-                yield from zip(together, np.split(ids, np.flatnonzero(ids == self.mark)))
-        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            yield piece, np.array(found.ids, np.uint32)
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, ids of each)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without the mark: many make one text, set apart by the mark."""
+        texts = [f" {MARK} ".join(words[at:at + JOINED]) + f" {MARK}" for at in range(0, len(words), JOINED)]
+        flat, _ = self._alone(texts)
+        ends = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def _store(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(self.code), len(pieces)
+        if len(lengths) != n:
+            raise ValueError("the tokenizer does not keep words apart")
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + n > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.starts[k:k + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k:k + n] = lengths
+        self.code.update(zip(pieces, range(k, k + n)))
+        self.used += len(flat)
 
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            for i, (piece, found) in enumerate(self._encoded(pieces[at:at + 4096])):
-                if i and self.mark is not None and len(found) and found[0] == self.mark and MARK not in piece:
-                    found = found[1:]       # the mark before it
-                n, k = len(found), len(self.code)
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if k == len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-                self.ids[self.used:self.used + n] = found
-                self.starts[k], self.lengths[k] = self.used, n
-                self.code[piece] = k
-                self.used += n
+        together = [w for w in pieces if MARK not in w] if self.mark is not None else []
+        alone = [w for w in pieces if MARK in w] if self.mark is not None else pieces
+        for words, encoded in ((together, self._joined), (alone, self._alone)):
+            for at in range(0, len(words), LEARNED):
+                self._store(words[at:at + LEARNED], *encoded(words[at:at + LEARNED]))
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """(pieces before each text and in all, pieces)."""
         if self.kind == "words":
-            lists = pc.ascii_split_whitespace(texts)
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, CUT, r"\1 \2") if self.cuts else texts)
         else:
             if pc.any(pc.match_substring(texts, "\x00")).as_py():   # the mark itself occurs: whole texts
                 return np.arange(len(texts) + 1), texts
@@ -88,15 +107,28 @@ class Encoder:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), pc.list_flatten(lists)
 
+    def _folded(self, pieces: pa.Array) -> pa.Array:
+        """ASCII pieces in lower case, but for those that would then hold an added token."""
+        lower = pc.ascii_lower(pieces)
+        plain = pc.string_is_ascii(pieces)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(lower, token))
+        return pc.if_else(plain, lower, pieces)
+
     def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bounds, pieces = self._split(texts)
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.code) + len(words) > MEMO:
+        indices, dictionary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        if self.lowers:
+            coded = self._folded(dictionary).dictionary_encode()
+            indices, dictionary = coded.indices.to_numpy(zero_copy_only=False)[indices], coded.dictionary
+        words = dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.code]
+        if len(self.code) + len(new) > MEMO:
             self._clear()
-        self._learn([w for w in words if w not in self.code])
-        of = np.fromiter((self.code[w] for w in words), np.int64, len(words))
-        return bounds, of[coded.indices.to_numpy(zero_copy_only=False)]
+            new = words
+        self._learn(new)
+        return bounds, np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))[indices]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text (null: none)."""

@@ -66,6 +66,9 @@ def test_pieces_give_the_ids_of_whole_texts(docs, path, kind):
 
     tokenizer, encoder = Tokenizer.from_file(path), tokens.Encoder(path, kind)
     texts = [t or "" for t in TEXTS] + [t for _, t in pairs(docs)]
+    letters = [*"aAkKsStTéÉßİJ0.,;:!?'\"<>|~- \n\u0301\u030c\u037e\x00\u3000日😀\u00a0", "'s", "don't,", "<|endoftext|>", "<|ENDOFTEXT|>", "x.y"]
+    draw = np.random.default_rng(7)
+    texts += ["".join(draw.choice(letters, size)) for size in draw.integers(0, 40, 3000)]
     flat, at = encoder.encode(pa.array(texts), end_id=None)
     for i, text in enumerate(texts):
         assert flat[at[i]:at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:80])
