@@ -17,19 +17,20 @@ def run_calibration(scored_views: DataFrame, split: str = "val", cap: int = 0, w
                     dry_run: bool = False, source_id: str = "") -> DataFrame:
     """The one-row calibration record with nested points and curve.
 
-    Only the val split may be fitted. Clean and all degraded views are pooled; a cap
-    keeps a class-balanced set of ids per view.
+    Only the val split may be fitted. Clean and all degraded views are pooled. A cap
+    bounds the rows of the temperature fit, to a class-balanced set of ids per view;
+    threshold, points, curve and errors are measured on every val row.
     """
     if split != "val":
         raise ValueError(f"refusing to calibrate on split {split!r}: only val")
     if cap < 0:
         raise ValueError("cap must be >= 0; 0 keeps every row")
-    rows = scored_views.where(F.col("split") == split)
+    rows = checkpointed(scored_views.where(F.col("split") == split).select("id", "view", "label", "logit"))
+    fitted = rows
     if cap:
         ids = views.balanced_cap(rows.where("view = 'clean'").select("id", "label"), cap)
-        rows = rows.join(ids.select("id"), "id", "left_semi")
-    rows = checkpointed(rows.select("id", "view", "label", "logit"))
-    temperature = calibrate.fit_temperature(rows)
+        fitted = rows.join(ids.select("id"), "id", "left_semi")
+    temperature = calibrate.fit_temperature(fitted)
     scored = rows.withColumn("p", scoring.calibrated(F.col("logit"), temperature))
 
     record = calibrate.acceptance(rows, temperature, ece_tolerance, dry_run=dry_run)

@@ -520,7 +520,7 @@ def _(spark, sf):
 
 @query("a11_temperature_fit")
 def _(spark, sf):
-    rows = b.scored_views(spark, sf)
+    rows = b.scored_views(spark, sf).where("split = 'val'")
     t = calibrate.fit_temperature(rows)
     at = lambda scale: metrics.nll(rows, t * scale).scalar()
     # The fitted temperature must beat its neighbours.
@@ -939,7 +939,8 @@ def _(spark, sf):
 
 @query("g12_stacker_fit")
 def _(spark, sf):
-    wide = gate.align(b.branch_views(spark, sf, "A"), {"B": b.branch_views(spark, sf, "B"), "C": b.branch_views(spark, sf, "C")}, check=False)
+    val = lambda name: b.branch_views(spark, sf, name).where("split = 'val'")
+    wide = gate.align(val("A"), {"B": val("B"), "C": val("C")}, check=False)
     branches = ["A", "B", "C"]
     weights, bias = gate.fit_stacker(wide, branches)
     fitted = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.lit(round(v, 4)).alias("value"))

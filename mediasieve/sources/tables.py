@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,10 @@ def read_image_shards(spark: SparkSession, root: str, registry: dict, dataset: s
     spec = next(d for d in registry["datasets"] if d["dataset"] == dataset)
     try:
         files, folder = spark.read.parquet(f"{root}/data/*.parquet"), f"{root}/data"
-    except Exception:  # noqa: BLE001 - no data folder: the shards lie in the root
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no data folder: the shards lie in the root
         files, folder = spark.read.parquet(f"{root}/*.parquet"), root
     columns = [name for name in spec["columns"] if name in files.columns]
     if "image" not in columns or "label" not in columns:
