@@ -23,6 +23,8 @@ SHARD_ROWS = 16_384         # vectors of one tree, about
 MOST_SHARDS = 100_000       # rows of the directory that is sent to tasks; trees grow beyond it
 MOST_PIVOTS = 4096          # routing vectors, the bounded sample of the upper level
 BLOCK = 8192                # queries that one task asks of one tree
+TOGETHER = 1024             # of them that walk the tree at once
+NO_ID = np.iinfo(np.int64).max
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -61,48 +63,75 @@ class MTree:
                     leasts=np.array([k["least"] for k in kids]))
         return at
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """(score, id) of the best ``k`` ids other than ``own``, at least ``floor``; ties to smaller ids."""
-        query = query.astype(np.float64)
-        square = float(query @ query)
-        best: list[tuple[int, int]] = []        # smallest first: (score, -id)
-        limit = -math.inf if floor is None else floor
-        root = self.nodes[self.root]
-        queue = [(-math.inf, self.root, float(np.sqrt(((query - root["pivot"]) ** 2).sum())))]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place of the query, id, score): the best ``k`` ids other than its own, at least its floor; ties to smaller ids.
+
+        Best first for a block of queries: a node waits with those that may need it, and
+        the node that promises one of them most is next. A query leaves a node's queue when
+        what it has found rules the node out. A floor that is NaN is none.
+        """
+        n, square = len(queries), (queries ** 2).sum(axis=1)
+        limit, last = np.where(np.isnan(floors), -np.inf, floors), np.full(n, NO_ID)      # at the limit only ids below last count
+        scores, ids = np.full((n, k), -np.inf), np.full((n, k), NO_ID)
+
+        def needed(reach, rows, node):
+            return (reach >= limit[rows]) & ((np.floor(reach) > limit[rows]) | (node["least"] < last[rows]))
+
+        queue: list[tuple] = []
+
+        def wait(at, rows, most):
+            node = self.nodes[at]
+            away = np.sqrt(np.maximum(square[rows] + (node["pivot"] ** 2).sum() - 2 * queries[rows] @ node["pivot"], 0))
+            reach = np.minimum(most, _most(square[rows], node["norm"], away - node["radius"]))
+            keep = needed(reach, rows, node)
+            if keep.any():
+                heapq.heappush(queue, (-reach[keep].max(), at, rows[keep], away[keep], reach[keep]))
+
+        wait(self.root, np.arange(n), np.full(n, np.inf))
         while queue:
-            bound, at, away = heapq.heappop(queue)
+            _, at, rows, away, reach = heapq.heappop(queue)
             node = self.nodes[at]
-            if -bound < limit:
-                break
-            if len(best) == k and math.floor(-bound) <= limit and node["least"] > -best[0][1] and best[0][0] >= limit:
+            keep = needed(reach, rows, node)
+            rows, away = rows[keep], away[keep]
+            if not len(rows):
+                continue
+            leaf = "rows" in node
+            # stored distances to this pivot rule entries out before anything is computed for them
+            low = np.abs(away[:, None] - (node["away"] if leaf else node["parent"])) - (0 if leaf else node["radii"])
+            most = _most(square[rows][:, None], node["norms"], low)
+            may = most >= limit[rows][:, None]
+            if not leaf:
+                for j, child in enumerate(node["children"].tolist()):
+                    if may[:, j].any():
+                        wait(child, rows[may[:, j]], most[may[:, j], j])
                 continue
-            rows = "rows" in node
-            parent = node["away"] if rows else node["parent"]
-            low = np.abs(away - parent) - (0 if rows else node["radii"])
-            reach = _most(square, node["norms"], low)
-            ok = np.flatnonzero(reach >= limit)
-            if rows:
-                scores = np.rint(node["vectors"][ok] @ query).astype(np.int64)
-                ids = node["ids"][ok]
-                good = (scores >= limit) & (ids != own)
-                scores, ids = scores[good], ids[good]
-                for i in np.lexsort((ids, -scores))[:k]:
-                    item = (int(scores[i]), -int(ids[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                    else:
-                        break
-                if len(best) == k:
-                    limit = max(limit, best[0][0])
-            elif len(ok):
-                gap = np.sqrt(((node["pivots"][ok] - query) ** 2).sum(axis=1))
-                reach = _most(square, node["norms"][ok], gap - node["radii"][ok])
-                for r, c, d in zip(reach.tolist(), node["children"][ok].tolist(), gap.tolist()):
-                    if r >= limit:
-                        heapq.heappush(queue, (-r, c, d))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            some = np.flatnonzero(may.any(axis=0))
+            found = np.rint(queries[rows] @ node["vectors"][some].T)
+            found[~may[:, some] | (own[rows][:, None] == node["ids"][some])] = -np.inf
+            if len(some) >= k:
+                limit[rows], last[rows] = _raised(limit[rows], last[rows], np.partition(found, -k, axis=1)[:, -k])
+            edge, at_edge = limit[rows][:, None], node["ids"][some] < last[rows][:, None]
+            q, v = np.nonzero((found > -np.inf) & ((found > edge) | ((found == edge) & at_edge)))
+            if len(q):
+                touched = np.unique(rows[q])
+                place = np.concatenate([rows[q], np.repeat(touched, k)])
+                score = np.concatenate([found[q, v], scores[touched].ravel()])
+                name = np.concatenate([node["ids"][some][v], ids[touched].ravel()])
+                order = np.lexsort((name, -score, place))
+                place, score, name = place[order], score[order], name[order]
+                rank = np.arange(len(place)) - np.searchsorted(place, place)
+                first = rank < k
+                scores[place[first], rank[first]], ids[place[first], rank[first]] = score[first], name[first]
+                kth, tied = scores[touched, -1], scores[touched, -1] >= limit[touched]
+                limit[touched] = np.maximum(limit[touched], kth)
+                last[touched] = np.where(tied & (kth > -np.inf), ids[touched, -1], NO_ID)
+        place, rank = np.nonzero(scores > -np.inf)
+        return place, ids[place, rank], scores[place, rank].astype(np.int64)
+
+
+def _raised(limit: np.ndarray, last: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Limits raised to scores that ``k`` rows are known to reach; all ids count at a new limit."""
+    return np.maximum(limit, least), np.where(least > limit, NO_ID, last)
 
 
 def _most(square: float, norms: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -166,13 +195,15 @@ def _route(pivots: np.ndarray, directory: list, first: bool):
 
 def _search(k: int):
     def run(key, vectors, queries):
-        out = []
+        out = [(np.zeros(0, np.int64),) * 3]
         if len(vectors) and len(queries):
             tree = MTree(vectors["id"].to_numpy(), _matrix(vectors["vec"]))
-            for own, query, floor in zip(queries["id"].to_pylist(), _matrix(queries["vec"]), queries["floor"].to_pylist()):
-                out += [(own, i, s) for s, i in tree.search(query, own, k, floor)]
-        q, v, s = zip(*out) if out else ((), (), ())
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (q, v, s)], ["query_id", "vec_id", "score"])
+            own, asked, floors = queries["id"].to_numpy(), _matrix(queries["vec"]), queries["floor"].cast(pa.float64()).to_numpy()
+            for a in range(0, len(own), TOGETHER):
+                part = slice(a, a + TOGETHER)
+                place, ids, scores = tree.search(asked[part], own[part], k, floors[part])
+                out.append((own[part][place], ids, scores))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -125,13 +125,28 @@ def test_tree_avoids_distances():
     x = np.floor(centers[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16)) * 5)
     tree = mtree.MTree(np.arange(6000), x)
     seen, most = [], mtree._most
-    mtree._most = lambda *a: seen.append(len(a[1])) or most(*a)
+    mtree._most = lambda *a: seen.append(np.size(a[2])) or most(*a)
     try:
-        found = tree.search(x[0], 0, 20, None)
+        _, ids, scores = tree.search(x[:1], np.array([0]), 20, np.array([np.nan]))
     finally:
         mtree._most = most
     assert sum(seen) < 3000
-    assert found == sorted(((int(s), i) for i, s in enumerate(x @ x[0]) if i), key=lambda p: (-p[0], p[1]))[:20]
+    assert [*zip(scores, ids)] == sorted(((int(s), i) for i, s in enumerate(x @ x[0]) if i), key=lambda p: (-p[0], p[1]))[:20]
+
+
+def test_tree_searches_blocks():
+    rng = np.random.default_rng(2)
+    for case in range(12):
+        n, span, k = int(rng.integers(1, 1500)), int(rng.integers(1, 20)), int(rng.integers(1, 25))
+        x = rng.integers(-span, span + 1, (n, int(rng.integers(1, 9)))).astype(float)
+        x[:n // 2] = x[0] if case % 3 == 0 else x[:n // 2]
+        ids = rng.permutation(2 * n)[:n]
+        ids[:n // 4] = ids[0] if case % 5 == 0 else ids[:n // 4]
+        floors = np.where(np.arange(len(ids[::3])) % 2 * (case % 2), float(rng.integers(-span, span * span)), np.nan)
+        place, found, scores = mtree.MTree(ids, x).search(x[::3], ids[::3], k, floors)
+        for a, own in enumerate(ids[::3]):
+            every = sorted((-s, i) for s, i in zip((x @ x[3 * a]).astype(int).tolist(), ids.tolist()) if i != own and not s < floors[a])
+            assert [*zip((-scores[place == a]).tolist(), found[place == a].tolist())] == every[:k]
 
 
 def brute_targets(sizes):
