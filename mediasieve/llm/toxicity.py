@@ -32,40 +32,37 @@ def edits_of(term: str) -> int:
     return (len(term) >= 5) + (len(term) >= 9)
 
 
-class FuzzyTrie:
-    """Trie of words and word beginnings, walked by the product of all terms' Levenshtein automata.
+class Walk:
+    """A trie of terms met with all their Levenshtein automata, which are careful in the first half of a term.
 
-    A state is a set of (node, edits so far); states and steps are made when a word
-    first needs them and then remembered, so most words cost a few look-ups.
+    Of a misspelling with e edits one half of the term holds at most e // 2. A walk allows
+    only those before the middle and all of them after it; the walk over reversed terms
+    finds the others. So a state, a set of (node, edits so far), stays small. States and
+    steps are made when a word first needs them and then remembered.
     """
 
-    def __init__(self, words: list[str], stems: list[str], known: frozenset = frozenset()):
+    def __init__(self, terms: list[tuple[str, int, int]]):
         self.children: list[dict[str, int]] = [{}]
-        self.most, self.word, self.stem = [0], [-1], [False]
-        self.known = known
-        for term, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
-            at, edits = 0, 0 if is_stem else edits_of(term)
-            self.most[0] = max(self.most[0], edits)
-            for c in term:
+        self.most, self.word = [0], [-1]
+        for term, edits, middle in terms:
+            at = 0
+            self.most[0] = max(self.most[0], edits // 2)
+            for depth, c in enumerate(term, 1):
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
                     self.most.append(0)
                     self.word.append(-1)
-                    self.stem.append(False)
                 at = self.children[at][c]
-                self.most[at] = max(self.most[at], edits)
-            if is_stem:
-                self.stem[at] = True
-            else:
-                self.word[at] = edits
+                self.most[at] = max(self.most[at], edits // 2 if depth < middle else edits)
+            self.word[at] = edits
         self._forget()
 
     def _forget(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.start = self._number(self._closed({(0, 0)}))
+        self.start = self._number(self._closed([(0, 0)]))
 
     def _number(self, state: frozenset) -> int:
         if state not in self.numbers:
@@ -74,45 +71,81 @@ class FuzzyTrie:
             self.steps.append({})
         return self.numbers[state]
 
-    def _closed(self, state: set) -> frozenset:
+    def _closed(self, todo: list) -> frozenset:
         """With letters of a term left out."""
-        todo, best = list(state), {}
+        best: dict[int, int] = {}
         while todo:
             node, e = todo.pop()
             if e > self.most[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
-            todo += [(child, e + 1) for child in self.children[node].values()]
+            todo += [(child, e + 1) for child in self.children[node].values() if e < self.most[child]]
         return frozenset(best.items())
 
     def _step(self, number: int, c: str) -> int:
-        new = set()
+        new, most = [], self.most
         for node, e in self.states[number]:
-            new.add((node, e + 1))
+            if e < most[node]:
+                new.append((node, e + 1))
             for letter, child in self.children[node].items():
-                new.add((child, e if letter == c else e + 1))
+                if letter == c:
+                    new.append((child, e))
+                elif e < most[child]:
+                    new.append((child, e + 1))
         self.steps[number][c] = at = self._number(self._closed(new))
         return at
 
-    def match(self, word: str) -> int:
-        """0 no hit, 1 an entry itself (or a word that begins with a stem), 2 a misspelling."""
+    def accepts(self, word: str) -> bool:
+        """Within the edits of a term, not too many of them in its first half."""
         if len(self.states) > 50_000:
             self._forget()
-        at, exact = self.start, 0
+        at = self.start
         for c in word:
-            if exact >= 0:
-                exact = self.children[exact].get(c, -1)
-                if exact >= 0 and self.stem[exact]:
-                    return 1
             step = self.steps[at].get(c)
             at = self._step(at, c) if step is None else step
             if not self.states[at]:
-                return 0
-        if exact >= 0 and self.word[exact] >= 0:
+                return False
+        return any(self.word[node] >= e for node, e in self.states[at])
+
+
+class FuzzyTrie:
+    """Lexicon of words and word beginnings: a trie for the entries themselves, two walks for misspellings."""
+
+    def __init__(self, words: list[str], stems: list[str], known: frozenset = frozenset()):
+        self.children: list[dict[str, int]] = [{}]
+        self.word, self.stem, self.known = [False], [False], known
+        for term, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
+            at = 0
+            for c in term:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.word.append(False)
+                    self.stem.append(False)
+                at = self.children[at][c]
+            (self.stem if is_stem else self.word)[at] = True
+        inexact = [(w, edits_of(w), len(w) // 2) for w in words if edits_of(w)]
+        self.forth = Walk(inexact)
+        self.back = Walk([(w[::-1], edits, len(w) - middle) for w, edits, middle in inexact])
+
+    def holds(self, word: str) -> bool:
+        """An entry itself, or a word that begins with a stem."""
+        at = 0
+        for c in word:
+            at = self.children[at].get(c, -1)
+            if at < 0:
+                return False
+            if self.stem[at]:
+                return True
+        return self.word[at]
+
+    def match(self, word: str) -> int:
+        """0 no hit, 1 an entry itself (or a word that begins with a stem), 2 a misspelling."""
+        if self.holds(word):
             return 1
         if word in self.known:      # a word of its own in clean texts
             return 0
-        return 2 if any(self.word[node] >= e for node, e in self.states[at]) else 0
+        return 2 if self.forth.accepts(word) or self.back.accepts(word[::-1]) else 0
 
 
 def bare(word: str) -> str:
@@ -200,7 +233,7 @@ class Scorer:
             return 0
         whole = self.trie.match(core)
         if not whole and not core.isalnum():
-            whole = max((1 for piece in re.split(r"[\W_]+", core) if self.trie.match(piece) == 1), default=0)
+            whole = int(any(self.trie.holds(piece) for piece in re.split(r"[\W_]+", core)))
         return whole
 
     def features(self, texts: pa.Array) -> np.ndarray:
