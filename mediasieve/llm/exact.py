@@ -35,7 +35,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, carry, ship_rows: int)
     else:
         flagged = rows.withColumn("_shared", F.lit(True))
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    keyed = flagged.select("_id", *carried, order.alias("_order"), F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_hash"))
+    # row numbers are those of one scan: both sides of the join read the rows written here
+    keyed = materialize(flagged.select("_id", *carried, order.alias("_order"),
+                                       F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_hash")), "keyed")
     groups = (keyed.filter("_hash is not null").groupBy(F.col("_hash").alias("_key"))
               .agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
     groups = materialize(groups, "copies")
@@ -57,7 +59,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never cross a shuffle: when the shared keys are counted small they are
     broadcast, beyond that every row hashes in the scan. The smallest id of a
     group stays, null ids sort last; of rows that repeat the id as well, the
-    first one read stays. An empty table gives no rows.
+    first one read stays. Rows, their numbers and ``carry`` are written once and
+    read from there, since another scan may cut files elsewhere and number rows
+    anew. An empty table gives no rows.
     """
     marked = _marked(docs, id_col, text_col, carry, ship_rows)
     return marked.select(F.col("_id").alias(id_col), *[F.col(f"_carry_{c}").alias(c) for c in carry],

@@ -372,6 +372,24 @@ def test_exact_duplicates(spark, docs, ship_rows):
         assert kept.columns == df.columns and kept.count() == len(groups)
 
 
+def test_exact_duplicates_outlive_other_splits(spark, docs):
+    """Files are cut differently when the rows are read again, as after a lost executor."""
+    path = scratch_folder(spark, "copies")
+    docs.select("doc_id", F.concat(F.lit("text "), (F.col("doc_id") % 5).cast("string")).alias("text")).repartition(8).write.parquet(path)
+    df, cost = spark.read.parquet(path), "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost), spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", 8)
+        marked, kept = exact.mark_duplicates(df), exact.drop_duplicates(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        spark.conf.set(cost, 1)
+        assert df.rdd.getNumPartitions() < 8
+        assert marked.filter("kept").count() == 5 and kept.count() == 5
+    finally:
+        spark.conf.set(cost, before[0])
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before[1] is None else spark.conf.set("spark.sql.files.minPartitionNum", before[1])
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
