@@ -178,7 +178,7 @@ def learn_lexicon(table: DataFrame, rate: float) -> FuzzyTrie:
     stem_set = set(found)
     found = [s for s in found if not any(s[:k] in stem_set for k in range(STEM[0], len(s)))]
     words = [r[0] for r in table.filter(strong).orderBy(F.col("n1").desc(), "word").limit(TERMS).select("word").collect()]
-    words = [w for w in words if not any(w.startswith(s) for s in found)]
+    # words that begin with a stem stay: stems match only exactly, misspellings are met by words
     trie = FuzzyTrie(words, found)
 
     def near(batches):

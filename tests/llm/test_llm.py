@@ -228,6 +228,15 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(df, trie, weights).collect()} != set()
 
 
+def test_words_of_a_stem_keep_their_misspellings(spark):
+    family = ["grobian", "grobheit", "grobsack", "grobling"]
+    rows = [(w, 40, 0) for w in family] + [("freundlich", 2, 900), ("grabheit", 0, 30)]
+    trie = toxicity.learn_lexicon(spark.createDataFrame(rows, "word string, n1 long, n0 long"), 0.1)
+    assert [trie.match(w) for w in family] == [1, 1, 1, 1] and trie.match("grobes") == 1      # the stem is learned
+    assert [trie.match(w) for w in ("gr0bian", "gobling", "gorbsack")] == [2, 2, 0]           # a swap is two edits
+    assert trie.match("grabheit") == 0 and trie.match("freundlich") == 0                      # a word of clean texts
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
