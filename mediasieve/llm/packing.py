@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
-import math
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, slices, text_of, total_bytes
+from .common import freed, materialize, slices, text_of
 from .tokens import shared_encoder
 
 WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
-QUERY_TERMS = 32            # a seed asks with its heaviest terms
+ID_BYTES = 2 << 20         # bytes of ids whose terms are counted at once
 K1, B = 1.2, 0.75
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
 
 
+class Corpus(NamedTuple):
+    """Of all documents: how many hold each id, their number, their mean length."""
+
+    df: np.ndarray
+    n: int
+    mean: float
+
+
+def term_weights(df, tf, lengths, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """(BM25 weights of terms in documents, which of them tell documents apart)."""
+    idf = np.log1p((corpus.n - df + 0.5) / (df + 0.5))
+    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(1.0, corpus.mean)))
+    return weight, (df > 1) & (2 * df <= corpus.n)
+
+
 class Bm25:
-    """An inverted index over the documents of one shard."""
+    """An inverted index over the documents of one shard; weights are those of the corpus, or of the shard alone."""
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray, query_terms: int = QUERY_TERMS):
+    def __init__(self, ids: np.ndarray, at: np.ndarray, corpus: Corpus | None = None):
         n, lengths = len(at) - 1, np.diff(at)
         self.n = n
         pairs, tf = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
         terms, docs = pairs // n, pairs % n
         first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
         df = np.diff(np.r_[first, len(terms)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        useful = np.repeat((df > 1) & (2 * df <= n), df)        # terms that tell documents apart
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / max(1.0, lengths.mean())))
+        held = df if corpus is None else corpus.df[terms[first]]
+        weight, useful = term_weights(np.repeat(held, df), tf, lengths[docs], corpus or Corpus(df, n, lengths.mean() if n else 0.0))
         term = np.repeat(np.arange(len(df)), df)[useful]
         self.docs, self.weights = docs[useful], weight[useful]
         self.ptr = np.searchsorted(term, np.arange(len(df) + 1))
-        order = np.lexsort((-self.weights, self.docs))
-        rank = np.arange(len(order)) - np.searchsorted(self.docs[order], self.docs[order])
-        heavy = order[rank < query_terms]
-        self.query_terms, self.query_ptr = term[heavy], np.searchsorted(self.docs[heavy], np.arange(n + 1))
+        order = np.argsort(self.docs, kind="stable")
+        self.query_terms, self.query_ptr = term[order], np.searchsorted(self.docs[order], np.arange(n + 1))
 
     def neighbours(self, doc: int, used: np.ndarray) -> list[int]:
         """Unused documents by falling score, ties to the smaller position."""
@@ -61,12 +73,13 @@ class Bm25:
         return found[np.lexsort((found, -scores))].tolist()
 
 
-def packing_order(ids: np.ndarray, at: np.ndarray, seeds: np.ndarray, window: int = WINDOW) -> list[int]:
+def packing_order(ids: np.ndarray, at: np.ndarray, seeds: np.ndarray, window: int = WINDOW,
+                  corpus: Corpus | None = None) -> list[int]:
     """Documents in packing order: each window's seed, then its unused neighbours until it is full.
 
     A document cut by the end of a window seeds the next one.
     """
-    index, n, lengths = Bm25(ids, at), len(at) - 1, np.diff(at).tolist()
+    index, n, lengths = Bm25(ids, at, corpus), len(at) - 1, np.diff(at).tolist()
     used, order, filled, fresh = np.zeros(n, bool), [], 0, iter(seeds.tolist())
     waiting = iter(())
     while len(order) < n:
@@ -96,18 +109,118 @@ def window_starts(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def _pack(tokenizer: str, kind: str, end_id: int, window: int, seed: int):
-    def run(key, table):
+def _encode(tokenizer: str, kind: str, end_id: int):
+    def run(batches):
         encoder = shared_encoder(tokenizer, kind)
-        doc_ids, parts, sizes = [], [], []
-        for batch in table.select(["doc_id", "text"]).to_batches():
+        for batch in batches:
             for part in slices(batch, 1):
                 flat, at = encoder.encode(part.column(1), end_id)
-                doc_ids += part.column(0).to_pylist()
-                parts.append(flat)
-                sizes.append(np.diff(at))
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [
+                    None, pa.py_buffer(4 * np.asarray(at, np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(2)], ["doc_id", "ids", "n_bytes"])
+
+    return run
+
+
+def _flat(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all documents in a row, bounds of each) from their bytes."""
+    held = held.cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64)[held.offset:held.offset + len(held) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<u4"), (at - at[0]) // 4
+
+
+def _document_terms(ids: np.ndarray, at: np.ndarray):
+    """(document, term, times), by document and term."""
+    pairs, tf = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) << 32 | ids.astype(np.int64), return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, tf
+
+
+def _counted(batches):
+    df = np.zeros(0, np.int64)
+    for batch in batches:
+        for part in slices(batch, 0, ID_BYTES):
+            n = np.bincount(_document_terms(*_flat(part.column(0)))[1])
+            df, n = (df, n) if len(df) > len(n) else (n, df)
+            df[:len(n)] += n
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], ["term", "n"])
+
+
+def corpus_of(encoded: DataFrame) -> Corpus:
+    """Document frequencies over all documents: one number per id of the vocabulary."""
+    n, mean = encoded.agg(F.count("*"), F.avg(F.octet_length("ids") / 4)).first()
+    found = encoded.select("ids").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = found["term"].to_numpy()
+    df = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
+    df[terms] = found["n"].to_numpy()
+    return Corpus(df, n, float(mean or 0))
+
+
+def heaviest(ids: np.ndarray, at: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """Each document's two heaviest terms, ties to the smaller; -1 where there are none."""
+    docs, terms, tf = _document_terms(ids, at)
+    weight, useful = term_weights(corpus.df[terms], tf, np.diff(at)[docs], corpus)
+    docs, terms, weight = docs[useful], terms[useful], weight[useful]
+    order = np.lexsort((terms, -weight, docs))
+    docs, terms = docs[order], terms[order]
+    rank = np.arange(len(docs)) - np.searchsorted(docs, docs)
+    top = np.full((len(at) - 1, 2), -1, np.int64)
+    top[docs[rank < 2], rank[rank < 2]] = terms[rank < 2]
+    return top
+
+
+def _keyed(corpus: Corpus):
+    def run(batches):
+        for part in (p for batch in batches for p in slices(batch, 1, ID_BYTES)):
+            top = heaviest(*_flat(part.column(1)), corpus)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(top[:, 0]), pa.array(top[:, 1])], ["doc_id", "ids", "n_bytes", "_t1", "_t2"])
+
+    return run
+
+
+def _split_up(rows: DataFrame, by: list[str], sizes, shard_bytes: int, part: Column, name: str) -> DataFrame:
+    """``name``: 0, or for keys of more than a shard one of as many parts as their size asks for."""
+    parts = [(*key, -(-size // shard_bytes)) for key, size in sizes if size > shard_bytes]
+    if not parts:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    table = rows.sparkSession.createDataFrame(parts, ", ".join(f"{c} long" for c in [*by, "_parts"]))
+    return rows.join(F.broadcast(table), by, "left").withColumn(name, F.pmod(part, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+
+def _sizes(rows: DataFrame, by: list[str]):
+    return [(tuple(r)[:-1], r[-1]) for r in rows.groupBy(*by).agg(F.sum("n_bytes")).collect()]
+
+
+def deal(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """``_shard`` of each row: documents with the same heaviest term meet.
+
+    Terms of more than a shard are split by the second term, and what is still
+    too large (copies) by a hash of the row, each into as many parts as its
+    measured size asks for; small terms share a shard. Collected are one size per
+    id of the vocabulary and per part of a large one.
+    """
+    rows = _split_up(rows, ["_t1"], _sizes(rows, ["_t1"]), shard_bytes, F.xxhash64("_t2"), "_p2")
+    by = ["_t1", "_p2"]
+    rows = _split_up(rows, by, _sizes(rows, by), shard_bytes, F.xxhash64("doc_id", "ids"), "_p3")
+    by, places, shard, filled = [*by, "_p3"], [], 0, 0
+    for key, size in sorted(_sizes(rows, by)):
+        if filled and filled + size > shard_bytes:
+            shard, filled = shard + 1, 0
+        filled += size
+        places.append((*key, shard))
+    if not places:
+        return rows.withColumn("_shard", F.lit(0).cast("long"))
+    table = rows.sparkSession.createDataFrame(places, ", ".join(f"{c} long" for c in [*by, "_shard"]))
+    return rows.join(F.broadcast(table), by)
+
+
+def _pack(window: int, seed: int, corpus: Corpus):
+    def run(key, table):
         shard = key[0].as_py()
-        ids, lengths = np.concatenate(parts), np.concatenate(sizes)
+        lists = [_flat(chunk) for chunk in table.column("ids").chunks]
+        doc_ids = table.column("doc_id").to_pylist()
+        ids, lengths = np.concatenate([f for f, _ in lists]), np.concatenate([np.diff(a) for _, a in lists])
         # a fixed order of rows whatever way the shuffle brings them
         at = np.concatenate([[0], np.cumsum(lengths)])
         sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1], at[1:])]
@@ -115,7 +228,7 @@ def _pack(tokenizer: str, kind: str, end_id: int, window: int, seed: int):
         ids = np.concatenate([ids[at[i]:at[i + 1]] for i in rows])
         lengths, doc_ids = lengths[rows], [doc_ids[i] for i in rows]
         at = np.concatenate([[0], np.cumsum(lengths)])
-        order = np.array(packing_order(ids, at, np.random.default_rng([seed, shard]).permutation(len(rows)), window))
+        order = np.array(packing_order(ids, at, np.random.default_rng([seed, shard]).permutation(len(rows)), window, corpus))
         ends = np.cumsum(lengths[order])
         begins = ends - lengths[order]
         sequences = window_starts(int(ends[-1]), window)
@@ -139,15 +252,21 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1,
          shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` ids.
 
-    Rows are dealt by a hash of id and text into shards of about ``shard_bytes``,
-    so copies, repeated and null ids spread. A shard builds a BM25 index over its
+    Documents are encoded once; document frequencies are those of all of them.
+    Documents with the same heaviest term are dealt to the same shard of about
+    ``shard_bytes`` (see ``deal``). A shard builds a BM25 index over its
     documents; each window starts with a seed (or the rest of the document the
-    last window cut) and takes that seed's best unused neighbours until it is
+    last window cut) and takes that seed's best unused neighbours of its shard,
+    asked for with all its terms, until it is
     full. Documents are cut where a window ends, so only a shard's last window
     is short; it is split into powers of two, which need no padding. A null or
     empty text is its end id alone; an empty table gives no rows.
     """
-    shards = max(1, math.ceil(total_bytes(docs, text_col) / shard_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return rows.groupBy("_shard").applyInArrow(_pack(tokenizer, kind, end_id, window, seed), PIECES)
+    rows = rows.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
+    columns = "doc_id long, ids binary, n_bytes long"
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer, kind, end_id), columns), "packing_ids")
+    corpus = corpus_of(encoded)
+    keyed = encoded.mapInArrow(_keyed(corpus), columns + ", _t1 long, _t2 long")      # made anew for each size: less disk
+    dealt = deal(keyed, shard_bytes).select("_shard", "doc_id", "ids")
+    return dealt.groupBy("_shard").applyInArrow(_pack(window, seed, corpus), PIECES)

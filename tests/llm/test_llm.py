@@ -310,6 +310,32 @@ def test_packing_takes_neighbours():
     assert sorted(packed) == list(range(64)) and sum(a == b for a, b in zip(topic[:-1], topic[1:])) >= 48
 
 
+def test_packing_neighbours_meet_over_shards(spark):
+    """Of pairs that brute force over all documents finds nearest to each other, most share a shard."""
+    rng, words = np.random.default_rng(4), "river stone cloud table horse glass paper light winter garden music bread".split()
+    names = [f"{a}{b}{c}" for a in words for b in words for c in ("ton", "berg")]
+    texts = []
+    for t in range(150):
+        own, common = names[t], rng.choice(words, 60).tolist()
+        texts += [f"{own} {own} {own} " + " ".join(rng.permutation(common[:50 + k])) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = packing.pack(df, WORD, shard_bytes=20_000).collect()
+    check_pieces(found, list(enumerate(texts)))
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in found}
+    tokenizer = Tokenizer.from_file(WORD)
+    encoded = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(e) for e in encoded])])
+    whole = packing.Bm25(np.concatenate(encoded).astype(np.uint32), at)
+    best = []
+    for d in range(len(texts)):
+        used = np.zeros(len(texts), bool)
+        used[d] = True
+        best += [(d, n) for n in whole.neighbours(d, used)[:3]]
+    share = sum(shard[a] == shard[b] for a, b in best) / len(best)
+    print("neighbour share", share, "shards", len(set(shard.values())))
+    assert len(set(shard.values())) >= 6 and share > 0.5
+
+
 def brute_repeats(rows, length=50):
     ranked = [(i if i is not None else math.inf, i, t.encode()) for i, t in rows]
     first = {}
