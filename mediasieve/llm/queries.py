@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import exact, mixing, mtree, packing, quality, repeats, simhash, token_counts, token_files, toxicity
+from . import (conversations, exact, lines, mixing, mtree, packing, quality, repeats, simhash, spelling, token_counts, token_files,
+               toxicity)
 from .common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-LIMIT, END_ID, K, QUERY_EVERY = 512, 1, 20, 20
+LIMIT, END_ID, K, QUERY_EVERY, DAMAGE_EVERY = 512, 1, 20, 20, 97
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word, with misspellings planted in the texts."""
+    return spelling.spelling_variants(spelling.count_words(documents(spark, sf_dir), damage_every=DAMAGE_EVERY))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost, audit and digest of the repair of every damaged conversation."""
+    given = documents(spark, sf_dir, "conversations")
+    return conversations.summary_with_digests(given, conversations.repair(conversations.damaged(given)))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as repeats, and the digest of the rest."""
+    kept = lines.drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_top_k, op3_mix_sources, op4_toxicity, op5_packing, op6_repeats,
-                                   op7_token_files, op8_exact_dedup, op9_simhash, op10_quality)}
+                                   op7_token_files, op8_exact_dedup, op9_simhash, op10_quality, op11_spelling, op12_conversations,
+                                   op13_line_dedup)}
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -92,5 +111,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM t
+""",
+    "op13_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, r.keep IS NOT NULL AND r.keep <> k.doc_id AS dropped FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
 }
