@@ -18,7 +18,7 @@ RUN = r"[A-Za-zÀ-ÿ]+"     # fixed: a word of the contract
 HELD_WORDS = 400_000                # counts a task holds before it hands them on
 LEVELS = 16                 # walked one by one; what is still alive then (long words that part late) is looked up
 MODULUS, BASE = (1 << 61) - 1, 1_000_003_579
-STATE = "wid long, pos int, node long, edits int, chars array<int>, rest array<long>"
+STATE = "wid long, node long, edits int, left string"
 
 
 def _counts(min_length: int, damage_every: int):
@@ -69,9 +69,18 @@ def _chain(start: int, codes) -> list[int]:
 
 
 def _paths(word: str):
-    """Per direction: (code points with an end mark of 0, ids of prefixes, ids of suffixes)."""
-    for side, codes in ((1, [*map(ord, word), 0]), (2, [*map(ord, reversed(word)), 0])):
-        yield codes, _chain(side, codes), _chain(0, reversed(codes))[::-1]
+    """Per direction: (the word in that direction, its code points with an end mark of 0, ids of prefixes)."""
+    for side, own in ((1, word), (2, word[::-1])):
+        codes = [*map(ord, own), 0]
+        yield own, codes, _chain(side, codes)
+
+
+def _tail(rest: str) -> int:
+    """What Spark's ``xxhash64`` gives for the string."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(rest.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _edges(batches):
@@ -80,27 +89,24 @@ def _edges(batches):
     for part in (p for batch in batches for p in slices(batch, 1, 1 << 18)):
         rows = []
         for wid, word in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            for codes, nodes, rest in _paths(word):
-                rows += [(nodes[d], codes[d], nodes[d + 1], wid, rest[d + 1]) for d in range((len(word) - 1) // 2, len(codes))]
+            for own, codes, nodes in _paths(word):
+                rows += [(nodes[d], codes[d], nodes[d + 1], wid, _tail(own[d + 1:])) for d in range((len(word) - 1) // 2, len(codes))]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
 def _seeds(batches):
-    """Both states of each word: halfway down its own path, no edit spent."""
+    """Both states of each word: halfway down its own path, no edit spent, the rest of it left."""
     for part in (p for batch in batches for p in slices(batch, 1, 1 << 18)):
-        wids, at, chars, rests = [], [], [], []
+        wids, at, left = [], [], []
         for wid, word in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             h = len(word) // 2
-            for codes, nodes, rest in _paths(word):
+            for own, _, nodes in _paths(word):
                 wids.append(wid)
                 at.append(nodes[h])
-                chars.append(codes[h:])
-                rests.append(rest[h:])
-        zero = pa.array([0] * len(wids), pa.int32())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(wids, pa.int64()), zero, pa.array(at, pa.int64()), zero, pa.array(chars, pa.list_(pa.int32())),
-            pa.array(rests, pa.list_(pa.int64()))], [c.split()[0] for c in STATE.split(", ")])
+                left.append(own[h:])
+        yield pa.RecordBatch.from_arrays([pa.array(wids, pa.int64()), pa.array(at, pa.int64()), pa.array([0] * len(wids), pa.int32()), pa.array(left, pa.string())],
+                                         [c.split()[0] for c in STATE.split(", ")])
 
 
 def edge_table(words: DataFrame) -> DataFrame:
@@ -112,41 +118,41 @@ def edge_table(words: DataFrame) -> DataFrame:
 
 
 def _step(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """States one level down, and with ``other`` set the neighbours reached."""
-    met = frontier.join(nodes, "node").select("wid", "pos", "edits", "chars", "rest", F.inline("children"))
-    here = F.col("chars")[F.col("pos")]
-    match, ahead = F.col("c") == here, F.struct((F.col("pos") + 1).alias("pos"), F.col("edits").alias("edits"))
-    spent = F.lit(1).alias("edits")
-    replaced = F.when((F.col("c") > here) & (here != 0), F.struct((F.col("pos") + 1).alias("pos"), spent))
-    inserted = F.when(F.col("c") != 0, F.struct(F.col("pos").alias("pos"), spent))
-    moves = F.when(match, F.array(ahead)).when(F.col("edits") == 0, F.array_compact(F.array(replaced, inserted)))
-    moved = met.select("wid", "chars", "rest", "child", "n", "other", "tail", F.explode(moves).alias("to"))
+    """States one level down, and with ``other`` set the neighbours reached; a state's position is where ``left`` begins."""
+    here, fresh = F.ascii("left"), F.col("edits") == 0
+    useful = F.when(fresh, F.col("children")).otherwise(F.filter("children", lambda child: child["c"] == here))
+    met = frontier.join(nodes, "node").select("wid", "edits", "left", F.inline(useful))
+    ahead = F.substring("left", 2, 1 << 30)
+    replaced = F.when((F.col("c") > here) & (here != 0), F.struct(F.lit(1).alias("edits"), ahead.alias("left")))
+    inserted = F.when(F.col("c") != 0, F.struct(F.lit(1).alias("edits"), "left"))
+    moves = F.when(F.col("c") == here, F.array(F.struct("edits", ahead.alias("left")))).otherwise(F.array_compact(F.array(replaced, inserted)))
+    moved = met.select("wid", "child", "n", "other", "tail", F.explode(moves).alias("to"))
     single = F.col("n") == 1
-    arrived = single & (F.col("to.edits") == 1) & (F.col("tail") == F.col("rest")[F.col("to.pos")])
+    arrived = single & (F.col("to.edits") == 1) & (F.col("tail") == F.xxhash64("to.left"))
     return moved.filter(~single | arrived).select(
-        "wid", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"),
-        *[F.when(~single, F.col(c)).alias(c) for c in ("chars", "rest")], F.when(single, F.col("other")).alias("other"))
+        "wid", F.col("child").alias("node"), F.col("to.edits").alias("edits"), F.when(~single, F.col("to.left")).alias("left"), F.when(single, F.col("other")).alias("other"))
 
 
 def _unrolled(batches):
     """Of words still on their own path, the state at each further position, with ids of what follows instead of the word."""
     names, types = ["wid", "node", "here", "same", "after"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for part in (p for batch in batches for p in slices(batch, 2, 1 << 18)):
         rows = []
-        for wid, pos, node, chars, rest in zip(*(c.to_pylist() for c in batch.columns)):
-            nodes = _chain(node, chars[pos:])
-            rows += [(wid, nodes[p - pos], chars[p], rest[p], rest[p + 1]) for p in range(pos, len(chars))]
+        for wid, node, left in zip(*(c.to_pylist() for c in part.columns)):
+            codes = [*map(ord, left), 0]
+            nodes, tails = _chain(node, codes), [_tail(left[p:]) for p in range(len(left) + 2)]
+            rows += [(wid, nodes[p], codes[p], tails[p], tails[p + 1]) for p in range(len(codes))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
 def _looked_up(frontier: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
     """(``wid``, ``other``) of the states left: an edge spends the edit, and node and id of the rest together find the word."""
-    rows = frontier.filter("edits = 0").select("wid", "pos", "node", "chars", "rest")
+    rows = frontier.filter("edits = 0").select("wid", "node", "left")
     rows = rows.mapInArrow(_unrolled, "wid long, node long, here int, same long, after long")
     met = rows.join(nodes, "node").select("wid", "here", "same", "after", F.inline("children")).filter("c <> here and c <> 0")
     wanted = F.array_compact(F.array("same", F.when((F.col("c") > F.col("here")) & (F.col("here") != 0), F.col("after"))))
     spent = met.select("wid", F.col("child").alias("node"), F.explode(wanted).alias("tail"))
-    spent = spent.unionByName(frontier.filter("edits = 1").select("wid", "node", F.col("rest")[F.col("pos")].alias("tail")))
+    spent = spent.unionByName(frontier.filter("edits = 1").select("wid", "node", F.xxhash64("left").alias("tail")))
     tails = words.filter(F.length("word") > LEVELS).select("wid", "word").mapInArrow(_edges, "node long, c int, child long, wid long, tail long")
     return spent.join(tails.select(F.col("child").alias("node"), "tail", F.col("wid").alias("other")), ["node", "tail"]).select("wid", "other")
 
