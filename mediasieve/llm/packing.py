@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import freed, materialize, slices, text_of
@@ -16,6 +17,7 @@ from .tokens import shared_encoder
 WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
 ID_BYTES = 2 << 20         # bytes of ids whose terms are counted at once
+PLACES = 500_000            # rows of four longs up to which a table of places is broadcast
 K1, B = 1.2, 0.75
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
@@ -132,8 +134,10 @@ def _flat(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _document_terms(ids: np.ndarray, at: np.ndarray):
     """(document, term, times), by document and term."""
-    pairs, tf = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) << 32 | ids.astype(np.int64), return_counts=True)
-    return pairs >> 32, pairs & 0xFFFFFFFF, tf
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    kind = np.uint32 if bits + len(at).bit_length() <= 32 else np.uint64       # half the width sorts in half the time
+    pairs, tf = np.unique(np.repeat(np.arange(len(at) - 1, dtype=kind) << kind(bits), np.diff(at)) | ids.astype(kind), return_counts=True)
+    return (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64), tf
 
 
 def _counted(batches):
@@ -170,49 +174,75 @@ def heaviest(ids: np.ndarray, at: np.ndarray, corpus: Corpus) -> np.ndarray:
     return top
 
 
-def _keyed(corpus: Corpus):
+def _keyed(corpus: Corpus, names: list[str]):
+    """The named columns and ``_t1``, ``_t2``: the two heaviest terms."""
     def run(batches):
-        for part in (p for batch in batches for p in slices(batch, 1, ID_BYTES)):
-            top = heaviest(*_flat(part.column(1)), corpus)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(top[:, 0]), pa.array(top[:, 1])], ["doc_id", "ids", "n_bytes", "_t1", "_t2"])
+        for part in (p for batch in batches for p in slices(batch, batch.schema.get_field_index("ids"), ID_BYTES)):
+            top = heaviest(*_flat(part.column("ids")), corpus)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(top[:, 0]), pa.array(top[:, 1])], [*names, "_t1", "_t2"])
 
     return run
 
 
-def _split_up(rows: DataFrame, by: list[str], sizes, shard_bytes: int, part: Column, name: str) -> DataFrame:
-    """``name``: 0, or for keys of more than a shard one of as many parts as their size asks for."""
-    parts = [(*key, -(-size // shard_bytes)) for key, size in sizes if size > shard_bytes]
-    if not parts:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    table = rows.sparkSession.createDataFrame(parts, ", ".join(f"{c} long" for c in [*by, "_parts"]))
-    return rows.join(F.broadcast(table), by, "left").withColumn(name, F.pmod(part, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+class Dealing(NamedTuple):
+    """Parts of large first terms, parts of large pairs of terms, and the shard of each part."""
 
+    seconds: DataFrame
+    thirds: DataFrame
+    places: DataFrame
 
-def _sizes(rows: DataFrame, by: list[str]):
-    return [(tuple(r)[:-1], r[-1]) for r in rows.groupBy(*by).agg(F.sum("n_bytes")).collect()]
 
+def _met(rows: DataFrame, table: DataFrame, by: list[str], how: str) -> DataFrame:
+    """A join whose right side is broadcast when a bounded count proves it small, else left to the planner."""
+    small = table.limit(PLACES + 1).count() <= PLACES
+    return rows.join(F.broadcast(table) if small else table, by, how)
 
-def deal(rows: DataFrame, shard_bytes: int) -> DataFrame:
-    """``_shard`` of each row: documents with the same heaviest term meet.
+
+def _parts(sizes: DataFrame, by: list[str], shard_bytes: int) -> DataFrame:
+    """As many parts as its size asks for, of each key of more than a shard."""
+    large = sizes.groupBy(*by).agg(F.sum("n_bytes").alias("n_bytes")).filter(F.col("n_bytes") > shard_bytes)
+    return materialize(large.select(*by, F.ceil(F.col("n_bytes") / shard_bytes).alias("_parts")), "packing_parts")
+
+
+def _split_up(rows: DataFrame, by: list[str], parts: DataFrame, part: Column, name: str) -> DataFrame:
+    return _met(rows, parts, by, "left").withColumn(name, F.pmod(part, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+
+def _running(batches):
+    """Bytes before each row in its partition, and the partition."""
+    pid, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        sizes = batch.column(batch.schema.get_field_index("n_bytes")).to_numpy()
+        ends = before + np.cumsum(sizes)
+        before = int(ends[-1]) if len(ends) else before
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pid] * len(sizes), pa.int64()), pa.array(ends - sizes)], [*batch.schema.names, "_pid", "_before"])
+
+
+def _placed(rows: DataFrame, dealing: Dealing) -> DataFrame:
+    rows = _split_up(rows, ["_t1"], dealing.seconds, F.xxhash64("_t2"), "_p2")
+    return _split_up(rows, ["_t1", "_p2"], dealing.thirds, F.col("_row_hash"), "_p3")
+
+
+def dealing(keys: DataFrame, shard_bytes: int) -> Dealing:
+    """How documents are dealt, from narrow rows (``_t1``, ``_t2``, ``_row_hash``, ``n_bytes``).
 
     Terms of more than a shard are split by the second term, and what is still
     too large (copies) by a hash of the row, each into as many parts as its
-    measured size asks for; small terms share a shard. Collected are one size per
-    id of the vocabulary and per part of a large one.
+    measured size asks for. Parts are numbered by a running sum of their sizes over ranges of
+    (term, part): small terms share a shard. Nothing that grows with the input is collected; one sum per
+    partition meets in a small window.
     """
-    rows = _split_up(rows, ["_t1"], _sizes(rows, ["_t1"]), shard_bytes, F.xxhash64("_t2"), "_p2")
-    by = ["_t1", "_p2"]
-    rows = _split_up(rows, by, _sizes(rows, by), shard_bytes, F.xxhash64("doc_id", "ids"), "_p3")
-    by, places, shard, filled = [*by, "_p3"], [], 0, 0
-    for key, size in sorted(_sizes(rows, by)):
-        if filled and filled + size > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += size
-        places.append((*key, shard))
-    if not places:
-        return rows.withColumn("_shard", F.lit(0).cast("long"))
-    table = rows.sparkSession.createDataFrame(places, ", ".join(f"{c} long" for c in [*by, "_shard"]))
-    return rows.join(F.broadcast(table), by)
+    seconds = _parts(keys, ["_t1"], shard_bytes)
+    split = _split_up(keys, ["_t1"], seconds, F.xxhash64("_t2"), "_p2")
+    thirds = _parts(split, ["_t1", "_p2"], shard_bytes)
+    by = ["_t1", "_p2", "_p3"]
+    sizes = _split_up(split, by[:2], thirds, F.col("_row_hash"), "_p3").groupBy(*by).agg(F.sum("n_bytes").alias("n_bytes"))
+    ordered = materialize(sizes, "packing_sizes").repartitionByRange(*by).sortWithinPartitions(*by)
+    runs = materialize(ordered.mapInArrow(_running, "_t1 long, _p2 long, _p3 long, n_bytes long, _pid long, _before long"), "packing_runs")
+    base = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)        # one row per partition
+    offsets = runs.groupBy("_pid").agg(F.sum("n_bytes").alias("n")).select("_pid", F.coalesce(F.sum("n").over(base), F.lit(0)).alias("_base"))
+    shard = F.floor((F.col("_before") + F.col("_base")) / shard_bytes)
+    return Dealing(seconds, thirds, materialize(runs.join(offsets, "_pid").select(*by, shard.alias("_shard")), "packing_places"))
 
 
 def _pack(window: int, seed: int, corpus: Corpus):
@@ -254,19 +284,24 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1,
 
     Documents are encoded once; document frequencies are those of all of them.
     Documents with the same heaviest term are dealt to the same shard of about
-    ``shard_bytes`` (see ``deal``). A shard builds a BM25 index over its
+    ``shard_bytes`` (see ``dealing``). A shard builds a BM25 index over its
     documents; each window starts with a seed (or the rest of the document the
     last window cut) and takes that seed's best unused neighbours of its shard,
     asked for with all its terms, until it is
     full. Documents are cut where a window ends, so only a shard's last window
     is short; it is split into powers of two, which need no padding. A null or
-    empty text is its end id alone; an empty table gives no rows.
+    empty text is its end id alone; rows with a null or a repeated id are packed
+    like others, under the id they have; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
-    columns = "doc_id long, ids binary, n_bytes long"
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer, kind, end_id), columns), "packing_ids")
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer, kind, end_id), "doc_id long, ids binary, n_bytes long"), "packing_ids")
     corpus = corpus_of(encoded)
-    keyed = encoded.mapInArrow(_keyed(corpus), columns + ", _t1 long, _t2 long")      # made anew for each size: less disk
-    dealt = deal(keyed, shard_bytes).select("_shard", "doc_id", "ids")
+    encoded = encoded.withColumn("_row_hash", F.xxhash64("doc_id", "ids"))
+    terms = "_row_hash long, _t1 long, _t2 long"
+    keys = encoded.select("n_bytes", "_row_hash", "ids").mapInArrow(_keyed(corpus, ["n_bytes", "_row_hash"]), f"n_bytes long, {terms}")
+    plan = dealing(materialize(keys, "packing_terms"), shard_bytes)
+    # the terms are found once more where the ids leave for their shards: less disk than ids with a key written again
+    keyed = encoded.select("doc_id", "_row_hash", "ids").mapInArrow(_keyed(corpus, ["doc_id", "ids", "_row_hash"]), f"doc_id long, ids binary, {terms}")
+    dealt = _met(_placed(keyed, plan), plan.places, ["_t1", "_p2", "_p3"], "inner").select("_shard", "doc_id", "ids")
     return dealt.groupBy("_shard").applyInArrow(_pack(window, seed, corpus), PIECES)

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 MARK = "~"
 CUT = r"([A-Za-z0-9])([.,;:!?])"
 JOINED, LEARNED = 64, 4096      # words encoded as one text, pieces learned at once
-MEMO = 1_000_000                # pieces remembered by one worker
+MEMO_BYTES = 48 << 20           # about what one worker remembers pieces with
+PIECE_BYTES = 150               # of one piece besides its letters and ids
 
 
 def file_digest(path: str) -> str:
@@ -57,8 +58,22 @@ class Encoder:
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.starts, self.lengths, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.used = self.letters = 0
+
+    def _held_bytes(self) -> int:
+        return PIECE_BYTES * len(self.code) + self.letters + 4 * self.used
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that most batches held."""
+        n, pieces = len(self.code), list(self.code)
+        starts, lengths, uses, ids = self.starts[:n], self.lengths[:n], self.uses[:n], self.ids
+        stay = np.sort(np.argsort(-uses, kind="stable")[:n // 2])
+        self._clear()
+        spans = lengths[stay]
+        flat = ids[np.repeat(starts[stay] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
+        self._store([pieces[i] for i in stay.tolist()], flat, spans)
+        self.uses[:len(stay)] = uses[stay] // 2
 
     def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, ids of each)."""
@@ -82,11 +97,13 @@ class Encoder:
         while k + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[self.used:self.used + len(flat)] = flat
         self.starts[k:k + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[k:k + n] = lengths
         self.code.update(zip(pieces, range(k, k + n)))
         self.used += len(flat)
+        self.letters += sum(map(len, pieces))
 
     def _learn(self, pieces: list[str]) -> None:
         together = [w for w in pieces if MARK not in w] if self.mark is not None else []
@@ -123,12 +140,12 @@ class Encoder:
             coded = self._folded(dictionary).dictionary_encode()
             indices, dictionary = coded.indices.to_numpy(zero_copy_only=False)[indices], coded.dictionary
         words = dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in words if w not in self.code]
-        if len(self.code) + len(new) > MEMO:
-            self._clear()
-            new = words
-        self._learn(new)
-        return bounds, np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))[indices]
+        if self._held_bytes() > MEMO_BYTES:
+            self._forget()
+        self._learn([w for w in words if w not in self.code])
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        self.uses[codes] += 1
+        return bounds, codes[indices]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text (null: none)."""
