@@ -25,7 +25,7 @@ MOST_PIVOTS = 4096          # routing vectors, the bounded sample of the upper l
 BLOCK = 8192                # queries that one task asks of one tree
 TOGETHER = 1024             # of them that walk the tree at once
 NO_ID = np.iinfo(np.int64).max
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, vec_id long, score long, q long"
 
 
 class MTree:
@@ -188,22 +188,23 @@ def _route(pivots: np.ndarray, directory: list, first: bool):
                 out[1].extend(directory[s][0] for s in asked)
             rows = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), *[c.take(rows) for c in batch.columns]],
-                                             ["shard", "id", "vec", "floor"])
+                                             ["shard", "id", "vec", "floor", "q"])
 
     return run
 
 
 def _search(k: int):
     def run(key, vectors, queries):
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64),) * 4]
         if len(vectors) and len(queries):
             tree = MTree(vectors["id"].to_numpy(), _matrix(vectors["vec"]))
+            numbers = queries["q"].to_numpy()
             own, asked, floors = queries["id"].to_numpy(), _matrix(queries["vec"]), queries["floor"].cast(pa.float64()).to_numpy()
             for a in range(0, len(own), TOGETHER):
                 part = slice(a, a + TOGETHER)
                 place, ids, scores = tree.search(asked[part], own[part], k, floors[part])
-                out.append((own[part][place], ids, scores))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+                out.append((own[part][place], ids, scores, numbers[part][place]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score", "q"])
 
     return run
 
@@ -215,7 +216,7 @@ def _ask(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     copies = (vectors.join(F.broadcast(blocks), "shard")        # at most MOST_SHARDS rows
               .select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vec"))
     dealt = asked.join(F.broadcast(blocks), "shard").select(
-        "shard", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec", "floor")
+        "shard", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec", "floor", "q")
     return copies.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_search(k), FOUND)
 
 
@@ -229,19 +230,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     ids and vectors that are null or hold null or non-finite components take no
     part; vectors of different lengths are never compared; ties go to the smaller
     id, a query is never compared with rows of its own id. Rows that repeat an id
-    are candidates each. An empty table gives no rows.
+    are candidates each; as queries, equal rows ask once and different vectors of
+    one id ask each for itself, with ranks of their own. An empty table gives no rows.
     """
     rows = vectors.filter(usable(vec_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), quantized(vec_col, scale).alias("vec"), is_query.alias("is_query"))
     rows = materialize(rows, "vectors")
-    parts = [_top_k(rows.filter(F.size("vec") == size), k, shard_rows)
+    parts = [_top_k(rows.filter(F.size("vec") == size), k, shard_rows).withColumn("size", F.lit(size))
              for (size,) in rows.select(F.size("vec")).distinct().collect()]      # one row per vector length
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    rank = Window.partitionBy("size", "q").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -260,10 +262,11 @@ def _top_k(rows: DataFrame, k: int, shard_rows: int) -> DataFrame:
     sharded = placed.join(F.broadcast(pages), "page").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("id"), F.col("trees")))
     directory = [tuple(r) for r in sharded.groupBy("shard", "page").agg(F.max("away"), F.max("norm")).orderBy("shard").collect()]
     trees = sharded.select("shard", "id", "vec")
-    asks = "shard long, id long, vec array<double>, floor long"
-    queries = rows.filter("is_query").select("id", "vec", F.lit(None).cast("long").alias("floor"))
+    asks = "shard long, id long, vec array<double>, floor long, q long"
+    # numbered once and written: the number, not the id, tells queries apart
+    queries = materialize(rows.filter("is_query").select("id", "vec").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    queries = queries.select("id", "vec", F.lit(None).cast("long").alias("floor"), "q")
     near = materialize(_ask(trees, queries.mapInArrow(_route(pivots, directory, True), asks), k), "nearest")
-    floors = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
-    raised = queries.drop("floor").join(floors, F.col("id") == F.col("query_id"), "left").select(
-        "id", "vec", F.col("least").alias("floor"))
+    floors = near.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
+    raised = queries.drop("floor").join(floors, "q", "left").select("id", "vec", F.col("least").alias("floor"), "q")
     return near.unionByName(_ask(trees, raised.mapInArrow(_route(pivots, directory, False), asks), k))
