@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_of
+from .common import materialize, slices, small_side, text_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -252,32 +252,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         moved = state
 
 
+def _grouped(rows: DataFrame, first: Column, distance: int, bin_rows: int) -> DataFrame:
+    """The rows (``fp`` and others) with ``first``, the least of their component; equal fingerprints collapse before keys are made."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("_first")), "distinct")
+    hung = components(links(distinct.select("fp"), distance, bin_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = distinct.join(hung, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("_first").alias("first")), "root")
+    return rows.join(named.select("fp", "first"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
                     bin_rows: int = BIN_ROWS) -> DataFrame:
     """One row per input row: id, ``fp`` (signed), ``component_id``: the smallest id it can reach by links.
 
     Equal fingerprints collapse to one before keys are made, so copies cost
     nothing more. Null and empty texts have fingerprint zero and link like any
-    other; rows with a null id get their component too, null ids never name one
+    other; texts of any length are read whole; rows with a null id get their component too, null ids never name one
     unless all are null. An empty table gives no rows.
     """
     if distance > 4:
         raise ValueError("the keys find links of four bits at most")
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("_id").alias("_first")), "distinct")
-    hung = components(links(distinct.select("fp"), distance, bin_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = distinct.join(hung, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_first").alias("component_id")), "root")
-    return rows.join(named.select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return _grouped(rows, F.col("_id"), distance, bin_rows).select(F.col("_id").alias(id_col), "fp", F.col("first").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: the smallest id; all columns are kept.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+                         bin_rows: int = BIN_ROWS) -> DataFrame:
+    """One document of each component stays; all columns are kept.
 
-    Rows that repeat the id stay together (exact duplicates are another operator's task).
+    A document is an id with a text: the smallest id stays, null ids come last,
+    of one id with several texts the one whose text has the least hash. Other
+    texts of an id that goes are judged by themselves. Rows that repeat id and text stay
+    or go together (exact duplicates are another operator's task).
     """
-    from .common import small_side
-
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    gone = materialize(gone, "near_copies")
-    return docs.join(small_side(gone), id_col, "left_anti").select(*docs.columns)
+    own = F.xxhash64(text_of(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), own.alias("_text_hash"), text_of(text_col).alias("_text"))
+    keyed = rows.select(F.struct("_id", "_text_hash").alias("_key"), "_text").mapInArrow(
+        _fingerprints, f"_id struct<_id:{docs.schema[id_col].dataType.simpleString()},_text_hash:bigint>, fp long")
+    keyed = materialize(keyed.select("_id._id", "_id._text_hash", "fp"), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
+    gone = _grouped(keyed, order, distance, bin_rows).filter(order != F.col("first")).select("_id", "_text_hash").distinct()
+    gone = small_side(materialize(gone, "near_copies"))
+    return docs.join(gone, F.col(id_col).eqNullSafe(gone["_id"]) & (own == gone["_text_hash"]), "left_anti").select(*docs.columns)
