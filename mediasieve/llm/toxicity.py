@@ -15,7 +15,6 @@ from .labelled import held_out, training_rows, words_of
 from .quality import sigmoid
 
 FIT_ROWS = 40_000           # labelled rows that lexicon and weights are learned from
-TERMS = 2000                # entries of the lexicon at most
 EVIDENCE = 15.0             # n x divergence from the base rate that an entry needs
 PRECISE = 0.8               # share of toxic documents among those with the entry
 STEM = (4, 8)               # lengths of word beginnings that may become entries
@@ -168,16 +167,20 @@ def evidence(n1, n0, rate: float):
 
 
 def learn_lexicon(table: DataFrame, rate: float) -> FuzzyTrie:
-    """Entries that toxic documents hold far more often: words, and beginnings that several words share."""
+    """Entries that toxic documents hold far more often: words, and beginnings that several words share.
+
+    All entries above the bounds are kept, in the automata and among known clean
+    words; all come from the ``FIT_ROWS`` labelled texts at most, which bounds them.
+    """
     strong = (evidence(F.col("n1"), F.col("n0"), rate) >= EVIDENCE) & (F.col("n1") >= PRECISE * (F.col("n1") + F.col("n0")))
     stems = (table.filter("n1 > 0 or n0 > 0").select("word", "n1", "n0", F.explode(F.sequence(F.lit(STEM[0]), F.lit(STEM[1]))).alias("size"))
              .filter(F.length("word") >= F.col("size")).groupBy(F.substring("word", 1, F.col("size")).alias("stem"))
              .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("n1").alias("most"), F.sum((F.col("n1") > 0).cast("int")).alias("words"))
              .filter(strong & (F.col("words") >= 3) & (F.col("most") <= 0.8 * F.col("n1"))))
-    found = [r[0] for r in stems.orderBy(F.col("n1").desc(), "stem").limit(TERMS).select("stem").collect()]
+    found = [r[0] for r in stems.orderBy(F.col("n1").desc(), "stem").select("stem").collect()]
     stem_set = set(found)
     found = [s for s in found if not any(s[:k] in stem_set for k in range(STEM[0], len(s)))]
-    words = [r[0] for r in table.filter(strong).orderBy(F.col("n1").desc(), "word").limit(TERMS).select("word").collect()]
+    words = [r[0] for r in table.filter(strong).orderBy(F.col("n1").desc(), "word").select("word").collect()]
     # words that begin with a stem stay: stems match only exactly, misspellings are met by words
     trie = FuzzyTrie(words, found)
 
@@ -188,7 +191,7 @@ def learn_lexicon(table: DataFrame, rate: float) -> FuzzyTrie:
 
     # misspellings that clean documents hold too are words of their own; few words are that near an entry
     alike = table.filter(F.col("n0") > F.col("n1")).select("word").mapInArrow(near, "word string")
-    known = frozenset(r[0] for r in alike.orderBy("word").limit(50 * TERMS).collect())
+    known = frozenset(r[0] for r in alike.orderBy("word").collect())
     return FuzzyTrie(words, found, known)
 
 

@@ -389,8 +389,8 @@ def test_token_files(spark, docs):
             assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("ship_rows", [1_000_000, 0])
-def test_exact_duplicates(spark, docs, ship_rows):
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 15])
+def test_exact_duplicates(spark, docs, most_bits):
     for df in (awkward(spark), docs, empty(spark)):
         groups = defaultdict(list)
         for i, t in pairs(df):
@@ -402,8 +402,8 @@ def test_exact_duplicates(spark, docs, ship_rows):
             for i in ids:
                 expected.append((i, keep, len(ids), i == keep and free > 0))
                 free -= i == keep
-        same(exact.mark_duplicates(df, ship_rows=ship_rows), expected, ["doc_id", "keep_id", "group_size", "kept"])
-        kept = exact.drop_duplicates(df, ship_rows=ship_rows)
+        same(exact.mark_duplicates(df, most_bits=most_bits), expected, ["doc_id", "keep_id", "group_size", "kept"])
+        kept = exact.drop_duplicates(df, most_bits=most_bits)
         assert kept.columns == df.columns and kept.count() == len(groups)
 
 
@@ -544,3 +544,74 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, documents.limit(0), sf)
         assert none.count() == 0
+
+
+def test_each_round_of_refinement_removes_rows(spark):
+    """Length, prefix, full hash: only rows that share what came before are hashed."""
+    head = "h" * exact.PREFIX
+    texts = ["a", "bb", "cc", "ddd" * 30, "ddd" * 30, head + "x", head + "y", "of one length only" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "_text string")
+    hashed = {r[0] for r in exact.refined(rows).filter("_hash is not null").collect()}
+    assert hashed == {"ddd" * 30, head + "x", head + "y"}                  # bb and cc share a length, not a prefix
+    keys = rows.withColumn("_hash64", F.xxhash64(F.length("_text")))
+    bitmap, bits = exact.bits_of(exact._shared(keys.select("_hash64")), "lengths", 1 << 28)
+    assert {r[0] for r in exact.maybe_held(keys, bitmap, bits).filter("_maybe").collect()} == set(texts) - {"a", "of one length only" * 9}
+    # a full bitmap lets every row through and changes no result
+    same(exact.mark_duplicates(rows.withColumn("doc_id", F.monotonically_increasing_id()), text_col="_text", most_bits=1), [
+        (1, 1), (1, 1), (1, 1), (2, 1), (2, 0), (1, 1), (1, 1), (1, 1)], ["group_size", F.col("kept").cast("int")])
+
+
+def test_queries_of_one_id_rank_for_themselves(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6)).round(3).tolist()
+    rows = [(i + 1, v) for i, v in enumerate(x)] + [(20, x[30]), (20, x[19]), (40, x[39])]
+    found = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, shard_rows=16)
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows]
+    asked = [(20, whole[19][1]), (20, whole[30][1]), (40, whole[39][1]), (60, whole[59][1])]
+    expected = []
+    for q, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:20]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    same(found, expected, ["query_id", "rank", "vec_id", "score"])
+
+
+def test_near_duplicates_leave_by_row(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(3, long), (5, long + " end"), (5, "a clean text that has nothing in common with it"), (None, long + " tail"), (None, "another clean text without an id here"),
+            (7, "the only text of seven"), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, fp string, _id long")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    fp = {t: simhash.fingerprint((t or "").encode()) for _, t in rows}
+    assert all((fp[long] ^ fp[t]).bit_count() <= 4 for t in (long + " end", long + " tail"))
+    assert {(r[0], r[1]) for r in kept.collect()} == {(3, long), (5, rows[2][1]), (None, rows[4][1]), (7, rows[5][1]), (9, "")}
+
+
+def test_worker_memory_of_pieces_is_bounded(monkeypatch):
+    """Past the bound the pieces that most batches held stay; ids remain those of whole texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 60_000)
+    tokenizer, encoder = Tokenizer.from_file(WORD), tokens.Encoder(WORD, "words")
+    for i in range(30):
+        text = "always here " + " ".join(f"piece{j}x" for j in range(100 * i, 100 * i + 100))
+        flat, _ = encoder.encode(pa.array([text]))
+        assert flat.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder._held_bytes() < 60_000 + 40_000
+    assert "always" in encoder.code and "piece5x" not in encoder.code
+
+
+def test_dealing_numbers_shards_without_the_driver(spark):
+    """Shards are full, parts of a hot term are spread, equal documents of one term share a shard when they fit."""
+    rows = spark.range(4000).select((F.col("id") % 7 * (F.col("id") % 3 > 0).cast("int")).alias("_t1"), (F.col("id") % 5).alias("_t2"),
+                                    F.xxhash64("id").alias("_row_hash"), F.lit(100).cast("long").alias("n_bytes"))
+    plan = packing.dealing(rows, 20_000)
+    placed = packing._placed(rows, plan).join(plan.places, ["_t1", "_p2", "_p3"])
+    assert placed.count() == 4000
+    sizes = [r[1] for r in placed.groupBy("_shard").agg(F.sum("n_bytes")).collect()]
+    assert max(sizes) <= 2 * 20_000 and len(sizes) <= 2 * 4000 * 100 // 20_000
+    for small in (0, 500_000):
+        packing.PLACES, held = small, packing.PLACES
+        again = packing._placed(rows, plan).join(plan.places, ["_t1", "_p2", "_p3"])
+        packing.PLACES = held
+        assert again.exceptAll(placed).isEmpty()
