@@ -64,6 +64,27 @@ def slices(batch, column: int, limit: int = 1 << 22):
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the allocator hold unused to the system: workers stay alive between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """The map of a partition, after which the worker gives back what it no longer uses."""
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def freed(function):
     """The function of a group, after which Arrow gives back what it no longer uses."""
     def run(*tables):

@@ -11,11 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, materialize, slices, text_of
+from .common import freed, materialize, slices, text_of, tidy
 from .tokens import shared_encoder
 
 WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
+TEXT_BYTES = 2 << 20        # of text encoded at once
 ID_BYTES = 2 << 20         # bytes of ids whose terms are counted at once
 PLACES = 500_000            # rows of four longs up to which a table of places is broadcast
 K1, B = 1.2, 0.75
@@ -115,7 +116,7 @@ def _encode(tokenizer: str, kind: str, end_id: int):
     def run(batches):
         encoder = shared_encoder(tokenizer, kind)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_BYTES):
                 flat, at = encoder.encode(part.column(1), end_id)
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [
                     None, pa.py_buffer(4 * np.asarray(at, np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
@@ -154,7 +155,7 @@ def _counted(batches):
 def corpus_of(encoded: DataFrame) -> Corpus:
     """Document frequencies over all documents: one number per id of the vocabulary."""
     n, mean = encoded.agg(F.count("*"), F.avg(F.octet_length("ids") / 4)).first()
-    found = encoded.select("ids").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = encoded.select("ids").mapInArrow(tidy(_counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     terms = found["term"].to_numpy()
     df = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
     df[terms] = found["n"].to_numpy()
@@ -295,13 +296,13 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer, kind, end_id), "doc_id long, ids binary, n_bytes long"), "packing_ids")
+    encoded = materialize(rows.mapInArrow(tidy(_encode(tokenizer, kind, end_id)), "doc_id long, ids binary, n_bytes long"), "packing_ids")
     corpus = corpus_of(encoded)
     encoded = encoded.withColumn("_row_hash", F.xxhash64("doc_id", "ids"))
     terms = "_row_hash long, _t1 long, _t2 long"
-    keys = encoded.select("n_bytes", "_row_hash", "ids").mapInArrow(_keyed(corpus, ["n_bytes", "_row_hash"]), f"n_bytes long, {terms}")
+    keys = encoded.select("n_bytes", "_row_hash", "ids").mapInArrow(tidy(_keyed(corpus, ["n_bytes", "_row_hash"])), f"n_bytes long, {terms}")
     plan = dealing(materialize(keys, "packing_terms"), shard_bytes)
     # the terms are found once more where the ids leave for their shards: less disk than ids with a key written again
-    keyed = encoded.select("doc_id", "_row_hash", "ids").mapInArrow(_keyed(corpus, ["doc_id", "ids", "_row_hash"]), f"doc_id long, ids binary, {terms}")
+    keyed = encoded.select("doc_id", "_row_hash", "ids").mapInArrow(tidy(_keyed(corpus, ["doc_id", "ids", "_row_hash"])), f"doc_id long, ids binary, {terms}")
     dealt = _met(_placed(keyed, plan), plan.places, ["_t1", "_p2", "_p3"], "inner").select("_shard", "doc_id", "ids")
     return dealt.groupBy("_shard").applyInArrow(_pack(window, seed, corpus), PIECES)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import slices, text_of, tidy
 from .labelled import held_out, training_rows, words_of
 
 FIT_ROWS = 8000         # labelled rows the weights are fitted on
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     # only what the fit needs, so columns of the same name don't meet
     sample = training_rows(docs.select(id_col, text_of(text_col).alias("_text")),
                            labels.filter("quality is not null").select(id_col, grade().cast("int").alias("grade")), rows, id_col, ["grade"])
-    found = sample.select(F.col("_label_grade").alias("grade"), "_text").mapInArrow(_featurize, "grade int, features binary").toArrow()
+    found = sample.select(F.col("_label_grade").alias("grade"), "_text").mapInArrow(tidy(_featurize), "grade int, features binary").toArrow()
     features = [np.frombuffer(b, "<i4") for b in found["features"].to_pylist()]
     parts = [f[:len(f) // 2] for f in features]
     values = [f[len(f) // 2:].view("<f4") for f in features]
@@ -141,7 +141,7 @@ def _score(model: Ordinal):
         weights[feature] = weight
         made, applied = Features(), Ordinal(weights, thresholds)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 21):
                 tails = applied.tails(*made.rows(part.column(1)), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0])],
                                                  [*batch.schema.names, "_expected", "_tail"])
@@ -153,7 +153,7 @@ def _scored(docs: DataFrame, model: Ordinal, id_col: str, text_col: str, carry)
     """``_id``, ``_text``, ``_carry_*``, ``_expected``, ``_tail``."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     schema = T.StructType([*rows.schema.fields, T.StructField("_expected", T.DoubleType()), T.StructField("_tail", T.DoubleType())])
-    return rows.mapInArrow(_score(model), schema)
+    return rows.mapInArrow(tidy(_score(model)), schema)
 
 
 def score(docs: DataFrame, model: Ordinal, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_side, text_of
+from .common import materialize, slices, small_side, text_of, tidy
 
 SHINGLE = 4
 DISTANCE = 4
@@ -52,7 +52,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, fp`` (the fingerprint as a signed 64-bit integer) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprints, "_id long, fp long")
+    return rows.mapInArrow(tidy(_fingerprints), "_id long, fp long")
 
 
 @lru_cache
@@ -216,9 +216,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bin_rows: int = BIN_ROW
     task. Bins over ``bin_rows`` are linked by midpoints: values with a common
     value within two bits are linked, and each link of four bits has such a value.
     """
-    keyed = distinct.mapInArrow(_emit_keys, "key long, fp long")
+    keyed = distinct.mapInArrow(tidy(_emit_keys), "key long, fp long")
     found = (keyed.repartition("key").sortWithinPartitions("key", "fp")
-             .mapInArrow(_link(bin_rows, distance), "a long, b long"))
+             .mapInArrow(tidy(_link(bin_rows, distance)), "a long, b long"))
     found = materialize(found.distinct(), "links")
     crowded = found.filter("b is null").select("a")
     middles = crowded.mapInArrow(_midpoints(distance // 2), "middle long, fp long")
@@ -288,7 +288,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = F.xxhash64(text_of(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), own.alias("_text_hash"), text_of(text_col).alias("_text"))
     keyed = rows.select(F.struct("_id", "_text_hash").alias("_key"), "_text").mapInArrow(
-        _fingerprints, f"_id struct<_id:{docs.schema[id_col].dataType.simpleString()},_text_hash:bigint>, fp long")
+        tidy(_fingerprints), f"_id struct<_id:{docs.schema[id_col].dataType.simpleString()},_text_hash:bigint>, fp long")
     keyed = materialize(keyed.select("_id._id", "_id._text_hash", "fp"), "fingerprints")
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
     gone = _grouped(keyed, order, distance, bin_rows).filter(order != F.col("first")).select("_id", "_text_hash").distinct()
