@@ -12,9 +12,14 @@ WORD = r"[^\x20\x09-\x0D]+"         # fixed: a word is a run of anything else
 SHIPPED_ROWS = 1_000_000            # a narrow side is broadcast only below this counted bound
 
 
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))    # what a worker and its task hold at once
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A registered table; ships the package to the workers first."""
+    """A registered table; ships the package to the workers first and keeps Arrow batches small unless the session says otherwise."""
     ship_package(spark)
+    if spark.sparkContext.getConf().get(BATCH[0]) is None:
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
