@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import registry as registry_module
 from ..functions import hashing, scoring
+from . import resampling
 from .ordered import join_groups, running_sums
 
 ECE_BINS = 15
@@ -135,14 +136,7 @@ def bootstrap_weights(df: DataFrame, id_col: str, replicates: int, seed: int = 0
 def replicate_auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",
                     replicates: int = 1000, seed: int = 0) -> DataFrame:
     """AUROC of every bootstrap replicate: (group, replicate, auroc)."""
-    by = _names(by)
-    names = [f"w{i}" for i in range(REPLICATES_PER_DIGEST)]
-    slim = df.select(*by, id_col, score, label)
-    wide = weighted_auroc(bootstrap_weights(slim, id_col, replicates, seed), [*by, "block"], names, score, label)
-    pairs = F.posexplode(F.array(*[F.col(name) for name in names])).alias("_lane", "auroc")
-    return (wide.select(*by, "block", pairs)
-            .select(*by, (F.col("block") * REPLICATES_PER_DIGEST + F.col("_lane")).alias("replicate"), "auroc")
-            .where(F.col("replicate") < replicates))
+    return resampling.replicate_auroc(df, _names(by), score, label, id_col, replicates, seed, POISSON_ONE)
 
 
 def bootstrap_ci(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",

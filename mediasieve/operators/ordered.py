@@ -1,9 +1,9 @@
 """Distributed order operations: prefix sums, neighbours and first-k rows.
 
 A window over one hot or missing partition key would send that whole group to a
-single task. Everything here works on (group, chunk) instead: a chunk is an
-order-preserving slice of the group, only chunk totals (a bounded number per
-group) meet in one window, and each chunk is then ordered on its own.
+single task. Everything here works on (group, chunk) instead: a chunk is a range
+of the sorted rows, as large as any other; only chunk totals (at most one row per
+group and partition) meet in one window, and each chunk is then ordered on its own.
 """
 
 from __future__ import annotations
@@ -14,21 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 256                          # wanted chunks per group
-STEPS_PER_OCTAVE = 8                  # coarse cells per doubling of the key
-
-
-def _coarse(key: Column) -> Column:
-    """A monotone whole number: the logarithmic cell of a double, zero in the middle.
-
-    A NULL key lies below all others. The cell itself is never NULL, so a join on
-    it adds no null filter that would evaluate the key again under the histogram.
-    """
-    top = STEPS_PER_OCTAVE * 1100
-    cell = F.floor(STEPS_PER_OCTAVE * F.log2(F.abs(key))) + top
-    signed = F.when(key > 0, cell).when(key < 0, -cell).when(key == 0, 0)
-    return F.coalesce(signed.cast("bigint"), F.lit(-3 * top).cast("bigint"))
-
+from ..session import checkpointed
 
 def join_groups(left: DataFrame, right: DataFrame, by, on=(), how: str = "inner") -> DataFrame:
     """Equi join on group columns, where a NULL group matches itself, and on other keys.
@@ -45,72 +31,51 @@ def join_groups(left: DataFrame, right: DataFrame, by, on=(), how: str = "inner"
     return left.join(renamed, reduce(and_, same), how).drop(*[f"_right_{c}" for c in keys])
 
 
-def with_chunks(rows: DataFrame, by: list[str], key: str, sums=()) -> DataFrame:
-    """Add the order-preserving pair ``_coarse, _fine`` that cuts a group in about 256 chunks.
+def in_ranges(rows: DataFrame, order) -> DataFrame:
+    """The rows with ``_chunk``, the number of the range of ``order`` they fall in, written once.
 
-    A coarse cell is split linearly between its own extremes, in as many pieces as
-    its share of the group asks for. The cuts come from exact counts and extremes,
-    so a row gets the same chunk however often, and in whatever order, the plan
-    is evaluated; a quantile sketch would not promise that. For every column in
-    ``sums`` the sum over the smaller cells and over the group are added as well,
-    and the extreme keys of the cells next to it as ``_previous`` and ``_next``.
+    Spark draws the range bounds from a sample of the rows themselves, so ranges hold
+    about equal numbers of them however the keys crowd. Another evaluation might draw other
+    bounds; the checkpoint fixes the numbers for every later read.
     """
-    value = F.col(key).cast("double")
-    coarse = rows.withColumn("_coarse", _coarse(value))
-    cells = coarse.groupBy(*by, "_coarse").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"),
-        *[F.sum(name).alias(f"_{name}") for name in sums])
-    # A few hundred cells per group, however many rows it has, meet in this window.
-    whole = Window.partitionBy(*by)
-    ordered = whole.orderBy("_coarse")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    plan = cells.select(
-        *by, "_coarse", "_lo", "_hi", F.ceil(CHUNKS * F.col("_n") / F.sum("_n").over(whole)).alias("_pieces"),
-        *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_cell") for name in sums],
-        *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
-        F.lag("_hi").over(ordered).alias("_previous"), F.lead("_lo").over(ordered).alias("_next"))
-    place = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
-    fine = F.coalesce(F.when((F.col("_pieces") > 1) & (F.col("_hi") > F.col("_lo")),
-                             F.least(place, F.col("_pieces") - 1)), F.lit(0).cast("bigint"))
-    return join_groups(coarse, plan, by, ["_coarse"]).withColumn("_fine", fine).drop("_lo", "_hi", "_pieces")
+    ranged = rows.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id())
+    return checkpointed(ranged)
 
 
 def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False) -> DataFrame:
     """Sums over all smaller keys of the group, and the group totals.
 
-    ``rows`` holds one row per (group, key); a NULL group is a group.
-    Adds ``<column>_below`` and ``<column>_total`` for every column in ``sums``
-    and, on request, ``previous_key`` and ``next_key``. ``rows`` is read for the
-    cells, the chunk totals and the ordering. Cell sums give the group totals to
-    the chunk totals and the smaller cells to the ordering, so all reads need the
-    same columns and Spark plans the shuffle of ``rows`` once.
+    ``rows`` holds one row per (group, key); a NULL group is a group and a NULL
+    key lies below all others. Adds ``<column>_below`` and ``<column>_total`` for
+    every column in ``sums`` and, on request, ``previous_key`` and ``next_key``.
+    The rows are cut into ranges of (group, key); the sums of whole ranges and
+    those inside a range add up. A group of any size spreads over ranges, and many small
+    groups share one.
     """
     by, sums = list(by), list(sums)
-    cell, chunk = [*by, "_coarse"], [*by, "_coarse", "_fine"]
-    chunked = with_chunks(rows, by, key, sums)
+    chunk = [*by, "_chunk"]
+    chunked = in_ranges(rows, [*by, key])
     totals = chunked.groupBy(*chunk).agg(
-        *[F.sum(name).alias(f"_{name}") for name in sums],
-        *[F.max(f"{name}_total").alias(f"{name}_total") for name in sums],
-        F.min(key).alias("_first"), F.max(key).alias("_last"))
-    in_cell = Window.partitionBy(*cell).orderBy("_fine")
-    cell_before = in_cell.rowsBetween(Window.unboundedPreceding, -1)
+        *[F.sum(name).alias(f"_{name}") for name in sums], F.min(key).alias("_first"), F.max(key).alias("_last"))
+    whole = Window.partitionBy(*by)
+    between = whole.orderBy("_chunk")
+    before = between.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *chunk,
-        *[F.coalesce(F.sum(f"_{name}").over(cell_before), F.lit(0)).alias(f"_{name}_chunk") for name in sums],
-        *[F.col(f"{name}_total") for name in sums],
-        F.lag("_last").over(in_cell).alias("_chunk_previous"), F.lead("_first").over(in_cell).alias("_chunk_next"))
+        *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_chunk") for name in sums],
+        *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
+        F.lag("_last").over(between).alias("_chunk_previous"), F.lead("_first").over(between).alias("_chunk_next"))
     local = Window.partitionBy(*chunk).orderBy(key)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
-    inside = chunked.drop(*[f"{name}_total" for name in sums]).select(
+    inside = chunked.select(
         "*",
         *[F.coalesce(F.sum(name).over(local_before), F.lit(0)).alias(f"_{name}_inside") for name in sums],
         *([F.lag(key).over(local).alias("_lag"), F.lead(key).over(local).alias("_lead")] if neighbours else []))
-    below = [(F.col(f"_{name}_cell") + F.col(f"_{name}_chunk") + F.col(f"_{name}_inside")).alias(f"{name}_below") for name in sums]
+    below = [(F.col(f"_{name}_chunk") + F.col(f"_{name}_inside")).alias(f"{name}_below") for name in sums]
     extra = []
     if neighbours:
-        extra = [F.coalesce("_lag", "_chunk_previous", "_previous").alias("previous_key"),
-                 F.coalesce("_lead", "_chunk_next", "_next").alias("next_key")]
-    return join_groups(inside, offsets, by, ["_coarse", "_fine"]).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
+        extra = [F.coalesce("_lag", "_chunk_previous").alias("previous_key"), F.coalesce("_lead", "_chunk_next").alias("next_key")]
+    return join_groups(inside, offsets, by, ["_chunk"]).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 
 def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to: int | None = None,

@@ -27,7 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 POLICY = triage.Policy(review=0.4, action=0.9)
 POINTS = (("fpr_0.01", 0.01, 0.745), ("fpr_0.05", 0.05, 0.665))
 SHIPPED = 0.3
-REPLICATES = 16
+REPLICATES = 1000
 CAP = 2000
 LIMIT = 40
 
@@ -611,13 +611,14 @@ def _(spark, sf):
 
 def _branch_scores(spark, sf):
     """Measure half of val with the base and a fixed-weight blend of A and B."""
-    wide = gate.half_split(gate.align(b.branch_views(spark, sf, "A"), {"B": b.branch_views(spark, sf, "B")}, check=False))
+    val = lambda name: b.branch_views(spark, sf, name).where("split = 'val'")
+    wide = gate.half_split(gate.align(val("A"), {"B": val("B")}, check=False))
     return gate.subset_scores(wide.where("half = 'measure'"), {"A": (["A"], [1.0], 0.0), "A+B": (["A", "B"], [1.0, 0.5], 0.0)})
 
 
 @query("a23_paired_bootstrap_delta")
 def _(spark, sf):
-    return gate.bootstrap_delta(_branch_scores(spark, sf), rounds=8).select("config", r6("ci_low"), r6("ci_high"), "rounds")
+    return gate.bootstrap_delta(_branch_scores(spark, sf), rounds=REPLICATES).select("config", r6("ci_low"), r6("ci_high"), "rounds")
 
 
 @query("a24_triage_summary")
@@ -951,7 +952,7 @@ def _(spark, sf):
 @query("g13_ensemble_gate")
 def _(spark, sf):
     val = lambda name: b.branch_views(spark, sf, name).where("split = 'val'")
-    table = gate.run_gate(val("A"), {"B": val("B"), "C": val("C")}, bootstrap=8)
+    table = gate.run_gate(val("A"), {"B": val("B"), "C": val("C")}, bootstrap=REPLICATES)
     return table.select("config", "n_branches", "worst_cell", F.round("worst_cell_auroc", 4).alias("worst_cell_auroc"),
                         F.round("delta", 4).alias("delta"), "passes", "recommended")
 
@@ -1001,7 +1002,9 @@ def _(spark, sf):
 @query("x2_streaming_windowed_counts")
 def _(spark, sf):
     stream = _stream(spark, sf, b.predictions(spark, sf), "scores")
-    return _drained(spark, streams.decisions_per_window(stream, POLICY), "windows").select(
+    root = scratch_folder(spark, "windows")
+    streams.count_windows(stream, POLICY, f"{root}/out", f"{root}/state").awaitTermination()
+    return streams.window_counts(spark, f"{root}/out").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "decision", "n")
 
 
@@ -1015,4 +1018,6 @@ def _(spark, sf):
 @query("x4_streaming_screen")
 def _(spark, sf):
     stream = _stream(spark, sf, b.candidates(spark, sf), "arrivals")
-    return verdicts_text(_drained(spark, streams.screened(stream, b.forbidden(spark, sf)), "screened"))
+    root = scratch_folder(spark, "screened")
+    streams.screen_batches(stream, lambda: b.forbidden(spark, sf), f"{root}/out", f"{root}/state").awaitTermination()
+    return verdicts_text(spark.read.parquet(f"{root}/out").drop("batch"))

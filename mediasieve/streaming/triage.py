@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,24 @@ def triaged(stream: DataFrame, policy: triage.Policy) -> DataFrame:
     return triage.triage(stream, policy)[0]
 
 
-def decisions_per_window(stream: DataFrame, policy: triage.Policy, ts: str = "ts", window: str = "1 hour",
-                         watermark: str = "10 minutes") -> DataFrame:
-    """Decision counts per tumbling window; rows later than the watermark are dropped."""
-    rows = triaged(stream.withWatermark(ts, watermark), policy)
-    return rows.groupBy(F.window(ts, window).alias("w"), "decision").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").alias("window_start"), "decision", "n")
+def count_windows(stream: DataFrame, policy: triage.Policy, out: str, checkpoint: str, ts: str = "ts", window: str = "1 hour"):
+    """Decision counts per tumbling window and batch, for ``window_counts``.
+
+    Each micro-batch writes its own partial counts into a folder of its number, so a
+    batch that is replayed overwrites what it wrote before. Nothing waits for a
+    watermark: late events count whenever they come, and no state is kept.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        rows = triage.triage(batch, policy)[0].groupBy(F.window(ts, window).alias("w"), "decision").agg(F.count(F.lit(1)).alias("n"))
+        rows.select(F.col("w.start").alias("window_start"), "decision", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _by_batch(stream, write, checkpoint)
+
+
+def window_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Counts of all events so far: the partial counts of all batches by window and decision."""
+    parts = spark.read.schema("window_start timestamp, decision string, n long, batch long").parquet(out)
+    return parts.groupBy("window_start", "decision").agg(F.sum("n").alias("n"))
 
 
 def first_by_content(stream: DataFrame, content: str, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
@@ -33,22 +47,20 @@ def first_by_content(stream: DataFrame, content: str, ts: str = "ts", watermark:
     return keyed.dropDuplicatesWithinWatermark(["sha256"])
 
 
-def screened(stream: DataFrame, index: DataFrame, id_col: str = "id") -> DataFrame:
-    """Arriving hashes judged against a static index: stream-static lookups, no state.
+def screen_batches(stream: DataFrame, index: Callable[[], DataFrame], out: str, checkpoint: str, id_col: str = "id"):
+    """Write verdicts batch by batch, against the index as it is when the batch starts.
 
-    The index must fit the broadcast bound; a larger one is screened per
-    micro-batch with :func:`screen_batches`.
+    The index may have any size: each batch is screened as in batch mode. ``index``
+    is asked anew for every batch, so an index replaced between two batches holds from the next
+    one on. A batch that is replayed overwrites its own folder.
     """
-    if not screen.fits_broadcast(screen.distinct_index(index)):
-        raise ValueError("index is past the broadcast bound; use screen_batches")
-    return screen.near_duplicate_verdict(stream, index, id_col=id_col)
+    def write(batch: DataFrame, number: int) -> None:
+        screen.near_duplicate_verdict(batch, index(), id_col=id_col).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    return _by_batch(stream, write, checkpoint)
 
-def screen_batches(stream: DataFrame, index: DataFrame, out: str, checkpoint: str, id_col: str = "id"):
-    """Write verdicts batch by batch; a batch that is replayed overwrites its own folder."""
-    def write(batch: DataFrame, number: int) -> None:
-        screen.near_duplicate_verdict(batch, index, id_col=id_col).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+def _by_batch(stream: DataFrame, write, checkpoint: str):
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

@@ -358,20 +358,22 @@ def test_evaluation_with_intervals(spark, sf):
 
 # ── streams ─────────────────────────────────────────────────────────────────
 
-def test_late_scores_are_dropped(spark, tmp_path):
+def test_window_counts_are_those_of_all_scores(spark, tmp_path):
     schema = "image_path string, pred double, ts timestamp"
     write = lambda rows, n: spark.createDataFrame(rows, "image_path string, pred double, ts string").select(
         "image_path", "pred", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    counts = streams.decisions_per_window(stream, triage.Policy(0.4, 0.9))
-    run = lambda: streams.run_available(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    policy, out = triage.Policy(0.4, 0.9), str(tmp_path / "out")
+    run = lambda: streams.count_windows(stream, policy, out, str(tmp_path / "state")).awaitTermination()
     write([("a", 0.95, "2024-01-01 00:10:00"), ("b", 0.95, "2024-01-01 05:00:00")], 0)
     run()
     write([("late", 0.95, "2024-01-01 00:20:00"), ("c", 0.2, "2024-01-01 09:00:00")], 1)
     run()
-    got = {(str(r["window_start"]), r["decision"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("2024-01-01 00:00:00", "likely_aigc"): 1, ("2024-01-01 05:00:00", "likely_aigc"): 1}
+    got = {(str(r["window_start"]), r["decision"]): r["n"] for r in streams.window_counts(spark, out).collect()}
+    assert got == {("2024-01-01 00:00:00", "likely_aigc"): 2, ("2024-01-01 05:00:00", "likely_aigc"): 1, ("2024-01-01 09:00:00", "likely_real"): 1}
+    streams.count_windows(stream, policy, out, str(tmp_path / "other")).awaitTermination()      # replayed from the start: batches overwrite their own
+    assert {(str(r["window_start"]), r["decision"]): r["n"] for r in streams.window_counts(spark, out).collect()} == got
 
 
 def test_large_index_screens_by_batches(spark, sf, tmp_path):
@@ -379,8 +381,15 @@ def test_large_index_screens_by_batches(spark, sf, tmp_path):
     bindings.candidates(spark, sf).write.parquet(path)
     stream = spark.readStream.schema("id long, phash long, dhash long").parquet(path)
     index = bindings.forbidden(spark, sf)
-    streams.screen_batches(stream, index, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run = lambda use: streams.screen_batches(stream, use, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run(lambda: index)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "verdict", "pmin", "dmin").collect()}
     from mediasieve.operators import screen
 
     assert got == {tuple(r) for r in screen.near_duplicate_verdict(bindings.candidates(spark, sf), index).collect()}
+    # an index replaced between two batches holds from the next batch on
+    more = spark.createDataFrame([(-1, 5, 5)], "id long, phash long, dhash long")
+    more.write.mode("append").parquet(path)
+    run(lambda: more.select("phash", "dhash"))
+    new = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("id = -1").select("verdict", "pmin", "dmin").collect()]
+    assert new == [("drop", 0, 0)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediasieve.functions import scoring
-from mediasieve.operators import calibrate, metrics, ordered
+from mediasieve.operators import calibrate, metrics, ordered, resampling
 
 
 def frame(spark, labels, scores, name="p"):
@@ -57,13 +57,36 @@ def test_running_sums_match_a_loop(spark):
     assert np.array_equal(out["previous_key"][1:], keys[:-1])
 
 
-def test_chunks_stay_bounded_when_scores_crowd(spark):
-    """A third of the keys in a sliver of the range: no chunk takes a large share."""
+@pytest.mark.parametrize("crowd", ["sliver", "saturated"])
+def test_chunks_stay_bounded_when_scores_crowd(spark, crowd):
+    """A third of the keys in a sliver, or scores near one: no chunk takes more than four times the mean."""
     rng = np.random.default_rng(1)
-    keys = np.concatenate([rng.uniform(0, 1, 20000), rng.uniform(0.99, 0.9901, 10000)])
-    rows = spark.createDataFrame([(float(k),) for k in np.unique(keys)], "key double")
-    sizes = ordered.with_chunks(rows, [], "key").groupBy("_coarse", "_fine").count()
-    assert sizes.agg(F.max("count")).first()[0] < 0.36 * len(keys) and sizes.count() > 100
+    keys = (np.concatenate([rng.uniform(0, 1, 20000), rng.uniform(0.99, 0.99 + 1e-9, 10000)]) if crowd == "sliver"
+            else 1 / (1 + np.exp(-rng.uniform(4, 14, 30000))))
+    rows = spark.createDataFrame([("a", float(k)) for k in np.unique(keys)] + [(None, 0.5), ("b", None)], "g string, key double")
+    sizes = [r[1] for r in ordered.in_ranges(rows.repartition(8), ["g", "key"]).groupBy("_chunk").count().collect()]
+    assert max(sizes) <= 4 * sum(sizes) / len(sizes)
+    assert ordered.in_ranges(rows, ["g", "key"]).count() == rows.count()
+
+
+def test_replicates_as_lanes_match_weighted_pairs(spark):
+    """Ties that go over several ranges, null groups, scores and labels: every replicate equals its definition."""
+    rng = np.random.default_rng(4)
+    data = [(["a", None][i % 2], None if i % 31 == 0 else [0.5, float(rng.integers(0, 6)) / 6][i % 3 > 0], [0, 1, None][min(2, int(rng.integers(0, 9)) // 4)], f"im{i % 400}")
+            for i in range(900)]
+    df = spark.createDataFrame([(*row, "clash") for row in data], "g string, p double, label int, id string, _chunk string")
+    runs = metrics.replicate_auroc(df.drop("_chunk").repartition(5), ["g"], replicates=150, seed=3).collect()
+    got = {(r["g"], r["replicate"]): r["auroc"] for r in runs}
+    assert len(got) == 300
+    weights = {i: resampling.lane_weights(i, 150, 3, np.array(metrics.POISSON_ONE)) for i in {row[3] for row in data}}
+    for group in ("a", None):
+        own = [(-1.0 if p is None else p, y, weights[i]) for g, p, y, i in data if g == group and y is not None]
+        score, y, w = np.array([o[0] for o in own]), np.array([o[1] for o in own]), np.array([o[2] for o in own])
+        for lane in (0, 7, 8, 127, 128, 149):
+            pos, neg = y == 1, y == 0
+            pairs = (score[pos][:, None] > score[neg]) + 0.5 * (score[pos][:, None] == score[neg])
+            wp, wn = w[pos, lane], w[neg, lane]
+            assert got[group, lane] == pytest.approx(wp @ pairs @ wn / (wp.sum() * wn.sum()), abs=1e-12)
 
 
 def test_a_null_group_is_a_group(spark, tied):
