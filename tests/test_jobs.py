@@ -371,7 +371,7 @@ def test_window_counts_are_those_of_all_scores(spark, tmp_path):
     write([("late", 0.95, "2024-01-01 00:20:00"), ("c", 0.2, "2024-01-01 09:00:00")], 1)
     run()
     got = {(str(r["window_start"]), r["decision"]): r["n"] for r in streams.window_counts(spark, out).collect()}
-    assert got == {("2024-01-01 00:00:00", "likely_aigc"): 2, ("2024-01-01 05:00:00", "likely_aigc"): 1, ("2024-01-01 09:00:00", "likely_real"): 1}
+    assert got == {("2024-01-01 00:00:00", "likely_aigc"): 2, ("2024-01-01 05:00:00", "likely_aigc"): 1, ("2024-01-01 09:00:00", "lower_risk"): 1}
     streams.count_windows(stream, policy, out, str(tmp_path / "other")).awaitTermination()      # replayed from the start: batches overwrite their own
     assert {(str(r["window_start"]), r["decision"]): r["n"] for r in streams.window_counts(spark, out).collect()} == got
 
