@@ -15,7 +15,7 @@ from .labelled import held_out, training_rows, words_of
 
 FIT_ROWS = 8000         # labelled rows the weights are fitted on
 DIMENSIONS = 1 << 17
-MEMO = 500_000
+MEMO = 150_000          # words a task remembers, about 40 MB
 STEPS, RATE, RIDGE = 150, 0.15, 3e-5
 
 

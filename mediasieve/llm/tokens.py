@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 MARK = "~"
 CUT = r"([A-Za-z0-9])([.,;:!?])"
 JOINED, LEARNED = 256, 8192      # words encoded as one text, pieces learned at once
-MEMO_BYTES = 64 << 20           # about what one worker remembers pieces with
+MEMO_BYTES = 40 << 20           # about what one worker remembers pieces with
 PIECE_BYTES = 150               # of one piece besides its letters and ids
 
 
