@@ -1,11 +1,10 @@
 """Near-duplicate screen against a forbidden index of perceptual hash pairs.
 
 An index entry is a candidate for an image when any of six bands of either hash
-agree. Six bands find every pair up to distance five. The index is the small
-side. While it fits the broadcast bound it is grouped by band and looked up per
-image: a narrow map, with no shuffle and no multiplied rows, whatever share of
-the images carries the same hash. Beyond the bound the bands are joined by
-shuffle with both sides salted.
+agree. Six bands find every pair up to distance five. There is one plan whatever the
+sizes: distinct image pairs and index pairs meet by band key, and a key that many rows
+of either side carry is cut into a grid of cells by its measured counts. Spark picks the
+join: a small index is broadcast by its size at run time, a large one is shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, naming
-from ..session import BROADCAST_ROWS, fits_broadcast
+from ..session import checkpointed
 
 # Distances of the verdicts and the number of bands.
 DROP_AT, REVIEW_AT, BANDS, NO_MATCH = 5, 10, 6, 64
-SALTS = 16
+CELL = 2048           # rows of either side in one cell of a band key's grid
+HOT_COPIES = 1_000_000    # images of one hash pair in one task
 SLOT_SPACE = 128      # more than two hashes of at most 63 bands need
 
 
@@ -40,16 +40,17 @@ def verdict_of(pmin: Column, dmin: Column, drop_at: int = DROP_AT, review_at: in
 
 def near_duplicate_verdict(images: DataFrame, index: DataFrame, drop_at: int = DROP_AT,
                            review_at: int = REVIEW_AT, bands: int = BANDS, carry: bool = False,
-                           broadcast_rows: int = BROADCAST_ROWS, id_col: str = "id") -> DataFrame:
+                           cell: int = CELL, hot_copies: int = HOT_COPIES, id_col: str = "id") -> DataFrame:
     """``id, verdict, pmin, dmin`` per image; with ``carry`` all image columns stay.
 
-    An image without hashes (undecodable) is ok at distance 64.
+    An image that lacks a hash (undecodable) is ok at distance 64; so is one without a
+    candidate. ``cell`` and ``hot_copies`` bound what meets in a task, not the result.
     """
-    pairs = distinct_index(index)
-    if fits_broadcast(pairs, broadcast_rows):
-        found = _lookup(images, pairs, bands)
-    else:
-        found = _salted_join(images, pairs, bands, id_col)
+    # both sides are read several times: 24 bytes for each distinct pair
+    probes = checkpointed(images.where("phash IS NOT NULL AND dhash IS NOT NULL").groupBy("phash", "dhash").agg(
+        F.count(F.lit(1)).alias("_copies")))
+    pairs = checkpointed(distinct_index(index))
+    found = _nearest_of_rows(images, probes, _nearest(probes, pairs, bands, cell), hot_copies, id_col)
     judged = found.withColumn("verdict", verdict_of(F.col("pmin"), F.col("dmin"), drop_at, review_at))
     columns = images.columns if carry else [id_col]
     return judged.select(*columns, "verdict", "pmin", "dmin")
@@ -65,52 +66,54 @@ def _slot_key(slot: int, family: str, low: int, high: int) -> Column:
     return hashing.band_value(F.col(family), low, high) * SLOT_SPACE + slot
 
 
-def _lookup(images: DataFrame, pairs: DataFrame, bands: int) -> DataFrame:
-    """Look every image up in one small broadcast table, once per band slot."""
-    table = F.broadcast(_band_rows(pairs, bands).groupBy("_key").agg(
-        F.collect_list(F.struct(F.col("phash").alias("p"), F.col("dhash").alias("d"))).alias("_entries")))
-    slots = list(enumerate(_slots(bands)))
-    rows = images.select("*", *[_slot_key(i, *slot).alias(f"_key{i}") for i, slot in slots])
-    for i, _ in slots:
-        bucket = table.select(F.col("_key").alias(f"_key{i}"), F.col("_entries").alias(f"_entries{i}"))
-        rows = rows.join(bucket, f"_key{i}", "left")
-
-    def nearest(family: str, field: str) -> Column:
-        own = F.col(family)
-        return F.coalesce(F.least(F.lit(NO_MATCH), *[
-            F.aggregate(F.col(f"_entries{i}"), F.lit(NO_MATCH),
-                        lambda best, entry: F.least(best, F.bit_count(own.bitwiseXOR(entry[field]))))
-            for i, _ in slots]), F.lit(NO_MATCH))
-
-    return rows.select(*images.columns, nearest("phash", "p").alias("pmin"), nearest("dhash", "d").alias("dmin"))
-
-
 def _band_rows(df: DataFrame, bands: int) -> DataFrame:
     """One row per (slot, band value) key."""
     return df.withColumn("_key", F.explode(F.array(*[_slot_key(i, *slot) for i, slot in enumerate(_slots(bands))])))
 
 
-def _salted_join(images: DataFrame, pairs: DataFrame, bands: int, id_col: str) -> DataFrame:
-    """Shuffle join for an index past the broadcast bound.
+def _grid(probes: DataFrame, pairs: DataFrame, bands: int, cell: int) -> DataFrame:
+    """Per band key that both sides hold: into how many parts each side's rows are cut.
+
+    A band of k bits has 2^k values, so there are at most 25,000 keys with six bands and
+    fewer with more, whatever the number of rows.
+    """
+    parts = lambda df, name: _band_rows(df, bands).groupBy("_key").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(cell)).alias(name))
+    return parts(probes, "_rows").join(parts(pairs, "_columns"), "_key")
+
+
+def _nearest(probes: DataFrame, pairs: DataFrame, bands: int, cell: int) -> DataFrame:
+    """Least distances of every distinct image pair that has a candidate.
 
-    Band values are few (about two thousand per band), so every key is hot at
-    scale: images spread over salts and each index key is repeated per salt.
-    Distinct image pairs are joined, so copies of one image cost one probe.
+    A probe stands in one row of its key's grid and goes to every column, an index pair
+    the other way round, so each two meet in one cell of at most about ``cell`` times ``cell``
+    comparisons. Minima are combined before they meet by pair.
     """
-    probes = images.where("phash IS NOT NULL AND dhash IS NOT NULL").select("phash", "dhash").distinct()
-    salt = F.pmod(F.xxhash64("phash", "dhash"), F.lit(SALTS))
-    left = _band_rows(probes, bands).withColumn("_salt", salt)
-    right = (_band_rows(pairs, bands).select("_key", F.col("phash").alias("p"), F.col("dhash").alias("d"))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))))
-    near = left.join(right, ["_key", "_salt"]).groupBy("phash", "dhash").agg(
+    grid = F.broadcast(checkpointed(_grid(probes, pairs, bands, cell)))
+    part = lambda count: F.pmod(F.xxhash64("phash", "dhash"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    left = (_band_rows(probes.select("phash", "dhash"), bands).join(grid, "_key")
+            .select("_key", "phash", "dhash", part("_rows").alias("_row"), every("_columns").alias("_column")))
+    right = (_band_rows(pairs, bands).join(grid, "_key")
+             .select("_key", F.col("phash").alias("p"), F.col("dhash").alias("d"), part("_columns").alias("_column"), every("_rows").alias("_row")))
+    return left.join(right, ["_key", "_row", "_column"]).groupBy("phash", "dhash").agg(
         F.min(hashing.hamming(F.col("phash"), F.col("p"))).alias("pmin"),
         F.min(hashing.hamming(F.col("dhash"), F.col("d"))).alias("dmin"))
-    # Only images with a candidate need the distances; the hot pair is salted as well.
-    spread = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
-    repeated = near.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return (images.withColumn("_salt", spread).join(repeated, ["phash", "dhash", "_salt"], "left")
-            .withColumn("pmin", F.coalesce("pmin", F.lit(NO_MATCH)))
-            .withColumn("dmin", F.coalesce("dmin", F.lit(NO_MATCH))))
+
+
+def _nearest_of_rows(images: DataFrame, probes: DataFrame, near: DataFrame, hot_copies: int, id_col: str) -> DataFrame:
+    """Image rows with their least distances; rows of a pair with very many copies are spread by id.
+
+    The table of such pairs has at most one row for ``hot_copies`` images, so it is broadcast.
+    """
+    hot = F.broadcast(probes.where(F.col("_copies") > hot_copies).select(
+        "phash", "dhash", F.ceil(F.col("_copies") / F.lit(hot_copies)).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    rows = images.join(hot, ["phash", "dhash"], "left").withColumn("_part", F.pmod(F.xxhash64(id_col), parts))
+    repeated = near.join(hot, ["phash", "dhash"], "left").select(
+        "phash", "dhash", "pmin", "dmin", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"))
+    return (rows.join(repeated, ["phash", "dhash", "_part"], "left")
+            .withColumn("pmin", F.coalesce("pmin", F.lit(NO_MATCH))).withColumn("dmin", F.coalesce("dmin", F.lit(NO_MATCH))))
 
 
 def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:

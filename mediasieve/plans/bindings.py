@@ -217,6 +217,23 @@ def customer_index(spark, sf_dir) -> DataFrame:
         F.conv(F.substring(digest, 17, 16), 16, -10).cast("bigint").bitwiseXOR(mask).alias("dhash"))
 
 
+def _numbered_hashes(frame: DataFrame, text, flips) -> DataFrame:
+    digest, mask = hashing.sha(text), hashing.one_bit(flips) - 1
+    return frame.withColumn("phash", F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").bitwiseXOR(mask)).withColumn(
+        "dhash", F.conv(F.substring(digest, 17, 16), 16, -10).cast("bigint").bitwiseXOR(mask))
+
+
+def customer_hashes(spark, sf_dir) -> DataFrame:
+    """One hash pair per customer, made of its number."""
+    return _numbered_hashes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), F.col("id").cast("string"), F.lit(0))
+
+
+def line_index(spark, sf_dir) -> DataFrame:
+    """A pair per line item of its order number, line number - 1 low bits flipped; line 1 is a customer's own pair."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return _numbered_hashes(lines, F.col("l_orderkey").cast("string"), F.col("l_linenumber") - 1).select("phash", "dhash")
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     """``events`` as a score feed."""
     return table(spark, sf_dir, "events").select(

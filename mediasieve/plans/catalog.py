@@ -317,7 +317,7 @@ def _(spark, sf):
 @query("p8_source_slice")
 def _(spark, sf):
     tagged = metrics.named_slice(scored(spark, sf), *evaluation.LOWRES_SLICE)
-    return metrics.slice_report(tagged, ["slice"], replicates=0).select("slice", "n", "n_fake", "n_real", r6("auroc"))
+    return metrics.slice_report(tagged, ["slice"], REPLICATES).select("slice", "n", "n_fake", "n_real", r6("auroc"), r6("ci_low"), r6("ci_high"))
 
 
 @query("p9_content_held_constant")
@@ -374,7 +374,13 @@ def _(spark, sf):
 
 @query("j3_near_duplicate_salted_join")
 def _(spark, sf):
-    return verdicts_text(screen.near_duplicate_verdict(b.candidates(spark, sf), b.forbidden(spark, sf), broadcast_rows=0))
+    return verdicts_text(screen.near_duplicate_verdict(b.candidates(spark, sf), b.forbidden(spark, sf), cell=64, hot_copies=100))
+
+
+@query("j3_near_duplicate_large_index")
+def _(spark, sf):
+    """Customers against an index of all line items: 600,000 pairs at scale factor 0.1."""
+    return verdicts_text(screen.near_duplicate_verdict(b.customer_hashes(spark, sf), b.line_index(spark, sf)))
 
 
 @query("j3_near_duplicate_hot_copies")
@@ -420,8 +426,8 @@ def _(spark, sf):
 
 @query("j9_axis_negatives")
 def _(spark, sf):
-    return metrics.slice_report(metrics.axis_slices(scored(spark, sf)), ["slice"], replicates=0).select(
-        "slice", "n", "n_fake", "n_real", r6("auroc"))
+    return metrics.slice_report(metrics.axis_slices(scored(spark, sf)), ["slice"], REPLICATES).select(
+        "slice", "n", "n_fake", "n_real", r6("auroc"), r6("ci_low"), r6("ci_high"))
 
 
 @query("j10_score_attribute_join")
@@ -583,8 +589,8 @@ def _(spark, sf):
 
 @query("a19_slice_report")
 def _(spark, sf):
-    return metrics.slice_report(scored(spark, sf).withColumn("slice", F.concat_ws("/", "source", "generator")), ["slice"], replicates=0).select(
-        "slice", "n", "n_fake", "n_real", r6("auroc"), "note")
+    return metrics.slice_report(scored(spark, sf).withColumn("slice", F.concat_ws("/", "source", "generator")), ["slice"], REPLICATES).select(
+        "slice", "n", "n_fake", "n_real", r6("auroc"), r6("ci_low"), r6("ci_high"), "note")
 
 
 @query("a20_auroc_by_content")
@@ -967,7 +973,7 @@ def _(spark, sf):
 @query("g14_evaluation_report")
 def _(spark, sf):
     rows = b.scored_views(spark, sf).where("split = 'test'")
-    return evaluation.evaluate(rows, b.TEMPERATURE, SHIPPED, POINTS).select("section", "slice", "metric", r6("value"), "note")
+    return evaluation.evaluate(rows, b.TEMPERATURE, SHIPPED, POINTS, REPLICATES).select("section", "slice", "metric", r6("value"), "note")
 
 
 @query("g15_calibration_run")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from mediasieve import registry
+from mediasieve.functions import hashing
 from mediasieve.functions.naming import FORBIDDEN_PATH_TOKENS
 from mediasieve.operators import metrics, triage, views
 from mediasieve.operators.split import HOLDOUT_SALT
@@ -312,6 +313,16 @@ def boot(table: str, columns: str, replicates: int) -> str:
         FROM {table}, range({replicates}) t(r))"""
 
 
+def intervals(table: str, by: str) -> dict[str, str]:
+    """CTEs ending in ``ci``: the percentile interval of AUROC of each group over the replicates."""
+    return {"ib": boot(table, f"id, {by}, label, p", catalog.REPLICATES),
+            "ir": ranked("ib", [by, "r"], weight_pos="w * label", weight_neg="w * (1 - label)"),
+            "ci": f"SELECT {by}, quantile_cont(auroc, 0.025) AS ci_low, quantile_cont(auroc, 0.975) AS ci_high FROM (SELECT {by}, r, {AUC} AS auroc FROM ir GROUP BY {by}, r) GROUP BY {by}"}
+
+
+CI = "round(any_value(ci_low), 6) AS ci_low, round(any_value(ci_high), 6) AS ci_high"
+
+
 def acceptance_stage(t: str) -> str:
     p = sig(f"logit / {t}::DOUBLE")
     return f"""SELECT (SELECT avg({softplus(f'(logit / {t}::DOUBLE)', 'label')}) FROM sv) AS nll,
@@ -357,8 +368,8 @@ S["p6_undecodable_screened_ok"] = sql(f"""SELECT id, CASE WHEN broken THEN 'ok'
     CASE WHEN broken THEN 64 ELSE pmin END AS pmin, CASE WHEN broken THEN 64 ELSE dmin END AS dmin
     FROM (SELECT nd.*, id IN (SELECT vec_id FROM embeddings WHERE label = 9) AS broken FROM nd)""")
 S["p7_unscored_abstain"] = sql("SELECT image_path, round(coalesce(pred, 0.5), 6) AS pred FROM event_scores")
-S["p8_source_slice"] = sql(f"""SELECT 'thumbnail_regime_cifake' AS slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc FROM rk""",
-                           rk=ranked("(SELECT * FROM scored WHERE starts_with(source, 'CIFAKE/'))", []))
+S["p8_source_slice"] = sql(f"""SELECT 'thumbnail_regime_cifake' AS slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc, {CI} FROM rk, ci""",
+                           low="SELECT *, 'low' AS slice FROM scored WHERE starts_with(source, 'CIFAKE/')", rk=ranked("low", []), **intervals("low", "slice"))
 S["p9_content_held_constant"] = sql(f"""SELECT round({AUC}, 6) AS auroc, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, least(max(tp), max(tn)) >= 50 AS usable FROM rk""",
                                     rk=ranked("(SELECT * FROM scored WHERE (label = 1 AND lower(real_source) LIKE '%coco%') OR (label = 0 AND source ILIKE '%coco%'))", []))
 S["p10_registry_report"] = sql(f"""SELECT r.dataset, r.label, r.source, r.architecture, r.content, r.split_rule, coalesce(m.n, 0)::BIGINT AS n FROM (
@@ -379,6 +390,14 @@ S["j1_label_lookup"] = sql("SELECT doc_id, dataset, source, label, generator, po
 S["j2_prefix_match"] = sql("SELECT doc_id, member, source, label, depicts FROM mapped WHERE archive <> ''")
 S["j3_near_duplicate_screen"] = sql(f"SELECT id, {verdict('pmin', 'dmin')} AS verdict, pmin, dmin FROM nd")
 S["j3_near_duplicate_salted_join"] = S["j3_near_duplicate_screen"]
+_BANDS = " UNION ALL ".join(f"SELECT id, pu, du, {f * 6 + i} AS slot, (h >> {lo}::UBIGINT) & {(1 << (hi - lo)) - 1}::UBIGINT AS v FROM (SELECT *, {h} AS h FROM %s)"
+                              for f, h in enumerate(("pu", "du")) for i, (lo, hi) in enumerate(hashing.band_ranges(6)))
+S["j3_near_duplicate_large_index"] = sql(f"""SELECT c.id, {verdict('coalesce(pmin, 64)', 'coalesce(dmin, 64)')} AS verdict, coalesce(pmin, 64)::BIGINT AS pmin, coalesce(dmin, 64)::BIGINT AS dmin
+    FROM lc c LEFT JOIN (SELECT a.id, min(bit_count(xor(a.pu, f.pu))) AS pmin, min(bit_count(xor(a.du, f.du))) AS dmin FROM lcb a JOIN lib f USING (slot, v) GROUP BY a.id) USING (id)""",
+    lc=f"SELECT c_custkey AS id, {u64('dg', 1)} AS pu, {u64('dg', 17)} AS du FROM (SELECT c_custkey, sha256(c_custkey::VARCHAR) AS dg FROM customer)",
+    li=f"""SELECT DISTINCT 0 AS id, xor({u64('dg', 1)}, m) AS pu, xor({u64('dg', 17)}, m) AS du FROM (
+        SELECT sha256(l_orderkey::VARCHAR) AS dg, ((1::UBIGINT << (l_linenumber - 1)::UBIGINT) - 1)::UBIGINT AS m FROM lineitem)""",
+    lcb=_BANDS.replace("%s", "lc"), lib=_BANDS.replace("%s", "li"))
 S["j3_near_duplicate_hot_copies"] = sql(f"""SELECT {verdict('pmin', 'dmin')} AS verdict, pmin, dmin, sum(copies)::BIGINT AS n FROM hot GROUP BY ALL""",
     img=f"""SELECT {u64('dg', 1)} AS pu, {u64('dg', 17)} AS du, count(*) AS copies FROM (
         SELECT sha256(CASE WHEN o_orderkey % 3 = 0 THEN 'blank' ELSE o_orderkey::VARCHAR END) AS dg FROM orders) GROUP BY ALL""",
@@ -400,8 +419,8 @@ S["j6_index_diff"] = sql("""SELECT coalesce(o.pu, n.pu)::VARCHAR AS phash, coale
     poor=f"SELECT DISTINCT {u64('dg', 1)} AS pu, {u64('dg', 17)} AS du FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 S["j7_blob_check"] = """SELECT source || '/' || doc_id AS path, CASE WHEN lang = 'fr' THEN 'missing' ELSE 'hash mismatch' END AS problem FROM documents WHERE lang IN ('fr', 'de')"""
 S["j8_axis_membership"] = sql("SELECT id, axis, generator FROM scored JOIN axes USING (generator) WHERE label = 1")
-S["j9_axis_negatives"] = sql(f"SELECT slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc FROM rk GROUP BY slice",
-                             rk=ranked("tagged", ["slice"]))
+S["j9_axis_negatives"] = sql(f"SELECT slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc, {CI} FROM rk LEFT JOIN ci USING (slice) GROUP BY slice",
+                             rk=ranked("tagged", ["slice"]), **intervals("tagged", "slice"))
 S["j10_score_attribute_join"] = sql("SELECT content, source, count(*) AS n, round(avg(p), 6) AS mean_p FROM scored GROUP BY content, source")
 S["j11_view_fan_out"] = sql("SELECT view, count(*) AS n, round(sum(logit), 3) AS sum_logit FROM sv GROUP BY view")
 S["j12_split_leakage"] = sql("""SELECT raw_sha256, count(*) AS copies, count(DISTINCT split)::INTEGER AS splits FROM manifest GROUP BY raw_sha256 HAVING count(DISTINCT split) > 1""")
@@ -454,9 +473,9 @@ S["a18_operating_points_held_out"] = sql("""SELECT point, target_fpr, round(thre
     FROM scored, (SELECT point, target_fpr, min(t) AS threshold FROM cd, (VALUES ('fpr_0.01', 0.01::DOUBLE), ('fpr_0.05', 0.05::DOUBLE)) g(point, target_fpr)
                   WHERE fpr <= target_fpr GROUP BY point, target_fpr) WHERE split = 'test' GROUP BY point, target_fpr, threshold)""",
     rk=ranked("(SELECT * FROM scored WHERE split = 'val')", []), cd=fast_candidates([]))
-S["a19_slice_report"] = sql(f"""SELECT slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc,
-    CASE WHEN max(tp) = 0 OR max(tn) = 0 THEN 'single-class slice; AUROC undefined' END AS note FROM rk GROUP BY slice""",
-    rk=ranked("(SELECT *, source || '/' || generator AS slice FROM scored)", ["slice"]))
+S["a19_slice_report"] = sql(f"""SELECT slice, (max(tp) + max(tn))::BIGINT AS n, max(tp)::BIGINT AS n_fake, max(tn)::BIGINT AS n_real, round({AUC}, 6) AS auroc, {CI},
+    CASE WHEN max(tp) = 0 OR max(tn) = 0 THEN 'single-class slice; AUROC undefined' END AS note FROM rk LEFT JOIN ci USING (slice) GROUP BY slice""",
+    sg="SELECT *, source || '/' || generator AS slice FROM scored", rk=ranked("sg", ["slice"]), **intervals("sg", "slice"))
 S["a20_auroc_by_content"] = sql(f"""SELECT content, max(tp)::BIGINT AS n_pos, max(tn)::BIGINT AS n_neg, round({AUC}, 6) AS auroc FROM rk GROUP BY content UNION ALL
     SELECT '(all)', max(tp)::BIGINT, max(tn)::BIGINT, round({AUC}, 6) FROM rk2""", rk=ranked("scored", ["content"]), rk2=ranked("scored", []))
 S["a21_error_counts"] = sql("SELECT content, point, fn, fp, fn + fp AS errors FROM op", op=point_rows("content, ") % "scored")
@@ -574,7 +593,8 @@ _REPORT = " UNION ALL ".join([
     _pivot("(SELECT * FROM vm WHERE view <> 'clean')", "cells", "view", ["auroc", "auroc_drop", "mean_prob_fake", "mean_prob_real", "tpr", "fpr", "balanced_accuracy"]),
     _pivot("rb", "robustness", "worst_cell", ["macro_robust_auroc", "worst_cell_auroc", "clean_to_worst"]),
     _pivot("(SELECT *, view || '/' || point AS slice, fpr - target_fpr AS fpr_gap FROM op)", "operating_points", "slice", ["threshold", "tpr", "fpr", "fpr_gap"]),
-    _pivot("sl", "slices", "slice", ["n", "n_fake", "n_real", "auroc"],
+    _pivot("(SELECT * FROM ci WHERE slice = 'clean')", "clean", "'clean'", ["ci_low", "ci_high"]),
+    _pivot("(SELECT sl.*, ci_low, ci_high FROM sl LEFT JOIN ci USING (slice))", "slices", "slice", ["n", "n_fake", "n_real", "auroc", "ci_low", "ci_high"],
            "CASE WHEN auroc IS NULL THEN 'single-class slice; AUROC undefined' WHEN slice <> 'thumbnail_regime_cifake' THEN 'AUROC against all reals of the split; the axis itself holds fakes only' END"),
     _pivot("ct", "content", "content", ["n_pos", "n_neg", "auroc"]),
 ])
@@ -585,7 +605,8 @@ S["g14_evaluation_report"] = sql(
     cl="SELECT * FROM ts WHERE view = 'clean'",
     tg=CTES["tagged"].replace("FROM scored", "FROM cl") + " UNION ALL SELECT id, label, p, 'thumbnail_regime_cifake' FROM cl WHERE starts_with(source, 'CIFAKE/')",
     rs=ranked("tg", ["slice"]), sl=f"SELECT slice, max(tp) + max(tn) AS n, max(tp) AS n_fake, max(tn) AS n_real, {AUC} AS auroc FROM rs GROUP BY slice",
-    rc=ranked("cl", ["content"]), ct=f"SELECT content, max(tp) AS n_pos, max(tn) AS n_neg, {AUC} AS auroc FROM rc GROUP BY content")
+    rc=ranked("cl", ["content"]), ct=f"SELECT content, max(tp) AS n_pos, max(tn) AS n_neg, {AUC} AS auroc FROM rc GROUP BY content",
+    every="SELECT id, slice, label, p FROM tg UNION ALL SELECT id, 'clean', label, p FROM cl", **intervals("every", "slice"))
 
 # ── streaming, compared with its batch form ─────────────────────────────────
 S["x1_streaming_triage"] = sql("SELECT image_path, round(pred, 6) AS pred, decision FROM triaged JOIN decisions USING (place)")

@@ -89,8 +89,8 @@ def brute(images, index):
     return out
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_screen_matches_brute_force(spark, bound):
+@pytest.mark.parametrize("cell, hot_copies", [(2048, 1_000_000), (3, 10)])
+def test_screen_matches_brute_force(spark, cell, hot_copies):
     rng = np.random.default_rng(5)
     index = [tuple(int(x) for x in rng.integers(0, 2**64, 2, dtype=np.uint64)) for _ in range(60)]
     images = []
@@ -106,15 +106,16 @@ def test_screen_matches_brute_force(spark, bound):
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     left = spark.createDataFrame([(i, signed(p), signed(d)) for i, p, d in images], "id int, phash long, dhash long")
     right = spark.createDataFrame([(signed(p), signed(d)) for p, d in index + index[:9]], "phash long, dhash long")
-    got = {r["id"]: (r["verdict"], r["pmin"], r["dmin"]) for r in screen.near_duplicate_verdict(left, right, broadcast_rows=bound).collect()}
+    got = {r["id"]: (r["verdict"], r["pmin"], r["dmin"]) for r in screen.near_duplicate_verdict(left, right, cell=cell, hot_copies=hot_copies).collect()}
     assert got == brute(images, index)
 
 
 def test_undecodable_images_are_ok(spark):
     images = spark.createDataFrame([(1, None, None)], "id int, phash long, dhash long")
     index = spark.createDataFrame([(1, 2)], "phash long, dhash long")
-    for bound in (100, 0):
-        assert tuple(screen.near_duplicate_verdict(images, index, broadcast_rows=bound).first()) == (1, "ok", 64, 64)
+    assert tuple(screen.near_duplicate_verdict(images, index).first()) == (1, "ok", 64, 64)
+    assert tuple(screen.near_duplicate_verdict(images.fillna(1), index.limit(0)).first()) == (1, "ok", 64, 64)
+    assert screen.near_duplicate_verdict(images.limit(0), index).count() == 0
 
 
 def test_banding_selftest_misses_nothing(spark):
@@ -123,18 +124,23 @@ def test_banding_selftest_misses_nothing(spark):
 
 
 def test_screen_plan_has_no_cross_product(spark, sf):
-    for bound in (1_000_000, 0):
-        df = screen.near_duplicate_verdict(bindings.candidates(spark, sf), bindings.forbidden(spark, sf), broadcast_rows=bound)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
-def test_screen_lookup_shuffles_no_image(spark, tmp_path):
-    spark.range(100).selectExpr("id", "id * 7919 as phash", "id * 104729 as dhash").write.parquet(str(tmp_path / "i"))
-    images = spark.read.parquet(str(tmp_path / "i"))
-    index = images.select("phash", "dhash")
-    plan = screen.near_duplicate_verdict(images, index)._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("Join") == 12 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    df = screen.near_duplicate_verdict(bindings.candidates(spark, sf), bindings.forbidden(spark, sf))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_hot_band_key_is_cut_into_cells(spark):
+    """A third of all keys in one band value: no cell of its grid holds more than a few times its bound."""
+    hot = "cast(if(id % 3 = 0, (xxhash64(id) & -1024) | 5, xxhash64(id)) as bigint)"
+    probes, pairs = (spark.range(n).selectExpr(f"{hot} as phash", "xxhash64(id, 1) as dhash") for n in (6000, 3000))
+    grid = screen._grid(probes, pairs, 6, 100)
+    assert grid.count() <= 25_000
+    key = screen._slot_key(0, "phash", 0, 10)
+    row = grid.where(F.col("_key") == spark.range(1).select(F.lit(5).cast("long").alias("phash")).select(key).scalar()).first()
+    assert row["_rows"] >= 20 and row["_columns"] >= 10
+    cells = (screen._band_rows(probes, 6).join(grid, "_key")
+             .groupBy("_key", F.pmod(F.xxhash64("phash", "dhash"), F.col("_rows"))).count())
+    assert cells.agg(F.max("count")).first()[0] <= 200
 
 
 def test_unsigned_text_round_trip(spark):
