@@ -102,6 +102,18 @@ def _(spark, sf):
     return tables.resolve_image_cell(cells, sf).select("doc_id", hashing.sha(F.col("content")).alias("sha256"))
 
 
+@query("s2_image_files")
+def _(spark, sf):
+    """Every second image cell names a file instead of holding bytes."""
+    root = scratch_folder(spark, "cells")
+    docs = b.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("files/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"),
+                                                  F.encode("text", "UTF-8").alias("content"))
+    apart = F.col("doc_id") % 2 == 1
+    archives.write_files(docs.where(apart).select("path", "content"), root.removeprefix("file:")).count()
+    cells = docs.select("doc_id", F.struct(F.when(~apart, F.col("content")).alias("bytes"), F.when(apart, F.col("path")).alias("path")).alias("image"))
+    return tables.resolve_image_cell(cells, root, by_path=True).select("doc_id", hashing.sha(F.col("content")).alias("sha256"))
+
+
 @query("s3_upstream_split")
 def _(spark, sf):
     name = F.concat("lang", F.lit("-"), "source", F.lit("-of-00020.parquet"))
@@ -204,6 +216,42 @@ def _(spark, sf):
             .select("shard", "n", "rows").withColumn("still_pending", left.scalar()))
 
 
+def _packed_files(spark, sf) -> str:
+    """Two of three documents as rows of packed shard files, the rest as loose files."""
+    root = scratch_folder(spark, "packed")
+    docs = b.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("image"), hashing.sha(F.col("text")).alias("sha256"))
+    docs.where("doc_id % 3 < 2").write.parquet(f"{root}/full")
+    archives.write_files(docs.where("doc_id % 3 = 2").select(
+        F.concat(F.lit("loose/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.col("image").alias("content")), root.removeprefix("file:")).count()
+    return root
+
+
+def _packed_keys(spark, root: str):
+    return spark.read.parquet(f"{root}/full").select(
+        "doc_id", F.concat(F.lit("full/"), F.col("_metadata.file_name")).alias("shard"), F.col("_metadata.row_index").alias("row"))
+
+
+@query("s11_packed_bytes_in_place")
+def _(spark, sf):
+    root = _packed_files(spark, sf)
+    packed = _packed_keys(spark, root).select("doc_id", F.concat("shard", F.lit("#"), F.col("row").cast("string")).alias("path"))
+    loose = b.table(spark, sf, "documents").where("doc_id % 3 = 2").select(
+        "doc_id", F.concat(F.lit("loose/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    return tables.resolve_in_place(packed.unionByName(loose), root).select(
+        "doc_id", naming.shard_of(F.col("path")).isNotNull().alias("packed"), hashing.sha(F.col("content")).alias("sha256"))
+
+
+@query("s12_shard_unpack_in_place")
+def _(spark, sf):
+    """Half of the rows, then all of them, then once more: every row lies in the table once."""
+    root = scratch_folder(spark, "packed")
+    _packed_rows(spark, sf).select(F.col("row").alias("doc_id"), "image", "sha256").write.parquet(f"{root}/full")
+    wanted, dest = _packed_keys(spark, root).drop("doc_id"), f"{root}/unpacked"
+    for rows in (wanted.where("row % 2 = 0"), wanted, wanted):
+        tables.unpack_shards(rows, root, dest)
+    return spark.read.parquet(dest).groupBy("sha256").agg(n_rows())
+
+
 @query("s13_manifest_sink")
 def _(spark, sf):
     path = scratch_folder(spark, "manifest")
@@ -228,6 +276,18 @@ def _event_scores(spark, sf):
         F.when(failed, F.concat(F.lit("unreadable: "), "props")).alias("error"))
 
 
+@query("s14_blob_publish")
+def _(spark, sf):
+    """Real images are published first, then all: those already there are not written again."""
+    root = scratch_folder(spark, "blobs")
+    rows = b.staged(spark, sf).select(
+        F.col("raw_sha256").alias("sha256"), naming.blob_path(F.col("dataset"), F.col("source"), F.col("raw_sha256")).alias("path"), "content", "label")
+    rows.write.partitionBy("label").parquet(f"{root}/staged")
+    tables.publish_blobs(spark, f"{root}/staged/label=0", f"{root}/published")
+    tables.publish_blobs(spark, f"{root}/staged", f"{root}/published")
+    return spark.read.parquet(f"{root}/published").select("path", hashing.sha(F.col("content")).alias("sha256"))
+
+
 @query("s15_prediction_sink")
 def _(spark, sf):
     root = scratch_folder(spark, "predictions")
@@ -1021,6 +1081,14 @@ def _(spark, sf):
     return _drained(spark, streams.first_by_content(stream, "text"), "first").select("sha256")
 
 
+@query("x3_streaming_dedup_sessions")
+def _(spark, sf):
+    """Events of one user and type: the first comes out, another after 12 hours without any."""
+    rows = b.table(spark, sf, "events").select("event_id", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("content"))
+    stream = streams.first_of_session(_stream(spark, sf, rows, "arrivals"), "content", "event_id", gap="12 hours")
+    return _drained(spark, stream, "sessions").select(F.col("id").alias("event_id"), "sha256")
+
+
 @query("x4_streaming_screen")
 def _(spark, sf):
     stream = _stream(spark, sf, b.candidates(spark, sf), "arrivals")

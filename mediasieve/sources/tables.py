@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, naming
 from ..operators import ingest
 from ..operators.screen import distinct_index
+from . import in_place
 
 # Image suffixes of a directory scan.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -77,20 +78,17 @@ def resolve_image_cell(df: DataFrame, root: str, image_col: str = "image", by_pa
     """Add ``content``: the cell's bytes, or with ``by_path`` the bytes of the file it names.
 
     A relative path counts from the shard folder ``root``. Without ``by_path`` a cell
-    that has no bytes fails the run, and nothing is read twice. With it only the rows
-    without bytes join the files, so inline images are never shuffled.
+    that has no bytes fails the run. With it the files that such cells name are read in a
+    map, each once for each cell: no other file is opened and no bytes are shuffled.
     """
     if dict(df.dtypes)[image_col] == "binary":
         return df.withColumn("content", F.col(image_col))
     inline, named = F.col(f"{image_col}.bytes"), F.col(f"{image_col}.path")
-    lacking = lambda text, what: F.raise_error(F.concat(F.lit(text), F.coalesce(what, F.lit("NULL")))).cast("binary")
+    lacking = F.raise_error(F.concat(F.lit("image cell without bytes, path "), F.coalesce(named, F.lit("NULL")))).cast("binary")
     if not by_path:
-        return df.withColumn("content", F.coalesce(inline, lacking("image cell without bytes, path ", named)))
-    full = F.when(named.startswith("/"), named).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), named))
-    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        F.regexp_replace("path", "^file:(//)?", "").alias("_file"), F.col("content").alias("_bytes"))
-    resolved = df.where(inline.isNull()).withColumn("_file", full).join(files, "_file", "left").withColumn(
-        "content", F.coalesce("_bytes", lacking("missing image file ", F.col("_file")))).drop("_bytes", "_file")
+        return df.withColumn("content", F.coalesce(inline, lacking))
+    full = F.when(named.startswith("/") | named.contains(":/"), named).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), named))
+    resolved = in_place.read_files(df.where(inline.isNull()).withColumn("_file", full), "_file").drop("_file")
     return df.where(inline.isNotNull()).withColumn("content", inline).unionByName(resolved)
 
 
@@ -144,6 +142,66 @@ def resolve_blobs(manifest: DataFrame, shards: DataFrame, loose: DataFrame | Non
     return out
 
 
+def resolve_in_place(manifest: DataFrame, root: str) -> DataFrame:
+    """Add ``content``: the manifest alone is shuffled, bytes are read from packed shards and loose files under ``root``.
+
+    A missing file, or a row that its shard does not have, fails the run.
+    """
+    base = F.lit(root.rstrip("/") + "/")
+    shard, row = naming.shard_of(F.col("path")), naming.shard_row(F.col("path"))
+    packed = manifest.withColumn("_file", F.concat(base, shard)).withColumn("_row", row).where(F.col("_file").isNotNull())
+    loose = manifest.where(shard.isNull()).withColumn("_file", F.concat(base, "path"))
+    return in_place.read_rows(packed, {"image": "content binary"}, "_file", "_row").drop("_file", "_row").unionByName(
+        in_place.read_files(loose, "_file").drop("_file"))
+
+
+def _rows_there(spark: SparkSession, path: str, *columns: str) -> DataFrame | None:
+    """Key columns of a table, or None where it is not there yet."""
+    try:
+        return spark.read.parquet(path).select(*columns)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def unpack_shards(wanted: DataFrame, root: str, dest: str) -> None:
+    """Append the wanted (shard, row) rows that ``dest`` lacks, with their bytes checked against the stored hash.
+
+    Rows are chosen on keys, read in place and written by the task that read them, as one
+    table with a ``shard`` column. A run that stopped is completed by the next, and a run
+    with nothing to do writes nothing. A row that does not match fails the job before it commits.
+    """
+    keys = wanted.select("shard", "row").distinct()
+    there = _rows_there(wanted.sparkSession, dest, "shard", "row")
+    todo = keys if there is None else keys.join(there, ["shard", "row"], "left_anti")
+    todo = todo.withColumn("_file", F.concat(F.lit(root.rstrip("/") + "/"), "shard"))
+    if not todo.take(1):
+        return
+    rows = in_place.read_rows(todo, {"image": "image binary", "sha256": "sha256 string"}, "_file", "row").drop("_file")
+    where = F.concat("shard", F.lit(" row "), F.col("row").cast("string"), F.lit(" does not match its sha256"))
+    rows = rows.withColumn("image", F.when(hashing.sha(F.col("image")) == F.col("sha256"), F.col("image")).otherwise(F.raise_error(where).cast("binary")))
+    rows.write.mode("append").parquet(dest)
+
+
+def publish_blobs(spark: SparkSession, staged: str, dest: str) -> None:
+    """Publish staged (path, sha256, content) rows once per path; what ``dest`` holds is never written again.
+
+    The winner of a path is its least (file, row) of the staged table. It is chosen, and what is published is
+    left out, on keys; the bytes are then read in place and appended by one job, which shows all of its rows or
+    none. A publication that stopped is completed by the next run, and one without news writes nothing.
+    """
+    keys = spark.read.parquet(staged).select("path", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+    winners = keys.where("path IS NOT NULL").groupBy("path").agg(F.min("_at").alias("_at"))
+    there = _rows_there(spark, dest, "path")
+    todo = (winners if there is None else winners.join(there, "path", "left_anti")).select("path", "_at.*")
+    if not todo.take(1):
+        return
+    rows = in_place.read_rows(todo, {"sha256": "sha256 string", "content": "content binary"}).drop("file", "row")
+    (rows.write.mode("append").option("parquet.bloom.filter.enabled#sha256", "true")
+     .option("parquet.bloom.filter.enabled#path", "true").parquet(dest))
+
+
 def materialize_shards(manifest: DataFrame, shards: DataFrame, dest: str, unpacked: DataFrame | None = None,
                        verify: bool = True) -> DataFrame:
     """Unpack shards not yet complete to a table partitioned by shard; returns what was pending."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,56 @@ def first_by_content(stream: DataFrame, content: str, ts: str = "ts", watermark:
     return keyed.dropDuplicatesWithinWatermark(["sha256"])
 
 
+def first_of_session(stream: DataFrame, content: str, id_col: str, ts: str = "ts", gap: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """(id, sha256, ts) of each row whose content was not seen within ``gap`` before it.
+
+    Copies prolong the wait: one comes out again only after ``gap`` without any. Arriving rows
+    are folded to runs (first, last) per content hash before they are shuffled, so a content that
+    makes up a third of the stream costs its task a row for each arriving batch and run. State is one
+    time per content and is dropped by an event-time timer once the watermark has passed it
+    by ``gap``. Of equal times the smallest id comes out; rows without a time, which no timer could end, drop out.
+    """
+    pause = pd.Timedelta(gap)
+    rows = stream.where(F.col(ts).isNotNull()).select(
+        F.coalesce(hashing.sha(F.col(content)), F.lit("")).alias("sha256"), F.col(ts).cast("timestamp").alias("first"), F.col(id_col).alias("id"))
+    id_type = dict(rows.dtypes)["id"]
+    runs = rows.mapInPandas(_runs(pause), f"sha256 string, first timestamp, id {id_type}, last timestamp")
+    return runs.withWatermark("first", watermark).groupBy("sha256").applyInPandasWithState(
+        _first_of_runs(pause), f"id {id_type}, sha256 string, ts timestamp", "last long", "append", "EventTimeTimeout")
+
+
+def _runs(pause: pd.Timedelta):
+    """Fold each arriving batch to runs of one content without a longer pause."""
+    def fold(batches):
+        for rows in batches:
+            rows = rows.sort_values(["sha256", "first", "id"])
+            opens = (rows["sha256"] != rows["sha256"].shift()) | (rows["first"] - rows["first"].shift() > pause)
+            yield rows.groupby(opens.cumsum()).agg(sha256=("sha256", "first"), first=("first", "first"), id=("id", "first"), last=("first", "last"))
+
+    return fold
+
+
+def _first_of_runs(pause: pd.Timedelta):
+    def merge(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        runs = pd.concat(list(batches)).sort_values(["first", "id"])
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        out = []
+        for run in runs.itertuples(index=False):
+            if last is None or run.first > last + pause:
+                out.append((run.id, key[0], run.first))
+            last = run.last if last is None else max(last, run.last)
+        state.update((last.value // 1000,))
+        # local times stand for instants: the timer counts from the latest watermark at the earliest
+        due = int((last + pause).value // 1_000_000) + 1
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["id", "sha256", "ts"])
+
+    return merge
+
+
 def screen_batches(stream: DataFrame, index: Callable[[], DataFrame], out: str, checkpoint: str, id_col: str = "id"):
     """Write verdicts batch by batch, against the index as it is when the batch starts.
 

@@ -335,6 +335,7 @@ S: dict[str, str] = {}
 # ── sources and sinks ───────────────────────────────────────────────────────
 S["s1_image_shard_scan"] = sql("""SELECT doc_id AS raw_id, 'SID_Set' AS dataset, (doc_id % 3)::INTEGER AS upstream_label, 'part' AS upstream_split, dg AS raw_sha256 FROM docs""")
 S["s2_image_cell_resolve"] = sql("SELECT doc_id, dg AS sha256 FROM docs")
+S["s2_image_files"] = S["s2_image_cell_resolve"]
 S["s3_upstream_split"] = "SELECT lang AS upstream_split, count(*) AS n FROM documents GROUP BY lang"
 S["s4_zip_member_scan"] = sql("""SELECT member, raw_sha256 AS sha256 FROM uploads WHERE archive <> '' AND (
     starts_with(member, 'GAN_based/') OR starts_with(member, 'coco/') OR starts_with(member, 'ADM/') OR starts_with(member, 'SDXL/'))""")
@@ -351,8 +352,11 @@ S["s10_policy_scan"] = sql("""SELECT round(min(t) FILTER (fpr <= 0.05), 6) AS re
 S["s11_shard_key_resolve"] = sql("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'full/' || source || '.parquet' END AS shard,
     CASE WHEN doc_id % 3 < 2 THEN doc_id END AS shard_row, dg AS sha256 FROM docs""")
 S["s12_shard_materialize"] = """SELECT 'full/' || source || '.parquet' AS shard, count(*) AS n, count(*) AS "rows", 0::BIGINT AS still_pending FROM documents GROUP BY source"""
+S["s11_packed_bytes_in_place"] = sql("SELECT doc_id, doc_id % 3 < 2 AS packed, dg AS sha256 FROM docs")
+S["s12_shard_unpack_in_place"] = sql("SELECT dg AS sha256, count(*) AS n FROM docs GROUP BY dg")
 S["s13_manifest_sink"] = sql("SELECT * EXCLUDE (raw_sha256) FROM manifest")
 S["s14_blob_sink"] = sql("SELECT DISTINCT path, sha256 FROM manifest")
+S["s14_blob_publish"] = S["s14_blob_sink"]
 S["s15_prediction_sink"] = sql("SELECT image_path, round(coalesce(pred, 0.5), 6) AS pred, error FROM event_scores")
 S["s16_bundle_guard"] = sql("""SELECT count(*) AS images, sum(n)::BIGINT AS "rows", min(n) AS min_views, max(n) AS max_views, 0::BIGINT AS duplicate_ids, 'val' AS splits, 0::BIGINT AS unstamped
     FROM (SELECT id, count(DISTINCT view) AS n FROM branch_a WHERE split = 'val' GROUP BY id)""")
@@ -613,6 +617,9 @@ S["x1_streaming_triage"] = sql("SELECT image_path, round(pred, 6) AS pred, decis
 S["x2_streaming_windowed_counts"] = sql("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, decision, count(*) AS n
     FROM triaged JOIN decisions USING (place) GROUP BY 1, 2""")
 S["x3_streaming_dedup"] = sql("SELECT DISTINCT dg AS sha256 FROM docs")
+S["x3_streaming_dedup_sessions"] = """SELECT event_id, sha256(content) AS sha256 FROM (
+    SELECT event_id, content, ts, lag(ts) OVER (PARTITION BY content ORDER BY ts, event_id) AS before
+    FROM (SELECT event_id, ts, concat_ws(':', user_id, event_type) AS content FROM events WHERE ts IS NOT NULL)) WHERE before IS NULL OR ts > before + INTERVAL 12 HOUR"""
 S["x4_streaming_screen"] = S["j3_near_duplicate_screen"]
 
 STATEMENTS = S
