@@ -31,14 +31,15 @@ def join_groups(left: DataFrame, right: DataFrame, by, on=(), how: str = "inner"
     return left.join(renamed, reduce(and_, same), how).drop(*[f"_right_{c}" for c in keys])
 
 
-def in_ranges(rows: DataFrame, order) -> DataFrame:
+def in_ranges(rows: DataFrame, order, parts: int | None = None) -> DataFrame:
     """The rows with ``_chunk``, the number of the range of ``order`` they fall in, written once.
 
     Spark draws the range bounds from a sample of the rows themselves, so ranges hold
     about equal numbers of them however the keys crowd. Another evaluation might draw other
-    bounds; the checkpoint fixes the numbers for every later read.
+    bounds; the checkpoint fixes the numbers for every later read. With ``parts`` there are so
+    many ranges (at most), also where adaptive execution would join them because their bytes are few.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id())
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).withColumn("_chunk", F.spark_partition_id())
     return checkpointed(ranged)
 
 

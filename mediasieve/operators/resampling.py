@@ -138,9 +138,11 @@ def replicate_auroc(df: DataFrame, by: list[str], score: str, label: str, id_col
     """
     key = F.col(score).cast("double")
     rows = df.select(*by, key.alias("_key"), F.col(id_col).cast("string").alias("_id"), (F.col(label) == 1).alias("_positive"))
-    rows = in_ranges(rows, [*by, "_key", "_id"]).withColumn("_chunk", F.col("_chunk").cast("long"))
-    # the checkpoint keeps its ranges; rows are ordered within each
-    rows = rows.repartition("_chunk").sortWithinPartitions("_chunk", *by, "_key", "_id")
+    # a row is a few bytes but all its replicates' work: the number of ranges is not left to their bytes
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_ranges(rows, [*by, "_key", "_id"], parts).withColumn("_chunk", F.col("_chunk").cast("long"))
+    # a partition of the checkpoint is one range: it is ordered where it lies
+    rows = rows.sortWithinPartitions("_chunk", *by, "_key", "_id")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
     parts = rows.mapInArrow(_partial(by, replicates, seed, bounds),
                             f"{fields}_chunk long, _lane int, _part int, _score double, _pos array<double>, _neg array<double>, _won array<double>")

@@ -89,7 +89,7 @@ def _nearest(probes: DataFrame, pairs: DataFrame, bands: int, cell: int) -> Data
     the other way round, so each two meet in one cell of at most about ``cell`` times ``cell``
     comparisons. Minima are combined before they meet by pair.
     """
-    grid = F.broadcast(checkpointed(_grid(probes, pairs, bands, cell)))
+    grid = F.broadcast(_grid(probes, pairs, bands, cell))
     part = lambda count: F.pmod(F.xxhash64("phash", "dhash"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
     left = (_band_rows(probes.select("phash", "dhash"), bands).join(grid, "_key")
