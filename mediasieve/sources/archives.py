@@ -1,7 +1,8 @@
-"""A batch data source for members of zip archives on a mounted file system.
+"""A batch data source for members of zip archives on any file system Arrow can open.
 
 ``spark.read.format("zip_members").option("prefixes", json).load(root)`` lists
-(archive, member, content). One partition is one range of one archive; a member
+(archive, member, content, index); ``index`` is the place in the archive's sorted
+member list, whatever the prefixes ask for. One partition is one range of one archive; a member
 whose name fails the prefix rule is never inflated.
 """
 
@@ -11,8 +12,11 @@ import json
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .in_place import opened
+
 RANGE_BYTES = 256 * 1024 * 1024
 
 
@@ -29,7 +33,7 @@ class ZipMembers(DataSource):
         return "zip_members"
 
     def schema(self):
-        return "archive string, member string, content binary"
+        return "archive string, member string, content binary, index bigint"
 
     def reader(self, schema):
         return ZipMembersReader(self.options)
@@ -39,31 +43,33 @@ class ZipMembersReader(DataSourceReader):
     """``prefixes`` is JSON {archive: [prefix, ...]}; without it every archive is read whole."""
 
     def __init__(self, options):
-        self.root = Path(options["path"])
+        self.root = options["path"].rstrip("/")
         self.prefixes = json.loads(options["prefixes"]) if "prefixes" in options else None
 
     def partitions(self):
-        names = sorted(self.prefixes) if self.prefixes is not None else sorted(
-            p.relative_to(self.root).as_posix() for p in self.root.rglob("*.zip"))
+        system, base = fs.FileSystem.from_uri(self.root) if ":/" in self.root else (fs.LocalFileSystem(), self.root)
+        if self.prefixes is None:
+            found = [info for info in system.get_file_info(fs.FileSelector(base, recursive=True)) if info.path.endswith(".zip")]
+        else:
+            found = system.get_file_info([f"{base}/{name}" for name in self.prefixes])
         ranges = []
-        for name in names:
-            path = self.root / name
-            if not path.exists():
-                raise FileNotFoundError(path)
-            parts = max(1, -(-path.stat().st_size // RANGE_BYTES))
-            ranges += [MemberRange(name, part, parts) for part in range(parts)]
+        for info in sorted(found, key=lambda i: i.path):
+            if info.type != fs.FileType.File:
+                raise FileNotFoundError(info.path)
+            parts = max(1, -(-info.size // RANGE_BYTES))
+            ranges += [MemberRange(info.path[len(base.rstrip("/")) + 1:], part, parts) for part in range(parts)]
         return ranges
 
     def read(self, partition):
         wanted = None if self.prefixes is None else tuple(self.prefixes[partition.archive])
-        with zipfile.ZipFile(self.root / partition.archive) as archive:
-            members = sorted(name for name in archive.namelist()
-                             if not name.endswith("/") and not name.startswith("__MACOSX/")
-                             and (wanted is None or name.startswith(wanted)))
+        with opened(f"{self.root}/{partition.archive}") as handle, zipfile.ZipFile(handle) as archive:
+            members = [(i, name) for i, name in enumerate(sorted(archive.namelist()))
+                       if not name.endswith("/") and not name.startswith("__MACOSX/")
+                       and (wanted is None or name.startswith(wanted))]
             start = len(members) * partition.part // partition.parts
             stop = len(members) * (partition.part + 1) // partition.parts
-            for name in members[start:stop]:
-                yield partition.archive, name, archive.read(name)
+            for i, name in members[start:stop]:
+                yield partition.archive, name, archive.read(name), i
 
 
 def register(spark) -> None:
@@ -86,7 +92,7 @@ def read_archives(spark, root: str, registry_rows, dataset: str):
     return read_members(spark, root, prefixes).select(
         F.lit(dataset).alias("dataset"), "archive", "member", F.lit(None).cast("int").alias("upstream_label"),
         F.lit("").alias("upstream_split"), F.col("archive").alias("file"),
-        F.lit(0).cast("bigint").alias("row"), F.concat("archive", F.lit(":"), "member").alias("raw_id"),
+        F.col("index").alias("row"), F.concat("archive", F.lit(":"), "member").alias("raw_id"),
         hashing.sha(F.col("content")).alias("raw_sha256"), "content")
 
 

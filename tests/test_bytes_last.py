@@ -130,3 +130,31 @@ def test_hot_content_is_folded_before_the_shuffle(spark):
     rows = pd.DataFrame({"sha256": ["x"] * 500 + ["y"], "first": pd.to_datetime(["2024-01-01"] * 501) + pd.to_timedelta(range(501), "s"), "id": range(501)})
     (folded,) = streams._runs(pd.Timedelta("1 hour"))([rows])
     assert folded["id"].tolist() == [0, 500] and folded["last"].iloc[0] == rows["first"].iloc[499]
+
+
+def test_archive_members_through_registry_screen_and_duplicates(spark, tmp_path):
+    """Equal members leave but for the first, by their place in the archive; prefixes without a source are not inflated."""
+    import zipfile
+
+    from mediasieve import registry
+    from mediasieve.operators import ingest, split
+    from mediasieve.sources import archives
+
+    rows = registry.source_rows()
+    names = {r[6] for r in rows if r[0] == "WildFake_GAN" and r[6]}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(tmp_path / name, "w") as archive:
+            for member, content in (("GAN_based/Typical/BigGAN/2.jpg", b"same"), ("GAN_based/Typical/BigGAN/1.jpg", b"same"),
+                                    ("ffhq/1.jpg", b"face"), ("nothing/1.jpg", b"lost"), ("coco/coco2017/val2017/1.jpg", b"forbidden")):
+                if member.startswith("GAN") == (name == "Images/GAN_based.zip"):
+                    archive.writestr(member, content)
+    raw = archives.read_archives(spark, f"file:{tmp_path}", rows, "WildFake_GAN").withColumns(
+        {"doc_id": F.xxhash64("raw_id"), "phash": F.xxhash64("content"), "dhash": F.xxhash64("content", F.lit(1))}).drop("content")
+    mapped = ingest.map_sources(raw, registry.sources(spark))
+    kept, stats = ingest.screen(mapped, spark.createDataFrame([(0, 0)], "phash long, dhash long"), limit_per_dataset=5)
+    first = split.assign_split(ingest.distinct_content(kept)).collect()
+    got = [(r["member"], r["row"]) for r in first if r["archive"] == "Images/GAN_based.zip"]
+    assert got == [("GAN_based/Typical/BigGAN/1.jpg", 0)]
+    assert not {r["member"] for r in first} & {"nothing/1.jpg", "coco/coco2017/val2017/1.jpg"}
+    assert stats.first()["accepted"] == kept.count() <= 5
