@@ -1,12 +1,14 @@
-"""The scalar expressions as SQL functions, for users who write SQL.
+"""Expressions as SQL functions and metrics as views, for users who write SQL.
 
-They are SQL functions, so Spark inlines them and they stay inside the JVM.
+The functions are SQL functions, so Spark inlines them and they stay inside the JVM.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .hashing import band_ranges
 
 FUNCTIONS = {
@@ -27,3 +29,28 @@ def register(spark: SparkSession, bands: int = 6) -> None:
                      for i, (low, high) in enumerate(band_ranges(bands)))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION band_key_rows(h BIGINT) RETURNS TABLE (band INT, value BIGINT) "
               f"RETURN SELECT k.band, k.value FROM (SELECT explode(array({rows})) AS k)")
+
+
+def publish_metrics(spark: SparkSession, table: str, by=(), score: str = "p", label: str = "label",
+                    targets=(0.01, 0.05)) -> list[str]:
+    """Views over a scored table or view, one row per group of ``by``; their names.
+
+    ``<table>_auroc``, ``<table>_average_precision``, ``<table>_ece``, ``<table>_best_threshold``
+    and ``<table>_thresholds`` (a row per group and FPR target). The rows are ranked once, at this
+    call, from one histogram that the error of calibration reads too: the views hold the table as it was then.
+    A dotted table name gives views named by its last part. Calling again replaces them.
+    """
+    from ..operators import calibrate, metrics
+
+    by = metrics._names(by)
+    rows = spark.table(table)
+    cells = checkpointed(metrics.score_histogram(rows, by, score, label))
+    ranked = calibrate.ranked_scores(cells, by, score)
+    operating = calibrate.thresholds_of(ranked, targets, by)
+    views = {"auroc": metrics.ranked_auroc(ranked, by), "average_precision": metrics.ranked_average_precision(ranked, by),
+             "ece": metrics.ece(cells, by, score), "best_threshold": operating.drop("points"),
+             "thresholds": operating.select(*by, F.inline("points"))}
+    stem = table.split(".")[-1].strip("`")
+    for name, frame in views.items():
+        frame.createOrReplaceTempView(f"{stem}_{name}")
+    return [f"{stem}_{name}" for name in views]

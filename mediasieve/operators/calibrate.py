@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring
 from . import metrics
-from .ordered import join_groups
 
 # Acceptance limits and record version.
 SCHEMA_VERSION = 1
@@ -35,15 +34,18 @@ def fit_temperature(df: DataFrame, logit: str = "logit", label: str = "label") -
     return 1.0 / slope
 
 
-def _candidates(df: DataFrame, by, score: str, label: str) -> DataFrame:
+def ranked_scores(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
+    """The ranked histogram that :func:`thresholds_of` reads, written once."""
+    return metrics.ranked_histogram(df, by, score, label, neighbours=True, ranges=True)
+
+
+def _candidates(ranked: DataFrame, by) -> DataFrame:
     """Every candidate threshold with its counts at or above it.
 
     Candidates are 0, the midpoints of adjacent distinct scores (the score itself
     when there is only one) and 1. ``lower`` is the highest score strictly below the
     candidate, ``upper`` the lowest score at or above it.
     """
-    by = metrics._names(by)
-    ranked = metrics.ranked_histogram(df, by, score, label, neighbours=True)
     s, after, before = F.col("score"), F.col("next_key"), F.col("previous_key")
     from_here_pos = F.col("n_pos_total") - F.col("n_pos_below")
     from_here_neg = F.col("n_neg_total") - F.col("n_neg_below")
@@ -72,53 +74,74 @@ def _candidates(df: DataFrame, by, score: str, label: str) -> DataFrame:
         return (F.when(first_at_or_above, candidate(at, from_here_pos, from_here_neg, before, s))
                 .when(all_below, candidate(at, none, none, s, F.lit(None).cast("double"))))
 
-    return (ranked.select(*by, "n_pos_total", "n_neg_total",
+    return (ranked.select(*by, "_chunk", "n_pos_total", "n_neg_total",
                           F.explode(F.array_compact(F.array(fixed(0.0), between, only, fixed(1.0)))).alias("_c"))
-            .select(*by, "n_pos_total", "n_neg_total", "_c.*")
-            .withColumn("tpr", F.col("pos_ge") / F.col("n_pos_total"))
-            .withColumn("fpr", F.col("neg_ge") / F.col("n_neg_total")))
+            .select(*by, "_chunk", "n_pos_total", "n_neg_total", "_c.*")
+            .withColumn("tpr", F.try_divide("pos_ge", "n_pos_total"))
+            .withColumn("fpr", F.try_divide("neg_ge", "n_neg_total")))
 
 
-def threshold_at_fpr(df: DataFrame, targets=(0.01, 0.05), by=(), score: str = "p", label: str = "label") -> DataFrame:
-    """Per target the lowest candidate with FPR at or below it.
+def operating_thresholds(df: DataFrame, targets=(0.01, 0.05), by=(), score: str = "p", label: str = "label") -> DataFrame:
+    """Per group the best threshold and the threshold of every FPR target, from one ordering.
 
-    When no candidate reaches the target the threshold is 1 and ``reached`` is false.
+    ``points`` holds (target_fpr, threshold, achieved_fpr, tpr, reached) of the targets; the
+    other columns are those of :func:`best_threshold`. A group of one class has no balanced
+    accuracy: its best threshold and all that belongs to it are NULL.
+    """
+    return thresholds_of(ranked_scores(df, by, score, label), targets, by)
+
+
+def thresholds_of(ranked: DataFrame, targets=(0.01, 0.05), by=()) -> DataFrame:
+    """:func:`operating_thresholds` over :func:`ranked_scores`.
+
+    A range of the histogram reduces, where it lies, to a few rows: its lowest candidate
+    per target, and for every balanced accuracy within the tolerance of its own best one
+    the number, the first and the last candidate. Those rows alone meet by group.
     """
     by, targets = metrics._names(by), list(targets)
-    rows = _candidates(df, by, score, label)
-    picked = metrics._grouped(rows, by).agg(
+    of_range, of_group = Window.partitionBy(*by, "_chunk"), Window.partitionBy(*by)
+    rows = _candidates(ranked, by).withColumn("_ba", (F.col("tpr") + (1 - F.col("fpr"))) / 2)
+    near_top = F.col("_ba") >= F.max("_ba").over(of_range) - PLATEAU_TOLERANCE
+    point = F.struct("t", "fpr", "tpr")
+    partial = rows.withColumn("_level", F.when(near_top, F.col("_ba"))).groupBy(*by, "_chunk", "_level").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("t", "lower")).alias("_first"), F.max(F.struct("t", "upper")).alias("_last"),
         F.max(F.when(F.col("t") == 1.0, F.struct("fpr", "tpr"))).alias("_strict"),
-        *[F.min(F.when(F.col("fpr") <= F.lit(float(target)), F.struct("t", "fpr", "tpr"))).alias(f"_at{i}")
-          for i, target in enumerate(targets)])
-    each = F.explode(F.array(*[
+        *[F.min(F.when(F.col("fpr") <= F.lit(float(target)), point)).alias(f"_at{i}") for i, target in enumerate(targets)])
+    best, level = F.col("_best"), F.col("_level")
+    on = level >= best - PLATEAU_TOLERANCE
+    merged = metrics._grouped(partial.withColumn("_best", F.max("_level").over(of_group)), by).agg(
+        F.max("_best").alias("balanced_accuracy"), F.min(F.when(level == best, F.col("_first.t"))).alias("argmax_threshold"),
+        F.coalesce(F.sum(F.when(on, F.col("_n"))), F.lit(0)).alias("n_candidates_at_max"),
+        F.min(F.when(on, F.col("_first"))).alias("_first"), F.max(F.when(on, F.col("_last"))).alias("_last"),
+        F.max("_strict").alias("_strict"), *[F.min(f"_at{i}").alias(f"_at{i}") for i in range(len(targets))])
+    defined = F.col("balanced_accuracy").isNotNull()
+    points = F.array(*[
         F.struct(F.lit(float(target)).alias("target_fpr"),
                  F.coalesce(F.col(f"_at{i}.t"), F.lit(1.0)).alias("threshold"),
                  F.coalesce(F.col(f"_at{i}.fpr"), F.col("_strict.fpr")).alias("achieved_fpr"),
                  F.coalesce(F.col(f"_at{i}.tpr"), F.col("_strict.tpr")).alias("tpr"),
                  F.col(f"_at{i}").isNotNull().alias("reached"))
-        for i, target in enumerate(targets)])).alias("_row")
-    return picked.select(*by, each).select(*by, "_row.*")
+        for i, target in enumerate(targets)])
+    found = merged.select(
+        *by, "balanced_accuracy", "argmax_threshold", "n_candidates_at_max",
+        F.when(defined, F.coalesce(F.col("_first.lower"), F.lit(0.0))).alias("lo"),
+        F.when(defined, F.coalesce(F.col("_last.upper"), F.lit(1.0))).alias("hi"), points.alias("points"))
+    return (found.withColumn("width", F.col("hi") - F.col("lo"))
+            .withColumn("threshold", (F.col("lo") + F.col("hi")) / 2))
+
+
+def threshold_at_fpr(df: DataFrame, targets=(0.01, 0.05), by=(), score: str = "p", label: str = "label") -> DataFrame:
+    """Per target the lowest candidate with FPR at or below it.
+
+    When no candidate reaches the target the threshold is 1 and ``reached`` is false.
+    """
+    by = metrics._names(by)
+    return operating_thresholds(df, targets, by, score, label).select(*by, F.inline("points"))
 
 
 def best_threshold(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
     """Centre of the plateau of greatest balanced accuracy, with its bounds."""
-    by = metrics._names(by)
-    rows = _candidates(df, by, score, label).withColumn("ba", (F.col("tpr") + (1 - F.col("fpr"))) / 2)
-    best = metrics._grouped(rows, by).agg(
-        F.max("ba").alias("balanced_accuracy"),
-        F.min_by("t", F.struct(-F.col("ba"), F.col("t"))).alias("argmax_threshold"))
-    at_best = (join_groups(rows, best, by) if by else
-               rows.withColumn("balanced_accuracy", best.select("balanced_accuracy").scalar())
-               .withColumn("argmax_threshold", best.select("argmax_threshold").scalar()))
-    at_best = at_best.where(F.col("ba") >= F.col("balanced_accuracy") - PLATEAU_TOLERANCE)
-    found = metrics._grouped(at_best, by).agg(
-        F.max("balanced_accuracy").alias("balanced_accuracy"),
-        F.max("argmax_threshold").alias("argmax_threshold"),
-        F.count(F.lit(1)).alias("n_candidates_at_max"),
-        F.coalesce(F.min_by("lower", "t"), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.max_by("upper", "t"), F.lit(1.0)).alias("hi"))
-    return (found.withColumn("width", F.col("hi") - F.col("lo"))
-            .withColumn("threshold", (F.col("lo") + F.col("hi")) / 2))
+    return operating_thresholds(df, (), by, score, label).drop("points")
 
 
 def threshold_curve(df: DataFrame, points: int = 101, by=(), score: str = "p", label: str = "label") -> DataFrame:

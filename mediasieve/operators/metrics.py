@@ -46,9 +46,9 @@ def score_histogram(df: DataFrame, by=(), score: str = "p", label: str = "label"
 
 
 def ranked_histogram(df: DataFrame, by=(), score: str = "p", label: str = "label",
-                     neighbours: bool = False) -> DataFrame:
+                     neighbours: bool = False, ranges: bool = False) -> DataFrame:
     """The histogram with counts below each score, totals and neighbouring scores."""
-    ranked = running_sums(score_histogram(df, by, score, label), _names(by), score, ["n_pos", "n_neg"], neighbours)
+    ranked = running_sums(score_histogram(df, by, score, label), _names(by), score, ["n_pos", "n_neg"], neighbours, ranges)
     return ranked.withColumnRenamed(score, "score")
 
 
@@ -76,19 +76,27 @@ def auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", rollup:
         # The pooled row merges the groups' histogram instead of reading the rows again.
         cells = score_histogram(df, by, score, label)
         return auroc(cells, by, score).unionByName(auroc(cells, (), score), allowMissingColumns=True)
-    return _grouped(ranked_histogram(df, by, score, label), by).agg(
+    return ranked_auroc(ranked_histogram(df, by, score, label), by)
+
+
+def ranked_auroc(ranked: DataFrame, by=()) -> DataFrame:
+    """AUROC per group of a ranked histogram."""
+    return _grouped(ranked, _names(by)).agg(
         F.max("n_pos_total").alias("n_pos"), F.max("n_neg_total").alias("n_neg"),
         _auroc_of("n_pos", "n_neg").alias("auroc"))
 
 
 def average_precision(df: DataFrame, by=(), score: str = "p", label: str = "label") -> DataFrame:
-    """Step-wise average precision at distinct descending scores."""
-    by = _names(by)
-    ranked = ranked_histogram(df, by, score, label)
+    """Step-wise average precision at distinct descending scores; NULL for a group without positives."""
+    return ranked_average_precision(ranked_histogram(df, by, score, label), by)
+
+
+def ranked_average_precision(ranked: DataFrame, by=()) -> DataFrame:
+    """Average precision per group of a ranked histogram."""
     hits = F.col("n_pos_total") - F.col("n_pos_below")
     flagged = hits + F.col("n_neg_total") - F.col("n_neg_below")
-    step = F.col("n_pos") / F.col("n_pos_total") * hits / flagged
-    return _grouped(ranked, by).agg(F.sum(step).alias("average_precision"))
+    step = F.try_divide("n_pos", "n_pos_total") * hits / flagged
+    return _grouped(ranked, _names(by)).agg(F.sum(step).alias("average_precision"))
 
 
 def weighted_auroc(df: DataFrame, by, weights, score: str = "p", label: str = "label") -> DataFrame:

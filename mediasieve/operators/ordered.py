@@ -43,12 +43,13 @@ def in_ranges(rows: DataFrame, order, parts: int | None = None) -> DataFrame:
     return checkpointed(ranged)
 
 
-def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False) -> DataFrame:
+def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False, ranges: bool = False) -> DataFrame:
     """Sums over all smaller keys of the group, and the group totals.
 
     ``rows`` holds one row per (group, key); a NULL group is a group and a NULL
     key lies below all others. Adds ``<column>_below`` and ``<column>_total`` for
-    every column in ``sums`` and, on request, ``previous_key`` and ``next_key``.
+    every column in ``sums`` and, on request, ``previous_key`` and ``next_key``, and the
+    range a row lies in as ``_chunk``.
     The rows are cut into ranges of (group, key); the sums of whole ranges and
     those inside a range add up. A group of any size spreads over ranges, and many small
     groups share one.
@@ -76,6 +77,8 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False)
     extra = []
     if neighbours:
         extra = [F.coalesce("_lag", "_chunk_previous").alias("previous_key"), F.coalesce("_lead", "_chunk_next").alias("next_key")]
+    if ranges:
+        extra.append(F.col("_chunk"))
     return join_groups(inside, offsets, by, ["_chunk"]).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 

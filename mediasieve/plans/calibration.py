@@ -34,23 +34,24 @@ def run_calibration(scored_views: DataFrame, split: str = "val", cap: int = 0, w
     scored = rows.withColumn("p", scoring.calibrated(F.col("logit"), temperature))
 
     record = calibrate.acceptance(rows, temperature, ece_tolerance, dry_run=dry_run)
-    best = calibrate.best_threshold(scored)
-    point = F.struct("target_fpr", "threshold", "achieved_fpr", "tpr", "reached")
-    points = calibrate.threshold_at_fpr(scored).groupBy().agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            F.concat(F.lit("fpr_"), F.col("target_fpr").cast("string")).alias("key"), point.alias("value"))))).alias("points"))
+    points = F.map_from_entries(F.array_sort(F.transform("points", lambda point: F.struct(
+        F.concat(F.lit("fpr_"), point["target_fpr"].cast("string")).alias("key"), point.alias("value")))))
+    plateau = F.struct("argmax_threshold", "lo", "hi", "width", "n_candidates_at_max")
+    found = calibrate.operating_thresholds(scored).select(F.struct(
+        "threshold", "balanced_accuracy", plateau.alias("plateau"), points.alias("points")).alias("found"))
     curve = calibrate.threshold_curve(scored, curve_points).groupBy().agg(
         F.array_sort(F.collect_list(F.struct("threshold", "tpr", "fpr", "balanced_accuracy"))).alias("curve"))
     seen = rows.groupBy().agg(F.count(F.lit(1)).alias("images"), F.array_sort(F.collect_set("view")).alias("views"))
-    plateau = best.select(F.struct("argmax_threshold", "lo", "hi", "width", "n_candidates_at_max").alias("p"))
     record = (record
               .withColumn("schema_version", F.lit(calibrate.SCHEMA_VERSION)).withColumn("weights_key", F.lit(weights_key))
               .withColumn("split", F.lit(split)).withColumn("tta", F.lit(tta)).withColumn("source_id", F.lit(source_id))
-              .withColumn("threshold", best.select("threshold").scalar())
-              .withColumn("balanced_accuracy_at_threshold", best.select("balanced_accuracy").scalar())
-              .withColumn("threshold_plateau", plateau.scalar())
-              .withColumn("operating_points", points.scalar()).withColumn("threshold_curve", curve.scalar())
-              .withColumn("images", seen.select("images").scalar()).withColumn("views", seen.select("views").scalar()))
+              .withColumn("_found", found.scalar())
+              .withColumn("threshold", F.col("_found.threshold"))
+              .withColumn("balanced_accuracy_at_threshold", F.col("_found.balanced_accuracy"))
+              .withColumn("threshold_plateau", F.col("_found.plateau"))
+              .withColumn("operating_points", F.col("_found.points")).withColumn("threshold_curve", curve.scalar())
+              .withColumn("images", seen.select("images").scalar()).withColumn("views", seen.select("views").scalar())
+              .drop("_found"))
     sealed = calibrate.artifact_id(record, [*ARTIFACT_FIELDS, "source_id"])
     return sealed.withColumn("artifact_id", F.when(F.col("status") == "accepted", F.col("artifact_id")))
 

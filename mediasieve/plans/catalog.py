@@ -559,6 +559,22 @@ def _(spark, sf):
     return metrics.average_precision(scored_views(spark, sf), ["view"]).select("view", r6("average_precision"))
 
 
+@query("a5_metrics_in_sql")
+def _(spark, sf):
+    scored_views(spark, sf).createOrReplaceTempView("published_scores")
+    sql.publish_metrics(spark, "published_scores", ["content"])
+    return spark.sql("""SELECT content, n_pos, n_neg, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, round(ece, 6) AS ece
+                        FROM published_scores_auroc JOIN published_scores_average_precision USING (content) JOIN published_scores_ece USING (content)""")
+
+
+@query("a5_thresholds_in_sql")
+def _(spark, sf):
+    scored(spark, sf).createOrReplaceTempView("published_content")
+    sql.publish_metrics(spark, "published_content", ["content"])
+    return spark.sql("""SELECT content, target_fpr, round(t.threshold, 6) AS threshold, round(t.tpr, 6) AS tpr, t.reached, round(b.balanced_accuracy, 6) AS balanced_accuracy
+                        FROM published_content_thresholds t JOIN published_content_best_threshold b USING (content)""")
+
+
 @query("a7_rates_at_threshold")
 def _(spark, sf):
     return metrics.threshold_rates(scored_views(spark, sf), SHIPPED, ["view"]).select("view", "n", r6("tpr"), r6("fpr"), r6("balanced_accuracy"))
@@ -613,6 +629,15 @@ def _(spark, sf):
         "view", r6("balanced_accuracy"), r6("argmax_threshold"), r6("lo"), r6("hi"), r6("width"), r6("threshold"), "n_candidates_at_max")
 
 
+@query("a14_operating_thresholds")
+def _(spark, sf):
+    """Best threshold and both targets of every content class over all views, from one ordering."""
+    found = calibrate.operating_thresholds(scored_views(spark, sf), (0.01, 0.05), ["content"])
+    return found.select("content", "balanced_accuracy", "threshold", "n_candidates_at_max", F.inline("points").alias(
+        "target_fpr", "at_target", "achieved_fpr", "tpr", "reached")).select(
+            "content", r6("balanced_accuracy"), r6("threshold"), "n_candidates_at_max", "target_fpr", r6("at_target"), r6("achieved_fpr"), r6("tpr"), "reached")
+
+
 @query("a15_threshold_curve")
 def _(spark, sf):
     return calibrate.threshold_curve(scored_views(spark, sf), 101, ["view"]).select(

@@ -452,6 +452,10 @@ S["a12_acceptance"] = sql("""SELECT round(x.nll, 6) AS nll_before, round(y.nll,
     round(x.brier, 6) AS brier_before, round(y.brier, 6) AS brier_after, FALSE AS has_bad_logits, FALSE AS temperature_is_far,
     CASE WHEN y.nll > x.nll OR y.ece > x.ece + 0.01 THEN 'rejected' ELSE 'accepted' END AS status FROM x, y""",
     edges=ECE_EDGES, x=acceptance_stage("1.0"), y=acceptance_stage(T))
+_REACHED = """SELECT content, target_fpr, min(t) AS at_t, arg_min(fpr, t) AS at_fpr, arg_min(tpr, t) AS at_tpr
+    FROM cd, (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) g(target_fpr) WHERE fpr <= target_fpr GROUP BY content, target_fpr"""
+_PLATEAU = """SELECT content, max(ba) AS ba, coalesce(arg_min(below, t), 0) AS lo, coalesce(arg_max(above, t), 1) AS hi, count(*) AS n FROM (
+    SELECT *, max(ba) OVER (PARTITION BY content) AS best FROM (SELECT *, (tpr + (1 - fpr)) / 2 AS ba FROM cd)) WHERE ba >= best - 1e-12 GROUP BY content"""
 S["a13_threshold_at_fpr"] = sql("""SELECT view, target_fpr, round(min(t), 6) AS threshold, round(arg_min(fpr, t), 6) AS achieved_fpr, round(arg_min(tpr, t), 6) AS tpr, TRUE AS reached
     FROM cd, (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) g(target_fpr) WHERE fpr <= target_fpr GROUP BY view, target_fpr""", rk=ranked("sv", ["view"]), cd=fast_candidates(["view"]))
 S["a14_best_threshold"] = sql("""SELECT view, round(best, 6) AS balanced_accuracy, round(argmax, 6) AS argmax_threshold, round(lo, 6) AS lo, round(hi, 6) AS hi, round(hi - lo, 6) AS width,
@@ -459,6 +463,17 @@ S["a14_best_threshold"] = sql("""SELECT view, round(best, 6) AS balanced_accurac
         SELECT view, max(best) AS best, coalesce(arg_min(below, t), 0) AS lo, coalesce(arg_max(above, t), 1) AS hi, min(t) FILTER (ba = best) AS argmax, count(*) AS n
         FROM (SELECT *, max(ba) OVER (PARTITION BY view) AS best FROM (SELECT *, (tpr + (1 - fpr)) / 2 AS ba FROM cd)) WHERE ba >= best - 1e-12 GROUP BY view)""",
     rk=ranked("sv", ["view"]), cd=fast_candidates(["view"]))
+S["a14_operating_thresholds"] = sql("""SELECT content, round(ba, 6) AS balanced_accuracy, round((lo + hi) / 2, 6) AS threshold, n AS n_candidates_at_max, target_fpr,
+    round(at_t, 6) AS at_target, round(at_fpr, 6) AS achieved_fpr, round(at_tpr, 6) AS tpr, TRUE AS reached FROM plateau JOIN points USING (content)""",
+    rk=ranked("sv", ["content"]), cd=fast_candidates(["content"]), plateau=_PLATEAU, points=_REACHED)
+S["a5_thresholds_in_sql"] = sql("""SELECT content, target_fpr, round(at_t, 6) AS threshold, round(at_tpr, 6) AS tpr, TRUE AS reached, round(ba, 6) AS balanced_accuracy
+    FROM points JOIN plateau USING (content)""", rk=ranked("scored", ["content"]), cd=fast_candidates(["content"]), plateau=_PLATEAU, points=_REACHED)
+S["a5_metrics_in_sql"] = sql(f"""SELECT content, n_pos, n_neg, auroc, average_precision, ece FROM (
+    SELECT content, max(tp)::BIGINT AS n_pos, max(tn)::BIGINT AS n_neg, round({AUC}, 6) AS auroc,
+           round(sum(np::DOUBLE / tp * (tp - pb) / ((tp - pb) + (tn - nb))), 6) AS average_precision FROM rk GROUP BY content)
+    JOIN (SELECT content, round(sum(n * abs(my - mp)) / sum(n), 6) AS ece FROM (
+        SELECT content, bin, count(*) AS n, avg(p) AS mp, avg(label) AS my FROM sv JOIN edges ON p >= lo AND p < hi GROUP BY content, bin) GROUP BY content) USING (content)""",
+    rk=ranked("sv", ["content"]), edges=ECE_EDGES)
 S["a15_threshold_curve"] = sql("""SELECT view, round(t, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round((tpr + (1 - fpr)) / 2, 6) AS balanced_accuracy FROM (
     SELECT view, t, (sum(np) FILTER (p >= t))::DOUBLE AS a, coalesce(sum(np) FILTER (p >= t), 0)::DOUBLE / sum(np) AS tpr, coalesce(sum(nn) FILTER (p >= t), 0)::DOUBLE / sum(nn) AS fpr
     FROM rk, (SELECT CASE WHEN k = 100 THEN 1.0::DOUBLE ELSE k * 0.01::DOUBLE END AS t FROM range(101) g(k)) GROUP BY view, t)""", rk=ranked("sv", ["view"]))

@@ -243,3 +243,62 @@ def test_robust_summary_skips_undefined_cells(spark):
     row = metrics.robust_summary(cells).first()
     assert (row["worst_cell"], row["worst_cell_auroc"]) == ("c", 0.7)
     assert row["macro_robust_auroc"] == pytest.approx(0.75) and row["clean_to_worst"] == pytest.approx(0.2)
+
+
+def test_thresholds_and_targets_from_one_ordering(spark):
+    """Every group against all its candidates by hand: plateaus over many ranges, one score, one class, a null group."""
+    rng = np.random.default_rng(5)
+    groups = {"alternate": (np.arange(4000) / 4001, np.arange(4000) % 2), "random": (rng.random(3000).round(2), rng.integers(0, 2, 3000)),
+              "one": (np.full(50, 0.5), np.arange(50) % 2), "edges": (np.array([0.0, 1.0, 1.0, 0.0]), np.array([0, 1, 0, 1])),
+              None: (rng.random(500), rng.integers(0, 2, 500)), "fakes": (rng.random(40), np.ones(40, int))}
+    df = spark.createDataFrame([(g, int(y), float(s)) for g, (scores, labels) in groups.items() for s, y in zip(scores, labels)],
+                               "g string, label int, p double")
+    got = {r["g"]: r for r in calibrate.operating_thresholds(df, (0.05, 0.5), ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, (scores, labels) in groups.items():
+        row, distinct = got[g], np.unique(scores)
+        middles = (distinct[1:] + distinct[:-1]) / 2 if len(distinct) > 1 else distinct
+        at = np.unique(np.concatenate([[0.0], middles, [1.0]]))
+        if g == "fakes":
+            assert row["balanced_accuracy"] is None and row["threshold"] is None and row["n_candidates_at_max"] == 0
+            assert not any(point["reached"] for point in row["points"])
+            continue
+        tpr = np.array([(scores[labels == 1] >= t).mean() for t in at])
+        fpr = np.array([(scores[labels == 0] >= t).mean() for t in at])
+        ba = (tpr + (1 - fpr)) / 2
+        top = at[ba >= ba.max() - 1e-12]
+        assert row["balanced_accuracy"] == pytest.approx(ba.max()) and row["argmax_threshold"] == at[np.argmax(ba)]
+        assert row["n_candidates_at_max"] == len(top)
+        assert row["lo"] == max(distinct[distinct < top[0]], default=0.0) and row["hi"] == min(distinct[distinct >= top[-1]], default=1.0)
+        for point in row["points"]:
+            reached = at[fpr <= point["target_fpr"]]
+            assert point["reached"] == bool(len(reached)) and point["threshold"] == (reached[0] if len(reached) else 1.0)
+
+
+def test_thresholds_read_the_histogram_once(spark):
+    """Past the ordering only the few rows of the ranges meet by group."""
+    rows = spark.createDataFrame([("a", i % 2, i / 100) for i in range(100)], "g string, label int, p double")
+
+    def exchanges(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+    ranked = calibrate.ranked_scores(rows, ["g"])
+    assert exchanges(calibrate.thresholds_of(ranked, by=["g"])) <= exchanges(ranked) + 1
+
+
+def test_metrics_as_views(spark):
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 2], int(y), float(s)) for i, (y, s) in enumerate(zip(rng.integers(0, 2, 400), rng.random(400).round(2)))]
+    df = spark.createDataFrame(rows, "g string, label int, p double")
+    df.createOrReplaceTempView("view_scores")
+    from mediasieve.functions import sql
+
+    names = sql.publish_metrics(spark, "view_scores", "g")
+    assert len(names) == 5
+    read = lambda text: sorted(map(tuple, spark.sql(text).collect()))
+    assert read("SELECT g, auroc FROM view_scores_auroc") == sorted(map(tuple, metrics.auroc(df, "g").select("g", "auroc").collect()))
+    assert read("SELECT g, round(ece, 9) FROM view_scores_ece") == sorted((r[0], round(r[1], 9)) for r in metrics.ece(df, "g").collect())
+    assert read("SELECT g, threshold FROM view_scores_thresholds WHERE target_fpr = 0.05") == sorted(
+        (r["g"], r["threshold"]) for r in calibrate.threshold_at_fpr(df, (0.05,), "g").collect())
+    assert read("SELECT count(*) FROM view_scores_best_threshold JOIN view_scores_average_precision USING (g)") == [(2,)]
