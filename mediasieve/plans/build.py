@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import registry as registry_module
 from ..functions import hashing
 from ..operators import geometry, ingest, jobs, screen, split
 from ..session import checkpointed
+from ..sources import archives
 
 
 def plan_build(staged: DataFrame, index: DataFrame | None, registry: dict | None = None, seed: int = 0,
@@ -25,6 +27,24 @@ def plan_build(staged: DataFrame, index: DataFrame | None, registry: dict | None
     return geometry.canonical_plan(geometry.draw_targets(kept, pools, seed), seed), stats
 
 
+def stage_archives(spark: SparkSession, root: str, registry_rows, index: DataFrame | None, hashes,
+                   limit_per_dataset: int = 0, salt: str = split.HOLDOUT_SALT,
+                   allow_unscreened: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted members with split, statistics) of all archives the registry rows name.
+
+    ``hashes`` turns the raw rows (with ``content``) into rows with ``phash`` and ``dhash``; contents leave
+    right behind it, so that mapping, screen, limit and split move keys and hashes only. Of members equal in
+    content the first one, by (file, row), stays. A missing archive ends the build.
+    """
+    datasets = sorted({row[0] for row in registry_rows if row[6] is not None})
+    raw = ingest.union_sources(*[
+        hashes(archives.read_archives(spark, root, registry_rows, dataset)).drop("content") for dataset in datasets])
+    mapped = ingest.map_sources(raw, spark.createDataFrame(registry_rows, registry_module.SOURCE_SCHEMA))
+    staged = checkpointed(mapped.withColumn("member_id", F.concat("dataset", F.lit("/"), "file", F.lit(":"), "member")))
+    kept, stats = ingest.screen(staged, index, limit_per_dataset, allow_unscreened, id_col="member_id")
+    return split.assign_split(ingest.distinct_content(kept), salt=salt), stats
+
+
 def run_build(staged: DataFrame, rasters: DataFrame, index: DataFrame | None, seed: int = 0,
               limit_per_dataset: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifest, canonical rasters, statistics); rows are hashed and screened once.

@@ -30,6 +30,7 @@ SHIPPED = 0.3
 REPLICATES = 1000
 CAP = 2000
 LIMIT = 40
+PART_ROWS = 512
 
 
 def query(name: str):
@@ -109,7 +110,7 @@ def _(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("files/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"),
                                                   F.encode("text", "UTF-8").alias("content"))
     apart = F.col("doc_id") % 2 == 1
-    archives.write_files(docs.where(apart).select("path", "content"), root.removeprefix("file:")).count()
+    archives.write_files(docs.where(apart).select("path", "content"), root).count()
     cells = docs.select("doc_id", F.struct(F.when(~apart, F.col("content")).alias("bytes"), F.when(apart, F.col("path")).alias("path")).alias("image"))
     return tables.resolve_image_cell(cells, root, by_path=True).select("doc_id", hashing.sha(F.col("content")).alias("sha256"))
 
@@ -120,15 +121,44 @@ def _(spark, sf):
     return b.table(spark, sf, "documents").groupBy(naming.upstream_split(name).alias("upstream_split")).agg(n_rows())
 
 
+def _archive_parts(uploads: DataFrame) -> DataFrame:
+    """Archived uploads with the part they are written to; a part holds at most ``PART_ROWS`` ids."""
+    part = F.floor(F.col("doc_id") / PART_ROWS).cast("string")
+    return uploads.where("member <> ''").select(F.concat("archive", F.lit("/part_"), part, F.lit(".zip")).alias("file"), "member", "content")
+
+
 @query("s4_zip_member_scan")
 def _(spark, sf):
-    root = scratch_folder(spark, "archives").removeprefix("file:")
-    written = archives.write_archives(b.uploads(spark, sf).where("archive <> ''").select("member", "content"), root, "Images/all")
-    names = [row["archive"] for row in written.collect()]
-    prefixes = {name: ["GAN_based/", "coco/", "ADM/", "SDXL/"] for name in names}
+    root = scratch_folder(spark, "archives")
+    archives.write_archives(_archive_parts(b.uploads(spark, sf).withColumn("archive", F.lit("Images/all.zip"))), root).count()
+    prefixes = {"Images/all.zip": ["GAN_based/", "coco/", "ADM/", "SDXL/"]}
     return archives.read_members(spark, root, prefixes).select("member", hashing.sha(F.col("content")).alias("sha256"))
 
 
+@query("s4_archive_members_pushed")
+def _(spark, sf):
+    """Filters on names open only the archives, and inflate only the members, that pass."""
+    root = scratch_folder(spark, "archives")
+    archives.write_archives(_archive_parts(b.uploads(spark, sf)), root).count()
+    archives.register(spark)
+    members = spark.read.format("zip_members").load(root)
+    chosen = members.where(F.col("file").startswith("Images/Real/coco.zip/") & F.col("member").contains("val2017"))
+    return chosen.select("member", F.col("index"), hashing.sha(F.col("content")).alias("sha256"))
+
+
+@query("s4_archive_build")
+def _(spark, sf):
+    """Archives of many parts taken through registry, screen, limit, copies and split."""
+    root = scratch_folder(spark, "archives")
+    written = archives.write_archives(_archive_parts(b.uploads(spark, sf)), root)
+    held = {row["archive"] for row in written.select(F.regexp_extract("file", "^(.*)/", 1).alias("archive")).distinct().collect()}
+    hashes = lambda raw: raw.withColumns({
+        name: F.conv(F.substring("raw_sha256", start, 16), 16, -10).cast("bigint") for name, start in (("phash", 1), ("dhash", 17))})
+    kept, _ = build.stage_archives(spark, root, [row for row in registry.source_rows() if row[6] in held],
+                                   b.toxic_index(spark, sf), hashes, LIMIT)
+    return kept.select("dataset", "raw_id", "file", "row", "source", "label", "generator", "reason", "split")
+
+
 @query("s5_manifest_scan_by_split")
 def _(spark, sf):
     path = scratch_folder(spark, "manifest")
@@ -222,7 +252,7 @@ def _packed_files(spark, sf) -> str:
     docs = b.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("image"), hashing.sha(F.col("text")).alias("sha256"))
     docs.where("doc_id % 3 < 2").write.parquet(f"{root}/full")
     archives.write_files(docs.where("doc_id % 3 = 2").select(
-        F.concat(F.lit("loose/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.col("image").alias("content")), root.removeprefix("file:")).count()
+        F.concat(F.lit("loose/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.col("image").alias("content")), root).count()
     return root
 
 

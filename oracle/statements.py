@@ -339,6 +339,26 @@ S["s2_image_files"] = S["s2_image_cell_resolve"]
 S["s3_upstream_split"] = "SELECT lang AS upstream_split, count(*) AS n FROM documents GROUP BY lang"
 S["s4_zip_member_scan"] = sql("""SELECT member, raw_sha256 AS sha256 FROM uploads WHERE archive <> '' AND (
     starts_with(member, 'GAN_based/') OR starts_with(member, 'coco/') OR starts_with(member, 'ADM/') OR starts_with(member, 'SDXL/'))""")
+_PARTS = f"""SELECT *, row_number() OVER (PARTITION BY file ORDER BY member) - 1 AS place FROM (
+    SELECT * EXCLUDE (file), archive || '/part_' || (doc_id // {catalog.PART_ROWS}) || '.zip' AS file FROM uploads WHERE member <> '')"""
+S["s4_archive_members_pushed"] = sql("""SELECT member, place AS "index", raw_sha256 AS sha256 FROM zipped
+    WHERE archive = 'Images/Real/coco.zip' AND contains(member, 'val2017')""", zipped=_PARTS)
+S["s4_archive_build"] = sql(f"""SELECT dataset, raw_id, file, place AS "row", source, label, generator, reason, {split_case()} AS split FROM (
+    SELECT *, '' AS upstream_split, row_number() OVER (PARTITION BY raw_sha256 ORDER BY dataset, file, place) AS nth FROM (
+        SELECT *, coalesce(sum((reason IN ('accepted', 'review'))::INTEGER) OVER (
+            PARTITION BY dataset ORDER BY file, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM zip_screened)
+    WHERE ahead < {catalog.LIMIT} AND reason IN ('accepted', 'review')) WHERE nth = 1""",
+    zipped=_PARTS,
+    zip_mapped="""SELECT * EXCLUDE (nth) FROM (
+        SELECT z.file, z.place, z.raw_id, z.raw_sha256, z.pu, z.du, r.dataset, r.source, r.label, r.generator,
+               row_number() OVER (PARTITION BY r.dataset, z.doc_id ORDER BY r.prefix_order) AS nth
+        FROM zipped z JOIN registry r ON z.archive = r.archive AND starts_with(z.member, r.prefix) AND NOT starts_with(z.member, '__MACOSX/')) WHERE nth = 1""",
+    zip_screened=f"""SELECT m.*, CASE WHEN {forbidden('raw_id')} THEN 'forbidden_path' WHEN n.v = 'drop' THEN 'quarantine'
+                            WHEN n.v = 'review' THEN 'review' ELSE 'accepted' END AS reason
+        FROM zip_mapped m JOIN (
+            SELECT a.raw_sha256, {verdict('coalesce(min(bit_count(xor(a.pu, f.pu))), 64)', 'coalesce(min(bit_count(xor(a.du, f.du))), 64)')} AS v
+            FROM (SELECT DISTINCT raw_sha256, pu, du FROM zip_mapped) a LEFT JOIN toxic_index f ON {band_match('a.pu', 'f.pu')} OR {band_match('a.du', 'f.du')}
+            GROUP BY a.raw_sha256) n USING (raw_sha256)""")
 S["s5_manifest_scan_by_split"] = sql("SELECT path, label, source, sha256 FROM manifest WHERE split = 'val'")
 S["s6_mixed_manifest_scan"] = sql("""SELECT source, split, label, CASE WHEN starts_with(source, 'WildFake/') THEN '' ELSE real_source END AS real_source,
     count(*) AS n FROM manifest GROUP BY ALL""")

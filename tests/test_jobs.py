@@ -277,10 +277,47 @@ def test_zip_ranges_cover_every_member_once(spark, tmp_path):
             archive.writestr(f"{i:02}.jpg", b"x")
     (tmp_path / "a.zip").write_bytes(buffer.getvalue())
     reader = archives.ZipMembersReader({"path": str(tmp_path)})
-    seen = [row[1] for part in range(4) for row in reader.read(archives.MemberRange("a.zip", part, 4))]
+    seen = [name for part in range(4) for batch in reader.read(archives.MemberRange("a.zip", part, 4)) for name in batch.column("member").to_pylist()]
     assert seen == [f"{i:02}.jpg" for i in range(23)]
 
 
+def test_zip_filters_are_pushed(spark, tmp_path):
+    """A file that no pushed filter admits is not opened, a member that fails is not inflated; places are those in the file."""
+    (tmp_path / "parts.zip").mkdir()
+    for file in ("a.zip", "parts.zip/1.zip", "parts.zip/2.zip"):
+        with zipfile.ZipFile(tmp_path / file, "w") as archive:
+            for name in ("keep/1.jpg", "keep/2.png", "other/3.jpg"):
+                archive.writestr(name, name * 3)
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    (tmp_path / "parts.zip" / "_unfinished.zip").write_bytes(b"half")
+    raw = (tmp_path / "parts.zip/2.zip").read_bytes()
+    damaged = raw.replace(b"other/3.jpg" * 3, b"OTHER/3.jpg" * 3)       # its checksum no longer holds
+    (tmp_path / "parts.zip/2.zip").write_bytes(damaged)
+    archives.register(spark)
+    every = spark.read.format("zip_members").load(str(tmp_path))
+    chosen = every.where(F.col("file").isin("parts.zip/1.zip", "parts.zip/2.zip") & F.col("member").startswith("keep/") & (F.length("content") > 0))
+    assert sorted((r["file"], r["member"], r["index"]) for r in chosen.collect()) == [
+        (f"parts.zip/{k}.zip", name, i) for k in (1, 2) for i, name in enumerate(("keep/1.jpg", "keep/2.png"))]
+    with pytest.raises(PySparkException):
+        every.where("file = 'parts.zip/2.zip'").collect()
+    with pytest.raises(PySparkException):
+        every.collect()
+    by_archive = spark.read.format("zip_members").option("prefixes", json.dumps({"parts.zip": ["keep/"], "a.zip": [""]})).load(str(tmp_path))
+    got = by_archive.where("archive = 'a.zip' OR member = 'keep/2.png'").select("archive", "member").collect()
+    assert sorted(map(tuple, got)) == [("a.zip", "keep/1.jpg"), ("a.zip", "keep/2.png"), ("a.zip", "other/3.jpg"), *[("parts.zip", "keep/2.png")] * 2]
+    assert by_archive.where("archive = 'nowhere'").count() == 0
+
+
+def test_written_archives_survive_a_second_attempt(spark, tmp_path):
+    rows = spark.createDataFrame([(f"x.zip/{i % 2}.zip", f"{i:03}.jpg", bytes([i])) for i in range(40)], "file string, member string, content binary")
+    for _ in range(2):
+        written = archives.write_archives(rows, str(tmp_path)).collect()
+        assert sorted(map(tuple, written)) == [("x.zip/0.zip", 20), ("x.zip/1.zip", 20)]
+    got = archives.read_members(spark, str(tmp_path), {"x.zip": [""]}).collect()
+    assert sorted((r["member"], bytes(r["content"])) for r in got) == [(f"{i:03}.jpg", bytes([i])) for i in range(40)]
+    assert archives.write_archives(rows.limit(0), str(tmp_path)).count() == 0
+
+
 def test_manifest_split_is_checked(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, "val", "x")], "path string, label int, split string, sha256 string")
     tables.write_manifest(rows, str(tmp_path / "m"))
