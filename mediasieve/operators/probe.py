@@ -82,13 +82,26 @@ def probe_verdict(report: DataFrame, gate_on: str = "pooled") -> DataFrame:
     return verdict.withColumn("exit_code", F.when(~F.col("acquisition_ok"), 1).when(F.col("pooled_ok") | lenient, 0).otherwise(1))
 
 
-def linear_probe(df: DataFrame, features: str = "embedding", label: str = "label") -> DataFrame:
-    """A linear head on L2-normalised frozen features: rows with logit and p."""
-    rows = df.withColumn("label", F.col(label).cast("double")).withColumn("raw", array_to_vector(F.col(features).cast("array<double>")))
-    fit = Pipeline(stages=[
-        Normalizer(inputCol="raw", outputCol="features", p=2.0),
-        LogisticRegression(labelCol="label", regParam=1e-4, maxIter=100)]).fit(rows)
+def linear_probe(df: DataFrame, features: str = "embedding", label: str = "label", folds: int = 0, id_col: str = "id") -> DataFrame:
+    """A linear head on L2-normalised frozen features: rows with logit and p.
+
+    With ``folds`` each row is scored by a head that did not see its fold; without, by one
+    head fitted on all rows, whose scores of those same rows flatter it.
+    """
     kept = [name for name in df.columns if name not in (features, label)]
-    return fit.transform(rows).select(
-        *kept, F.col("label").cast("int").alias("label"),
-        vector_to_array("rawPrediction")[1].alias("logit"), vector_to_array("probability")[1].alias("p"))
+    rows = df.select(*kept, F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("raw"))
+
+    def scored(seen: DataFrame, asked: DataFrame) -> DataFrame:
+        fit = Pipeline(stages=[
+            Normalizer(inputCol="raw", outputCol="features", p=2.0),
+            LogisticRegression(labelCol="label", regParam=1e-4, maxIter=100)]).fit(seen)
+        return fit.transform(asked).select(
+            *kept, F.col("label").cast("int").alias("label"),
+            vector_to_array("rawPrediction")[1].alias("logit"), vector_to_array("probability")[1].alias("p"))
+
+    if not folds:
+        return scored(rows, rows)
+    data = checkpointed(with_folds(rows, folds, id_col))
+    parts = in_parallel(df.sparkSession, [
+        partial(lambda fold: scored(data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)), fold) for fold in range(folds)])
+    return reduce(DataFrame.unionByName, parts)

@@ -15,7 +15,7 @@ from .. import registry
 from ..functions import hashing, naming, scoring, sql
 from ..operators import (calibrate, gate, geometry, ingest, jobs, metrics, ordered, probe, report, screen, split,
                          triage, validate, views)
-from ..session import scratch_folder, ship_package
+from ..session import checkpointed, scratch_folder, ship_package
 from ..sources import archives, tables
 from ..streaming import triage as streams
 from . import bindings as b
@@ -203,7 +203,7 @@ def _(spark, sf):
 
 @query("s10_policy_scan")
 def _(spark, sf):
-    fitted = {row["target_fpr"]: row["threshold"] for row in calibrate.threshold_at_fpr(scored(spark, sf)).collect()}
+    fitted = {row["target_fpr"]: row["threshold"] for row in calibrate.threshold_at_fpr(scored(spark, sf).where("split = 'val'")).collect()}
     root = scratch_folder(spark, "policy")
     point = lambda target: F.struct(F.lit(fitted[target]).alias("threshold"))
     spark.range(1).select(F.struct(point(0.01).alias("fpr_0.01"), point(0.05).alias("fpr_0.05")).alias("operating_points")
@@ -1044,8 +1044,13 @@ def _(spark, sf):
 
 @query("g9_file_statistics")
 def _(spark, sf):
-    rows = b.rasters(spark, sf).withColumn("content", F.col("raster"))
-    return jobs.file_statistics(rows).select("id", *[F.round(name, 5).alias(name) for name in jobs.STATISTICS])
+    return jobs.file_statistics(b.encoded(b.rasters(spark, sf))).select("id", *[F.round(name, 5).alias(name) for name in jobs.STATISTICS])
+
+
+@query("g9_header_statistics")
+def _(spark, sf):
+    names = ("file_size", "width", "height", "pixels", "aspect_ratio", "short_edge", "bytes_per_pixel", "jpeg_quality", "n_quant_tables", "q_mean", "q_std")
+    return jobs.file_statistics(b.encoded(b.rasters(spark, sf))).select("id", *[r6(name) for name in names])
 
 
 @query("g10_shortcut_probe")
@@ -1053,10 +1058,18 @@ def _(spark, sf):
     return probe.shortcut_probe(b.probe_features(spark, sf)).select("block", F.round("auroc", 4).alias("auroc"), "gate", "passes")
 
 
+@query("g10_probe_verdict")
+def _(spark, sf):
+    """Both verdicts and the exit code under either gate."""
+    found = checkpointed(probe.shortcut_probe(b.probe_features(spark, sf)))
+    verdicts = [probe.probe_verdict(found, gate_on).withColumn("gate_on", F.lit(gate_on)) for gate_on in ("pooled", "acquisition")]
+    return verdicts[0].unionByName(verdicts[1])
+
+
 @query("g11_linear_probe")
 def _(spark, sf):
     rows = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
-    return metrics.auroc(probe.linear_probe(rows)).select("n_pos", "n_neg", F.round("auroc", 4).alias("auroc"))
+    return metrics.auroc(probe.linear_probe(rows, folds=probe.FOLDS)).select("n_pos", "n_neg", F.round("auroc", 4).alias("auroc"))
 
 
 @query("g12_stacker_fit")

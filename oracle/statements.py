@@ -368,7 +368,7 @@ S["s8_image_path_spelling"] = """SELECT doc_id, source || '/' || doc_id || '.jpg
     '/data/full/' || source || '/' || doc_id || '.jpg' AS absolute FROM documents"""
 S["s9_prediction_validation"] = "SELECT event_id::VARCHAR AS image_path, round(value / 200, 6) AS pred, value / 200 BETWEEN 0 AND 1 AS valid FROM events"
 S["s10_policy_scan"] = sql("""SELECT round(min(t) FILTER (fpr <= 0.05), 6) AS review, round(min(t) FILTER (fpr <= 0.01), 6) AS action FROM cd""",
-                           rk=ranked("scored", []), cd=fast_candidates([]))
+                           val_scores="SELECT * FROM scored WHERE split = 'val'", rk=ranked("val_scores", []), cd=fast_candidates([]))
 S["s11_shard_key_resolve"] = sql("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'full/' || source || '.parquet' END AS shard,
     CASE WHEN doc_id % 3 < 2 THEN doc_id END AS shard_row, dg AS sha256 FROM docs""")
 S["s12_shard_materialize"] = """SELECT 'full/' || source || '.parquet' AS shard, count(*) AS n, count(*) AS "rows", 0::BIGINT AS still_pending FROM documents GROUP BY source"""
@@ -624,6 +624,13 @@ def _pivot(source: str, section: str, key: str, names: list[str], note: str = "N
         f"SELECT '{section}' AS section, {key} AS slice, '{n}' AS metric, round(({n})::DOUBLE, 6) AS value, {note} AS note FROM {source}" for n in names)
 
 
+S["g9_header_statistics"] = """SELECT id, (9216 + CASE WHEN n > 0 THEN 4 + 69 * n ELSE 0 END)::DOUBLE AS file_size, 64.0::DOUBLE AS width, 48.0::DOUBLE AS height,
+    3072.0::DOUBLE AS pixels, round(64.0::DOUBLE / 48, 6) AS aspect_ratio, 48.0::DOUBLE AS short_edge, round((9216 + CASE WHEN n > 0 THEN 4 + 69 * n ELSE 0 END)::DOUBLE / 3072, 6) AS bytes_per_pixel,
+    round(coalesce(m, 0), 6) AS jpeg_quality, n::DOUBLE AS n_quant_tables, round(coalesce(m, 0), 6) AS q_mean, round(coalesce(d, 0), 6) AS q_std
+    FROM (SELECT vec_id AS id, vec_id % 4 AS n FROM embeddings) LEFT JOIN (
+        SELECT vec_id AS id, avg(v) AS m, stddev_pop(v) AS d FROM (
+            SELECT vec_id, ('0x' || substr(sha256('q0:' || vec_id || ':' || k) || sha256('q1:' || vec_id || ':' || k), 2 * i + 1, 2))::INTEGER AS v
+            FROM embeddings, range(3) t(k), range(64) u(i) WHERE k < vec_id % 4) GROUP BY vec_id) USING (id)"""
 _REPORT = " UNION ALL ".join([
     _pivot("(SELECT *, n_fake + n_real AS n FROM vm WHERE view = 'clean')", "clean", "'clean'", ["n", "n_fake", "n_real", "auroc", "tpr", "fpr", "balanced_accuracy"]),
     _pivot("(SELECT sum(np::DOUBLE / tp * (tp - pb) / ((tp - pb) + (tn - nb))) AS average_precision FROM rk WHERE view = 'clean')", "clean", "'clean'", ["average_precision"]),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mediasieve import registry
 from mediasieve.functions import raster
-from mediasieve.operators import gate, jobs, probe, report, triage, views
+from mediasieve.operators import gate, jobs, metrics, probe, report, triage, views
 from mediasieve.plans import bindings, calibration, catalog, evaluation
 from mediasieve.sources import archives, tables
 from mediasieve.streaming import triage as streams
@@ -430,3 +430,22 @@ def test_large_index_screens_by_batches(spark, sf, tmp_path):
     run(lambda: more.select("phash", "dhash"))
     new = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("id = -1").select("verdict", "pmin", "dmin").collect()]
     assert new == [("drop", 0, 0)]
+
+
+def test_linear_probe_out_of_fold_sees_through_noise(spark):
+    """Labels that features know nothing about: fitted rows flatter the head, other folds don't; every row is scored once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 2)), [float(x) for x in rng.normal(size=24)]) for i in range(160)]
+    rows += [(i, i % 2, [float(i % 2)] * 12 + [float(x) for x in rng.normal(size=12)]) for i in range(160, 320)]
+    df = spark.createDataFrame(rows, "id int, label int, embedding array<float>")
+    noise, signal = df.where("id < 160"), df.where("id >= 160")
+    auroc = lambda part, folds: metrics.auroc(probe.linear_probe(part, folds=folds)).first()["auroc"]
+    assert auroc(noise, 0) > 0.65 and 0.35 < auroc(noise, 4) < 0.62 and auroc(signal, 4) > 0.9
+    assert sorted(r["id"] for r in probe.linear_probe(df, folds=4).collect()) == list(range(320))
+
+
+def test_quantisation_tables_of_headers(spark):
+    frame = spark.createDataFrame([(i, bytes(64 * 48 * 3)) for i in range(5)], "id long, raster binary")
+    found = [jobs.quantisation_tables(bytes(r["content"])) for r in bindings.encoded(frame).orderBy("id").collect()]
+    assert [len(tables) for tables in found] == [0, 1, 2, 3, 0] and all(len(t) == 64 for tables in found for t in tables)
+    assert jobs.quantisation_tables(b"") == [] and jobs.quantisation_tables(b"\xff\xd8\xff\xdb\x00\x43") is not None
