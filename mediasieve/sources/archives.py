@@ -3,7 +3,7 @@
 ``spark.read.format("zip_members").option("prefixes", json).load(root)`` lists
 (archive, member, content, index, file). An archive may be one file or a folder of parts, each a zip
 file of its own: ``file`` is the part, and ``index`` the place in its sorted member list, whatever
-is asked for. One partition is one range of one file. Filters on ``archive``, ``file`` and ``member``
+is asked for. One partition is a range of a large file, or as many small files as make one. Filters on ``archive``, ``file`` and ``member``
 (=, IN, starts with, ends with, contains) are pushed: a file that fails is not opened, a
 member that fails the filters or the prefix rule is never inflated.
 """
@@ -24,6 +24,8 @@ from ..functions import hashing
 from .in_place import BATCH_BYTES, opened
 
 RANGE_BYTES = 256 * 1024 * 1024
+PACK_BYTES = 32 * 1024 * 1024       # files of one partition together, each counted with the cost of opening it
+OPEN_BYTES = 1024 * 1024
 SCHEMA = "archive string, member string, content binary, index bigint, file string"
 NAMES = ("archive", "file", "member")
 
@@ -49,6 +51,13 @@ class MemberRange(InputPartition):
         self.archive, self.part, self.parts, self.file = archive, part, parts, file or archive
 
 
+class MemberRanges(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[MemberRange]):
+        self.ranges = ranges
+
+
 class ZipMembers(DataSource):
     @classmethod
     def name(cls):
@@ -96,13 +105,19 @@ class ZipMembersReader(DataSourceReader):
                 if info.type == fs.FileType.NotFound:
                     raise FileNotFoundError(info.path)
                 found += [(name, part) for part in ([info] if info.type == fs.FileType.File else zips(info.path))]
-        ranges = []
+        packed, room = [], 0
         for archive, info in sorted(found, key=lambda pair: (pair[0], pair[1].path)):
             file = info.path[len(base) + 1:]
             if self._passes("archive", archive) and self._passes("file", file):
                 parts = max(1, -(-info.size // RANGE_BYTES))
-                ranges += [MemberRange(archive, part, parts, file) for part in range(parts)]
-        return ranges
+                for part in range(parts):
+                    cost = info.size // parts + OPEN_BYTES
+                    if cost > room:
+                        packed.append([])
+                        room = PACK_BYTES
+                    packed[-1].append(MemberRange(archive, part, parts, file))
+                    room -= cost
+        return [MemberRanges(ranges) for ranges in packed]
 
     def members(self, partition, names: list[str]) -> list[tuple[int, str]]:
         """(place, name) of the wanted members of a range."""
@@ -115,8 +130,10 @@ class ZipMembersReader(DataSourceReader):
 
     def read(self, partition):
         """Arrow batches of about ``BATCH_BYTES``; a larger member goes alone."""
-        if partition is None:       # no file is left
-            return
+        for each in partition.ranges if partition else ():       # None: no file is left
+            yield from self.batches(each)
+
+    def batches(self, partition):
         with opened(f"{self.root}/{partition.file}") as handle, zipfile.ZipFile(handle) as archive:
             rows, size = [], 0
             for i, name in self.members(partition, archive.namelist()):

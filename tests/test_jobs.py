@@ -277,10 +277,24 @@ def test_zip_ranges_cover_every_member_once(spark, tmp_path):
             archive.writestr(f"{i:02}.jpg", b"x")
     (tmp_path / "a.zip").write_bytes(buffer.getvalue())
     reader = archives.ZipMembersReader({"path": str(tmp_path)})
-    seen = [name for part in range(4) for batch in reader.read(archives.MemberRange("a.zip", part, 4)) for name in batch.column("member").to_pylist()]
+    seen = [name for part in range(4) for batch in reader.batches(archives.MemberRange("a.zip", part, 4)) for name in batch.column("member").to_pylist()]
     assert seen == [f"{i:02}.jpg" for i in range(23)]
 
 
+def test_small_archives_share_a_task(tmp_path, monkeypatch):
+    for i in range(50):
+        with zipfile.ZipFile(tmp_path / f"{i:02}.zip", "w") as archive:
+            archive.writestr("x.jpg", b"x" * (i + 1))
+    reader = archives.ZipMembersReader({"path": str(tmp_path)})
+    partitions = reader.partitions()
+    assert len(partitions) == 2
+    assert [row for p in partitions for batch in reader.read(p) for row in batch.column("file").to_pylist()] == [f"{i:02}.zip" for i in range(50)]
+    monkeypatch.setattr(archives, "RANGE_BYTES", 64)
+    many = reader.partitions()
+    read = [row for p in many for batch in reader.read(p) for row in batch.column("file").to_pylist()]
+    assert read == [f"{i:02}.zip" for i in range(50)]
+
+
 def test_zip_filters_are_pushed(spark, tmp_path):
     """A file that no pushed filter admits is not opened, a member that fails is not inflated; places are those in the file."""
     (tmp_path / "parts.zip").mkdir()
