@@ -69,7 +69,8 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False,
         F.lag("_last").over(between).alias("_chunk_previous"), F.lead("_first").over(between).alias("_chunk_next"))
     local = Window.partitionBy(*chunk).orderBy(key)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
-    inside = chunked.select(
+    # Joined first: the windows leave the rows partitioned by (group, range), which later steps can use.
+    inside = join_groups(chunked, offsets, by, ["_chunk"]).select(
         "*",
         *[F.coalesce(F.sum(name).over(local_before), F.lit(0)).alias(f"_{name}_inside") for name in sums],
         *([F.lag(key).over(local).alias("_lag"), F.lead(key).over(local).alias("_lead")] if neighbours else []))
@@ -79,7 +80,7 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False,
         extra = [F.coalesce("_lag", "_chunk_previous").alias("previous_key"), F.coalesce("_lead", "_chunk_next").alias("next_key")]
     if ranges:
         extra.append(F.col("_chunk"))
-    return join_groups(inside, offsets, by, ["_chunk"]).select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
+    return inside.select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 
 def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to: int | None = None,
