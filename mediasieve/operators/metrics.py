@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry as registry_module
-from ..functions import hashing, scoring
+from ..functions import scoring
 from . import resampling
 from .ordered import join_groups, running_sums
 
 ECE_BINS = 15
-REPLICATES_PER_DIGEST = 8
 
 
 def _names(by) -> list[str]:
@@ -129,29 +128,28 @@ def bootstrap_weights(df: DataFrame, id_col: str, replicates: int, seed: int = 0
     Each row becomes ceil(replicates / 8) rows with columns ``block`` and
     ``w0..w7``; a weight depends only on the id, so all rows of one id move together.
     """
-    blocks = -(-replicates // REPLICATES_PER_DIGEST)
-    rows = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = F.concat(F.lit(f"{seed}:"), F.col("block").cast("string"), F.lit(":"), F.col(id_col).cast("string"))
-    rows = rows.withColumn("_digest", hashing.sha(key))
-    weights = []
-    for i in range(REPLICATES_PER_DIGEST):
-        u = hashing.hex_number(F.col("_digest"), 8 * i + 1, 8) / F.lit(float(2**32))
-        count = sum(((u >= F.lit(bound)).cast("int") for bound in POISSON_ONE), F.lit(0))
-        weights.append(count.alias(f"w{i}"))
-    return rows.select(*df.columns, "block", *weights)
+    return resampling.weight_rows(df, id_col, replicates, seed, POISSON_ONE)
+
+
+def bootstrap_weight_sums(df: DataFrame, by, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
+    """The same weights summed by group and block, without a row per block in between."""
+    return resampling.weight_sums(df, _names(by), id_col, replicates, seed, POISSON_ONE)
 
 
 def replicate_auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",
-                    replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """AUROC of every bootstrap replicate: (group, replicate, auroc)."""
-    return resampling.replicate_auroc(df, _names(by), score, label, id_col, replicates, seed, POISSON_ONE)
+                    replicates: int = 1000, seed: int = 0, shared_ids: bool = False) -> DataFrame:
+    """AUROC of every bootstrap replicate: (group, replicate, auroc).
+
+    ``shared_ids`` says that few groups hold the same ids, which are then weighed once for several groups.
+    """
+    return resampling.replicate_auroc(df, _names(by), score, label, id_col, replicates, seed, POISSON_ONE, shared_ids)
 
 
 def bootstrap_ci(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",
-                 n: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+                 n: int = 1000, alpha: float = 0.05, seed: int = 0, shared_ids: bool = False) -> DataFrame:
     """Percentile interval of AUROC over Poisson replicates; NULL when undefined."""
     by = _names(by)
-    runs = replicate_auroc(df, by, score, label, id_col, n, seed)
+    runs = replicate_auroc(df, by, score, label, id_col, n, seed, shared_ids)
     return _grouped(runs, by).agg(
         F.percentile("auroc", alpha / 2).alias("ci_low"),
         F.percentile("auroc", 1 - alpha / 2).alias("ci_high"),
@@ -295,12 +293,12 @@ def robust_summary(cell_auroc: DataFrame, clean: str = "clean") -> DataFrame:
 
 
 def slice_report(df: DataFrame, by, replicates: int = 1000, score: str = "p", label: str = "label",
-                 id_col: str = "id", seed: int = 0) -> DataFrame:
-    """One row per slice: sizes, AUROC, interval, and a note when AUROC is undefined."""
+                 id_col: str = "id", seed: int = 0, shared_ids: bool = False) -> DataFrame:
+    """One row per slice: sizes, AUROC, interval, and a note when AUROC is undefined; ``shared_ids`` as in :func:`replicate_auroc`."""
     by = _names(by)
     rows = auroc(df, by, score, label)
     if replicates:
-        rows = join_groups(rows, bootstrap_ci(df, by, score, label, id_col, replicates, seed=seed), by, how="left")
+        rows = join_groups(rows, bootstrap_ci(df, by, score, label, id_col, replicates, seed=seed, shared_ids=shared_ids), by, how="left")
     note = F.when(F.col("auroc").isNull(), F.lit("single-class slice; AUROC undefined"))
     return (rows.withColumnRenamed("n_pos", "n_fake").withColumnRenamed("n_neg", "n_real")
             .withColumn("n", F.col("n_fake") + F.col("n_real")).withColumn("note", note))

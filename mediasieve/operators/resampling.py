@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import in_ranges
-
-KEPT_IDS = 2048             # ids whose weights a task remembers
 LANES = 128                 # replicates of one row of partial sums
 PER_DIGEST = 8              # weights of one SHA-256 digest
+PIECE = 4_000_000           # rows a task orders and weighs at once, some 100 bytes each
 NOT_A_NUMBER = 1.7976931348623157e308       # stands for NaN among scores: equal to itself, above all others
 
 
@@ -22,71 +19,129 @@ def lane_weights(row_id: str | None, replicates: int, seed: int, bounds: np.ndar
     """Poisson(1) weights of an id in all replicates, eight per digest of (seed, block, id); without an id none."""
     if row_id is None:
         return np.zeros(replicates)
-    digests = b"".join(hashlib.sha256(f"{seed}:{block}:{row_id}".encode()).digest() for block in range(-(-replicates // PER_DIGEST)))
-    return np.searchsorted(bounds, np.frombuffer(digests, ">u4")[:replicates] / 2.0 ** 32, side="right").astype(np.float64)
-
-
-class _Run:
-    """Lane sums of one group within one range: its first and last score apart, since those may go on next door."""
-
-    def __init__(self, replicates: int):
-        self.zero = np.zeros(replicates)
-        self.ends, self.score, self.open = [], None, None
-        self.pos, self.neg, self.won = self.zero.copy(), self.zero.copy(), self.zero.copy()
-
-    def add(self, score, positive: bool, weight: np.ndarray) -> None:
-        if self.open is None or score != self.score:
-            self.close()
-            self.score, self.open = score, [self.zero.copy(), self.zero.copy()]
-        self.open[0 if positive else 1] += weight
-
-    def close(self) -> None:
-        if self.open is None:
-            return
-        pos, neg = self.open
-        if not self.ends:
-            self.ends.append((self.score, pos, neg))
-            return
-        self.won += pos * self.neg - neg * self.pos
-        self.pos += pos
-        self.neg += neg
-
-    def parts(self) -> list[tuple]:
-        """(part, score, positives, negatives, pairs won less pairs lost inside)."""
-        if not self.ends:
-            return [(0, self.score, *self.open, self.zero)]
-        (score, pos, neg), = self.ends
-        return [(0, score, pos, neg, self.zero), (1, None, self.pos, self.neg, self.won), (2, self.score, *self.open, self.zero)]
-
-
-def _partial(by: list[str], replicates: int, seed: int, bounds: tuple[float, ...]):
-    def run(batches):
-        limits, last, held = np.array(bounds), None, None
-        # an id comes back with other views and groups
-        weights = lru_cache(KEPT_IDS)(lambda row_id: lane_weights(row_id, replicates, seed, limits))
-
-        def handed():
-            group, chunk = last
-            rows = [(*group, chunk, at, part, score, *[x[at:at + LANES] for x in lanes])
-                    for part, score, *lanes in held.parts() for at in range(0, replicates, LANES)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    blocks = [block_weights([row_id.encode()], block, seed, bounds)[0] for block in range(-(-replicates // PER_DIGEST))]
+    return np.concatenate(blocks)[:replicates].astype(np.float64)
+
+
+def block_weights(ids: list[bytes], block: int, seed: int, bounds) -> np.ndarray:
+    """The eight weights of one block for many ids, a row of bytes per id."""
+    prefix, sha = f"{seed}:{block}:".encode(), hashlib.sha256
+    drawn = np.frombuffer(b"".join([sha(prefix + i).digest() for i in ids]), ">u4").reshape(-1, PER_DIGEST).astype(np.uint32)
+    weights = np.zeros(drawn.shape, np.uint8)
+    # drawn / 2^32 >= bound, in whole numbers
+    for limit in np.ceil(np.asarray(bounds) * 2.0 ** 32).astype(np.uint32):
+        weights += drawn >= limit
+    return weights
+
+
+def _coded(column) -> tuple[np.ndarray, pa.Array]:
+    """Codes of a column's values, NULL among them, and the values."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _encoded_ids(values: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Distinct ids as bytes, and which of them are not NULL."""
+    return [b"" if v is None else v.encode() for v in values.to_pylist()], values.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _group_codes(table: pa.Table, by: list[str]) -> np.ndarray:
+    """One number per row and group, in no special order."""
+    codes = np.zeros(table.num_rows, np.int64)
+    for name in by:
+        own, values = _coded(table[name])
+        # renumbered at every column, so the numbers stay below the number of rows
+        codes = np.unique(codes * max(len(values), 1) + own, return_inverse=True)[1]
+    return codes
+
+
+def _pieces(batches, rows: int):
+    """Arrow batches as tables of about that many rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _ordered(table: pa.Table, by: list[str]) -> tuple:
+    """A piece by group: the order, where runs of one score and groups begin, and the score of every run."""
+    codes = _group_codes(table, by)
+    order = np.argsort(codes, kind="stable")
+    codes, key = codes[order], table["_key"].combine_chunks()
+    null = key.is_null().to_numpy(zero_copy_only=False)[order]
+    score = key.fill_null(0.0).to_numpy(zero_copy_only=False)[order]
+    score = np.where(np.isnan(score), NOT_A_NUMBER, score)
+    first = np.ones(len(codes), bool)
+    first[1:] = codes[1:] != codes[:-1]
+    opens = first.copy()
+    opens[1:] |= (score[1:] != score[:-1]) | (null[1:] != null[:-1])
+    runs = np.flatnonzero(opens)
+    return order, runs, np.flatnonzero(first[runs]), [None if n else s for n, s in zip(null[runs].tolist(), score[runs].tolist())]
+
+
+def _lane_sums(weight, positive, known, runs, groups, middle, belongs):
+    """One replicate of a piece: sums per run of either class, and per group those of its middle runs with pairs won less lost."""
+    pos = np.add.reduceat(np.where(positive, weight, 0), runs, dtype=np.int64)
+    neg = np.add.reduceat(np.where(known & ~positive, weight, 0), runs, dtype=np.int64)
+    p, n = pos * middle, neg * middle
+    p_before, n_before = np.cumsum(p) - p, np.cumsum(n) - n
+    won = p * (n_before - n_before[groups][belongs]) - n * (p_before - p_before[groups][belongs])
+    return pos, neg, np.add.reduceat(p, groups), np.add.reduceat(n, groups), np.add.reduceat(won, groups)
+
+
+def _partial(by: list[str], replicates: int, seed: int, bounds: tuple[float, ...], piece: int):
+    names = [*by, "_chunk", "_lane", "_part", "_score", "_pos", "_neg", "_won"]
 
-        for batch in batches:
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            names = [*by, "_chunk", "_lane", "_part", "_score", "_pos", "_neg", "_won"]
-            types = [*[batch.schema.field(c).type for c in by], pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.float64())] * 3]
-            columns = [batch.column(at[c]).to_pylist() for c in by]
-            groups = list(zip(*columns)) if by else [()] * batch.num_rows
-            own = [batch.column(at[c]).to_pylist() for c in ("_chunk", "_id", "_key", "_positive")]
-            for group, chunk, row_id, score, positive in zip(groups, *own):
-                if last != (group, chunk):
-                    if held:
-                        yield handed()
-                    last, held = (group, chunk), _Run(replicates)
-                if positive is not None:
-                    held.add(NOT_A_NUMBER if score is not None and score != score else score, positive, weights(row_id))
-        if held:
-            yield handed()
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for table in _pieces(batches, piece):
+            yield from summed(table, chunk)
+            chunk += 1
+
+    def summed(table: pa.Table, chunk: int):
+        order, runs, groups, scores = _ordered(table, by)
+        own, values = _coded(table["_id"])
+        own, (ids, present) = own[order], _encoded_ids(values)
+        label = table["_positive"].combine_chunks()
+        known = label.is_valid().to_numpy(zero_copy_only=False)[order]
+        positive = label.fill_null(False).to_numpy(zero_copy_only=False)[order]
+        head = table.select(by).take(order[runs[groups]])
+        last = np.append(groups[1:], len(runs)) - 1
+        middle = np.ones(len(runs), np.int64)
+        middle[groups] = middle[last] = 0
+        belongs = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(runs))))
+        # a group's first run, its middle and its last; a single run is the first
+        parts = [(0, np.arange(len(groups))), (1, np.flatnonzero(last > groups)), (2, np.flatnonzero(last > groups))]
+        for at in range(0, replicates, LANES):
+            width = min(LANES, replicates - at)
+            sums = np.zeros((3, 3, len(groups), width))         # part; positives, negatives, won
+            for lane in range(0, width, PER_DIGEST):
+                weights = block_weights(ids, (at + lane) // PER_DIGEST, seed, bounds)
+                weights[~present] = 0
+                for i in range(min(PER_DIGEST, width - lane)):
+                    pos, neg, p, n, won = _lane_sums(weights[own, i], positive, known, runs, groups, middle, belongs)
+                    sums[0, :2, :, lane + i] = pos[groups], neg[groups]
+                    sums[1, :, :, lane + i] = p, n, won
+                    sums[2, :2, :, lane + i] = pos[last], neg[last]
+            for part, which in parts:
+                if not len(which):
+                    continue
+                ends = groups if part == 0 else last
+                count = len(which)
+                fixed = [pa.array([chunk] * count, pa.int64()), pa.array([at] * count, pa.int32()), pa.array([part] * count, pa.int32()),
+                         pa.array([None if part == 1 else scores[ends[g]] for g in which], pa.float64())]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (count + 1) * width, width), pa.int32()), pa.array(side[which].ravel()))
+                         for side in sums[part]]
+                columns = [head.column(i).take(which).combine_chunks() for i in range(len(by))]
+                yield from pa.Table.from_arrays([*columns, *fixed, *lists], names).to_batches()
 
     return run
 
@@ -127,23 +182,74 @@ def _met(by: list[str]):
     return run
 
 
-def replicate_auroc(df: DataFrame, by: list[str], score: str, label: str, id_col: str, replicates: int, seed: int, bounds: tuple[float, ...]) -> DataFrame:
+def replicate_auroc(df: DataFrame, by: list[str], score: str, label: str, id_col: str, replicates: int, seed: int, bounds: tuple[float, ...],
+                    shared_ids: bool = False, piece: int = PIECE) -> DataFrame:
     """(``by``, ``replicate``, ``auroc``) under Poisson weights that depend on the id alone.
 
     Rows are cut into ranges of (group, score, id) once, so a score that very many rows
-    share spreads over ranges too. A range reduces to three rows of lane sums a
-    group and block of ``LANES``, which is all that meets by group: their number is that of the
-    partitions, not of the rows. A NULL score is below all others, a NULL
+    share spreads over ranges too. A task takes its range in pieces of at most about ``piece`` rows; a piece reduces to three
+    rows of lane sums a group and block of ``LANES``, which is all that meets by group. In a piece an id is weighed
+    once, whatever number of groups holds it: with ``shared_ids`` (few groups, ids in many of them) ranges
+    are of (score, id), so that groups meet in them. A NULL score is below all others, a NULL
     label takes no part, a group without both classes has a NULL AUROC.
     """
     key = F.col(score).cast("double")
     rows = df.select(*by, key.alias("_key"), F.col(id_col).cast("string").alias("_id"), (F.col(label) == 1).alias("_positive"))
     # a row is a few bytes but all its replicates' work: the number of ranges is not left to their bytes
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_ranges(rows, [*by, "_key", "_id"], parts).withColumn("_chunk", F.col("_chunk").cast("long"))
-    # a partition of the checkpoint is one range: it is ordered where it lies
-    rows = rows.sortWithinPartitions("_chunk", *by, "_key", "_id")
+    spark = df.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism if shared_ids else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["_key", "_id", *by] if shared_ids else [*by, "_key", "_id"]
+    # ranges are bound to one evaluation: their numbers and sums come from the same stage
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    sums = rows.mapInArrow(_partial(by, replicates, seed, bounds, piece),
+                           f"{fields}_chunk long, _lane int, _part int, _score double, _pos array<double>, _neg array<double>, _won array<double>")
+    return sums.groupBy(*by, "_lane").applyInArrow(lambda key, table: _met(by)(key, table), f"{fields}replicate long, auroc double")
+
+
+def weight_rows(df: DataFrame, id_col: str, replicates: int, seed: int, bounds: tuple[float, ...]) -> DataFrame:
+    """Every row once per block of eight replicates, with ``block`` and ``w0..w7``; without an id the weights are NULL."""
+    names = list(df.columns)
+    lanes = [f"w{i}" for i in range(PER_DIGEST)]
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            own, values = _coded(table["_id"])
+            ids, present = _encoded_ids(values)
+            for block in range(-(-replicates // PER_DIGEST)):
+                weights = block_weights(ids, block, seed, bounds)[own].astype(np.int32)
+                columns = [pa.array(weights[:, i], mask=~present[own]) for i in range(PER_DIGEST)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(np.full(len(own), block, np.int32)), *columns], [*names, "block", *lanes])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+    rows = df.withColumn("_id", F.col(id_col).cast("string"))
+    return rows.mapInArrow(run, f"{fields}block int, {', '.join(f'{w} int' for w in lanes)}")
+
+
+def weight_sums(df: DataFrame, by: list[str], id_col: str, replicates: int, seed: int, bounds: tuple[float, ...]) -> DataFrame:
+    """(``by``, ``block``, ``w0..w7``): the weights of a group's ids summed, per task before they meet by group and block."""
+    blocks, lanes = -(-replicates // PER_DIGEST), [f"w{i}" for i in range(PER_DIGEST)]
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = _group_codes(table, by)
+            order = np.argsort(codes, kind="stable")
+            groups = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            own, values = _coded(table["_id"])
+            own, (ids, present) = own[order], _encoded_ids(values)
+            head = table.select(by).take(order[groups])
+            unknown = np.add.reduceat(present[own], groups, dtype=np.int64) == 0
+            for block in range(blocks):
+                weights = block_weights(ids, block, seed, bounds)
+                weights[~present] = 0
+                # eight bytes are one number to gather
+                sums = np.add.reduceat(weights.view(np.uint64)[:, 0][own].view(np.uint8).reshape(-1, PER_DIGEST).T, groups, axis=1, dtype=np.int64)
+                yield from pa.Table.from_arrays([*[head.column(i).combine_chunks() for i in range(len(by))], pa.array(np.full(len(groups), block, np.int32)),
+                                                 *[pa.array(lane, mask=unknown) for lane in sums]], [*by, "block", *lanes]).to_batches()
+
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
-    parts = rows.mapInArrow(_partial(by, replicates, seed, bounds),
-                            f"{fields}_chunk long, _lane int, _part int, _score double, _pos array<double>, _neg array<double>, _won array<double>")
-    return parts.groupBy(*by, "_lane").applyInArrow(lambda key, table: _met(by)(key, table), f"{fields}replicate long, auroc double")
+    rows = df.select(*by, F.col(id_col).cast("string").alias("_id"))
+    parts = rows.mapInArrow(run, f"{fields}block int, {', '.join(f'{w} long' for w in lanes)}")
+    return parts.groupBy(*by, "block").agg(*[F.sum(w).alias(w) for w in lanes])

@@ -89,6 +89,40 @@ def test_replicates_as_lanes_match_weighted_pairs(spark):
             assert got[group, lane] == pytest.approx(wp @ pairs @ wn / (wp.sum() * wn.sum()), abs=1e-12)
 
 
+@pytest.mark.parametrize("shared_ids, piece", [(False, 40), (True, 40), (True, 10_000)])
+def test_replicates_do_not_depend_on_pieces(spark, shared_ids, piece):
+    """Ids in several groups, ties over pieces and a group whose labels are all unknown."""
+    rng = np.random.default_rng(9)
+    data = [(g, float(rng.integers(0, 9)) / 8, None if g == "blank" else int(rng.integers(0, 2)), f"im{i}") for g in ("a", "b", "blank") for i in range(130)]
+    df = spark.createDataFrame(data, "g string, p double, label int, id string").repartition(4)
+    runs = resampling.replicate_auroc(df, ["g"], "p", "label", "id", 20, 1, metrics.POISSON_ONE, shared_ids, piece).collect()
+    got = {(r["g"], r["replicate"]): r["auroc"] for r in runs}
+    assert len(got) == 60
+    for g in ("a", "b"):
+        _, p, y, ids = (np.array(c) for c in zip(*[row for row in data if row[0] == g]))
+        w = np.array([resampling.lane_weights(i, 20, 1, np.array(metrics.POISSON_ONE)) for i in ids])
+        for lane in range(20):
+            own = w[:, lane]
+            pairs = (p[y == 1][:, None] > p[y == 0]) + 0.5 * (p[y == 1][:, None] == p[y == 0])
+            assert got[g, lane] == pytest.approx(own[y == 1] @ pairs @ own[y == 0] / (own[y == 1].sum() * own[y == 0].sum()), abs=1e-12)
+    assert {got["blank", lane] for lane in range(20)} == {None}
+
+
+def test_weight_sums_are_those_of_the_rows(spark):
+    """Sums per task equal the sums of all weight rows, without a row per block in the plan; NULL ids weigh nothing."""
+    df = spark.range(500).selectExpr("if(id % 7 = 0, null, id % 3) as label", "if(id % 11 = 0 or id = 8, null, id) as k")
+    names = [f"w{i}" for i in range(8)]
+    rows = metrics.bootstrap_weights(df, "k", 20, seed=2)
+    wanted = rows.groupBy("label", "block").agg(*[F.sum(w).alias(w) for w in names])
+    sums = metrics.bootstrap_weight_sums(df, ["label"], "k", 20, seed=2)
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, sums.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    one = {r["block"]: r for r in rows.where("k = 5").collect()}
+    own = resampling.lane_weights("5", 24, 2, np.array(metrics.POISSON_ONE))
+    assert [one[lane // 8][f"w{lane % 8}"] for lane in range(24)] == own.astype(int).tolist()
+    assert {r[w] for r in rows.where("k is null").collect() for w in names} == {None}
+
+
 def test_a_null_group_is_a_group(spark, tied):
     y, p = tied
     df = frame(spark, y, p).withColumn("g", F.when(F.col("id") % 2 == 0, "even"))
