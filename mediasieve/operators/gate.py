@@ -148,7 +148,7 @@ def bootstrap_delta(scores: DataFrame, rounds: int, seed: int = 0, base: str = "
     A weight depends on the image id alone, so an image's views and configs move together.
     """
     degraded = scores.where(F.col("view") != clean)
-    runs = metrics.replicate_auroc(degraded, ["config", "view"], "fused", replicates=rounds, seed=seed)
+    runs = metrics.replicate_auroc(degraded, ["config", "view"], "fused", replicates=rounds, seed=seed, shared_ids=True)
     worst = runs.groupBy("config", "replicate").agg(F.min("auroc").alias("worst"))
     against = worst.where(F.col("config") == base).select("replicate", F.col("worst").alias("_base"))
     delta = F.col("worst") - F.col("_base")
