@@ -47,8 +47,11 @@ def evaluate(scored_views: DataFrame, temperature: float, threshold: float, poin
     tagged = metrics.axis_slices(attributes, registry).unionByName(metrics.named_slice(attributes, *LOWRES_SLICE))
     slices = metrics.slice_report(tagged, ["slice"], replicates=0)
     if replicates:
-        by_id = metrics.axis_slices(clean_rows, registry).unionByName(metrics.named_slice(clean_rows, *LOWRES_SLICE))
-        slices = slices.join(metrics.bootstrap_ci(by_id, ["slice"], n=replicates), "slice", "left")
+        # all clean rows are one more group, without a name: an image is weighed once for all groups that hold it
+        every = clean_rows.withColumn("slice", F.lit(None).cast("string"))
+        by_id = metrics.axis_slices(clean_rows, registry).unionByName(metrics.named_slice(clean_rows, *LOWRES_SLICE)).unionByName(every)
+        intervals = checkpointed(metrics.bootstrap_ci(by_id, ["slice"], n=replicates, shared_ids=True))
+        slices = slices.join(intervals, "slice", "left")
     by_content = metrics.auroc(attributes, ["content"])
     interval = ["ci_low", "ci_high"] if replicates else []
     single = F.when(F.col("auroc").isNull(), SINGLE_CLASS)
@@ -68,7 +71,7 @@ def evaluate(scored_views: DataFrame, temperature: float, threshold: float, poin
         _section(by_content, "content", "content", ["n_pos", "n_neg", "auroc"], single),
     ]
     if replicates:
-        blocks.append(_section(metrics.bootstrap_ci(clean_rows, n=replicates), "clean", "=clean", ["ci_low", "ci_high"]))
+        blocks.append(_section(intervals.where("slice IS NULL"), "clean", "=clean", ["ci_low", "ci_high"]))
     return reduce(DataFrame.unionByName, blocks)
 
 
