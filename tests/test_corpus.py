@@ -110,6 +110,23 @@ def test_screen_matches_brute_force(spark, cell, hot_copies):
     assert got == brute(images, index)
 
 
+def test_a_hash_crosses_once_per_block_not_per_band(spark, monkeypatch):
+    """Blocks meet whole: rows of the shuffle are those of blocks, a crowded band value is compared in small tiles."""
+    monkeypatch.setattr(screen, "TILE", 7)
+    rng = np.random.default_rng(6)
+    hashes = lambda n: tuple(np.where(np.arange(n) % 3 == 0, rng.integers(0, 2**54, n, dtype=np.uint64) << np.uint64(10), rng.integers(0, 2**64, n, dtype=np.uint64))
+                             for _ in range(2))
+    mine, theirs = hashes(60), hashes(40)
+    pmin, dmin = screen._least_distances(mine, theirs, screen._slots(6))
+    wanted = brute([(i, int(p), int(d)) for i, (p, d) in enumerate(zip(*mine))], [(int(p), int(d)) for p, d in zip(*theirs)])
+    assert [(min(64, p), min(64, d)) for p, d in zip(pmin.tolist(), dmin.tolist())] == [wanted[i][1:] for i in range(60)]
+    probes, pairs = (spark.range(n).selectExpr("xxhash64(id) as phash", "xxhash64(id, 1) as dhash") for n in (6000, 3000))
+    rows, columns = screen._blocks(6000, 3000, 2048, 8)
+    assert (rows, columns) == (3, 1) and screen._blocks(900_000, 36_000_000, 2048, 12) == (1, 48) and screen._blocks(5_400_000, 216_000_000, 2048, 12) == (3, 108)
+    plan = screen._nearest(probes, pairs, 6, 2048)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan
+
+
 def test_undecodable_images_are_ok(spark):
     images = spark.createDataFrame([(1, None, None)], "id int, phash long, dhash long")
     index = spark.createDataFrame([(1, 2)], "phash long, dhash long")
