@@ -6,14 +6,14 @@ from functools import partial, reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Normalizer, VectorAssembler
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..session import checkpointed, in_parallel
-from . import metrics
+from ..session import checkpointed, in_parallel, stored
+from . import logistic, metrics
 
 # Feature groups, the gate and the smallest class of a slice.
 ACQUISITION = ("width", "height", "pixels", "aspect_ratio", "short_edge", "jpeg_quality",
@@ -46,31 +46,37 @@ def with_folds(df: DataFrame, folds: int = FOLDS, id_col: str = "id", seed: int
 def out_of_fold(df: DataFrame, features, folds: int = FOLDS, reg_c: float = 1.0) -> DataFrame:
     """(label, p) where each row is scored by a model that did not see its fold.
 
-    The folds are fitted side by side; features are standardised inside the solver,
-    from the training folds alone.
+    The folds are fitted side by side; features are standardised by the training folds alone.
     """
+    return _scored_out_of_fold(df, {"all": tuple(features)}, folds, reg_c).drop("block")
+
+
+def _scored_out_of_fold(df: DataFrame, groups: dict, folds: int = FOLDS, reg_c: float = 1.0) -> DataFrame:
+    """(label, block, p) for every group of features; the models of all groups and folds share their passes."""
     sizes = {row["fold"]: row["n"] for row in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
+    asked = [(block, fold) for block in groups for fold in range(folds) if sizes.get(fold, 0)]
+    fits = logistic.fit(df, [logistic.Fit(tuple(groups[block]), 1.0 / (reg_c * (total - sizes[fold])), fold) for block, fold in asked], fold="fold")
+    found = dict(zip(asked, fits))
 
-    def scored(fold: int) -> DataFrame:
-        fit = Pipeline(stages=[
-            VectorAssembler(inputCols=list(features), outputCol="features"),
-            LogisticRegression(labelCol="label", regParam=1.0 / (reg_c * (total - sizes.get(fold, 0))),
-                               standardization=True, maxIter=100, tol=1e-5)]).fit(df.where(F.col("fold") != fold))
-        return fit.transform(df.where(F.col("fold") == fold)).select("label", vector_to_array("probability")[1].alias("p"))
+    def p(block: str):
+        margins = []
+        for fold in sorted(sizes):
+            weights, bias = found[block, fold]
+            margins.append(F.when(F.col("fold") == fold, sum((F.lit(w) * F.col(name) for w, name in zip(weights, groups[block])), F.lit(bias))))
+        return 1 / (1 + F.exp(-F.coalesce(*margins)))
 
-    parts = in_parallel(df.sparkSession, [partial(scored, fold) for fold in range(folds)])
-    return reduce(DataFrame.unionByName, parts)
+    each = F.explode(F.array(*[F.struct(F.lit(block).alias("block"), p(block).alias("p")) for block in groups])).alias("_s")
+    return df.select("label", each).select("label", "_s.block", "_s.p")
 
 
 def shortcut_probe(df: DataFrame, id_col: str = "id", gate: float = GATE, groups=None) -> DataFrame:
     """Per feature group its out-of-fold AUROC and whether it stays at or below the gate."""
     groups = groups or GROUPS
     names = sorted({name for group in groups.values() for name in group})
-    data = checkpointed(with_folds(df, id_col=id_col).select("fold", F.col("label").cast("double").alias("label"), *names))
-    scored = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [
-        partial(lambda group: out_of_fold(data, groups[group]).withColumn("block", F.lit(group)), group) for group in groups]))
-    return metrics.auroc(scored, ["block"]).select(
+    # read once per Newton step: columns, not rows
+    data = stored(with_folds(df, id_col=id_col).select("fold", F.col("label").cast("double").alias("label"), *[F.col(n).cast("double").alias(n) for n in names]), "probe")
+    return metrics.auroc(_scored_out_of_fold(data, groups), ["block"]).select(
         "block", "auroc", F.lit(gate).alias("gate"), (F.col("auroc") <= gate).alias("passes"))
 
 

@@ -74,6 +74,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the shared folder: a checkpoint for frames that are read many times."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a plain scan that has fewer tasks than the session has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
