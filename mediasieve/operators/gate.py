@@ -5,14 +5,12 @@ from __future__ import annotations
 from functools import partial
 from itertools import combinations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..session import checkpointed, in_parallel
-from . import metrics
+from . import logistic, metrics
 
 # Fixed value: worst-cell gain over the baseline a blend must reach.
 REQUIRED_DELTA = 0.005
@@ -102,19 +100,22 @@ def half_split(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
 
 def fit_stacker(df: DataFrame, branches) -> tuple[list[float], float]:
     """Class-balanced logistic blend over (image, view) rows: (weights, intercept)."""
-    branches = list(branches)
-    if len(branches) == 1:
-        return [1.0], 0.0
+    return fit_stackers(df, [list(branches)])[0]
+
+
+def fit_stackers(df: DataFrame, configs: list[list[str]]) -> list[tuple[list[float], float]]:
+    """A blend for every list of branches, all fitted in the same passes; a single branch stays as it is."""
+    blends = [branches for branches in configs if len(branches) > 1]
+    if not blends:
+        return [([1.0], 0.0) for _ in configs]
     sizes = df.groupBy().agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
     if not sizes["p"] or not sizes["n"]:
         raise ValueError("the rows to fit on hold a single class")
     total = sizes["p"] + sizes["n"]
     weight = F.when(F.col("label") == 1, total / (2 * sizes["p"])).otherwise(total / (2 * sizes["n"]))
-    rows = df.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), *branches)
-    data = VectorAssembler(inputCols=branches, outputCol="features").transform(rows)
-    model = LogisticRegression(weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0,
-                               standardization=False, maxIter=100, tol=1e-9).fit(data)
-    return [float(w) for w in model.coefficients], float(model.intercept)
+    rows = df.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), *sorted({name for branches in blends for name in branches}))
+    found = iter(logistic.fit(rows, [logistic.Fit(tuple(branches), 1.0 / total) for branches in blends], weight="weight", standardise=False))
+    return [next(found) if len(branches) > 1 else ([1.0], 0.0) for branches in configs]
 
 
 def _blend(branches, weights, bias):
@@ -172,8 +173,7 @@ def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta:
         raise ValueError("the half split left one half empty")
 
     configs = [[base_name, *combo] for size in range(len(candidates) + 1) for combo in combinations(candidates, size)]
-    fits = in_parallel(base.sparkSession, [partial(fit_stacker, fit, branches) for branches in configs])
-    blends = {"+".join(branches): (branches, *fitted) for branches, fitted in zip(configs, fits)}
+    blends = {"+".join(branches): (branches, *fitted) for branches, fitted in zip(configs, fit_stackers(fit, configs))}
     scores = subset_scores(measure, blends)
     report = worst_cells(scores).withColumnRenamed("worst_cell_auroc", "worst")
     rows = {row["config"]: row.asDict() for row in report.collect()}          # one row per config
