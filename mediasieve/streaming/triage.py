@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,22 +79,30 @@ def _runs(pause: pd.Timedelta):
 
 
 def _first_of_runs(pause: pd.Timedelta):
+    """A content's runs in plain numbers of microseconds: a content has few of them and there are many contents, so frames are only made of what comes out."""
+    wait = pause.value // 1000
+
     def merge(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        runs = pd.concat(list(batches)).sort_values(["first", "id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        runs = []
+        for batch in batches:
+            times = [batch[name].to_numpy().astype("datetime64[us]").astype("int64").tolist() for name in ("first", "last")]
+            runs += zip(times[0], batch["id"].tolist(), times[1])
+        runs.sort(key=lambda run: (run[0], run[1] is None, run[1]))
+        last = state.get[0] if state.exists else None
         out = []
-        for run in runs.itertuples(index=False):
-            if last is None or run.first > last + pause:
-                out.append((run.id, key[0], run.first))
-            last = run.last if last is None else max(last, run.last)
-        state.update((last.value // 1000,))
+        for first, row_id, until in runs:
+            if last is None or first > last + wait:
+                out.append((row_id, first))
+            last = until if last is None else max(last, until)
+        state.update((last,))
         # local times stand for instants: the timer counts from the latest watermark at the earliest
-        due = int((last + pause).value // 1_000_000) + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["id", "sha256", "ts"])
+        state.setTimeoutTimestamp(max((last + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            ids, times = zip(*out)
+            yield pd.DataFrame({"id": ids, "sha256": key[0], "ts": np.array(times, "datetime64[us]")})
 
     return merge
 

@@ -158,3 +158,30 @@ def test_archive_members_through_registry_screen_and_duplicates(spark, tmp_path)
     assert got == [("GAN_based/Typical/BigGAN/1.jpg", 0)]
     assert not {r["member"] for r in first} & {"nothing/1.jpg", "coco/coco2017/val2017/1.jpg"}
     assert stats.first()["accepted"] == kept.count() <= 5
+
+
+def test_a_prolonged_session_makes_no_frame():
+    """A content whose rows all follow within the gap changes its state and hands on nothing."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, get = False, True, (60_000_000,)
+
+        def update(self, value):
+            self.get = value
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, due):
+            self.due = due
+
+    state, pause = State(), pd.Timedelta("60 seconds")
+    at = lambda *seconds: pd.to_datetime(np.array(seconds) * 1_000_000_000)
+    batch = lambda first, ids, last: pd.DataFrame({"first": at(*first), "id": ids, "last": at(*last)})
+    merge = streams._first_of_runs(pause)
+    assert list(merge(("x",), iter([batch([120, 90], [2, 1], [130, 95])]), state)) == []
+    assert state.get == (130_000_000,) and state.due == 190_001
+    (out,) = merge(("x",), iter([batch([191], [5], [192]), batch([400, 191], [6, 4], [400, 191])]), state)
+    assert out["id"].tolist() == [4, 6] and out["ts"].tolist() == list(at(191, 400)) and state.get == (400_000_000,)
