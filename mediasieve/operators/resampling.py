@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 LANES = 128                 # replicates of one row of partial sums
 PER_DIGEST = 8              # weights of one SHA-256 digest
-PIECE = 4_000_000           # rows a task orders and weighs at once, some 100 bytes each
+PIECE = 1_500_000           # rows a task orders and weighs at once
+DRAWN = 65_536              # ids whose digests are held at once
 NOT_A_NUMBER = 1.7976931348623157e308       # stands for NaN among scores: equal to itself, above all others
 
 
@@ -26,11 +27,13 @@ def lane_weights(row_id: str | None, replicates: int, seed: int, bounds: np.ndar
 def block_weights(ids: list[bytes], block: int, seed: int, bounds) -> np.ndarray:
     """The eight weights of one block for many ids, a row of bytes per id."""
     prefix, sha = f"{seed}:{block}:".encode(), hashlib.sha256
-    drawn = np.frombuffer(b"".join([sha(prefix + i).digest() for i in ids]), ">u4").reshape(-1, PER_DIGEST).astype(np.uint32)
-    weights = np.zeros(drawn.shape, np.uint8)
+    weights = np.zeros((len(ids), PER_DIGEST), np.uint8)
     # drawn / 2^32 >= bound, in whole numbers
-    for limit in np.ceil(np.asarray(bounds) * 2.0 ** 32).astype(np.uint32):
-        weights += drawn >= limit
+    limits = np.ceil(np.asarray(bounds) * 2.0 ** 32).astype(np.uint32)
+    for at in range(0, len(ids), DRAWN):
+        drawn = np.frombuffer(b"".join([sha(prefix + i).digest() for i in ids[at:at + DRAWN]]), ">u4").reshape(-1, PER_DIGEST).astype(np.uint32)
+        for limit in limits:
+            weights[at:at + DRAWN] += drawn >= limit
     return weights
 
 
@@ -43,7 +46,7 @@ def _coded(column) -> tuple[np.ndarray, pa.Array]:
 
 def _encoded_ids(values: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """Distinct ids as bytes, and which of them are not NULL."""
-    return [b"" if v is None else v.encode() for v in values.to_pylist()], values.is_valid().to_numpy(zero_copy_only=False)
+    return [b"" if v is None else v for v in values.cast(pa.binary()).to_pylist()], values.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _group_codes(table: pa.Table, by: list[str]) -> np.ndarray:
@@ -70,7 +73,7 @@ def _pieces(batches, rows: int):
 
 
 def _ordered(table: pa.Table, by: list[str]) -> tuple:
-    """A piece by group: the order, where runs of one score and groups begin, and the score of every run."""
+    """A piece by group: the order, where runs of one score and groups begin, and the score of a run."""
     codes = _group_codes(table, by)
     order = np.argsort(codes, kind="stable")
     codes, key = codes[order], table["_key"].combine_chunks()
@@ -82,7 +85,7 @@ def _ordered(table: pa.Table, by: list[str]) -> tuple:
     opens = first.copy()
     opens[1:] |= (score[1:] != score[:-1]) | (null[1:] != null[:-1])
     runs = np.flatnonzero(opens)
-    return order, runs, np.flatnonzero(first[runs]), [None if n else s for n, s in zip(null[runs].tolist(), score[runs].tolist())]
+    return order, runs, np.flatnonzero(first[runs]), lambda run: None if null[runs[run]] else float(score[runs[run]])
 
 
 def _lane_sums(weight, positive, known, runs, groups, middle, belongs):
@@ -107,7 +110,7 @@ def _partial(by: list[str], replicates: int, seed: int, bounds: tuple[float, ...
             chunk += 1
 
     def summed(table: pa.Table, chunk: int):
-        order, runs, groups, scores = _ordered(table, by)
+        order, runs, groups, score_of = _ordered(table, by)
         own, values = _coded(table["_id"])
         own, (ids, present) = own[order], _encoded_ids(values)
         label = table["_positive"].combine_chunks()
@@ -137,7 +140,7 @@ def _partial(by: list[str], replicates: int, seed: int, bounds: tuple[float, ...
                 ends = groups if part == 0 else last
                 count = len(which)
                 fixed = [pa.array([chunk] * count, pa.int64()), pa.array([at] * count, pa.int32()), pa.array([part] * count, pa.int32()),
-                         pa.array([None if part == 1 else scores[ends[g]] for g in which], pa.float64())]
+                         pa.array([None if part == 1 else score_of(ends[g]) for g in which], pa.float64())]
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (count + 1) * width, width), pa.int32()), pa.array(side[which].ravel()))
                          for side in sums[part]]
                 columns = [head.column(i).take(which).combine_chunks() for i in range(len(by))]
