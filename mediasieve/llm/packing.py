@@ -18,6 +18,7 @@ WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
 TEXT_BYTES = 2 << 20        # of text encoded at once
 ID_BYTES = 2 << 20         # bytes of ids whose terms are counted at once
+SPAN_COST, POSTING_COST = 400, 10   # of a term's list and of an entry in it, against a term of a document looked through
 PLACES = 500_000            # rows of four longs up to which a table of places is broadcast
 K1, B = 1.2, 0.75
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -54,21 +55,48 @@ class Bm25:
         term = np.repeat(np.arange(len(df)), df)[useful]
         self.docs, self.weights = docs[useful], weight[useful]
         self.ptr = np.searchsorted(term, np.arange(len(df) + 1))
+        self.held = np.diff(self.ptr)
         order = np.argsort(self.docs, kind="stable")
         self.query_terms, self.query_ptr = term[order], np.searchsorted(self.docs[order], np.arange(n + 1))
+        self.asked = np.zeros(len(df))
+        self._leave(np.diff(self.query_ptr) > 0, self.query_terms, self.weights[order], np.diff(self.query_ptr))
+
+    def _leave(self, stay: np.ndarray, terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents by their terms and weights, in a row: the ones among which a query with many postings looks."""
+        self.left, sizes = np.flatnonzero(stay), sizes[stay]
+        self.left_terms, self.left_weights, self.left_at = terms, weights, np.cumsum(sizes) - sizes
+
+    def _drop_used(self, used: np.ndarray) -> None:
+        """Used documents go once they are a quarter of those looked through."""
+        free = ~used[self.left]
+        if 4 * np.count_nonzero(free) <= 3 * len(free):
+            sizes = np.diff(np.append(self.left_at, len(self.left_terms)))
+            kept = np.repeat(free, sizes)
+            stay = np.zeros(self.n, bool)
+            stay[self.left[free]] = True
+            of = np.zeros(self.n, np.int64)
+            of[self.left] = sizes
+            self._leave(stay, self.left_terms[kept], self.left_weights[kept], of)
 
     def neighbours(self, doc: int, used: np.ndarray) -> list[int]:
         """Unused documents by falling score, ties to the smaller position."""
         terms = self.query_terms[self.query_ptr[doc]:self.query_ptr[doc + 1]]
         if not len(terms):
             return []
-        spans = [slice(self.ptr[t], self.ptr[t + 1]) for t in terms]
-        docs, weights = np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
-        if 4 * len(docs) > self.n:
-            scores = np.bincount(docs, weights, self.n)
-            found = np.flatnonzero(scores)
-            scores = scores[found]
+        self._drop_used(used)
+        if SPAN_COST * len(terms) + POSTING_COST * int(self.held[terms].sum()) > len(self.left_terms):
+            if not len(self.left):
+                return []
+            self.asked[terms] = 1
+            weights = self.asked[self.left_terms]
+            self.asked[terms] = 0
+            weights *= self.left_weights
+            scores = np.add.reduceat(weights, self.left_at)
+            hit = scores > 0
+            found, scores = self.left[hit], scores[hit]
         else:
+            spans = [slice(a, b) for a, b in zip(self.ptr[terms].tolist(), self.ptr[terms + 1].tolist())]
+            docs, weights = np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
             found, place = np.unique(docs, return_inverse=True)
             scores = np.bincount(place, weights)
         free = ~used[found]
@@ -167,11 +195,17 @@ def heaviest(ids: np.ndarray, at: np.ndarray, corpus: Corpus) -> np.ndarray:
     docs, terms, tf = _document_terms(ids, at)
     weight, useful = term_weights(corpus.df[terms], tf, np.diff(at)[docs], corpus)
     docs, terms, weight = docs[useful], terms[useful], weight[useful]
-    order = np.lexsort((terms, -weight, docs))
-    docs, terms = docs[order], terms[order]
-    rank = np.arange(len(docs)) - np.searchsorted(docs, docs)
     top = np.full((len(at) - 1, 2), -1, np.int64)
-    top[docs[rank < 2], rank[rank < 2]] = terms[rank < 2]
+    if not len(docs):
+        return top
+    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    sizes = np.diff(np.append(starts, len(docs)))
+    for rank in range(2):
+        best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, starts), sizes))
+        best = best[np.append(True, docs[best[1:]] != docs[best[:-1]])]     # the smallest of equals: terms rise in a document
+        best = best[weight[best] > 0]
+        top[docs[best], rank] = terms[best]
+        weight[best] = 0
     return top
 
 

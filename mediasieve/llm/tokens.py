@@ -5,13 +5,15 @@ the ids equal those of the whole text:
 
 * ``words``: white space is dropped and no piece crosses it, nor does one hold a letter or digit and a
   mark after it; cut at ASCII white space and before the marks of CUT. Where the library lower-cases,
-  ASCII pieces are looked up in lower case.
+  ASCII and Latin-1 pieces are looked up in lower case. Pieces of plain letters, which its normalizer and
+  pre-tokenizer leave as they are, go to its model without those two steps.
 * ``bytes``: a space followed by a letter, digit or printable mark opens a piece; cut before it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import string
@@ -23,12 +25,33 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK = "~"
-CUT = r"([A-Za-z0-9])([.,;:!?])"
+CUT = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?\"#$%&)*])"
+LATIN = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+FOLDS, PLAIN = r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$", r"^[a-zß-öø-ÿ]+$"
+# of a tokenizer file whose pre-tokenizer takes letters in one run and whose normalizer leaves those of PLAIN alone
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BARE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 JOINED, LEARNED = 256, 8192      # words encoded as one text, pieces learned at once
 MEMO_BYTES = 40 << 20           # about what one worker remembers pieces with
 PIECE_BYTES = 150               # of one piece besides its letters and ids
 
 
+def _bare(path: str) -> tuple[dict, str] | None:
+    """(the tokenizer file without normalizer, words cut at spaces alone, the suffix that ends a word); None where PLAIN words could then differ."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": RUNS}, "behavior": "Removed", "invert": True}
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    suffix = held["model"].get("end_of_word_suffix")
+    if steps != [split, BARE] or (held.get("normalizer") or {}).get("normalizers") != normal or held["model"]["type"] != "BPE" or not suffix:
+        return None
+    if held.get("post_processor") or any(re.search(PLAIN, token["content"]) for token in held["added_tokens"]):
+        return None
+    spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+    return held | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, BARE]}}, suffix
+
+
 def file_digest(path: str) -> str:
     """The version of a tokenizer: the digest of its file."""
     with open(path, "rb") as file:
@@ -51,8 +74,15 @@ class Encoder:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = kind == "words" and not any(re.search(CUT, token) for token in self.added)
         normalizer = self.tokenizer.normalizer
-        self.lowers = (kind == "words" and normalizer is not None
-                       and normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase)
+        lowers = lambda letters: kind == "words" and normalizer is not None and normalizer.normalize_str(letters) == letters.lower()
+        self.lowers, self.lowers_latin = lowers(string.ascii_uppercase), lowers(string.ascii_uppercase + LATIN)
+        bare = _bare(path) if kind == "words" and self.mark is not None else None
+        self.bare = None
+        if bare:
+            self.bare = Tokenizer.from_str(json.dumps(bare[0]))
+            vocabulary = self.tokenizer.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)       # ids that end a word
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(bare[1])]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -75,9 +105,9 @@ class Encoder:
         self._store([pieces[i] for i in stay.tolist()], flat, spans)
         self.uses[:len(stay)] = uses[stay] // 2
 
-    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _alone(self, pieces: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, ids of each)."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
@@ -88,6 +118,12 @@ class Encoder:
         ends = np.flatnonzero(flat == self.mark)
         return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters: a word ends where an id does that closes one."""
+        flat, _ = self._alone([" ".join(words[at:at + JOINED]) for at in range(0, len(words), JOINED)], self.bare)
+        lengths = np.diff(np.flatnonzero(self.closes[flat]), prepend=-1)
+        return (flat, lengths) if len(lengths) == len(words) and lengths.sum() == len(flat) else self._joined(words)
+
     def _store(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         k, n = len(self.code), len(pieces)
         if len(lengths) != n:
@@ -105,10 +141,10 @@ class Encoder:
         self.used += len(flat)
         self.letters += sum(map(len, pieces))
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, plain: list[str], pieces: list[str]) -> None:
         together = [w for w in pieces if MARK not in w] if self.mark is not None else []
         alone = [w for w in pieces if MARK in w] if self.mark is not None else pieces
-        for words, encoded in ((together, self._joined), (alone, self._alone)):
+        for words, encoded in ((plain, self._plain), (together, self._joined), (alone, self._alone)):
             for at in range(0, len(words), LEARNED):
                 self._store(words[at:at + LEARNED], *encoded(words[at:at + LEARNED]))
 
@@ -125,9 +161,9 @@ class Encoder:
         return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), pc.list_flatten(lists)
 
     def _folded(self, pieces: pa.Array) -> pa.Array:
-        """ASCII pieces in lower case, but for those that would then hold an added token."""
-        lower = pc.ascii_lower(pieces)
-        plain = pc.string_is_ascii(pieces)
+        """ASCII and Latin-1 pieces in lower case, but for those that would then hold an added token."""
+        lower = pc.utf8_lower(pieces) if self.lowers_latin else pc.ascii_lower(pieces)
+        plain = pc.match_substring_regex(pieces, FOLDS) if self.lowers_latin else pc.string_is_ascii(pieces)
         for token in self.added:
             plain = pc.and_not(plain, pc.match_substring(lower, token))
         return pc.if_else(plain, lower, pieces)
@@ -142,8 +178,16 @@ class Encoder:
         words = dictionary.to_numpy(zero_copy_only=False).tolist()
         if self._held_bytes() > MEMO_BYTES:
             self._forget()
-        self._learn([w for w in words if w not in self.code])
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        known = self.code.get
+        codes = np.fromiter([known(w, -1) for w in words], np.int64, len(words))
+        missing = np.flatnonzero(codes < 0)
+        plain = np.zeros(len(missing), bool)
+        if self.bare is not None:
+            plain = pc.match_substring_regex(dictionary.take(pa.array(missing)), PLAIN).to_numpy(zero_copy_only=False)
+        new = [[words[i] for i in part.tolist()] for part in (missing[plain], missing[~plain])]
+        self._learn(*new)
+        for part, found in zip((missing[plain], missing[~plain]), new):
+            codes[part] = np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))
         self.uses[codes] += 1
         return bounds, codes[indices]
 

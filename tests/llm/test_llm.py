@@ -615,3 +615,49 @@ def test_dealing_numbers_shards_without_the_driver(spark):
         again = packing._placed(rows, plan).join(plan.places, ["_t1", "_p2", "_p3"])
         packing.PLACES = held
         assert again.exceptAll(placed).isEmpty()
+
+
+def test_plain_words_skip_the_normalizer():
+    """Words of letters go to the model alone; capitals and marks behind a letter make no further piece."""
+    import pyarrow as pa
+
+    encoder, tokenizer = tokens.Encoder(WORD, "words"), Tokenizer.from_file(WORD)
+    slow = []
+    encoder._joined, joined = lambda words: (slow.extend(words), joined(words))[1], encoder._joined
+    texts = ["Été### été ÉTÉ. straße übung*** naïve&&& river River RIVER%%%", "e\u0301te\u0301* E\u0301 \u0130x \u00d7a a\u00f7b \u1e9e \u017f \u212a \u00b5 \u00aa",
+             "don't l'été x=\u0338y a*\u0301 b.\u0338 <|endoftext|>) é<|endoftext|> (c) \"d\" e#f $g", "ŒUVRE œuvre ÿ Ÿ þÞ ðÐ"]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"été", "straße", "river"} <= set(encoder.code) and not {"Été", "ÉTÉ", "Été###", "river%%%"} & set(encoder.code)
+    assert not {"été", "straße", "übung", "naïve", "river"} & set(slow)
+    rng = np.random.default_rng(8)
+    letters = list("abcdeABCDEéÉßñÑüÜ'.,*#%&$)x÷×\u0301\u0130µ9 ~<|>")
+    texts = ["".join(rng.choice(letters, 400)) for _ in range(200)]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_neighbours_of_both_ways_of_looking():
+    """Postings and the documents that are left give the same neighbours; used documents are looked through no more."""
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(0, 60, 300)
+    ids, at = np.minimum(rng.zipf(1.4, lengths.sum()), 400).astype(np.uint32), np.concatenate([[0], np.cumsum(lengths)])
+    used, used_too, costs = np.zeros(300, bool), np.zeros(300, bool), (packing.SPAN_COST, packing.POSTING_COST)
+    one, other = packing.Bm25(ids, at), packing.Bm25(ids, at)
+    try:
+        for doc in rng.permutation(300).tolist():
+            used[doc] = used_too[doc] = True
+            packing.SPAN_COST = packing.POSTING_COST = 0
+            by_postings = one.neighbours(doc, used)
+            packing.SPAN_COST = packing.POSTING_COST = 1 << 20
+            assert by_postings == other.neighbours(doc, used_too)
+            assert not used[by_postings].any()
+    finally:
+        packing.SPAN_COST, packing.POSTING_COST = costs
+    assert len(one.left) == len(other.left) == 0
+    top = packing.heaviest(ids, at, packing.Corpus(np.bincount(ids), 300, lengths.mean()))
+    for doc in range(300):
+        terms, tf = np.unique(ids[at[doc]:at[doc + 1]], return_counts=True)
+        weight, useful = packing.term_weights(np.bincount(ids)[terms], tf, lengths[doc], packing.Corpus(np.bincount(ids), 300, lengths.mean()))
+        best = sorted(zip(-weight[useful], terms[useful]))[:2]
+        assert top[doc].tolist() == [*[t for _, t in best], -1, -1][:2]
