@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import registry as registry_module
 from ..functions import scoring
 from . import resampling
-from .ordered import join_groups, running_sums
+from .ordered import join_groups, pair_sums, running_sums
 
 ECE_BINS = 15
 
@@ -75,7 +75,14 @@ def auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", rollup:
         # The pooled row merges the groups' histogram instead of reading the rows again.
         cells = score_histogram(df, by, score, label)
         return auroc(cells, by, score).unionByName(auroc(cells, (), score), allowMissingColumns=True)
-    return ranked_auroc(ranked_histogram(df, by, score, label), by)
+    ranges = pair_sums(score_histogram(df, by, score, label), by, score, "n_pos", "n_neg")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0)).cast("double")
+    won = F.col("n_pos").cast("double") * below("n_neg") - F.col("n_neg").cast("double") * below("n_pos")
+    pos, neg = F.sum("n_pos"), F.sum("n_neg")
+    return _grouped(ranges.withColumn("_won", F.col("_pairs") + F.coalesce(won, F.lit(0.0))), by).agg(
+        pos.alias("n_pos"), neg.alias("n_neg"),
+        F.when((pos > 0) & (neg > 0), 0.5 + F.sum("_won") / (2 * pos.cast("double") * neg.cast("double"))).alias("auroc"))
 
 
 def ranked_auroc(ranked: DataFrame, by=()) -> DataFrame:
@@ -224,12 +231,14 @@ def view_consistency(views: DataFrame, clean: str = "clean", id_col: str = "id")
 
 
 def feature_auroc(df: DataFrame, features, label: str = "label") -> DataFrame:
-    """AUROC of each feature alone, folded to at least one half."""
-    long = df.select(label, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value"))
-        for name in features])).alias("_pair")).select(label, "_pair.feature", "_pair.value")
-    single = auroc(long, ["feature"], "value", label)
-    return single.select("feature", F.greatest("auroc", 1 - F.col("auroc")).alias("auroc"))
+    """AUROC of each feature alone, folded to at least one half.
+
+    Rows are unpivoted to the feature's number and its value alone, so that no names are hashed or compared.
+    """
+    features = list(features)
+    long = df.select(label, F.posexplode(F.array(*[F.col(name).cast("double") for name in features])).alias("_feature", "value"))
+    name = F.element_at(F.array(*[F.lit(name) for name in features]), F.col("_feature") + 1)
+    return auroc(long, ["_feature"], "value", label).select(name.alias("feature"), F.greatest("auroc", 1 - F.col("auroc")).alias("auroc"))
 
 
 # ── per-view and per-slice reports ──────────────────────────────────────────

@@ -11,8 +11,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpointed
 
@@ -82,6 +86,57 @@ def running_sums(rows: DataFrame, by, key: str, sums, neighbours: bool = False,
     return inside.select(*rows.columns, *below, *[F.col(f"{name}_total") for name in sums], *extra)
 
 
+def _pairs_of_partition(by: list[str]):
+    """Rows by rising key, reduced to one per group: sums, and pairs won less pairs lost among them."""
+    def run(batches):
+        known, firsts, won, held = {}, [], np.zeros(0), np.zeros((4, 0), np.int64)     # both sums, and how many values entered each
+        for batch in batches:
+            groups, counts = batch.select(list(range(len(by)))), [batch.column(len(by)), batch.column(len(by) + 1)]
+            code = np.zeros(batch.num_rows, np.int64)
+            for column in groups.columns:
+                each = column.dictionary_encode(null_encoding="encode")
+                code = np.unique(code * max(1, len(each.dictionary)) + each.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            sizes = np.diff(np.append(starts, len(order)))
+            values = [c.fill_null(0).to_numpy(zero_copy_only=False)[order] for c in counts]
+            valid = [c.is_valid().to_numpy(zero_copy_only=False)[order].astype(np.int64) for c in counts]
+            below = [e - v - np.repeat((e - v)[starts], sizes) for v in values for e in [np.cumsum(v)]]
+            if not len(order):
+                continue
+            sums = np.array([np.add.reduceat(v, starts) for v in (*values, *valid)])
+            inside = np.add.reduceat(values[0].astype(float) * below[1] - values[1].astype(float) * below[0], starts)
+            at = order[starts]
+            # a missing or undefined name equals itself
+            names = list(zip(*[["nan" if x != x else (x,) for x in c.take(pa.array(at)).to_pylist()] for c in groups.columns])) if by else [()]
+            fresh = [i for i, name in enumerate(names) if name not in known]
+            place = np.array([known.setdefault(name, len(known)) for name in names])
+            if fresh:
+                firsts.append(batch.take(pa.array(at[fresh])))
+                won, held = np.append(won, np.zeros(len(fresh))), np.hstack([held, np.zeros((4, len(fresh)), np.int64)])
+            won[place] += inside + sums[0].astype(float) * held[1, place] - sums[1].astype(float) * held[0, place]
+            held[:, place] += sums
+        if firsts:
+            table = pa.Table.from_batches(firsts).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays(
+                [*[table.column(i) for i in range(len(by))], *[pa.array(held[i], mask=held[2 + i] == 0) for i in range(2)],
+                 pa.array(won), pa.array(np.full(len(won), TaskContext.get().partitionId(), np.int64))], [*by, "a", "b", "_pairs", "_range"])
+
+    return run
+
+
+def pair_sums(cells: DataFrame, by, key: str, a: str, b: str) -> DataFrame:
+    """Per group and range of (group, key): the sums of two counts and, over pairs of keys in it, a above b less b above a.
+
+    ``cells`` holds one row per (group, key). A range is sorted by key alone and leaves one row per group it holds,
+    with the range's number as ``_range``: rows meet no window and are written nowhere.
+    """
+    by = list(by)
+    ordered = cells.repartitionByRange(*by, key).sortWithinPartitions(key).select(*by, F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b))
+    schema = StructType([ordered.schema[name] for name in by]).add("a", "long").add("b", "long").add("_pairs", "double").add("_range", "long")
+    return ordered.mapInArrow(_pairs_of_partition(by), schema).withColumnsRenamed({"a": a, "b": b})
+
+
 def first_rows(df: DataFrame, by, bucket: Column, order, k: int, keep_all_up_to: int | None = None,
                counted: Column | None = None) -> DataFrame:
     """The first ``k`` rows of every group in (bucket, order), exactly.

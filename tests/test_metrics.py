@@ -336,3 +336,31 @@ def test_metrics_as_views(spark):
     assert read("SELECT g, threshold FROM view_scores_thresholds WHERE target_fpr = 0.05") == sorted(
         (r["g"], r["threshold"]) for r in calibrate.threshold_at_fpr(df, (0.05,), "g").collect())
     assert read("SELECT count(*) FROM view_scores_best_threshold JOIN view_scores_average_precision USING (g)") == [(2,)]
+
+
+def test_pair_sums_of_few_and_of_interleaved_groups(spark):
+    """AUROC from ranges: ties, missing and undefined scores and groups, single classes, many groups in a range; no cell is written or windowed."""
+    rng = np.random.default_rng(11)
+    rows = [(["a", "b", None, "c", "only"][g], float(n), None if s == 0 else float("nan") if s == 9 else float(s) / 4, int(y) if g < 4 else 1)
+            for g, n, s, y in zip(rng.integers(0, 5, 6000), rng.integers(0, 3, 6000), rng.integers(0, 10, 6000), rng.integers(0, 2, 6000))]
+    df = spark.createDataFrame(rows, "g string, n double, p double, label int").withColumn("n", F.when(F.col("n") == 2, float("nan")).otherwise(F.col("n"))).repartition(7)
+    place = lambda p: (-1e9 if p is None else 1e9 if p != p else p)
+    for by in ([], ["g"], ["g", "n"]):
+        found = {tuple("nan" if x != x else x for x in (r[c] for c in by)): r for r in metrics.auroc(df, by).collect()}
+        groups = {}
+        for g, n, p, y in rows:
+            full = {"g": g, "n": "nan" if n == 2 else n}
+            groups.setdefault(tuple(full[c] for c in by), []).append((place(p), y))
+        assert set(found) == set(groups)
+        for name, cells in groups.items():
+            pos, neg = np.array([p for p, y in cells if y]), np.array([p for p, y in cells if not y])
+            assert (found[name]["n_pos"], found[name]["n_neg"]) == (len(pos), len(neg))
+            if not len(neg):
+                assert found[name]["auroc"] is None
+                continue
+            expected = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+            assert abs(found[name]["auroc"] - expected) < 1e-9
+    plan = metrics.auroc(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_chunk" not in plan
+    empty = metrics.auroc(df.limit(0)).collect()
+    assert len(empty) == 1 and empty[0]["auroc"] is None and metrics.auroc(df.limit(0), ["g"]).count() == 0
