@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -14,34 +15,120 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-RUN = r"[A-Za-zÀ-ÿ]+"     # fixed: a word of the contract
-HELD_WORDS = 400_000                # counts a task holds before it hands them on
+# fixed: a word of the contract is a run of [A-Za-zÀ-ÿ]; its bytes but for the second of a letter from À on
+IS_LETTER = np.isin(np.arange(256), [*map(ord, string.ascii_letters), 0xC3])
+TEXT_BYTES, HELD_BYTES = 2 << 20, 16 << 20     # of text searched for runs at once, and of text whose runs are counted together
 LEVELS = 16                 # walked one by one; what is still alive then (long words that part late) is looked up
 MODULUS, BASE = (1 << 61) - 1, 1_000_003_579
 STATE = "wid long, node long, edits int, left string"
+EDGE = "node long, c int, child long, wid long, tail long, next long"
+BITS = 53                   # of a set of letters; sets a to z apart from most of à to ÿ
+
+
+def _one_zero_byte() -> np.ndarray:
+    """Of each bit of a crc32, what a zero byte after the text makes of it."""
+    crc = 1 << np.arange(32, dtype=np.uint32)
+    for _ in range(8):
+        crc = (crc >> 1) ^ np.where(crc & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return crc
+
+
+def _applied(images: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """The linear map that sends each bit to its image, byte by byte through tables of 256."""
+    out = np.zeros_like(crc)
+    for at in range(0, 32, 8):
+        table = np.zeros(1, np.uint32)
+        for image in images[at:at + 8]:
+            table = np.concatenate([table, table ^ image])
+        out ^= table[(crc >> np.uint32(at)) & np.uint32(255)]
+    return out
+
+
+def _moved(crc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What stays of checksums when so many bytes follow: crc32(a + b) is this of crc32(a), xor crc32(b)."""
+    crc, images = crc.copy(), _one_zero_byte()
+    while sizes.any():
+        odd = np.flatnonzero(sizes & 1)
+        crc[odd] = _applied(images, crc[odd])
+        sizes, images = sizes >> 1, _applied(images, images)
+    return crc
+
+
+def _runs(texts: pa.Array, min_length: int) -> tuple[pa.Array, np.ndarray]:
+    """(letter runs of at least so many code points, the text of each). In UTF-8, À to ÿ are C3 and one byte more."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[bounds[0]:bounds[-1]]
+    bounds = bounds - bounds[0]
+    leads = data == 0xC3
+    letter = IS_LETTER[data]
+    letter[1:] |= leads[:-1]
+    opens, closes = letter.copy(), letter.copy()
+    inner = bounds[(bounds > 0) & (bounds < len(data))]     # a run ends with its text
+    opens[1:] &= ~letter[:-1]
+    opens[inner] = letter[inner]
+    closes[:-1] &= ~letter[1:]
+    closes[inner - 1] = letter[inner - 1]
+    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    long = stops - starts >= max(1, min_length)
+    starts, stops = starts[long], stops[long]
+    two = np.concatenate([[0], np.cumsum(leads, dtype=np.int32)])
+    long = stops - starts - (two[stops] - two[starts]) >= min_length
+    starts, stops = starts[long], stops[long]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[stops] -= 1
+    held = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    at = np.concatenate([[0], np.cumsum(stops - starts)])
+    runs = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(held))
+    return runs, np.searchsorted(bounds, starts, "right") - 1
+
+
+def _damaged(ids: list, words: pa.Array, of: np.ndarray, codes: np.ndarray, damage_every: int) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences that lose a letter, their checksums), of words ``codes`` in texts ``of``."""
+    before = np.array([zlib.crc32(f"{doc_id or ''}:".encode()) for doc_id in ids], np.uint32)
+    own = np.array([zlib.crc32(word) for word in words.cast(pa.large_binary()).to_pylist()], np.uint32)
+    sizes, kind = np.unique(pc.binary_length(words).to_numpy(zero_copy_only=False), return_inverse=True)
+    if len(sizes) * len(before) <= len(codes):      # each text's part of the checksum once for all words of a length
+        moved = _moved(np.tile(before, len(sizes)), np.repeat(sizes, len(before)))[kind[codes] * len(before) + of]
+    else:
+        moved = _moved(before[of], sizes[kind[codes]])
+    h = moved ^ own[codes]
+    hit = np.flatnonzero(h % np.uint32(damage_every) == 0)
+    return hit, h[hit]
+
+
+def _counted(held: list, min_length: int, damage_every: int) -> pa.RecordBatch:
+    """``word``, ``n`` of (ids, runs, the text of each) of some texts; a word that damage makes may stand there twice."""
+    firsts = np.cumsum([0, *(len(ids) for ids, _, _ in held)])
+    of = np.concatenate([of + first for (_, _, of), first in zip(held, firsts)])
+    coded = pa.chunked_array([runs for _, runs, _ in held]).combine_chunks().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    n, changed = np.bincount(codes, minlength=len(words)), Counter()
+    if damage_every:
+        hit, sums = _damaged([doc_id for ids, _, _ in held for doc_id in ids.to_pylist()], words, of, codes, damage_every)
+        n -= np.bincount(codes[hit], minlength=len(words))
+        for run, h in zip(words.take(pa.array(codes[hit])).to_pylist(), sums.tolist()):
+            if len(run) > min_length:
+                changed[run[:h % len(run)] + run[h % len(run) + 1:]] += 1
+    left = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([
+        pa.concat_arrays([words.take(pa.array(left)), pa.array(list(changed), words.type)]).cast(pa.string()),
+        pa.array(np.concatenate([n[left], np.array(list(changed.values()), np.int64)]), pa.int64())], ["word", "n"])
 
 
 def _counts(min_length: int, damage_every: int):
     def run(batches):
-        word, held = re.compile(RUN), Counter()
-
-        def handed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for part in (p for batch in batches for p in slices(batch, 1)):
-            for doc_id, text in zip(part.column(0).to_pylist(), pc.ascii_lower(part.column(1)).to_pylist()):
-                start = zlib.crc32(f"{doc_id or ''}:".encode())
-                for run, n in Counter(word.findall(text)).items():
-                    if damage_every and not (h := zlib.crc32(run.encode(), start)) % damage_every:
-                        at = h % len(run)
-                        run = run[:at] + run[at + 1:]
-                    if len(run) >= min_length:
-                        held[run] += n
-                if len(held) >= HELD_WORDS:
-                    yield handed()
-        yield handed()
+        held, size = [], 0
+        for part in (p for batch in batches for p in slices(batch, 1, TEXT_BYTES)):
+            held.append((part.column(0), *_runs(pc.ascii_lower(part.column(1)), min_length)))
+            size += part.column(1).nbytes
+            if size >= HELD_BYTES:
+                yield _counted(held, min_length, damage_every)
+                held, size = [], 0
+        if held:
+            yield _counted(held, min_length, damage_every)
 
     return run
 
@@ -85,13 +172,14 @@ def _tail(rest: str) -> int:
 
 def _edges(batches):
     """Edges of the tries of words and of reversed words, from the depth where a neighbour's edit may stand."""
-    names = ["node", "c", "child", "wid", "tail"]
+    names = [c.split()[0] for c in EDGE.split(", ")]
     for part in (p for batch in batches for p in slices(batch, 1, 1 << 18)):
         rows = []
         for wid, word in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             for own, codes, nodes in _paths(word):
-                rows += [(nodes[d], codes[d], nodes[d + 1], wid, _tail(own[d + 1:])) for d in range((len(word) - 1) // 2, len(codes))]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                follow = [*(1 << c % BITS for c in codes[1:]), 0]
+                rows += [(nodes[d], codes[d], nodes[d + 1], wid, _tail(own[d + 1:]), follow[d]) for d in range((len(word) - 1) // 2, len(codes))]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
@@ -110,15 +198,18 @@ def _seeds(batches):
 
 
 def edge_table(words: DataFrame) -> DataFrame:
-    """``node``, ``children`` (c, child, n words below, one of them, id of what follows in it), of nodes with more than one word."""
-    edges = words.select("wid", "word").mapInArrow(_edges, "node long, c int, child long, wid long, tail long")
-    edges = edges.groupBy("node", "c").agg(F.min("child").alias("child"), F.count("*").alias("n"), F.min("wid").alias("other"), F.min("tail").alias("tail"))
-    nodes = edges.groupBy("node").agg(F.sum("n").alias("below"), F.collect_list(F.struct("c", "child", "n", "other", "tail")).alias("children"))
+    """``node``, ``children`` (c, child, n words below, one of them, id of what follows in it, set of the letters next), of nodes with more than one word."""
+    edges = words.select("wid", "word").mapInArrow(_edges, EDGE).groupBy("node", "c").agg(
+        F.min("child").alias("child"), F.count("*").alias("n"), F.min("wid").alias("other"), F.min("tail").alias("tail"), F.bit_or("next").alias("next"))
+    nodes = edges.groupBy("node").agg(F.sum("n").alias("below"), F.collect_list(F.struct("c", "child", "n", "other", "tail", "next")).alias("children"))
     return nodes.filter("below > 1").drop("below")
 
 
 def _step(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """States one level down, and with ``other`` set the neighbours reached; a state's position is where ``left`` begins."""
+    """States one level down, and with ``other`` set the neighbours reached; a state's position is where ``left`` begins.
+
+    A state with its edit spent stays only if the letter it needs is among those next.
+    """
     here, fresh = F.ascii("left"), F.col("edits") == 0
     useful = F.when(fresh, F.col("children")).otherwise(F.filter("children", lambda child: child["c"] == here))
     met = frontier.join(nodes, "node").select("wid", "edits", "left", F.inline(useful))
@@ -126,10 +217,11 @@ def _step(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     replaced = F.when((F.col("c") > here) & (here != 0), F.struct(F.lit(1).alias("edits"), ahead.alias("left")))
     inserted = F.when(F.col("c") != 0, F.struct(F.lit(1).alias("edits"), "left"))
     moves = F.when(F.col("c") == here, F.array(F.struct("edits", ahead.alias("left")))).otherwise(F.array_compact(F.array(replaced, inserted)))
-    moved = met.select("wid", "child", "n", "other", "tail", F.explode(moves).alias("to"))
+    moved = met.select("wid", "child", "n", "other", "tail", "next", F.explode(moves).alias("to"))
     single = F.col("n") == 1
     arrived = single & (F.col("to.edits") == 1) & (F.col("tail") == F.xxhash64("to.left"))
-    return moved.filter(~single | arrived).select(
+    alive = ~single & ((F.col("to.edits") == 0) | (F.getbit("next", F.ascii("to.left") % BITS) == 1))
+    return moved.filter(alive | arrived).select(
         "wid", F.col("child").alias("node"), F.col("to.edits").alias("edits"), F.when(~single, F.col("to.left")).alias("left"), F.when(single, F.col("other")).alias("other"))
 
 
@@ -153,7 +245,7 @@ def _looked_up(frontier: DataFrame, nodes: DataFrame, words: DataFrame) -> DataF
     wanted = F.array_compact(F.array("same", F.when((F.col("c") > F.col("here")) & (F.col("here") != 0), F.col("after"))))
     spent = met.select("wid", F.col("child").alias("node"), F.explode(wanted).alias("tail"))
     spent = spent.unionByName(frontier.filter("edits = 1").select("wid", "node", F.xxhash64("left").alias("tail")))
-    tails = words.filter(F.length("word") > LEVELS).select("wid", "word").mapInArrow(_edges, "node long, c int, child long, wid long, tail long")
+    tails = words.filter(F.length("word") > LEVELS).select("wid", "word").mapInArrow(_edges, EDGE)
     return spent.join(tails.select(F.col("child").alias("node"), "tail", F.col("wid").alias("other")), ["node", "tail"]).select("wid", "other")
 
 
@@ -167,7 +259,8 @@ def near_words(words: DataFrame) -> DataFrame:
     a node, so adaptive execution can split a hot node's states. The shorter word
     finds the longer one by an insertion, the lesser letter the greater by a
     replacement. A branch with one word left ends there: the id of what follows
-    in it must be that of the rest. Ids are hashes; equal ids of different strings only
+    in it must be that of the rest, and a state whose edit is spent goes on only
+    where the next letter can. Ids are hashes; equal ids of different strings only
     add candidates, and every pair is verified. Words rarely stay together for
     long; states alive after ``LEVELS`` levels end by one look-up of node and rest.
     """

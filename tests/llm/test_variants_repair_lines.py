@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import awkward, empty, pairs, same
@@ -103,6 +104,37 @@ def test_hot_prefix_has_one_edge_row(spark):
     assert nodes.agg(F.max(F.size("children"))).first()[0] <= 17
 
 
+def test_spent_states_need_a_letter_that_follows(spark):
+    draw = random.Random(5)
+    words = {"".join(draw.choice("abcde") for _ in range(8)) for _ in range(2000)}
+    words = spark.createDataFrame(list(enumerate(sorted(words))), "wid long, word string")
+    nodes = spelling.edge_table(words)
+    states = spelling._step(words.mapInArrow(spelling._seeds, spelling.STATE), nodes).filter("other is null and edits = 1")
+    assert states.count() > 0
+    assert states.join(nodes, "node").filter("exists(children, x -> x.c = ascii(left))").count() == states.count()
+
+
+@pytest.mark.parametrize("at_once, together", [(1, 1), (1, 300), (50, 1 << 20), (1 << 20, 1 << 20)])
+def test_words_are_counted_over_any_slices(monkeypatch, at_once, together):
+    monkeypatch.setattr(spelling, "TEXT_BYTES", at_once)
+    monkeypatch.setattr(spelling, "HELD_BYTES", together)
+    texts = ["", None, "Zürich", "zÜrich ×÷ÀÿĀā", "abcde" * 50, "abcde", "fghij", "ÿ", "éé éééé Ééééé", "ab 12cdefg_cdefg😀cdefg", "a" * 3000] * 4
+    rows = [(None if i % 7 == 3 else f"d{i}", t) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t or "" for _, t in rows])], ["doc_id", "text"])
+    for least, every in ((5, 97), (5, 2), (1, 1), (0, 1), (2, 0)):
+        found, wanted = Counter(), Counter()
+        for out in spelling._counts(least, every)(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])):
+            for word, n in zip(*(c.to_pylist() for c in out.columns)):
+                found[word] += n
+        for doc_id, text in rows:
+            for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+                run = run.translate(LOWER)
+                h = zlib.crc32(f"{doc_id or ''}:{run}".encode())
+                run = run[:h % len(run)] + run[h % len(run) + 1:] if every and h % every == 0 else run
+                wanted[run] += len(run) >= least
+        assert found == +wanted
+
+
 # -- conversations ----------------------------------------------------------------------------------------------------
 
 def brute_damage(rows):
