@@ -16,7 +16,7 @@ from .tokens import shared_encoder
 
 WINDOW = 2048
 SHARD_BYTES = 4 << 20       # text of one index shard, about
-TEXT_BYTES = 2 << 20        # of text encoded at once
+TEXT_BYTES = 4 << 20        # of text encoded at once
 ID_BYTES = 2 << 20         # bytes of ids whose terms are counted at once
 SPAN_COST, POSTING_COST = 400, 10   # of a term's list and of an entry in it, against a term of a document looked through
 PLACES = 500_000            # rows of four longs up to which a table of places is broadcast
@@ -58,7 +58,7 @@ class Bm25:
         self.held = np.diff(self.ptr)
         order = np.argsort(self.docs, kind="stable")
         self.query_terms, self.query_ptr = term[order], np.searchsorted(self.docs[order], np.arange(n + 1))
-        self.asked = np.zeros(len(df))
+        self.asked, self.room = np.zeros(len(df)), np.zeros(len(term))
         self._leave(np.diff(self.query_ptr) > 0, self.query_terms, self.weights[order], np.diff(self.query_ptr))
 
     def _leave(self, stay: np.ndarray, terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
@@ -88,7 +88,7 @@ class Bm25:
             if not len(self.left):
                 return []
             self.asked[terms] = 1
-            weights = self.asked[self.left_terms]
+            weights = np.take(self.asked, self.left_terms, out=self.room[:len(self.left_terms)], mode="clip")      # no check, no new memory
             self.asked[terms] = 0
             weights *= self.left_weights
             scores = np.add.reduceat(weights, self.left_at)

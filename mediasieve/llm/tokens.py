@@ -33,7 +33,7 @@ RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BARE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 JOINED, LEARNED = 256, 8192      # words encoded as one text, pieces learned at once
 MEMO_BYTES = 40 << 20           # about what one worker remembers pieces with
-PIECE_BYTES = 150               # of one piece besides its letters and ids
+PIECE_BYTES = 100               # of one piece besides its letters and ids: its place, and that in the table for a look-up
 
 
 def _bare(path: str) -> tuple[dict, str] | None:
@@ -85,24 +85,29 @@ class Encoder:
             self.closes[[i for token, i in vocabulary.items() if token.endswith(bare[1])]] = True
         self._clear()
 
+    @property
+    def code(self) -> dict[str, int]:
+        """The place of each piece held."""
+        return {piece: i for i, piece in enumerate(self.pieces.to_pylist())}
+
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.pieces = pa.array([], pa.string())
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.used = self.letters = 0
 
     def _held_bytes(self) -> int:
-        return PIECE_BYTES * len(self.code) + self.letters + 4 * self.used
+        return PIECE_BYTES * len(self.pieces) + self.letters + 4 * self.used
 
     def _forget(self) -> None:
         """Keep the half of the pieces that most batches held."""
-        n, pieces = len(self.code), list(self.code)
+        n, pieces = len(self.pieces), self.pieces
         starts, lengths, uses, ids = self.starts[:n], self.lengths[:n], self.uses[:n], self.ids
         stay = np.sort(np.argsort(-uses, kind="stable")[:n // 2])
         self._clear()
         spans = lengths[stay]
         flat = ids[np.repeat(starts[stay] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
-        self._store([pieces[i] for i in stay.tolist()], flat, spans)
+        self._store(pieces.take(pa.array(stay)), flat, spans)
         self.uses[:len(stay)] = uses[stay] // 2
 
     def _alone(self, pieces: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +129,8 @@ class Encoder:
         lengths = np.diff(np.flatnonzero(self.closes[flat]), prepend=-1)
         return (flat, lengths) if len(lengths) == len(words) and lengths.sum() == len(flat) else self._joined(words)
 
-    def _store(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        k, n = len(self.code), len(pieces)
+    def _store(self, pieces: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(self.pieces), len(pieces)
         if len(lengths) != n:
             raise ValueError("the tokenizer does not keep words apart")
         while self.used + len(flat) > len(self.ids):
@@ -137,16 +142,24 @@ class Encoder:
         self.ids[self.used:self.used + len(flat)] = flat
         self.starts[k:k + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[k:k + n] = lengths
-        self.code.update(zip(pieces, range(k, k + n)))
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
         self.used += len(flat)
-        self.letters += sum(map(len, pieces))
-
-    def _learn(self, plain: list[str], pieces: list[str]) -> None:
-        together = [w for w in pieces if MARK not in w] if self.mark is not None else []
-        alone = [w for w in pieces if MARK in w] if self.mark is not None else pieces
-        for words, encoded in ((plain, self._plain), (together, self._joined), (alone, self._alone)):
-            for at in range(0, len(words), LEARNED):
-                self._store(words[at:at + LEARNED], *encoded(words[at:at + LEARNED]))
+        self.letters += pc.sum(pc.binary_length(pieces)).as_py() or 0
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """The places given to new pieces."""
+        marked = pc.match_substring(pieces, MARK).to_numpy(zero_copy_only=False) if self.mark is not None else np.ones(len(pieces), bool)
+        plain = pc.match_substring_regex(pieces, PLAIN).to_numpy(zero_copy_only=False) if self.bare is not None else np.zeros(len(pieces), bool)
+        codes = np.zeros(len(pieces), np.int64)
+        for chosen, encoded in ((plain, self._plain), (~plain & ~marked, self._joined), (~plain & marked, self._alone)):
+            where, found = np.flatnonzero(chosen), []
+            codes[where] = len(self.pieces) + np.arange(len(where))
+            kind = pieces.take(pa.array(where))
+            for at in range(0, len(where), LEARNED):
+                found.append(encoded(kind.slice(at, LEARNED).to_numpy(zero_copy_only=False).tolist()))
+            if found:
+                self._store(kind, *map(np.concatenate, zip(*found)))
+        return codes
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """(pieces before each text and in all, pieces)."""
@@ -175,19 +188,12 @@ class Encoder:
         if self.lowers:
             coded = self._folded(dictionary).dictionary_encode()
             indices, dictionary = coded.indices.to_numpy(zero_copy_only=False)[indices], coded.dictionary
-        words = dictionary.to_numpy(zero_copy_only=False).tolist()
         if self._held_bytes() > MEMO_BYTES:
             self._forget()
-        known = self.code.get
-        codes = np.fromiter([known(w, -1) for w in words], np.int64, len(words))
+        dictionary = dictionary.cast(pa.string())
+        codes = pc.fill_null(pc.index_in(dictionary, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(codes < 0)
-        plain = np.zeros(len(missing), bool)
-        if self.bare is not None:
-            plain = pc.match_substring_regex(dictionary.take(pa.array(missing)), PLAIN).to_numpy(zero_copy_only=False)
-        new = [[words[i] for i in part.tolist()] for part in (missing[plain], missing[~plain])]
-        self._learn(*new)
-        for part, found in zip((missing[plain], missing[~plain]), new):
-            codes[part] = np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))
+        codes[missing] = self._learn(dictionary.take(pa.array(missing)))
         self.uses[codes] += 1
         return bounds, codes[indices]
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -661,3 +662,17 @@ def test_neighbours_of_both_ways_of_looking():
         weight, useful = packing.term_weights(np.bincount(ids)[terms], tf, lengths[doc], packing.Corpus(np.bincount(ids), 300, lengths.mean()))
         best = sorted(zip(-weight[useful], terms[useful]))[:2]
         assert top[doc].tolist() == [*[t for _, t in best], -1, -1][:2]
+
+
+def test_known_pieces_cost_no_call_each():
+    import pyarrow as pa
+
+    encoder = tokens.Encoder(WORD, "words")
+    texts = pa.array([" ".join(f"piece{i:x}q" for i in range(at, at + 1000)) for at in range(0, 5000, 1000)])
+    first, calls = encoder.encode(texts), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        again = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert all(map(np.array_equal, first, again)) and len(calls) < 1000
