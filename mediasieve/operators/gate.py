@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..session import checkpointed, in_parallel
-from . import logistic, metrics
+from ..session import in_parallel, stored
+from . import logistic, metrics, resampling
 
 # Fixed value: worst-cell gain over the baseline a blend must reach.
 REQUIRED_DELTA = 0.005
@@ -93,6 +93,24 @@ def align(base: DataFrame, candidates: dict[str, DataFrame], check: bool = True,
     return wide
 
 
+def _aligned(base: DataFrame, candidates: dict[str, DataFrame], base_name: str) -> DataFrame:
+    """What :func:`align` returns, of bundles that hold each (id, view) once, from one shuffle, with two more columns.
+
+    ``_fits`` says whether every branch has the row, under one label; ``_deal`` is the part of the id in which the row lies.
+    """
+    names = [base_name, *candidates]
+    kinds = base.select("id", "view", "label").dtypes
+    rows = [bundle.select(*[F.col(name).cast(kind).alias(name) for name, kind in kinds], F.col("logit").cast("double").alias("logit"), F.lit(1 << i).alias("_branch"))
+            for i, bundle in enumerate((base, *candidates.values()))]
+    dealt = reduce(DataFrame.unionAll, rows).withColumn("_deal", resampling.deal(F.col("id"))).repartition("_deal")
+    met = dealt.groupBy("_deal", "id", "view").agg(
+        F.min("label").alias("label"), *[F.max(F.when(F.col("_branch") == 1 << i, F.col("logit"))).alias(name) for i, name in enumerate(names)],
+        F.max("label").alias("_most"), F.count("label").alias("_labels"), F.bit_or("_branch").alias("_branches"), F.count(F.lit(1)).alias("_rows"))
+    fits = (F.col("id").isNotNull() & F.col("view").isNotNull() & (F.col("label") == F.col("_most")) & (F.col("_labels") == len(names))
+            & (F.col("_rows") == len(names)) & (F.col("_branches") == (1 << len(names)) - 1))
+    return met.select("id", "view", "label", *names, F.coalesce(fits, F.lit(False)).alias("_fits"), "_deal")
+
+
 def half_split(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
     """Add ``half``: fit or measure, by hash of the id, the same for every row of an image."""
     digest = hashing.sha(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
@@ -129,7 +147,8 @@ def subset_scores(wide: DataFrame, blends: dict[str, tuple[list[str], list[float
     """Rows per (config, view) with the fused logit; the sigmoid keeps the order, so it is left out."""
     configs = F.explode(F.array(*[
         F.struct(F.lit(name).alias("config"), _blend(*blend).alias("fused")) for name, blend in blends.items()]))
-    return wide.select("id", "view", "label", configs.alias("_c")).select("id", "view", "label", "_c.*")
+    kept = ["id", "view", "label", *(name for name in ("_code",) if name in wide.columns)]     # _code: of resampling.number_ids
+    return wide.select(*kept, configs.alias("_c")).select(*kept, "_c.*")
 
 
 def worst_cells(scores: DataFrame, clean: str = "clean") -> DataFrame:
@@ -146,13 +165,15 @@ def rank_of(value: str, config: str = "config") -> Column:
     return F.row_number().over(Window.orderBy(F.col(value).desc(), branches, F.col(config)))
 
 
-def bootstrap_delta(scores: DataFrame, rounds: int, seed: int = 0, base: str = "A", clean: str = "clean") -> DataFrame:
+def bootstrap_delta(scores: DataFrame, rounds: int, seed: int = 0, base: str = "A", clean: str = "clean",
+                    ids: resampling.Ids | None = None) -> DataFrame:
     """Per config the interval of its worst-cell gain over the base, resampling images.
 
-    A weight depends on the image id alone, so an image's views and configs move together.
+    A weight depends on the image id alone, so an image's views and configs move together. ``ids`` are those of
+    scores whose images were numbered before they were multiplied by config.
     """
     degraded = scores.where(F.col("view") != clean)
-    runs = metrics.replicate_auroc(degraded, ["config", "view"], "fused", replicates=rounds, seed=seed, shared_ids=True)
+    runs = metrics.replicate_auroc(degraded, ["config", "view"], "fused", replicates=rounds, seed=seed, shared_ids=True, ids=ids)
     worst = runs.groupBy("config", "replicate").agg(F.min("auroc").alias("worst"))
     against = worst.where(F.col("config") == base).select("replicate", F.col("worst").alias("_base"))
     delta = F.col("worst") - F.col("_base")
@@ -161,6 +182,20 @@ def bootstrap_delta(scores: DataFrame, rounds: int, seed: int = 0, base: str = "
         F.count(delta).alias("rounds"))
 
 
+def _numbered_halves(base: DataFrame, candidates: dict[str, DataFrame], base_name: str, seed: int, numbered: bool) -> tuple[DataFrame, resampling.Ids | None]:
+    """Aligned branches with their half, written once; on request the images to measure on are numbered on the way."""
+    one_type = all(dict(bundle.dtypes)[name] == dict(base.dtypes)[name] for bundle in candidates.values() for name in ("id", "view", "label"))
+    one_type = one_type and all(dict(bundle.dtypes)["logit"] == "double" for bundle in (base, *candidates.values()))
+    if not one_type or not resampling.readable(base.sparkSession):
+        return stored(half_split(align(base, candidates, base_name=base_name), seed=seed), "aligned"), None
+    wide = half_split(_aligned(base, candidates, base_name), seed=seed)
+    wide, ids = (resampling.number_ids(wide, "id", F.col("half") == "measure", dealt="_deal") if numbered else (stored(wide.drop("_deal"), "aligned"), None))
+    if wide.where("NOT _fits").take(1):
+        # the reports say what does not agree
+        return stored(half_split(align(base, candidates, base_name=base_name), seed=seed), "aligned"), None
+    return wide.drop("_fits"), ids
+
+
 def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta: float = REQUIRED_DELTA,
              seed: int = 0, bootstrap: int = 0, base_name: str = "A") -> DataFrame:
     """Every combination of branches: fitted on one half of val, measured on the other.
@@ -170,7 +205,7 @@ def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta:
     scored by its raw logit.
     """
     in_parallel(base.sparkSession, [partial(check_bundle, bundle, "val") for bundle in (base, *candidates.values())])
-    wide = checkpointed(half_split(align(base, candidates, base_name=base_name), seed=seed))
+    wide, ids = _numbered_halves(base, candidates, base_name, seed, bool(bootstrap and candidates))
     fit, measure = wide.where("half = 'fit'"), wide.where("half = 'measure'")
     if not fit.take(1) or not measure.take(1):
         raise ValueError("the half split left one half empty")
@@ -180,7 +215,7 @@ def run_gate(base: DataFrame, candidates: dict[str, DataFrame], required_delta:
     scores = subset_scores(measure, blends)
     report = worst_cells(scores).withColumnRenamed("worst_cell_auroc", "worst")
     rows = {row["config"]: row.asDict() for row in report.collect()}          # one row per config
-    intervals = ({row["config"]: row.asDict() for row in bootstrap_delta(scores, bootstrap, seed, base_name).collect()}
+    intervals = ({row["config"]: row.asDict() for row in bootstrap_delta(scores, bootstrap, seed, base_name, ids=ids).collect()}
                  if bootstrap and candidates else {})
     table = []
     for name, (branches, weights, bias) in blends.items():

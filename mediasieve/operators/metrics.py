@@ -144,12 +144,13 @@ def bootstrap_weight_sums(df: DataFrame, by, id_col: str, replicates: int, seed:
 
 
 def replicate_auroc(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",
-                    replicates: int = 1000, seed: int = 0, shared_ids: bool = False) -> DataFrame:
+                    replicates: int = 1000, seed: int = 0, shared_ids: bool = False, ids: resampling.Ids | None = None) -> DataFrame:
     """AUROC of every bootstrap replicate: (group, replicate, auroc).
 
-    ``shared_ids`` says that few groups hold the same ids, which are then weighed once for several groups.
+    ``shared_ids`` says that few groups hold the same ids, which are then weighed once for several groups;
+    ``ids`` are those of a frame that was numbered before.
     """
-    return resampling.replicate_auroc(df, _names(by), score, label, id_col, replicates, seed, POISSON_ONE, shared_ids)
+    return resampling.replicate_auroc(df, _names(by), score, label, id_col, replicates, seed, POISSON_ONE, shared_ids, ids=ids)
 
 
 def bootstrap_ci(df: DataFrame, by=(), score: str = "p", label: str = "label", id_col: str = "id",

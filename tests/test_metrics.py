@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,63 @@ def test_replicates_do_not_depend_on_pieces(spark, shared_ids, piece):
     assert {got["blank", lane] for lane in range(20)} == {None}
 
 
+def test_an_id_in_many_groups_is_weighed_once(spark, monkeypatch):
+    """However many ranges and groups hold an id, its digests are drawn once; results equal those of the ranges without numbers."""
+    rng = np.random.default_rng(11)
+    data = [(g, v, None if i % 29 == 0 else float("nan") if i % 31 == 0 else float(rng.integers(0, 40)) / 8 if g else float(rng.normal()),
+             None if i % 17 == 0 else int(rng.integers(0, 2)), None if i % 23 == 0 else f"im{i % 150}") for g in ("x", None) for v in (1, 2, None) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, v int, p double, label int, id string").repartition(6)
+    numbered, ids = resampling.number_ids(df, "id")
+    assert ids.total == len({row[4] for row in data} - {None}) and numbered.where("(_code IS NULL) <> (id IS NULL)").count() == 0
+    codes = {r["id"]: r["_code"] for r in numbered.where("id IS NOT NULL").collect()}
+    assert sorted(ids.numbers(np.array(list(codes.values())))) == list(range(1, ids.total + 1))
+    shared = lambda **more: resampling.replicate_auroc(df, ["g", "v"], "p", "label", "id", 40, 1, metrics.POISSON_ONE, True, 60, **more)
+    plain = resampling.replicate_auroc(df, ["g", "v"], "p", "label", "id", 40, 1, metrics.POISSON_ONE, False, 60)
+    found = lambda frame: {(r["g"], r["v"], r["replicate"]): r["auroc"] for r in frame.collect()}
+    assert found(shared()) == pytest.approx(found(plain), abs=1e-12)
+
+    drawn = []
+    weigh, laid = resampling.block_weights, resampling._lanes
+
+    def here(*args):
+        """The tasks' own work, done in this process."""
+        run = laid(*args)
+        with monkeypatch.context() as patch:
+            patch.setattr(resampling, "block_weights", lambda texts, *more: (drawn.extend(texts), weigh(texts, *more))[1])
+            assert len(args[2]) >= 8                # many files of ranges
+            batches = list(run([pa.RecordBatch.from_arrays([pa.array(list(range(0, 5, args[-1])))], ["id"])]))
+        return lambda _: iter(())                   # nothing is left for the workers
+
+    monkeypatch.setattr(resampling, "_lanes", here)
+    shared()
+    assert len(drawn) == 5 * ids.total
+
+
+def test_pairs_of_blocks_are_those_of_the_rows():
+    """Stretches of any length, in blocks counted by halves, against a running sum."""
+    rng = np.random.default_rng(3)
+    most, ids = len(metrics.POISSON_ONE), 50
+    weights = rng.integers(0, most + 1, (ids + 1, 32)).astype(np.uint8)
+    weights[0], weights[1:9] = 0, most
+    low, high = weights[:, [*range(8), *range(16, 24)]], weights[:, [*range(8, 16), *range(24, 32)]]
+    words = np.ascontiguousarray(low | high << 4).view(np.uint64)
+    lengths = np.array([1, 700, 256, 3, 5000])
+    entry = rng.integers(0, 2 * (ids + 1), lengths.sum()).astype("u4")
+    entry[:700] = 2 * rng.integers(1, 9, 700) + (np.arange(700) >= 350)
+    for height in (8, 256):
+        ends = np.cumsum(lengths)
+        blocks, place = resampling._blocks_of(ends - lengths, ends, height)
+        flat = np.zeros(blocks.sum() * height, "u4")
+        flat[place] = entry
+        rows = flat.reshape(-1, height)[:, resampling._halved(height)].T
+        got = resampling._stretch_sums(rows, blocks, resampling._Halves(height, words, most))
+        for i, (start, end) in enumerate(zip(ends - lengths, ends)):
+            own, positive = weights[entry[start:end] >> 1].astype(np.int64), (entry[start:end] & 1).astype(bool)[:, None]
+            pos, neg = own * positive, own * ~positive
+            wanted = pos.sum(0), neg.sum(0), (pos * (np.cumsum(neg, 0) - neg)).sum(0)
+            assert all((side[i] == want).all() for side, want in zip(got, wanted))
+
+
 def test_weight_sums_are_those_of_the_rows(spark):
     """Sums per task equal the sums of all weight rows, without a row per block in the plan; NULL ids weigh nothing."""
     df = spark.range(500).selectExpr("if(id % 7 = 0, null, id % 3) as label", "if(id % 11 = 0 or id = 8, null, id) as k")
